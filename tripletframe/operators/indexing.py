@@ -123,3 +123,45 @@ def exact_cap(
         "_r", F.row_number().over(Window.partitionBy(*g, "_bkt").orderBy(h_col, tiebreak))
     ).where(F.col("_before") + F.col("_r") <= cap).drop("_r")
     return whole.unionByName(edge).drop("_bkt", "_before", "_c")
+
+
+def bucketed_running(
+    df: DataFrame,
+    group_cols: Sequence[str],
+    order_cols: Sequence[Column | str],
+    bucket: Column,
+    aggs: dict[str, tuple[str, Column]],
+    inclusive: bool = True,
+) -> DataFrame:
+    """Running ``sum`` / ``max`` per group in ``order_cols`` order without a single-task window.
+
+    ``aggs`` maps an output name to (``'sum'`` | ``'max'``, value expression).
+    Buckets (non-decreasing in the order) give per-bucket totals whose
+    exclusive prefix is added to a window running inside each bucket.
+    ``inclusive=False`` gives the value over strictly preceding rows.
+    """
+    g = list(group_cols)
+    b = df.withColumn("__bkt", bucket)
+    for name, (_, expr) in aggs.items():
+        b = b.withColumn(f"__v_{name}", expr)
+    tot = b.groupBy(*g, "__bkt").agg(
+        *[(F.sum if kind == "sum" else F.max)(f"__v_{name}").alias(f"__t_{name}") for name, (kind, _) in aggs.items()]
+    )
+    wb = Window.partitionBy(*g).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(
+        *g, "__bkt",
+        *[(F.sum if kind == "sum" else F.max)(f"__t_{name}").over(wb).alias(f"__o_{name}") for name, (kind, _) in aggs.items()],
+    )
+    wi = Window.partitionBy(*g, "__bkt").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    x = b.join(tot, [*g, "__bkt"])
+    for name, (kind, _) in aggs.items():
+        fn = F.sum if kind == "sum" else F.max
+        run = fn(f"__v_{name}").over(wi)
+        off = F.col(f"__o_{name}")
+        if kind == "sum":
+            val = F.coalesce(off, F.lit(0)) + F.coalesce(run, F.lit(0))
+        else:
+            val = F.greatest(off, run)  # greatest skips nulls
+        x = x.withColumn(name, val)
+    drop = ["__bkt"] + [f"__{p}_{n}" for n in aggs for p in ("v", "o")]
+    return x.drop(*drop)
