@@ -29,6 +29,7 @@ def load_all():
     from tripletframe.plans import (  # noqa: F401
         column_queries,
         mixing_queries,
+        scoring_queries,
         triplet_queries,
     )
     return QUERIES, ORACLES

@@ -317,3 +317,36 @@ def with_views(sql: str, *names: str) -> str:
     if body.lower().startswith("with "):
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{body}"
+
+
+# ---------------------------------------------------------------- derived token tables
+
+def text_tokens(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, token) of whole texts with the fixture tokeniser."""
+    return df.select(F.col(key), F.posexplode(_tokens_expr(text)).alias("pos", "token"))
+
+
+def hashed_vectors(tokens: DataFrame, extra_tokens: tuple[str, ...] = ()) -> DataFrame:
+    """Long (token, j, v) hashed vectors for the distinct tokens of ``tokens`` (same rule as fx_token_vectors)."""
+    toks = tokens.select("token").distinct()
+    if extra_tokens:
+        spark = tokens.sparkSession
+        toks = toks.unionByName(spark.createDataFrame([(t,) for t in extra_tokens], "token string")).distinct()
+    x = toks.select("token", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_DIM - 1))).alias("j"))
+    return x.select(
+        "token",
+        F.col("j").cast("int").alias("j"),
+        ((F.pmod(hkey("token", "j"), F.lit(2001)) - 1000).cast("double") / 1000).alias("v"),
+    )
+
+
+def text_tokens_sql(src: str, key: str, text: str) -> str:
+    """DuckDB (key, pos, token) of a text column."""
+    return f"""select {key}, cast(unnest(range(len(t))) as integer) as pos, unnest(t) as token
+from (select {key}, list_filter(string_split(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as t
+  from {src})"""
+
+
+def hashed_vectors_sql(tokens_rel: str) -> str:
+    return f"""select t.token, cast(j.j as integer) as j, cast({hkey_sql('t.token', 'j.j')} % 2001 - 1000 as double) / 1000 as v
+from (select distinct token from {tokens_rel}) t cross join (select unnest(range(0, {TOKEN_DIM})) as j) j"""
