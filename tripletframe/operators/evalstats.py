@@ -182,7 +182,8 @@ def wasserstein1(long: DataFrame, group_cols: Sequence[str], label: str = "label
         F.coalesce(F.lead("_x").over(wi), F.col("_nextb")).alias("_next"),
     )
     term = F.abs(F.col("_cum1") / F.col("_n1") - F.col("_cum0") / F.col("_n0")) * (F.col("_next") - F.col("_x"))
-    return x.groupBy(*g).agg(F.coalesce(F.sum(F.when(F.col("_next").isNotNull(), term)), F.lit(0.0)).alias("wasserstein"))
+    ok = F.col("_next").isNotNull() & (F.col("_n1") > 0) & (F.col("_n0") > 0)
+    return x.groupBy(*g).agg(F.coalesce(F.sum(F.when(ok, term)), F.lit(0.0)).alias("wasserstein"))
 
 
 # ------------------------------------------------------------------ A8-A10
