@@ -30,6 +30,7 @@ def load_all():
         column_queries,
         mixing_queries,
         scoring_queries,
+        source_queries,
         stats_queries,
         triplet_queries,
     )
