@@ -32,6 +32,7 @@ def load_all():
         scoring_queries,
         source_queries,
         stats_queries,
+        stream_queries,
         triplet_queries,
     )
     return QUERIES, ORACLES
