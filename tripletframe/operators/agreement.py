@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripletframe.functions import columns as P
+from tripletframe.operators.indexing import zero_of
 
 OVERALL = "Overall"
 KDE_GRID = 200
@@ -107,11 +108,13 @@ def score_density(df: DataFrame, value_col: str, group_cols: Sequence[str], grid
     Each value contributes to the ``grid`` points through an explode and a
     partial aggregate, so the work is rows x grid with no shuffle of row data.
     """
+    if not group_cols:
+        return score_density(df.withColumn("_all", zero_of(F.col(value_col))), value_col, ["_all"], grid, cut).drop("_all")
     g = list(group_cols)
     st = df.groupBy(*g).agg(
         F.count(value_col).alias("_n"), F.stddev_samp(value_col).alias("_sd"), F.min(value_col).alias("_lo"), F.max(value_col).alias("_hi")
     ).withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).where(F.col("_bw") > 0)
-    x = df.select(*g, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull()).join(st, g)
+    x = df.select(*g, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull()).join(F.broadcast(st), g)  # one row per group
     x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("j"))
     lo = F.col("_lo") - cut * F.col("_bw")
     hi = F.col("_hi") + cut * F.col("_bw")

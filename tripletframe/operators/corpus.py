@@ -158,14 +158,20 @@ def mauve_from_clusters(assign: DataFrame, side_col: str = "side", cluster_col:
     KL(q||r), KL(p||r) sums -> curve exp(-scale * KL) with the two extreme
     points -> trapezoid area (windows over <= grid + 2 points per group).
     """
+    if not group_cols:
+        from tripletframe.operators.indexing import zero_of
+
+        a = assign.withColumn("_all", zero_of(F.col(cluster_col)))
+        return mauve_from_clusters(a, side_col, cluster_col, ["_all"], grid, scale).drop("_all")
     g = list(group_cols)
     h = assign.groupBy(*g, cluster_col).agg(
         F.sum(F.when(F.col(side_col) == "p", 1).otherwise(0)).alias("cp"),
         F.sum(F.when(F.col(side_col) == "q", 1).otherwise(0)).alias("cq"),
     )
     tot = h.groupBy(*g).agg(F.sum("cp").alias("np"), F.sum("cq").alias("nq"))
-    h = (h.join(tot, g) if g else h.join(tot)).select(*g, cluster_col, (F.col("cp") / F.col("np")).alias("p"),
-                                                       (F.col("cq") / F.col("nq")).alias("q"))
+    # tot has one row per group
+    h = h.join(F.broadcast(tot), g).select(*g, cluster_col, (F.col("cp") / F.col("np")).alias("p"),
+                                           (F.col("cq") / F.col("nq")).alias("q"))
     step = (1 - 2e-6) / (grid - 1)
     x = h.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"))
     x = x.withColumn("w", F.lit(1e-6) + F.col("k").cast("double") * F.lit(step))
@@ -181,7 +187,7 @@ def mauve_from_clusters(assign: DataFrame, side_col: str = "side", cluster_col:
     pts = pts.unionByName(ends)
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*g).orderBy("x", F.col("y").desc()) if g else Window.orderBy("x", F.col("y").desc())
+    w = Window.partitionBy(*g).orderBy("x", F.col("y").desc())
     pts = pts.withColumn("_x2", F.lead("x").over(w)).withColumn("_y2", F.lead("y").over(w))
     area = (F.col("_x2") - F.col("x")) * (F.col("_y2") + F.col("y")) / 2
     return pts.groupBy(*g).agg(F.sum(F.when(F.col("_x2").isNotNull(), area).otherwise(0.0)).alias("mauve"))

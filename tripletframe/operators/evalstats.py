@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripletframe.functions import columns as P
-from tripletframe.operators.indexing import dense_index, hash_range_bucket, buckets_for
+from tripletframe.operators.indexing import dense_index, hash_range_bucket, buckets_for, zero_of
 from tripletframe.functions.keys import hkey
 
 GRID_POINTS = 100
@@ -115,10 +115,12 @@ def midpoint_threshold_f1(long: DataFrame, group_cols: Sequence[str], label: str
 
     The per-group means are joined back on the group key (one row per group).
     """
+    if not group_cols:
+        return midpoint_threshold_f1(long.withColumn("_all", zero_of(F.col(score))), ["_all"], label, score).drop("_all")
     means = class_means(long, group_cols, label, score).withColumn(
         "threshold", (F.col("correct_mean") + F.col("incorrect_mean")) / 2
     )
-    x = long.join(means.select(*group_cols, "threshold"), list(group_cols))
+    x = long.join(F.broadcast(means.select(*group_cols, "threshold")), list(group_cols))  # one row per group
     c = x.groupBy(*group_cols).agg(*confusion(label, score, F.col("threshold")))
     f = c.withColumn("f1", _f1_from_counts(F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")))
     return f.join(means, list(group_cols)).select(
@@ -149,6 +151,8 @@ def wasserstein1(long: DataFrame, group_cols: Sequence[str], label: str = "label
     running counts use value-range buckets per group: a bucket-level prefix sum
     plus a window inside each bucket, so no group is sorted in one task.
     """
+    if not group_cols:
+        return wasserstein1(long.withColumn("_all", zero_of(F.col(score))), ["_all"], label, score, rows_per_bucket).drop("_all")
     g = list(group_cols)
     v = long.where(F.col(score).isNotNull()).groupBy(*g, F.col(score).alias("_x")).agg(
         _cnt(F.col(label) == 1).alias("_c1"), _cnt(F.col(label) == 0).alias("_c0")
@@ -158,7 +162,7 @@ def wasserstein1(long: DataFrame, group_cols: Sequence[str], label: str = "label
     bounds = v.groupBy(*g).agg(
         F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_c1").alias("_n1"), F.sum("_c0").alias("_n0")
     )
-    v = v.join(bounds, g)
+    v = v.join(F.broadcast(bounds), g)  # one row per group
     width = (F.col("_hi") - F.col("_lo")) / nb
     v = v.withColumn(
         "_bk", F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(nb - 1))).otherwise(0).cast("int")
@@ -225,6 +229,8 @@ def threshold_curve(wide: DataFrame, group_cols: Sequence[str], correct: str = "
     difference (exact: both neighbours are checked); a reverse cumulative sum
     over <= points+1 bins per group gives the curve. No grid x rows product.
     """
+    if not group_cols:
+        return threshold_curve(wide.withColumn("_all", zero_of(F.col(correct))), ["_all"], correct, incorrect, tau, points).drop("_all")
     g = list(group_cols)
     step = 1.0 / (points - 1)
     x = wide.dropna(subset=[correct, incorrect])
@@ -243,7 +249,7 @@ def threshold_curve(wide: DataFrame, group_cols: Sequence[str], correct: str = "
     grid = tot.select(*g, "_n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
     # rows with k > j count at grid point j: add each bin at j = k - 1 and sum j..end
     at = hist.where(F.col("_k") >= 1).select(*g, (F.col("_k") - 1).alias("j"), "_c")
-    y = grid.join(at, [*g, "j"], "left")
+    y = grid.join(at, [*g, "j"], "left")  # <= points rows per group on both sides
     w = Window.partitionBy(*g).orderBy(F.col("j").desc()).rowsBetween(Window.unboundedPreceding, 0)
     y = y.withColumn("_cum", F.sum(F.coalesce(F.col("_c"), F.lit(0))).over(w))
     return y.select(*g, F.col("j").cast("int").alias("j"), t(F.col("j")).alias("t"),

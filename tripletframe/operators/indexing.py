@@ -37,13 +37,18 @@ def buckets_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
     return 1 << max(0, math.ceil(math.log2(need)))
 
 
+def zero_of(c: Column) -> Column:
+    """0 computed from a column: constant in value but not foldable, so a join on it stays an equi-join."""
+    return F.xxhash64(c).bitwiseAND(F.lit(0)).cast("int")
+
+
 def hash_range_bucket(h: Column | str, n_buckets: int) -> Column:
     """Monotone bucket of a 60-bit hash: its top log2(n_buckets) bits."""
     if isinstance(h, str):
         h = F.col(h)
     bits = max(0, int(math.log2(n_buckets)))
     if bits == 0:
-        return F.lit(0).cast("int")
+        return zero_of(h)
     return F.shiftright(h, HASH_BITS - bits).cast("int")
 
 
@@ -52,7 +57,7 @@ def value_range_bucket(x: Column | str, lo: float, hi: float, n_buckets: int) ->
     if isinstance(x, str):
         x = F.col(x)
     if n_buckets <= 1 or hi <= lo:
-        return F.lit(0).cast("int")
+        return zero_of(x)
     width = (hi - lo) / n_buckets
     return F.least(F.floor((x.cast("double") - F.lit(float(lo))) / F.lit(width)), F.lit(n_buckets - 1)).cast("int")
 
@@ -73,6 +78,7 @@ def dense_index(
     """
     g = list(group_cols)
     b = df.withColumn("__bkt", bucket)
+    # groups x buckets rows: the offsets table is small by construction
     ranked = b.withColumn("__r", F.row_number().over(Window.partitionBy(*g, "__bkt").orderBy(*order_cols)))
     counts = b.groupBy(*g, "__bkt").agg(F.count(F.lit(1)).alias("__c"))
     wg = Window.partitionBy(*g).orderBy("__bkt")

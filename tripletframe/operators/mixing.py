@@ -128,8 +128,8 @@ def epoch_batches(df: DataFrame, batch_size: int, epoch: int = 0, drop_last: boo
     The dense global position comes from hash-range buckets + prefix offsets.
     """
     n = df.count()
-    x = df.withColumn("_h", hkey(F.lit(salt), F.lit(epoch), key_col)).withColumn("_g", F.lit(0))
-    x = dense_index(x, ["_g"], ["_h", key_col], hash_range_bucket("_h", buckets_for(n)), "seq", None).drop("_g", "_h")
+    x = df.withColumn("_h", hkey(F.lit(salt), F.lit(epoch), key_col))
+    x = dense_index(x, [], ["_h", key_col], hash_range_bucket("_h", buckets_for(n)), "seq", None).drop("_h")
     x = x.withColumn("epoch", F.lit(epoch)).withColumn("batch", F.floor(F.col("seq") / batch_size).cast("long"))
     if drop_last:
         x = x.where(F.col("batch") < n // batch_size)
@@ -140,8 +140,8 @@ def cap_samples(df: DataFrame, n: int, key_col: str = "row_id") -> DataFrame:
     """Only the first ``n`` rows in key order (position from :func:`dense_index`)."""
     st = df.agg(F.count(F.lit(1)).alias("c"), F.min(key_col).alias("lo"), F.max(key_col).alias("hi")).first()
     bkt = value_range_bucket(key_col, float(st["lo"] or 0), float(st["hi"] or 0), buckets_for(int(st["c"] or 0)))
-    x = dense_index(df.withColumn("_g", F.lit(0)), ["_g"], [key_col], bkt, "_pos", None)
-    return x.where(F.col("_pos") < n).drop("_g", "_pos")
+    x = dense_index(df, [], [key_col], bkt, "_pos", None)
+    return x.where(F.col("_pos") < n).drop("_pos")
 
 
 # ------------------------------------------------------------------ M11-M16

@@ -145,9 +145,7 @@ def caption_triplets(df: DataFrame, image_col: str = "image_id", caption_col: st
     distinct = dense_index(distinct, [image_col], ["_hd", caption_col], hash_range_bucket("_hd", nbk), "_k", "_m")
 
     images = rows.groupBy(image_col).agg(F.count(F.lit(1)).alias("_c")).withColumn("_himg", hkey(F.lit("img"), image_col))
-    images = dense_index(
-        images.withColumn("_all", F.lit(0)), ["_all"], ["_himg", image_col], hash_range_bucket("_himg", nbk), "_g", "_ng"
-    ).drop("_all", "_himg")
+    images = dense_index(images, [], ["_himg", image_col], hash_range_bucket("_himg", nbk), "_g", "_ng").drop("_himg")
 
     caprows = rows.withColumn("_hr", hkey(F.lit("caprow"), key_col))
     caprows = dense_index(caprows, [image_col], ["_hr", key_col], hash_range_bucket("_hr", nbk), "_r", None)

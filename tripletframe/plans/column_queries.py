@@ -117,7 +117,7 @@ def vocabulary(spark, sf):
     """Token -> id table (ids from 1, 0 is the pad id), numbered in hash order without a single-task window."""
     toks = view(spark, sf, "fx_tokens").select("token").distinct().withColumn("_h", hkey("token"))
     nb = buckets_for(toks.count())
-    v = dense_index(toks.withColumn("_g", F.lit(0)), ["_g"], ["_h", "token"], hash_range_bucket("_h", nb), "id", None)
+    v = dense_index(toks, [], ["_h", "token"], hash_range_bucket("_h", nb), "id", None)
     return v.select("token", (F.col("id") + 1).cast("int").alias("id"))
 
 

@@ -28,6 +28,7 @@ def load_all():
     """Import every plan module so that their queries register."""
     from tripletframe.plans import (  # noqa: F401
         column_queries,
+        flagship,
         mixing_queries,
         scoring_queries,
         source_queries,
