@@ -71,6 +71,34 @@ def embed_texts(
     return e.select(key_col, "n", "j", val.alias("e"))
 
 
+def embed_texts_arrays(
+    tokens: DataFrame,
+    vector_arrays: DataFrame,
+    pad_vec: Sequence[float],
+    key_col: str = "row_id",
+    length: int = 512,
+) -> DataFrame:
+    """E2 in array layout for wide vectors (d in the hundreds).
+
+    Same value as :func:`embed_texts`, but a (row, token) pair carries its
+    whole vector, so the shuffle has rows x distinct tokens records instead of
+    rows x tokens x d. The bag of one text (bounded by its distinct tokens) is
+    folded with ``aggregate``/``zip_with`` inside the JVM.
+    ``vector_arrays``: (token, vec array<double>); returns (key, n, emb).
+    """
+    d = len(pad_vec)
+    counts = tokens.groupBy(key_col, "token").agg(F.count(F.lit(1)).alias("k"))
+    vec = sized_broadcast(vector_arrays.select("token", "vec"), 8 * d + 32)
+    bag = counts.join(vec, "token").groupBy(key_col).agg(
+        F.collect_list(F.struct("k", "vec")).alias("bag"), F.sum("k").alias("n"))
+    zero = F.array_repeat(F.lit(0.0), d)
+    s = F.aggregate("bag", zero, lambda acc, x: F.zip_with(acc, x["vec"], lambda a, b: a + x["k"] * b))
+    pad = F.array(*[F.lit(float(v)) for v in pad_vec])
+    e = F.zip_with(s, pad, lambda a, p: (a + F.greatest(F.lit(length) - F.col("n"), F.lit(0)) * p)
+                   / F.greatest(F.col("n"), F.lit(length)))
+    return bag.select(key_col, "n", e.alias("emb"))
+
+
 def embeddings_as_arrays(emb_long: DataFrame, key_col: str = "row_id") -> DataFrame:
     """(key, j, e) -> (key, emb array<double>) (collect bounded by the dimension)."""
     return emb_long.groupBy(key_col).agg(

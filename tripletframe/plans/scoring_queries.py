@@ -87,6 +87,16 @@ def e3_batch_infer(spark, sf):
     return _unit(out)
 
 
+@query("e2a_embed_texts_arrays", _embed_sql("fx_tokens", "fx_token_vectors"), views=["fx_tokens", "fx_token_vectors"])
+def e2a_embed_texts_arrays(spark, sf):
+    """E2 in the array layout used for wide vectors; same values as e2_embed_texts."""
+    pad = [r["v"] for r in _pad_vector(spark).orderBy("j").collect()]  # one vector of the model
+    e = S.embed_texts_arrays(view(spark, sf, "fx_tokens"), S.vectors_to_arrays(view(spark, sf, "fx_token_vectors")), pad,
+                             length=LENGTH)
+    long = e.select("row_id", "n", F.posexplode("emb").alias("j", "e")).withColumn("j", F.col("j").cast("int"))
+    return _unit(long)
+
+
 @query("e4_cosine", f"""select row_id, round({cosine_sql_duck('ref', 'pos')}, {R6}) as cos_ref_pos from fx_vec_triplets""",
        views=["fx_vec_triplets"])
 def e4_cosine(spark, sf):
