@@ -28,7 +28,14 @@ PAD_TOKEN = "<pad>"
 
 
 def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
-    """Broadcast ``df`` only when rows x row_bytes is below ``limit`` (checked with one count)."""
+    """Broadcast ``df`` only when rows x row_bytes is below ``limit`` (checked with one count).
+
+    The table is persisted by the counting job, so the join reuses it instead
+    of deriving it a second time.
+    """
+    from pyspark import StorageLevel
+
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.count()
     return F.broadcast(df) if n * row_bytes <= limit else df
 

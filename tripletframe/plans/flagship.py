@@ -7,6 +7,7 @@ token-vector embedding of the three members (E2) -> cosine scores and hinge
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tripletframe.functions.keys import hkey, hkey_sql
@@ -26,10 +27,13 @@ def scored_triplets(spark, sf):
     lab = view(spark, sf, "fx_labeled")
     trip = T.dedupe_triplets(T.nli_pivot(lab, group_cols=["split"]).drop("neutral"),
                              keys=("split", "premise", "correct_answer", "incorrect_answer"))
+    # the triplet table feeds four branches (three text columns and the final join): compute it once
+    trip = trip.persist(StorageLevel.MEMORY_AND_DISK)
     texts = (trip.select(F.col("premise").alias("text")).union(trip.select(F.col("correct_answer").alias("text")))
              .union(trip.select(F.col("incorrect_answer").alias("text"))).distinct().withColumn("text_id", hkey("text")))
     tok = text_tokens(texts, "text_id", "text").withColumnRenamed("text_id", "row_id")
-    emb = S.embeddings_as_arrays(S.embed_texts(tok, hashed_vectors(tok), length=LENGTH, pad_vector=_pad_vector(spark)))
+    pad = [r["v"] for r in _pad_vector(spark).orderBy("j").collect()]  # the pad token's vector (d values)
+    emb = S.embed_texts_arrays(tok, S.vectors_to_arrays(hashed_vectors(tok)), pad, length=LENGTH)
     x = trip
     for col, name in (("premise", "ref"), ("correct_answer", "pos"), ("incorrect_answer", "neg")):
         e = emb.select(F.col("row_id").alias(f"_{name}_id"), F.col("emb").alias(name))
