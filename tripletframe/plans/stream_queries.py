@@ -133,6 +133,12 @@ def _directions_with_sim(spark, sf):
     return x, tok, vec
 
 
+def _persisted(df):
+    from pyspark import StorageLevel
+
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _i2_sql():
     from tripletframe.plans.scoring_queries import _PAD_SQL
     from tripletframe.sources.fixtures import hashed_vectors_sql, text_tokens_sql
@@ -163,7 +169,9 @@ def i2_choose_baseline(spark, sf):
 
 
 def _attributions(spark, sf):
-    x, tok, vec, = _directions_with_sim(spark, sf)
+    x, tok, vec = _directions_with_sim(spark, sf)
+    # pairs, tokens and vectors each feed several branches of the attribution plan: compute once
+    x, tok = _persisted(x.drop("e_in", "e_tgt", "input_text", "target_text")), _persisted(tok)
     dirs = {d: i for i, (d, *_) in enumerate(I.DIRECTIONS)}
     idx = F.create_map(*[a for d, i in dirs.items() for a in (F.lit(d), F.lit(i))])
     pairs = x.select((F.col("row_id") * 4 + idx[F.col("direction")]).alias("pair_id"), "row_id", "direction", "in_id", "tgt_id", "baseline", "sim")
