@@ -196,11 +196,16 @@ def score_table(long: DataFrame, group_cols: Sequence[str] = ("dataset", "metric
                 rescaled: Sequence[str] = P.RESCALED_METRICS) -> DataFrame:
     """Per metric: correct and incorrect mean x100 rounded to 2 dp, difference of the rounded values
     (halved for rescaled metrics) rounded to 2 dp, and the '(c, i)' display string."""
+    from decimal import Decimal
+
     m = class_means(long, group_cols)
     c = F.round(F.col("correct_mean") * 100, 2)
     i = F.round(F.col("incorrect_mean") * 100, 2)
-    d = F.when(F.col(metric_col).isin(list(rescaled)), (c - i) / 2).otherwise(c - i)
-    return m.select(*group_cols, c.alias("correct"), i.alias("incorrect"), F.round(d, 2).alias("difference"),
+    # the rounded values are exact cents: their (halved) difference is computed in decimal, where a
+    # half cent is an exact tie rounded half-up, instead of depending on binary rounding of doubles
+    dd = c.cast("decimal(14,2)") - i.cast("decimal(14,2)")
+    d = F.when(F.col(metric_col).isin(list(rescaled)), dd * F.lit(Decimal("0.5"))).otherwise(dd)
+    return m.select(*group_cols, c.alias("correct"), i.alias("incorrect"), F.round(d, 2).cast("double").alias("difference"),
                     F.format_string("(%.2f, %.2f)", c, i).alias("pair"))
 
 

@@ -114,7 +114,9 @@ def a7_class_means(spark, sf):
 _SCORE_TABLE_SQL = """st as (select dataset, metric, round(avg(score) filter (where label = 1) * 100, 2) as correct,
   round(avg(score) filter (where label = 0) * 100, 2) as incorrect from fx_scores group by dataset, metric),
 st2 as (select dataset, metric, correct, incorrect,
-  round(case when metric in ('embsim', 'bleurt', 'simcse', 'learned') then (correct - incorrect) / 2 else correct - incorrect end, 2) as difference,
+  cast(round(case when metric in ('embsim', 'bleurt', 'simcse', 'learned')
+    then (cast(correct as decimal(14, 2)) - cast(incorrect as decimal(14, 2))) * 0.5
+    else cast(correct as decimal(14, 2)) - cast(incorrect as decimal(14, 2)) end, 2) as double) as difference,
   printf('(%.2f, %.2f)', correct, incorrect) as pair from st)"""
 
 
