@@ -104,7 +104,7 @@ def interleave(
         st = df.agg(F.min(key_col).alias("lo"), F.max(key_col).alias("hi")).first()
         bkt = value_range_bucket("_h", float(st["lo"] or 0), float(st["hi"] or 0), buckets_for(n))
     x = dense_index(x, [source_col], ["_h", key_col], bkt, "_r", None)
-    x = x.withColumn("b", F.floor(F.col("_r") / batch_size).cast("long")).withColumn("source_ord", order_map[F.col(source_col)])
+    x = x.withColumn("b", F.floor(F.col("_r") / batch_size).cast("long")).withColumn("source_ord", order_map[F.col(source_col)].cast("long"))
     seq = F.aggregate(
         table,
         F.lit(0).cast("long"),

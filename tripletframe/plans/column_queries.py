@@ -59,7 +59,7 @@ from fx_answers""", views=["fx_answers"])
 def p6_clean_answer_list(spark, sf):
     x = view(spark, sf, "fx_answers")
     c, i = P.clean_answer_list("correct_answers"), P.clean_answer_list("incorrect_answers")
-    return x.select("q_id", F.size(c).alias("n_correct"), F.size(i).alias("n_incorrect"),
+    return x.select("q_id", F.size(c).cast("long").alias("n_correct"), F.size(i).cast("long").alias("n_incorrect"),
                     F.array_join(c, " || ").alias("correct_joined"))
 
 
@@ -134,7 +134,7 @@ def p14_encode_pad(spark, sf):
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids")
     )
     enc = P.encode_pad("ids", ENCODE_LENGTH, PAD_ID)
-    return ids.select("row_id", F.size("ids").alias("n_tokens"), F.array_join(enc, ",").alias("encoded"))
+    return ids.select("row_id", F.size("ids").cast("long").alias("n_tokens"), F.array_join(enc, ",").alias("encoded"))
 
 
 @query("p15_clean_tokens", """with marked as (

@@ -119,7 +119,8 @@ join (select difficulty, dense_rank() over (order by difficulty) as level from (
 using (difficulty) left join (select source, count(*) as n_rows from fx_sources group by source) n using (source)"""
 
 
-@query("m11_curriculum_levels", _LEVELS_SQL, views=["fx_sources"])
+@query("m11_curriculum_levels", f"select source, difficulty, cast(level as integer) as level, n_rows from ({_LEVELS_SQL})",
+       views=["fx_sources"])
 def m11_curriculum_levels(spark, sf):
     out = M.curriculum_levels(_registry(spark, sf), view(spark, sf, "fx_sources"))
     return out.select("source", "difficulty", F.col("level").cast("int").alias("level"), "n_rows")
@@ -129,7 +130,7 @@ def _n_levels(spark, sf):
     return _registry(spark, sf).select("difficulty").distinct().count()
 
 
-@query("m12_assign_levels", f"""with t as (select run, step, (step - 1) // {STEPS_PER_EPOCH} as epoch from fx_trace),
+@query("m12_assign_levels", f"""with t as (select run, step, cast((step - 1) // {STEPS_PER_EPOCH} as bigint) as epoch from fx_trace),
 nl as (select count(distinct difficulty) as l from fx_sources)
 select run, step, epoch, cast(max(least(cast(floor(epoch / {N_EPOCHS}.0 * nl.l) as integer) + 1, nl.l)) over
   (partition by run order by step rows between unbounded preceding and current row) as integer) as level from t, nl""",

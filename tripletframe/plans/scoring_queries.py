@@ -42,7 +42,7 @@ from range({TOKEN_DIM})"""
 def _embed_sql(tokens_rel: str, vectors_rel: str, rounded: bool = True) -> str:
     val = f"(s.s + greatest({LENGTH} - nn.n, 0) * pad.pv) / greatest(nn.n, {LENGTH})"
     return f"""with cnt as (select row_id, token, count(*) as k from {tokens_rel} group by row_id, token),
-nn as (select row_id, sum(k) as n from cnt group by row_id),
+nn as (select row_id, cast(sum(k) as bigint) as n from cnt group by row_id),
 s as (select c.row_id, v.j, sum(c.k * v.v) as s from cnt c join {vectors_rel} v using (token) group by c.row_id, v.j),
 pad as ({_PAD_SQL}),
 ee as (select s.row_id, nn.n, s.j, {val} as e from s join nn using (row_id) join pad using (j))
