@@ -70,8 +70,10 @@ def e3_batch_infer(spark, sf):
     """The same bag-of-tokens encoder run as a batched numpy model (one model per task)."""
     from tripletframe.sources.fixtures import _tokens_expr, table
 
-    vec = S.vectors_to_arrays(view(spark, sf, "fx_token_vectors"))
-    rows = S.sized_broadcast(vec, TOKEN_DIM * 8 + 32).collect()  # bounded by the vocabulary, size checked
+    vec = S.vectors_to_arrays(view(spark, sf, "fx_token_vectors")).persist()
+    if vec.count() * (TOKEN_DIM * 8 + 32) > S.BROADCAST_LIMIT_BYTES:
+        raise ValueError("token-vector table too large to ship to every task; use e2_embed_texts (join) instead")
+    rows = vec.collect()  # the model's table: bounded by the vocabulary, size checked above
     vectors = {r["token"]: np.asarray(r["vec"], dtype=np.float64) for r in rows}
     pad = np.asarray([r["v"] for r in _pad_vector(spark).orderBy("j").collect()], dtype=np.float64)
     bv = spark.sparkContext.broadcast(vectors)

@@ -55,6 +55,7 @@ def w3_stream_eval_monitor(spark, sf):
     lo = tr.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo")).first()["lo"]
     week = 7 * 24 * 3600 * 1_000_000
     tr = tr.withColumn("_chunk", F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(lo)) / F.lit(week)))
+    tr = _persisted(tr)  # every weekly chunk is cut from the same derived trace
     n_chunks = tr.agg(F.max("_chunk").alias("m")).first()["m"] + 1
     src, out, ck = (io.scratch_path(spark, n) for n in ("w3src", "w3out", "w3ck"))
     for k in range(int(n_chunks)):  # written one after another: file times follow event time
