@@ -84,3 +84,28 @@ def test_mauve_kmeans_path(spark):
     cl = C.kmeans_clusters(df, k=4)
     m = C.mauve_from_clusters(cl.select("cluster", "side")).first()["mauve"]
     assert 0.0 <= m < 0.5
+
+
+def test_attribution_reference_baseline_completeness(spark):
+    """Closed-form pad term with the target's tokens as baseline, including target tokens beyond the input."""
+    rng = np.random.default_rng(8)
+    toks = ["a", "b", "c", "d", "<pad>", "<unk>"]
+    vec = spark.createDataFrame([(t, [float(x) for x in rng.normal(size=5)]) for t in toks], "token string, vec array<double>")
+    tokens = spark.createDataFrame(
+        [(1, 0, "a"), (1, 1, "b"), (2, 0, "c"), (2, 1, "d"), (2, 2, "a"), (2, 3, "c"), (3, 0, "d")],
+        "text_id long, pos int, token string")
+    pairs = spark.createDataFrame([(10, 1, 2, "reference"), (11, 2, 1, "reference"), (12, 3, 2, "zero")],
+                                  "pair_id long, in_id long, tgt_id long, baseline string")
+    att, tot = I.token_attribution(pairs, tokens, vec, length=3, n_steps=400)
+    rows = tot.collect()
+    assert len(rows) == 3
+    assert all(abs(r["delta"]) < 1e-4 for r in rows)
+    # dense check: embeddings over explicit positions for pair 10 (input 1 = a b + pad, baseline = c d a)
+    v = {r["token"]: np.asarray(r["vec"]) for r in vec.collect()}
+    ex = (v["a"] + v["b"] + v["<pad>"]) / 3
+    eb = (v["c"] + v["d"] + v["a"]) / 3
+    et = (v["c"] + v["d"] + v["a"] + v["c"]) / 4
+    cos = lambda x, y: x @ y / np.linalg.norm(x) / np.linalg.norm(y)
+    r10 = next(r for r in rows if r["pair_id"] == 10)
+    assert abs(r10["cos_x"] - cos(ex, et)) < 1e-12 and abs(r10["cos_base"] - cos(eb, et)) < 1e-12
+    assert att.where("pair_id = 10").count() == 3  # two tokens + one pad row

@@ -69,11 +69,11 @@ def path_gradient(ex: np.ndarray, eb: np.ndarray, et: np.ndarray, n_steps: int =
 
 
 @F.pandas_udf(_G_SCHEMA)
-def _path_udf(ex: pd.Series, eb: pd.Series, et: pd.Series) -> pd.DataFrame:
+def _path_udf(ex: pd.Series, eb: pd.Series, et: pd.Series, steps: pd.Series) -> pd.DataFrame:
     rows = []
-    for a, b, t in zip(ex, eb, et):
+    for a, b, t, n in zip(ex, eb, et, steps):
         a, b, t = (np.asarray(z, dtype=np.float64) for z in (a, b, t))
-        rows.append((path_gradient(a, b, t).tolist(), _cos(a, t), _cos(b, t)))
+        rows.append((path_gradient(a, b, t, int(n)).tolist(), _cos(a, t), _cos(b, t)))
     return pd.DataFrame(rows, columns=["g", "cos_x", "cos_base"])
 
 
@@ -84,6 +84,18 @@ def _sum_arrays(col: str) -> Column:
     return F.aggregate(lst, zero, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
 
 
+def _scale(arr: Column, k: Column) -> Column:
+    return F.transform(arr, lambda x: x * k)
+
+
+def _add(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def _sub(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
+
+
 def token_attribution(
     pairs: DataFrame,
     tokens: DataFrame,
@@ -93,40 +105,66 @@ def token_attribution(
     base_token: str = BASELINE_TOKEN,
     n_steps: int = N_STEPS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Per-position attributions and per-pair totals.
+    """Per-token attributions (plus one aggregated pad row) and per-pair totals.
 
     ``pairs``: (pair_id, in_id, tgt_id, baseline) with baseline 'zero' | 'reference';
     ``tokens``: (text_id, pos, token); ``vectors``: (token, vec array<double>)
     including the pad and baseline tokens.
-    Returns (positions: pair_id, pos, token, attr; totals: pair_id, cos_x, cos_base, total, delta).
+
+    Only real token positions become rows. The ``P - n`` pad positions of the
+    input all hold the pad vector, so their attribution is one closed-form term
+    ``(P - n) v_pad - sum of the baseline over those positions``.
+    Returns (positions: pair_id, pos, token, attr [pos -1 = pads];
+    totals: pair_id, cos_x, cos_base, total, delta).
     """
-    n = tokens.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
-    p = pairs.join(n.withColumnRenamed("text_id", "in_id"), "in_id").withColumn("P", F.greatest(F.col("n"), F.lit(length)))
-    p = p.join(n.select(F.col("text_id").alias("tgt_id"), F.col("n").alias("n_tgt")), "tgt_id", "left")
-    pos = p.select("pair_id", "in_id", "tgt_id", "baseline", "P", F.explode(F.sequence(F.lit(0), F.col("P") - 1)).alias("pos"))
+    vec = vectors.select("token", "vec")
+    consts = {r["token"]: r["vec"] for r in vec.where(F.col("token").isin(pad_token, base_token)).collect()}  # two d-vectors
+    pv = F.array(*[F.lit(float(x)) for x in consts[pad_token]])
+    b0 = F.array(*[F.lit(float(x)) for x in consts[base_token]])
+    zeros = F.transform(pv, lambda _: F.lit(0.0))
+
+    nt = tokens.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
+    p = (pairs.join(nt.select(F.col("text_id").alias("in_id"), F.col("n").alias("n_in")), "in_id")
+         .join(nt.select(F.col("text_id").alias("tgt_id"), F.col("n").alias("n_tgt")), "tgt_id", "left")
+         .withColumn("n_tgt", F.coalesce("n_tgt", F.lit(0)))
+         .withColumn("P", F.greatest(F.col("n_in"), F.lit(length))))
     tin = tokens.select(F.col("text_id").alias("in_id"), "pos", F.col("token").alias("tok_in"))
     ttg = tokens.select(F.col("text_id").alias("tgt_id"), "pos", F.col("token").alias("tok_tgt"))
-    pos = pos.join(tin, ["in_id", "pos"], "left").join(ttg, ["tgt_id", "pos"], "left")
-    pos = pos.withColumn("tok_in", F.coalesce("tok_in", F.lit(pad_token))).withColumn(
-        "tok_base", F.when(F.col("baseline") == "zero", F.lit(base_token)).otherwise(F.coalesce("tok_tgt", F.lit(pad_token)))
+    v_in = vec.select(F.col("token").alias("tok_in"), F.col("vec").alias("v_in"))
+    v_tg = vec.select(F.col("token").alias("tok_tgt"), F.col("vec").alias("v_tgt"))
+
+    # input token positions with the baseline token at the same position
+    rows = (p.select("pair_id", "in_id", "tgt_id", "baseline", "P").join(tin, "in_id")
+            .join(ttg, ["tgt_id", "pos"], "left").join(v_in, "tok_in").join(v_tg, "tok_tgt", "left"))
+    rows = rows.withColumn("v_base", F.when(F.col("baseline") == "zero", b0).otherwise(F.coalesce("v_tgt", pv)))
+    sums = rows.groupBy("pair_id").agg(_sum_arrays("v_in").alias("sx"), _sum_arrays("v_base").alias("sb"))
+    # reference baseline: target tokens that sit on the input's pad positions (n_in <= pos < P)
+    extra = (p.where(F.col("baseline") == "reference").select("pair_id", "tgt_id", "n_in", "P").join(ttg, "tgt_id")
+             .where((F.col("pos") >= F.col("n_in")) & (F.col("pos") < F.col("P"))).join(v_tg, "tok_tgt")
+             .groupBy("pair_id").agg(_sum_arrays("v_tgt").alias("s_extra"), F.count(F.lit(1)).alias("c_extra")))
+    # target embedding: its own tokens and pads up to L
+    tsum = ttg.join(v_tg, "tok_tgt").groupBy("tgt_id").agg(_sum_arrays("v_tgt").alias("st"))
+
+    g = p.join(sums, "pair_id").join(extra, "pair_id", "left").join(tsum, "tgt_id", "left")
+    n_pad = (F.col("P") - F.col("n_in")).cast("double")
+    sb_pad = F.when(F.col("baseline") == "zero", _scale(b0, n_pad)).otherwise(
+        _add(F.coalesce("s_extra", zeros), _scale(pv, n_pad - F.coalesce(F.col("c_extra"), F.lit(0)))))
+    pt = F.greatest(F.col("n_tgt"), F.lit(length)).cast("double")
+    g = g.select(
+        "pair_id", "P",
+        _scale(_add("sx", _scale(pv, n_pad)), 1.0 / F.col("P")).alias("e_x"),
+        _scale(_add("sb", sb_pad), 1.0 / F.col("P")).alias("e_b"),
+        _scale(_add(F.coalesce("st", zeros), _scale(pv, pt - F.col("n_tgt"))), 1.0 / pt).alias("e_t"),
+        _sub(_scale(pv, n_pad), sb_pad).alias("pad_diff"),
     )
-    va = vectors.select(F.col("token").alias("tok_in"), F.col("vec").alias("v_in"))
-    vb = vectors.select(F.col("token").alias("tok_base"), F.col("vec").alias("v_base"))
-    pos = pos.join(va, "tok_in").join(vb, "tok_base")
-    # target embedding: the target text at its own positions
-    tgt_pos = p.select("pair_id", "tgt_id", F.greatest(F.coalesce("n_tgt", F.lit(0)), F.lit(length)).alias("Pt"))
-    tgt_pos = tgt_pos.select("pair_id", "tgt_id", "Pt", F.explode(F.sequence(F.lit(0), F.col("Pt") - 1)).alias("pos"))
-    tgt_pos = tgt_pos.join(ttg, ["tgt_id", "pos"], "left").withColumn("tok_tgt", F.coalesce("tok_tgt", F.lit(pad_token)))
-    tgt_pos = tgt_pos.join(vectors.select(F.col("token").alias("tok_tgt"), F.col("vec").alias("v_t")), "tok_tgt")
-    et = tgt_pos.groupBy("pair_id", "Pt").agg(_sum_arrays("v_t").alias("_st")).select(
-        "pair_id", F.transform("_st", lambda x: x / F.col("Pt")).alias("e_t"))
-    emb = pos.groupBy("pair_id", "P").agg(_sum_arrays("v_in").alias("_sx"), _sum_arrays("v_base").alias("_sb")).select(
-        "pair_id", "P", F.transform("_sx", lambda x: x / F.col("P")).alias("e_x"), F.transform("_sb", lambda x: x / F.col("P")).alias("e_b"))
-    grad = emb.join(et, "pair_id").withColumn("_g", _path_udf("e_x", "e_b", "e_t")).select(
-        "pair_id", "P", F.col("_g.g").alias("g"), F.col("_g.cos_x").alias("cos_x"), F.col("_g.cos_base").alias("cos_base"))
-    diff = F.zip_with("v_in", "v_base", lambda a, b: a - b)
-    att = pos.join(grad.select("pair_id", "g"), "pair_id").select(
-        "pair_id", "pos", F.col("tok_in").alias("token"), (dot(diff, "g") / F.col("P")).alias("attr"))
+    grad = g.withColumn("_g", _path_udf("e_x", "e_b", "e_t", F.lit(n_steps))).select(
+        "pair_id", "P", "pad_diff", F.col("_g.g").alias("g"), F.col("_g.cos_x").alias("cos_x"),
+        F.col("_g.cos_base").alias("cos_base"))
+    tok_att = rows.join(grad.select("pair_id", "g"), "pair_id").select(
+        "pair_id", "pos", F.col("tok_in").alias("token"), (dot(_sub("v_in", "v_base"), "g") / F.col("P")).alias("attr"))
+    pad_att = grad.select("pair_id", F.lit(-1).cast("int").alias("pos"), F.lit(pad_token).alias("token"),
+                          (dot("pad_diff", "g") / F.col("P")).alias("attr"))
+    att = tok_att.unionByName(pad_att)
     totals = att.groupBy("pair_id").agg(F.sum("attr").alias("total")).join(grad.select("pair_id", "cos_x", "cos_base"), "pair_id")
     totals = totals.withColumn("delta", F.col("total") - (F.col("cos_x") - F.col("cos_base")))
     return att, totals
