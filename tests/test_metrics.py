@@ -4,7 +4,6 @@ import math
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tripletframe.functions.porter import stem
 from tripletframe.functions.vectors import cosine

@@ -1,7 +1,6 @@
 """Encoder, attribution and fitting invariants."""
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from tripletframe.operators import attribution as I
 from tripletframe.operators import corpus as C

@@ -9,15 +9,13 @@ over metrics or datasets.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripletframe.functions import columns as P
-from tripletframe.operators.indexing import dense_index, hash_range_bucket, buckets_for, zero_of
-from tripletframe.functions.keys import hkey
+from tripletframe.operators.indexing import buckets_for, dense_index, value_range_bucket, zero_of
 
 GRID_POINTS = 100
 
@@ -80,8 +78,6 @@ def batch_mean_loss(scored: DataFrame, batch_size: int, group_cols: Sequence[str
     n = scored.count()
     x = scored.withColumn("_ho", F.col(order_col).cast("double"))
     st = x.agg(F.min("_ho").alias("lo"), F.max("_ho").alias("hi")).first()
-    from tripletframe.operators.indexing import value_range_bucket
-
     x = dense_index(x, g, [order_col], value_range_bucket("_ho", st["lo"] or 0.0, st["hi"] or 0.0, buckets_for(n)), "_pos", None)
     x = x.withColumn("_loss", F.greatest(F.lit(0.0), F.lit(margin) + F.col("neg_sim") - F.col("pos_sim")))
     per_batch = x.groupBy(*g, F.floor(F.col("_pos") / batch_size).alias("_b")).agg(

@@ -12,7 +12,6 @@ never itself, found with one equi-join on (batch, index), never a cross join.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -288,10 +287,3 @@ def prepare_source(
         cols.append(score_col)
     return x.select(*cols).dropna(subset=list(TRIPLET_COLS) + ([score_col] if score_col in cols else []))
 
-
-def required_columns_ok(df: DataFrame, required: Sequence[str] = TRIPLET_COLS) -> bool:
-    return all(c in df.columns for c in required)
-
-
-def math_ceil(n: int, b: int) -> int:
-    return int(math.ceil(n / b))

@@ -13,7 +13,7 @@ from tripletframe.operators import triplets as T
 from tripletframe.plans.registry import query
 from tripletframe.plans.triplet_queries import RESERVOIR_K, _neg_query
 from tripletframe.sources import io
-from tripletframe.sources.fixtures import TOKEN_DIM, hashed_vectors, text_tokens, view
+from tripletframe.sources.fixtures import hashed_vectors, text_tokens, view
 from tripletframe.streaming import streams as W
 
 R6 = 6
