@@ -63,7 +63,9 @@ def embed_texts(
     ``embed = (sum_tok k * g(tok) + max(length - n, 0) * g(pad)) / max(n, length)``;
     for n <= length this is the padded mean of the reference; longer texts are
     embedded whole rather than cut at ``length``.
-    Returns (key, n, j, e) in long form.
+    Returns (key, n, j, e) in long form. The join carries rows x tokens x d
+    records, which suits narrow vectors (or SQL engines); for wide vectors use
+    :func:`embed_texts_arrays`, which ships one array per (row, token).
     """
     counts = tokens.groupBy(key_col, "token").agg(F.count(F.lit(1)).alias("k"))
     n = counts.groupBy(key_col).agg(F.sum("k").alias("n"))
