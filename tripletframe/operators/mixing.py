@@ -224,7 +224,7 @@ def sampling_stats(draws: DataFrame, source_col: str = "source") -> DataFrame:
     """Draws and percentage per source (with its level)."""
     c = draws.groupBy(source_col, "level").agg(F.count(F.lit(1)).alias("n_draws"))
     # the grouped table has one row per source, so a window over all of it is small
-    return c.withColumn("pct", F.col("n_draws") / F.sum("n_draws").over(Window.partitionBy()) * 100)
+    return c.withColumn("pct", F.round(F.col("n_draws") * 100.0 / F.sum("n_draws").over(Window.partitionBy()), 6))
 
 
 STATE_SCHEMA = T.StructType(

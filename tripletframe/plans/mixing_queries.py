@@ -173,7 +173,7 @@ def m14_curriculum_draw(spark, sf):
 
 
 @query("m15_sampling_stats", "with dr as (" + _draw_sql() + """)
-select source, level, count(*) as n_draws, count(*) * 100.0 / sum(count(*)) over () as pct from dr group by source, level""",
+select source, level, count(*) as n_draws, round(count(*) * 100.0 / sum(count(*)) over (), 6) as pct from dr group by source, level""",
        views=["fx_sources"])
 def m15_sampling_stats(spark, sf):
     return M.sampling_stats(_draws(spark, sf))
