@@ -205,3 +205,21 @@ def i5_attribution_summary(spark, sf):
     per = totals.join(pairs.select("pair_id", "direction"), "pair_id").select(
         F.lit("embsim").alias("metric"), "direction", F.col("cos_x").alias("sim"), F.col("total").alias("attr"))
     return I.attribution_summary(per)
+
+
+def _i5s_sql():
+    body = _i2_sql()
+    head, tail = body.rsplit("select row_id, direction, round(sim, 6) as sim", 1)
+    dirs = [d for d, *_ in I.DIRECTIONS]
+    cols = ", ".join(f"round(avg(sim) filter (where direction = '{d}') * 100, 2) as {d}_sim" for d in dirs)
+    return head + f"select 'embsim' as metric, {cols} from f"
+
+
+@query("i5s_similarity_summary", _i5s_sql(), views=["fx_pairs"])
+def i5s_similarity_summary(spark, sf):
+    """The similarity half of I5: one record per metric, mean similarity x100 (2 dp) per direction."""
+    x, _, _ = _directions_with_sim(spark, sf)
+    dirs = [d for d, *_ in I.DIRECTIONS]
+    per = x.select(F.lit("embsim").alias("metric"), "direction", "sim")
+    p = per.groupBy("metric").pivot("direction", dirs).agg(F.round(F.avg("sim") * 100, 2))
+    return p.select("metric", *[F.col(d).alias(f"{d}_sim") for d in dirs])
