@@ -35,9 +35,11 @@ def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT_
     """
     from pyspark import StorageLevel
 
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = df.count()
-    return F.broadcast(df) if n * row_bytes <= limit else df
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if cached.count() * row_bytes <= limit:
+        return F.broadcast(cached)  # small by the check above: keeping it cached is bounded too
+    cached.unpersist()
+    return df
 
 
 def vectors_to_arrays(long_vectors: DataFrame, key: str = "token") -> DataFrame:
