@@ -31,8 +31,9 @@ from tripletframe.functions.keys import HASH_BITS
 ROWS_PER_BUCKET = 1_000_000
 
 
-def buckets_for(n_rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
-    """Power-of-two bucket count so that a bucket holds about rows_per_bucket rows."""
+def buckets_for(n_rows: int, rows_per_bucket: int | None = None) -> int:
+    """Power-of-two bucket count so that a bucket holds about rows_per_bucket rows (default ROWS_PER_BUCKET)."""
+    rows_per_bucket = ROWS_PER_BUCKET if rows_per_bucket is None else rows_per_bucket
     need = max(1, math.ceil(n_rows / max(1, rows_per_bucket)))
     return 1 << max(0, math.ceil(math.log2(need)))
 

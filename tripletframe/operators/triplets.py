@@ -137,7 +137,7 @@ def caption_triplets(df: DataFrame, image_col: str = "image_id", caption_col: st
       (uniform over that image's captions, duplicates counted).
     """
     rows = df.select(key_col, image_col, caption_col).where(F.col(caption_col).isNotNull())
-    nbk = buckets_for(rows.count(), rows_per_bucket or 1_000_000)
+    nbk = buckets_for(rows.count(), rows_per_bucket)
 
     distinct = rows.groupBy(image_col, caption_col).agg(F.count(F.lit(1)).alias("_mult"))
     distinct = distinct.withColumn("_hd", hkey(F.lit("cap"), image_col, caption_col))
