@@ -140,3 +140,21 @@ def test_threshold_curve_grid_edges(spark):
         direct[j] = sum(1 for _, _, cc, ii in rows if cc - ii > t and ii < 0.5 and cc > 0.5) / len(rows) * 100
     assert all(abs(c[j] - direct[j]) < 1e-9 for j in range(100))
     assert math.isclose(c[0], 75.0)
+
+
+def test_bertscore_paths_agree(spark):
+    from tripletframe.operators import scoring as S
+
+    rng = np.random.default_rng(11)
+    toks = ["w%d" % i for i in range(12)]
+    vecs = spark.createDataFrame([(t, j, float(rng.normal())) for t in toks for j in range(4)], "token string, j int, v double")
+    rows = [(tid, t) for tid in range(6) for t in rng.choice(toks, size=int(rng.integers(1, 9)))]
+    tokens = spark.createDataFrame([(int(a), str(b)) for a, b in rows], "text_id long, token string")
+    pairs = spark.createDataFrame([(k, 2 * k, 2 * k + 1) for k in range(3)], "pair_id long, cand_id long, ref_id long")
+    big = {r["pair_id"]: r for r in S.bertscore(pairs, tokens, vecs).collect()}
+    small = {r["pair_id"]: r for r in S.bertscore(pairs, tokens, vecs, limit=0).collect()}
+    assert set(big) == set(small) == {0, 1, 2}
+    for k in big:
+        assert all(abs(big[k][c] - small[k][c]) < 1e-12 for c in ("bert_p", "bert_r", "bert_f"))
+    self_pairs = spark.createDataFrame([(9, 1, 1)], "pair_id long, cand_id long, ref_id long")
+    assert abs(S.bertscore(self_pairs, tokens, vecs).first()["bert_f"] - 1.0) < 1e-12

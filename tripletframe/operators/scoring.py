@@ -171,6 +171,37 @@ def _bertscore_udf(va: pd.Series, wa: pd.Series, vb: pd.Series, wb: pd.Series) -
     return pd.DataFrame(out, columns=["bert_p", "bert_r", "bert_f"])
 
 
+def _bertscore_by_ids(pairs, counts, vec, d, pair_key, cand_key, ref_key):
+    """Bags of (token id, count) per text; vectors gathered inside the UDF from a broadcast matrix."""
+    spark = pairs.sparkSession
+    rows = vec.select("token", "vec").collect()  # the model's table, bounded by the caller's size check
+    tids = spark.createDataFrame([(r["token"], i) for i, r in enumerate(rows)], "token string, tid int")
+    mat = np.asarray([r["vec"] for r in rows], dtype=np.float64).reshape(len(rows), d)
+    norms = np.linalg.norm(mat, axis=1, keepdims=True)
+    bm = spark.sparkContext.broadcast(np.divide(mat, norms, out=np.zeros_like(mat), where=norms > 0))
+
+    @F.pandas_udf(_BS_SCHEMA)
+    def score(ia: pd.Series, wa: pd.Series, ib: pd.Series, wb: pd.Series) -> pd.DataFrame:
+        m = bm.value
+        out = []
+        for a, x, b, y in zip(ia, wa, ib, wb):
+            sim = m[np.asarray(a, dtype=np.int64)] @ m[np.asarray(b, dtype=np.int64)].T
+            x = np.asarray(x, dtype=np.float64)
+            y = np.asarray(y, dtype=np.float64)
+            p = float((sim.max(axis=1) * x).sum() / x.sum())
+            r = float((sim.max(axis=0) * y).sum() / y.sum())
+            out.append((p, r, 2 * p * r / (p + r) if p + r != 0 else 0.0))
+        return pd.DataFrame(out, columns=["bert_p", "bert_r", "bert_f"])
+
+    bag = counts.join(F.broadcast(tids), "token").groupBy("text_id").agg(
+        F.array_sort(F.collect_list(F.struct("tid", "k"))).alias("bag"))
+    bag = bag.select("text_id", F.transform("bag", lambda s: s["tid"]).alias("i"), F.transform("bag", lambda s: s["k"]).alias("w"))
+    ca = bag.select(F.col("text_id").alias(cand_key), F.col("i").alias("ia"), F.col("w").alias("wa"))
+    rb = bag.select(F.col("text_id").alias(ref_key), F.col("i").alias("ib"), F.col("w").alias("wb"))
+    x = pairs.join(ca, cand_key).join(rb, ref_key)
+    return x.withColumn("_bs", score("ia", "wa", "ib", "wb"))
+
+
 def bertscore(
     pairs: DataFrame,
     tokens: DataFrame,
@@ -178,16 +209,26 @@ def bertscore(
     pair_key: str = "pair_id",
     cand_key: str = "cand_id",
     ref_key: str = "ref_id",
+    limit: int = BROADCAST_LIMIT_BYTES,
 ) -> DataFrame:
     """Greedy max-cosine token matching (precision, recall, F1; no idf, no rescaling).
 
-    Each text is reduced to its distinct tokens with counts and their vectors
-    (an array bounded by the text), and the per-pair ``A @ B.T`` maximum runs
-    vectorised in an Arrow UDF: no (token, token) rows are materialised.
+    Each text is reduced to its distinct tokens with counts and the per-pair
+    ``A @ B.T`` maximum runs vectorised in an Arrow UDF: no (token, token)
+    rows are materialised. When the vector table fits the broadcast limit,
+    texts travel as (token id, count) lists and the UDF gathers normalised
+    vectors from a broadcast matrix (small rows for long texts and wide
+    vectors); otherwise the vectors are joined in and travel with the bag.
     ``pairs``: (pair_key, cand_key, ref_key); ``tokens``: (text_id, token).
     """
-    vec = vectors_to_arrays(vectors)
+    vec = vectors_to_arrays(vectors).persist()
     counts = tokens.groupBy("text_id", "token").agg(F.count(F.lit(1)).alias("k"))
+    first = vec.select("vec").first()
+    d = len(first["vec"]) if first else 0
+    if d and vec.count() * (8 * d + 48) <= limit:
+        x = _bertscore_by_ids(pairs, counts, vec, d, pair_key, cand_key, ref_key)
+        vec.unpersist()
+        return x.select(*pairs.columns, "_bs.bert_p", "_bs.bert_r", "_bs.bert_f")
     bag = counts.join(vec, "token").groupBy("text_id").agg(
         F.array_sort(F.collect_list(F.struct("token", "k", "vec"))).alias("bag")
     )
