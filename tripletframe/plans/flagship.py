@@ -17,7 +17,7 @@ from tripletframe.operators import triplets as T
 from tripletframe.plans.registry import query
 from tripletframe.plans.scoring_queries import LENGTH, _PAD_SQL, _pad_vector
 from tripletframe.plans.triplet_queries import _NLI_PIVOT_SQL
-from tripletframe.sources.fixtures import hashed_vectors, hashed_vectors_sql, text_tokens, text_tokens_sql, view
+from tripletframe.sources.fixtures import hashed_vector_arrays, hashed_vectors_sql, text_tokens, text_tokens_sql, view
 
 R6 = 6
 SUMMARY = ["loss", "pos_sim_mean", "neg_sim_mean", "pos_sim_std", "neg_sim_std", "diff_mean", "f1"]
@@ -33,7 +33,7 @@ def scored_triplets(spark, sf):
              .union(trip.select(F.col("incorrect_answer").alias("text"))).distinct().withColumn("text_id", hkey("text")))
     tok = text_tokens(texts, "text_id", "text").withColumnRenamed("text_id", "row_id")
     pad = [r["v"] for r in _pad_vector(spark).orderBy("j").collect()]  # the pad token's vector (d values)
-    emb = S.embed_texts_arrays(tok, S.vectors_to_arrays(hashed_vectors(tok)), pad, length=LENGTH)
+    emb = S.embed_texts_arrays(tok, hashed_vector_arrays(tok), pad, length=LENGTH)
     x = trip
     for col, name in (("premise", "ref"), ("correct_answer", "pos"), ("incorrect_answer", "neg")):
         e = emb.select(F.col("row_id").alias(f"_{name}_id"), F.col("emb").alias(name))

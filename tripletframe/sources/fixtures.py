@@ -340,6 +340,17 @@ def hashed_vectors(tokens: DataFrame, extra_tokens: tuple[str, ...] = ()) -> Dat
     )
 
 
+def hashed_vector_arrays(tokens: DataFrame, extra_tokens: tuple[str, ...] = ()) -> DataFrame:
+    """(token, vec array<double>) by the same rule as :func:`hashed_vectors`, built per token without a regroup."""
+    toks = tokens.select("token").distinct()
+    if extra_tokens:
+        spark = tokens.sparkSession
+        toks = toks.unionByName(spark.createDataFrame([(t,) for t in extra_tokens], "token string")).distinct()
+    vec = F.transform(F.sequence(F.lit(0), F.lit(TOKEN_DIM - 1)),
+                      lambda j: (F.pmod(hkey("token", j), F.lit(2001)) - 1000).cast("double") / 1000)
+    return toks.select("token", vec.alias("vec"))
+
+
 def text_tokens_sql(src: str, key: str, text: str) -> str:
     """DuckDB (key, pos, token) of a text column."""
     return f"""select {key}, cast(unnest(range(len(t))) as integer) as pos, unnest(t) as token
