@@ -108,3 +108,13 @@ def test_attribution_reference_baseline_completeness(spark):
     r10 = next(r for r in rows if r["pair_id"] == 10)
     assert abs(r10["cos_x"] - cos(ex, et)) < 1e-12 and abs(r10["cos_base"] - cos(eb, et)) < 1e-12
     assert att.where("pair_id = 10").count() == 3  # two tokens + one pad row
+
+
+def test_embed_lengths_around_L(spark):
+    """n = L-1, L, L+1 tokens: pads fill up to L; a longer text is averaged whole."""
+    L = 4
+    vec = spark.createDataFrame([("a", 0, 1.0), ("<pad>", 0, 0.25)], "token string, j int, v double")
+    for n in (L - 1, L, L + 1):
+        toks = spark.createDataFrame([(1, i, "a") for i in range(n)], "row_id long, pos int, token string")
+        e = S.embed_texts(toks, vec, length=L).first()["e"]
+        assert abs(e - (n * 1.0 + max(L - n, 0) * 0.25) / max(n, L)) < 1e-12

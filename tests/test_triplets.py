@@ -93,3 +93,11 @@ def test_balanced_pairs_small_class(spark):
 def test_reservoir_sample_size(spark):
     df = spark.range(0, 5000).withColumnRenamed("id", "row_id")
     assert T.reservoir_sample(df, k=123).count() == 123
+
+
+def test_null_answer_negative_is_dropped_in_batch_mode(spark):
+    rows = [(1, "a"), (2, None), (3, "c")]
+    df = spark.createDataFrame(rows, "row_id long, correct_answer string")
+    out = T.sample_negatives_batch(df, batch_size=10).collect()
+    assert all(r["incorrect_answer"] is not None for r in out)
+    assert {r["row_id"] for r in out} <= {1, 2, 3} and len(out) >= 1
