@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripletframe.functions.vectors import dot
+from tripletframe.session import cut_lineage
 
 N_STEPS = 50
 BASELINE_TOKEN = "<unk>"  # stands for token id 0 of the vocabulary
@@ -128,6 +129,7 @@ def token_attribution(
          .join(nt.select(F.col("text_id").alias("tgt_id"), F.col("n").alias("n_tgt")), "tgt_id", "left")
          .withColumn("n_tgt", F.coalesce("n_tgt", F.lit(0)))
          .withColumn("P", F.greatest(F.col("n_in"), F.lit(length))))
+    p = cut_lineage(p)  # one row per pair, read by three branches
     tin = tokens.select(F.col("text_id").alias("in_id"), "pos", F.col("token").alias("tok_in"))
     ttg = tokens.select(F.col("text_id").alias("tgt_id"), "pos", F.col("token").alias("tok_tgt"))
     v_in = vec.select(F.col("token").alias("tok_in"), F.col("vec").alias("v_in"))
@@ -137,6 +139,7 @@ def token_attribution(
     rows = (p.select("pair_id", "in_id", "tgt_id", "baseline", "P").join(tin, "in_id")
             .join(ttg, ["tgt_id", "pos"], "left").join(v_in, "tok_in").join(v_tg, "tok_tgt", "left"))
     rows = rows.withColumn("v_base", F.when(F.col("baseline") == "zero", b0).otherwise(F.coalesce("v_tgt", pv)))
+    rows = cut_lineage(rows)  # summed per pair and scored per token
     sums = rows.groupBy("pair_id").agg(_sum_arrays("v_in").alias("sx"), _sum_arrays("v_base").alias("sb"))
     # reference baseline: target tokens that sit on the input's pad positions (n_in <= pos < P)
     extra = (p.where(F.col("baseline") == "reference").select("pair_id", "tgt_id", "n_in", "P").join(ttg, "tgt_id")
@@ -160,6 +163,7 @@ def token_attribution(
     grad = g.withColumn("_g", _path_udf("e_x", "e_b", "e_t", F.lit(n_steps))).select(
         "pair_id", "P", "pad_diff", F.col("_g.g").alias("g"), F.col("_g.cos_x").alias("cos_x"),
         F.col("_g.cos_base").alias("cos_base"))
+    grad = cut_lineage(grad)  # the UDF output feeds tokens, pads and totals: run it once
     tok_att = rows.join(grad.select("pair_id", "g"), "pair_id").select(
         "pair_id", "pos", F.col("tok_in").alias("token"), (dot(_sub("v_in", "v_base"), "g") / F.col("P")).alias("attr"))
     pad_att = grad.select("pair_id", F.lit(-1).cast("int").alias("pos"), F.lit(pad_token).alias("token"),

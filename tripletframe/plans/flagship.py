@@ -7,7 +7,6 @@ token-vector embedding of the three members (E2) -> cosine scores and hinge
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from tripletframe.functions.keys import hkey, hkey_sql
@@ -17,6 +16,7 @@ from tripletframe.operators import triplets as T
 from tripletframe.plans.registry import query
 from tripletframe.plans.scoring_queries import LENGTH, _PAD_SQL, _pad_vector
 from tripletframe.plans.triplet_queries import _NLI_PIVOT_SQL
+from tripletframe.session import cut_lineage
 from tripletframe.sources.fixtures import hashed_vectors, hashed_vectors_sql, text_tokens, text_tokens_sql, view
 
 R6 = 6
@@ -27,8 +27,8 @@ def scored_triplets(spark, sf):
     lab = view(spark, sf, "fx_labeled")
     trip = T.dedupe_triplets(T.nli_pivot(lab, group_cols=["split"]).drop("neutral"),
                              keys=("split", "premise", "correct_answer", "incorrect_answer"))
-    # the triplet table feeds four branches (three text columns and the final join): compute it once
-    trip = trip.persist(StorageLevel.MEMORY_AND_DISK)
+    # the triplet table feeds four branches (three text columns and the final join): write it once
+    trip = cut_lineage(trip)
     texts = (trip.select(F.col("premise").alias("text")).union(trip.select(F.col("correct_answer").alias("text")))
              .union(trip.select(F.col("incorrect_answer").alias("text"))).distinct().withColumn("text_id", hkey("text")))
     tok = text_tokens(texts, "text_id", "text").withColumnRenamed("text_id", "row_id")

@@ -12,6 +12,7 @@ from tripletframe.operators import training as R
 from tripletframe.operators import triplets as T
 from tripletframe.plans.registry import query
 from tripletframe.plans.triplet_queries import RESERVOIR_K, _neg_query
+from tripletframe.session import cut_lineage
 from tripletframe.sources import io
 from tripletframe.sources.fixtures import hashed_vectors, text_tokens, view
 from tripletframe.streaming import streams as W
@@ -124,14 +125,14 @@ def _text_embeddings(spark, texts):
 
 
 def _directions_with_sim(spark, sf):
-    d = i4_four_directions(spark, sf)
+    d = cut_lineage(i4_four_directions(spark, sf))  # read by both text sides and the pair table
     texts = d.select(F.col("input_text").alias("text")).union(d.select(F.col("target_text").alias("text")))
     t, tok, vec, emb = _text_embeddings(spark, texts)
     x = d.withColumn("in_id", hkey("input_text")).withColumn("tgt_id", hkey("target_text"))
     x = x.join(emb.select(F.col("text_id").alias("in_id"), F.col("emb").alias("e_in")), "in_id")
     x = x.join(emb.select(F.col("text_id").alias("tgt_id"), F.col("emb").alias("e_tgt")), "tgt_id")
     x = x.withColumn("sim", cosine("e_in", "e_tgt")).withColumn("baseline", I.choose_baseline(F.col("sim")))
-    return x, tok, vec
+    return x, cut_lineage(tok), vec
 
 
 def _persisted(df):
@@ -171,12 +172,13 @@ def i2_choose_baseline(spark, sf):
 
 def _attributions(spark, sf):
     x, tok, vec = _directions_with_sim(spark, sf)
-    # pairs, tokens and vectors each feed several branches of the attribution plan: compute once
-    x, tok = _persisted(x.drop("e_in", "e_tgt", "input_text", "target_text")), _persisted(tok)
+    # pairs and vectors each feed several branches of the attribution plan: write them once
+    x = cut_lineage(x.drop("e_in", "e_tgt", "input_text", "target_text"))
+    vec = cut_lineage(S.vectors_to_arrays(vec))
     dirs = {d: i for i, (d, *_) in enumerate(I.DIRECTIONS)}
     idx = F.create_map(*[a for d, i in dirs.items() for a in (F.lit(d), F.lit(i))])
     pairs = x.select((F.col("row_id") * 4 + idx[F.col("direction")]).alias("pair_id"), "row_id", "direction", "in_id", "tgt_id", "baseline", "sim")
-    att, totals = I.token_attribution(pairs.select("pair_id", "in_id", "tgt_id", "baseline"), tok, S.vectors_to_arrays(vec), length=LENGTH)
+    att, totals = I.token_attribution(pairs.select("pair_id", "in_id", "tgt_id", "baseline"), tok, vec, length=LENGTH)
     return pairs, att, totals
 
 

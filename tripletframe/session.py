@@ -50,3 +50,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="tf-ckpt-")
     sc.setCheckpointDir(conf)
     return conf
+
+
+def cut_lineage(df):
+    """Materialise ``df`` in the shared checkpoint folder and continue from the written data.
+
+    Used where one intermediate feeds several branches of a large plan: the
+    optimizer then sees one small leaf instead of a copy of the whole
+    upstream plan per branch, and a lost executor recomputes from the files.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
