@@ -36,6 +36,39 @@ def eval_trace(trace: DataFrame, every: int, group_cols: Sequence[str] = ("run",
     )
 
 
+def eval_points(trace: DataFrame, every: int, steps_per_epoch: int, group_cols: Sequence[str] = ("run",),
+                step_col: str = "step") -> DataFrame:
+    """R1 at the evaluation points: every ``every`` steps, at mid-epoch and at epoch end.
+
+    Each point carries the running mean of pos / neg similarity over the
+    steps seen so far in its epoch (the reference divides by the full epoch
+    length mid-epoch; here by the steps seen). Running sums use bucketed
+    prefix sums per (run, epoch); no per-run single-task window. Sums are
+    kept in integer micro-units, so they are exact and independent of the
+    order partitions are added in, and the mean is rounded half-up to 1e-6
+    with integer arithmetic.
+    """
+    g = list(group_cols)
+    x = trace.withColumn("epoch", F.floor((F.col(step_col) - 1) / steps_per_epoch).cast("long")).withColumn(
+        "step_in_epoch", (F.pmod(F.col(step_col) - 1, F.lit(steps_per_epoch)) + 1).cast("long"))
+    st = x.agg(F.min(step_col).alias("lo"), F.max(step_col).alias("hi"), F.count(F.lit(1)).alias("c")).first()
+    bkt = value_range_bucket(step_col, float(st["lo"] or 0), float(st["hi"] or 0), buckets_for(int(st["c"] or 0)))
+    micro = 1_000_000
+    x = bucketed_running(x, [*g, "epoch"], [step_col], bkt, {
+        "_sp": ("sum", F.round(F.col("pos_sim") * micro).cast("long")),
+        "_sn": ("sum", F.round(F.col("neg_sim") * micro).cast("long")),
+        "_k": ("sum", F.lit(1).cast("long"))})
+
+    def mean(total):  # floor((2 s + k) / (2 k)) micro-units: half-up, exact for integer operands
+        return F.floor((2 * F.col(total) + F.col("_k")) / (2 * F.col("_k"))) / micro
+    point = ((F.col(step_col) % every) == 0) | (F.col("step_in_epoch") == steps_per_epoch // 2) | (
+        F.col("step_in_epoch") == steps_per_epoch)
+    kind = (F.when(F.col("step_in_epoch") == steps_per_epoch, "epoch_end")
+            .when(F.col("step_in_epoch") == steps_per_epoch // 2, "mid_epoch").otherwise("interval"))
+    return x.where(point).select(*g, step_col, "epoch", kind.alias("kind"), F.col("_k").alias("steps_seen"),
+                                 mean("_sp").alias("train_pos_sim"), mean("_sn").alias("train_neg_sim"))
+
+
 # ------------------------------------------------------------------ R2
 
 def best_checkpoint(trace: DataFrame, group_cols: Sequence[str] = ("run",), step_col: str = "step",

@@ -77,6 +77,21 @@ def r1_eval_trace(spark, sf):
     return x.select("run", "interval", "n_steps", *[F.round(c, R6).alias(c) for c in ("pos_sim", "neg_sim", "diff")], "last_step")
 
 
+@query("r1e_eval_points", f"""with t as (select run, step, pos_sim, neg_sim, cast((step - 1) // {STEPS_PER_EPOCH} as bigint) as epoch,
+  cast((step - 1) % {STEPS_PER_EPOCH} + 1 as bigint) as step_in_epoch from fx_trace),
+r as (select *, sum(cast(round(pos_sim * 1000000) as bigint)) over w as sp, sum(cast(round(neg_sim * 1000000) as bigint)) over w as sn,
+  count(*) over w as k from t
+  window w as (partition by run, epoch order by step rows between unbounded preceding and current row))
+select run, step, epoch, case when step_in_epoch = {STEPS_PER_EPOCH} then 'epoch_end' when step_in_epoch = {STEPS_PER_EPOCH // 2}
+  then 'mid_epoch' else 'interval' end as kind, k as steps_seen, floor((2 * sp + k) / (2 * k)) / 1000000 as train_pos_sim,
+  floor((2 * sn + k) / (2 * k)) / 1000000 as train_neg_sim
+from r where step % {EVAL_EVERY} = 0 or step_in_epoch = {STEPS_PER_EPOCH // 2} or step_in_epoch = {STEPS_PER_EPOCH}""",
+       views=["fx_trace"])
+def r1e_eval_points(spark, sf):
+    x = R.eval_points(view(spark, sf, "fx_trace"), EVAL_EVERY, STEPS_PER_EPOCH)
+    return x.select("run", "step", "epoch", "kind", "steps_seen", "train_pos_sim", "train_neg_sim")
+
+
 @query("r2_best_checkpoint", f"""with d as (select run, step, pos_sim - neg_sim as diff from fx_trace),
 b as (select *, max(diff) over (partition by run order by step rows between unbounded preceding and 1 preceding) as prev_best,
   max(step) over (partition by run) as last from d)
