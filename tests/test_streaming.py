@@ -39,3 +39,28 @@ def test_stream_triplets_invariants(spark):
     by_batch = {r["row_id"]: r["batch_id"] for r in res.select("row_id", "batch_id").collect()}
     text_batch = {f"t{k}": v for k, v in by_batch.items()}
     assert all(text_batch[r["incorrect_answer"]] == r["batch_id"] for r in res.collect())
+
+
+def test_stream_monitor_drops_late_rows(spark):
+    """Files arriving newest-first: the watermark drops rows of old windows; in-order arrival keeps all."""
+    import datetime as dt
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [(0, base + dt.timedelta(hours=6 * i), 0.5, 0.25) for i in range(4 * 30)]  # 30 days, 4 events a day
+    schema = "run long, ts timestamp_ntz, pos_sim double, neg_sim double"
+    df = spark.createDataFrame(rows, schema)
+    weeks = [df.where(F.col("ts") >= base + dt.timedelta(days=7 * k)).where(F.col("ts") < base + dt.timedelta(days=7 * (k + 1)))
+             for k in range(5)]
+
+    def run(order):
+        src, out, ck = (io.scratch_path(spark, n) for n in ("late-src", "late-out", "late-ck"))
+        for k in order:
+            weeks[k].coalesce(1).write.mode("append").parquet(src)
+        W.stream_eval_monitor(spark, src, out, ck, df.schema, watermark="1 day", max_files=1)
+        return {r["window_start"]: r["n"] for r in W.final_windows(spark, out).collect()}
+
+    in_order = run([0, 1, 2, 3, 4])
+    reverse = run([4, 3, 2, 1, 0])
+    assert sum(in_order.values()) == len(rows)
+    assert all(reverse.get(k, 0) <= v for k, v in in_order.items())
+    assert sum(reverse.values()) < len(rows)
