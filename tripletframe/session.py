@@ -35,6 +35,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
         b = b.master(master)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -61,3 +62,25 @@ def cut_lineage(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tripletframe`` importable in every Python worker (Arrow UDFs, mapInPandas).
+
+    Zips the package once per driver process and adds it with ``addPyFile``
+    (what ``--py-files`` does for spark-submit), once per SparkContext.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="tf-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "tripletframe"), "zip", root_dir=os.path.dirname(pkg), base_dir="tripletframe")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
