@@ -13,6 +13,7 @@ from tripletframe.operators import scoring as S
 from tripletframe.operators import triplets as T
 from tripletframe.plans.registry import query
 from tripletframe.plans.sqlgen import negatives_ctes
+from tripletframe.session import cut_lineage
 from tripletframe.sources.fixtures import (
     TOKEN_DIM,
     hashed_vectors,
@@ -307,7 +308,8 @@ def e14_learned_pair_score(spark, sf):
     """Fit a linear scorer of the label on ROUGE features of the scored pairs, then score every pair."""
     long = _e17_long(spark, sf)
     wide = long.groupBy("pair_id", "row_id", "label").pivot("metric", ["r1f1", "r2f1"]).agg(F.first("score"))
-    wide = wide.withColumn("label", F.col("label").cast("double"))
+    # the fit passes over its input several times: write the features once
+    wide = cut_lineage(wide.withColumn("label", F.col("label").cast("double")))
     scored, _ = C.learned_pair_score(wide, ["r1f1", "r2f1"])
     return scored.select("pair_id", "row_id", "label", "learned")
 
