@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import SLICE_BYTES, slices
+from tripletframe.llm.common import SLICE_BYTES, slices, small_batches, starts_of
 
 #: Chunks a worker remembers (about 200 bytes each); more are encoded again when they come back.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -58,8 +59,8 @@ class Bpe:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache: dict[bytes, bytes] = {}
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of pre-tokens given as UTF-8 bytes, by batched merge rounds."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Token ids (little-endian unsigned 32-bit) of pre-tokens given as UTF-8 bytes, by batched merge rounds."""
         if not words:
             return []
         length = np.array([len(w) for w in words], np.int64)
@@ -92,30 +93,32 @@ class Bpe:
             stay = live & ~gone
             sym, word = sym[stay], word[stay]
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
-        order = np.argsort(word, kind="stable")
-        return np.split(sym[order].astype("<u4"), np.cumsum(np.bincount(word, minlength=len(words)))[:-1])
-
-    def pre_tokens(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # lower case has no context
-        return [text] if text.isascii() and text.isalpha() else self.words.findall(text)
-
-    def learn(self, chunks: set[bytes]) -> None:
+        flat = sym[np.argsort(word, kind="stable")].astype("<u4").tobytes()
+        cut = (4 * starts_of(np.bincount(word, minlength=len(words)))).tolist()
+        return [flat[a:b] for a, b in zip(cut, cut[1:])]
+
+    def pre_tokens(self, chunks: list[bytes]) -> list[list[str]]:
+        """Pre-tokens of white-space-free chunks; they are normalised all at once, a line each."""
+        text = unicodedata.normalize("NFC", b"\n".join(chunks).decode("utf-8", "replace")).replace("Σ", "σ").lower()  # lower case has no context
+        find = self.words.findall
+        return [[t] if t.isalpha() else find(t) for t in text.split("\n")]
+
+    def encode_parts(self, parts: list[list[str]]) -> list[bytes]:
+        """Ids of every list of pre-tokens; each distinct pre-token is merged once."""
+        plain = list(dict.fromkeys(chain.from_iterable(parts)))
+        ids = dict(zip(plain, self.merge([w.encode() for w in plain])))
+        return [ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for p in parts]
+
+    def learn(self, chunks: list[bytes]) -> None:
         """Encode new chunks into the cache."""
-        names, parts, plain = [], [], {}  # parts: per chunk, pre-token numbers or negative special ids
-        for c in chunks:
-            s = c.decode("utf-8", "replace")
-            pieces = self.split_special.split(s) if self.split_special and "<|" in s else [s]
-            own = []
-            for p in pieces:
-                if p in self.special:
-                    own.append(-1 - self.special[p])
-                elif p:
-                    own.extend(plain.setdefault(w, len(plain)) for w in self.pre_tokens(p))
-            names.append(c)
-            parts.append(own)
-        ids = [a.tobytes() for a in self.merge([w.encode() for w in plain])]
-        for c, own in zip(names, parts):
-            self.cache[c] = ids[own[0]] if len(own) == 1 and own[0] >= 0 else b"".join(ids[k] if k >= 0 else np.uint32(-1 - k).astype("<u4").tobytes() for k in own)
+        odd = [c for c in chunks if b"<|" in c and self.split_special]
+        if odd:
+            chunks = [c for c in chunks if b"<|" not in c]
+        if chunks:
+            self.cache.update(zip(chunks, self.encode_parts(self.pre_tokens(chunks))))
+        for c in odd:  # may hold strings of special tokens
+            pieces = [p for p in self.split_special.split(c.decode("utf-8", "replace")) if p]
+            self.cache[c] = b"".join(np.uint32(self.special[p]).astype("<u4").tobytes() if p in self.special else self.encode_parts(self.pre_tokens([p.encode()]))[0] for p in pieces)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -124,7 +127,7 @@ class Bpe:
             self.cache.clear()
         new = set().union(*words).difference(self.cache)
         if new:
-            self.learn(new)
+            self.learn(list(new))
         get = self.cache.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
@@ -149,6 +152,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     Null and empty texts get empty ids. Rows are neither dropped nor merged;
     the whole text is encoded; strings of special tokens become their ids.
     """
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,13 +50,21 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes."""
-    texts = texts_of(batch.column(column))
-    if not texts:
+    if not batch.num_rows:
         return
-    part = np.cumsum([len(t) for t in texts]) // limit
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(size, dtype=np.int64) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
-        yield batch.slice(a, b - a), texts[a:b]
+        run = batch.slice(a, b - a)
+        yield run, texts_of(run.column(column))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound Arrow batches to ``rows`` rows (texts are long: ten thousand rows fill an executor's memory)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def longs(column: pa.Array) -> np.ndarray:

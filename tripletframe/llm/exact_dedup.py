@@ -3,10 +3,10 @@
 Texts that are identical byte for byte form a group. The index is built in
 four steps:
 
-1. *Entries.* Each Arrow batch collapses its own copies (a dictionary keyed by
-   the text bytes) and writes its rows to the index folder on shared storage,
+1. *Entries.* Tasks collapse the copies in every GATHER_BYTES of rows (a dictionary
+   keyed by the text bytes) and writes its rows to the index folder on shared storage,
    with text once per distinct text. A group holding a third of all rows so
-   becomes one entry per batch.
+   becomes one entry per GATHER_BYTES of input.
 2. *Filter.* Keys (64 bits) that several entries share set bits in a bitmap of
    fixed size. Entries whose key finds no bits are groups of their own: their
    texts never travel. (If the bitmap is ever full, all texts travel; the result
@@ -31,23 +31,38 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import scratch_path, texts_of
+from tripletframe.llm.common import scratch_path, small_batches, texts_of
 
 #: Bytes of distinct texts a bucket may hold, and the directory's size limit: beyond
 #: MAX_BUCKETS times that the capacity grows with the input (owners stream, so any size works).
 BUCKET_BYTES = 4 << 20
 MAX_BUCKETS = 1 << 16
 
+#: Data in which a task collapses copies at once.
+GATHER_BYTES = 16 << 20
 #: Size of the bitmap of shared keys, in bits (16 MB), and of Spark's bitmap blocks.
 FILTER_BITS, BLOCK_BITS = 1 << 27, 1 << 15
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they hold GATHER_BYTES of data: copies in one of them collapse to one entry."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHER_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: number the distinct texts; the first row of each leads with row count and largest doc_id, ``best`` is that id's row."""
+    """Per gathered batch: number the distinct texts; the first row of each leads with row count and largest doc_id, ``best`` is that id's row."""
     from pyspark import TaskContext
 
     seq = TaskContext.get().partitionId() << 40
-    for batch in batches:
+    for batch in _gathered(batches):
         ids = batch.column("doc_id").to_pylist()
         slot: dict[bytes, int] = {}
         where = [slot.setdefault(t, len(slot)) for t in texts_of(batch.column("text"))]
@@ -178,6 +193,7 @@ def exact_dedup(docs: DataFrame, extra: list[str] | None = None, bucket_bytes: i
     theirs, and others may have null there. Columns not named are not read, so
     their names cannot clash; ``extra`` may not repeat a result column. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     extra = [c for c in extra or [] if c not in ("doc_id", "text")]
     text = F.coalesce(F.col("text"), F.lit(""))

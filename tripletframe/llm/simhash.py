@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import components, slices, starts_of, stash
+from tripletframe.llm.common import components, slices, small_batches, starts_of, stash
 
 SEED = 42
 SEGMENTS = 4
@@ -169,6 +169,7 @@ def simhash_dedup(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFra
     Null and empty texts, and those of white space alone, have fingerprint zero
     and are linked like any other. Repeated rows are answered each.
     """
+    small_batches(docs.sparkSession)
     prints = stash(fingerprints(docs, width), "fingerprints")
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes, distance)).withColumnsRenamed({"node": "fp"})

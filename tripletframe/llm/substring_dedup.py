@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import NO_ID, SLICE_BYTES, longs, starts_of, texts_of
+from tripletframe.llm.common import NO_ID, SLICE_BYTES, longs, small_batches, starts_of, texts_of
 
 RUN = 6
 #: Text bytes whose anchors one shard owns: about a million anchors.
@@ -191,6 +191,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, extra: list[str] | None =
     are answered each. Columns not named are not read, so their names cannot
     clash; ``extra`` may not repeat a result column. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     extra = [c for c in extra or [] if c != "doc_id"]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"own_{c}") for c in extra))
     rows = own.select("doc_id", "text")

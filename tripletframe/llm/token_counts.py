@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import slices
+from tripletframe.llm.common import slices, small_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -101,6 +101,7 @@ _LOADED: dict[str, Unigram] = {}
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens of every row's whole text; null and empty texts have none; repeated rows are counted each."""
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
             _LOADED[path] = Unigram(piece_vocabulary(path))

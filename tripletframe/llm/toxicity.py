@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import slices, stash
+from tripletframe.llm.common import slices, small_batches, stash
 
 #: Bound of the fitted sample: labelled rows of each class.
 PER_CLASS = 3000
@@ -196,6 +196,7 @@ def _ratio(pos: str, neg: str, n_pos: int, n_neg: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS) -> Model:
     """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0; a null label is no label, a repeated id counts with its larger one."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     known = (labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)")
              .where(in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
