@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import SLICE_BYTES, slices, small_batches, starts_of
+from tripletframe.llm.common import SLICE_BYTES, refcounts_only, slices, small_batches, starts_of
 
 #: Chunks a worker remembers (about 200 bytes each); more are encoded again when they come back.
 CACHE_CHUNKS = 300_000
@@ -154,6 +154,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refcounts_only()
         bpe = load(path)
         for batch in batches:
             for part, texts in slices(batch, text, SLICE_BYTES):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -67,6 +68,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def refcounts_only() -> None:
+    """Stop the cycle collector in a worker: its passes over millions of small lists cost more than the work, and the tasks make no cycles."""
+    gc.disable()
+
+
 def longs(column: pa.Array) -> np.ndarray:
     """int64 values of an id column, null as NO_ID."""
     if isinstance(column, pa.ChunkedArray):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import components, slices, small_batches, starts_of, stash
+from tripletframe.llm.common import components, refcounts_only, slices, small_batches, starts_of, stash
 
 SEED = 42
 SEGMENTS = 4
@@ -61,6 +61,7 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, fp (long) of every row; null text counts as empty (fingerprint zero)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refcounts_only()
         for batch in batches:
             for part, texts in slices(batch, "text", 1 << 20):
                 fp = majority([shingle_hashes(t, width) for t in texts])

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import NO_ID, SLICE_BYTES, longs, small_batches, starts_of, texts_of
+from tripletframe.llm.common import NO_ID, SLICE_BYTES, longs, refcounts_only, small_batches, starts_of, texts_of
 
 RUN = 6
 #: Text bytes whose anchors one shard owns: about a million anchors.
@@ -47,6 +47,7 @@ class Slice:
     """Words, windows and anchors of a slice's documents, in an order that depends on the rows alone."""
 
     def __init__(self, rows: pa.Table, width: int):
+        refcounts_only()
         ids, texts = longs(rows.column("doc_id")), texts_of(rows.column("text"))
         self.order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
         self.ids = ids[self.order]
@@ -138,6 +139,7 @@ def answer_passages(rows: pa.Table, width: int) -> pa.Table:
     Answers per slice: three packed arrays, the passage's number, the window's
     offset in it and the smallest document that has the window.
     """
+    refcounts_only()
     number: dict[bytes, int] = {}
     seqs, texts = [], rows.column("texts").to_pylist()
     los, his = rows.column("lo").to_pylist(), rows.column("hi").to_pylist()

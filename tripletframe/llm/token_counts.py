@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import slices, small_batches
+from tripletframe.llm.common import refcounts_only, slices, small_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -106,6 +106,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
         if path not in _LOADED:
             _LOADED[path] = Unigram(piece_vocabulary(path))
         model = _LOADED[path]
+        refcounts_only()
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.counts(texts), pa.int64())], names=["doc_id", "n_tokens"])
