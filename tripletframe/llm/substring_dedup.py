@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 from tripletframe.llm.common import NO_ID, SLICE_BYTES, longs, refcounts_only, small_batches, starts_of, texts_of
 
 RUN = 6
-#: Text bytes whose anchors one shard owns: about a million anchors.
-SHARD_BYTES = 24 << 20
+#: Text bytes whose anchors one shard owns: about a quarter of a million anchors.
+SHARD_BYTES = 6 << 20
+#: Characters (of 256) that spell a word's number in an automaton: a shard holds far fewer than 2**24 words.
+SYMBOLS = 3
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -133,6 +135,12 @@ def recurring_anchors(rows: pa.Table) -> pa.Table:
     return pa.table({"slice": rows.column("slice"), "anchors": pa.array(told, pa.binary())})
 
 
+def _spelled(numbers: list[int]) -> str:
+    """Word numbers as SYMBOLS characters each, high ones first: few branches at every node of the automaton."""
+    n = np.array(numbers, ">u4").view(np.uint8).reshape(-1, 4)
+    return n[:, 4 - SYMBOLS :].tobytes().decode("latin-1")
+
+
 def answer_passages(rows: pa.Table, width: int) -> pa.Table:
     """Shard: confirm recurring windows, compile the automaton, locate them in all passages.
 
@@ -143,13 +151,14 @@ def answer_passages(rows: pa.Table, width: int) -> pa.Table:
     number: dict[bytes, int] = {}
     seqs, texts = [], rows.column("texts").to_pylist()
     los, his = rows.column("lo").to_pylist(), rows.column("hi").to_pylist()
-    seen: dict[tuple[int, ...], list[int]] = {}
+    seen: dict[str, list[int]] = {}
+    size = width * SYMBOLS
     for pack, lo, hi in zip(texts, los, his):
         for text, x, y in zip(pack.split(b"\n"), np.frombuffer(lo, np.int64).tolist(), np.frombuffer(hi, np.int64).tolist()):
-            ids = tuple([number.setdefault(w, len(number) + 1) for w in text.split(b" ")])
+            ids = _spelled([number.setdefault(w, len(number)) for w in text.split(b" ")])
             seqs.append(ids)
-            for i in range(len(ids) - width + 1):
-                k = ids[i : i + width]
+            for i in range(0, len(ids) - size + 1, SYMBOLS):
+                k = ids[i : i + size]
                 have = seen.get(k)
                 if have is None:
                     seen[k] = [x, y]
@@ -158,7 +167,7 @@ def answer_passages(rows: pa.Table, width: int) -> pa.Table:
                         have[0] = x
                     if y > have[1]:
                         have[1] = y
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    automaton = ahocorasick.Automaton()
     phrases = 0
     for k, (x, y) in seen.items():
         if x < y:
@@ -173,9 +182,10 @@ def answer_passages(rows: pa.Table, width: int) -> pa.Table:
         for j in range(pack.count(b"\n") + 1):
             if phrases:
                 for end, x in automaton.iter(seqs[at]):
-                    num.append(j)
-                    off.append(end - width + 1)
-                    least.append(x)
+                    if (end + 1) % SYMBOLS == 0:  # at the end of a word
+                        num.append(j)
+                        off.append((end + 1) // SYMBOLS - width)
+                        least.append(x)
             at += 1
         nums.append(np.array(num, np.int64).tobytes())
         offs.append(np.array(off, np.int64).tobytes())
