@@ -148,48 +148,48 @@ def answer_passages(rows: pa.Table, width: int) -> pa.Table:
     offset in it and the smallest document that has the window.
     """
     refcounts_only()
-    number: dict[bytes, int] = {}
-    seqs, texts = [], rows.column("texts").to_pylist()
-    los, his = rows.column("lo").to_pylist(), rows.column("hi").to_pylist()
-    seen: dict[str, list[int]] = {}
     size = width * SYMBOLS
-    for pack, lo, hi in zip(texts, los, his):
+    known: dict[bytes, int] = {}  # equal passages of several slices are one
+    low, high, refs = [], [], []
+    for pack, lo, hi in zip(*(rows.column(c).to_pylist() for c in ("texts", "lo", "hi"))):
+        own = []
         for text, x, y in zip(pack.split(b"\n"), np.frombuffer(lo, np.int64).tolist(), np.frombuffer(hi, np.int64).tolist()):
-            ids = _spelled([number.setdefault(w, len(number)) for w in text.split(b" ")])
-            seqs.append(ids)
-            for i in range(0, len(ids) - size + 1, SYMBOLS):
-                k = ids[i : i + size]
-                have = seen.get(k)
-                if have is None:
-                    seen[k] = [x, y]
-                else:
-                    if x < have[0]:
-                        have[0] = x
-                    if y > have[1]:
-                        have[1] = y
+            d = known.setdefault(text, len(known))
+            if d == len(low):
+                low.append(x)
+                high.append(y)
+            else:
+                low[d], high[d] = min(low[d], x), max(high[d], y)
+            own.append(d)
+        refs.append(np.array(own, np.int64))
+    number: dict[bytes, int] = {}
+    spelled = [_spelled([number.setdefault(w, len(number)) for w in text.split(b" ")]) for text in known]
+    seen: dict[str, tuple[int, int]] = {}
+    for s, x, y in zip(spelled, low, high):
+        for i in range(0, len(s) - size + 1, SYMBOLS):
+            k = s[i : i + size]
+            have = seen.get(k)
+            seen[k] = (x, y) if have is None else (min(x, have[0]), max(y, have[1]))
     automaton = ahocorasick.Automaton()
-    phrases = 0
     for k, (x, y) in seen.items():
         if x < y:
             automaton.add_word(k, x)
-            phrases += 1
     seen.clear()
-    if phrases:
+    hits: list[list[tuple[int, int]]] = [[] for _ in spelled]
+    if len(automaton):
         automaton.make_automaton()
-    slices_, nums, offs, firsts, at = rows.column("slice").to_pylist(), [], [], [], 0
-    for pack in texts:
-        num, off, least = [], [], []
-        for j in range(pack.count(b"\n") + 1):
-            if phrases:
-                for end, x in automaton.iter(seqs[at]):
-                    if (end + 1) % SYMBOLS == 0:  # at the end of a word
-                        num.append(j)
-                        off.append((end + 1) // SYMBOLS - width)
-                        least.append(x)
-            at += 1
-        nums.append(np.array(num, np.int64).tobytes())
-        offs.append(np.array(off, np.int64).tobytes())
-        firsts.append(np.array(least, np.int64).tobytes())
+        for found, s in zip(hits, spelled):
+            found.extend([((end + 1) // SYMBOLS - width, x) for end, x in automaton.iter(s) if (end + 1) % SYMBOLS == 0])  # at the end of a word
+    count = np.array([len(h) for h in hits], np.int64)
+    base = starts_of(count)
+    flat = np.array([v for h in hits for v in h], np.int64).reshape(-1, 2)
+    slices_, nums, offs, firsts = rows.column("slice").to_pylist(), [], [], []
+    for own in refs:
+        n = count[own]
+        at = np.repeat(base[own], n) + np.arange(n.sum()) - np.repeat(starts_of(n)[:-1], n)
+        nums.append(np.repeat(np.arange(len(own)), n).tobytes())
+        offs.append(flat[at, 0].tobytes())
+        firsts.append(flat[at, 1].tobytes())
     return pa.table({"slice": pa.array(slices_, pa.int64()), "shard": rows.column("shard"), "num": pa.array(nums, pa.binary()), "off": pa.array(offs, pa.binary()), "least": pa.array(firsts, pa.binary())})
 
 
