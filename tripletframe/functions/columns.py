@@ -33,9 +33,11 @@ def label_map(col, mapping: Mapping) -> Column:
 
 
 def map_label(df: DataFrame, col: str, mapping: Mapping, out: str, drop_unmapped: bool = True) -> DataFrame:
-    """Add ``out`` = mapping[col]; rows with an unmapped value are dropped (or kept as null)."""
-    df = df.withColumn(out, label_map(col, mapping))
-    return df.where(F.col(out).isNotNull()) if drop_unmapped else df
+    """Add ``out`` = mapping[col]; rows with an unmapped value are dropped (or keep it unchanged)."""
+    mapped = label_map(col, mapping)
+    if drop_unmapped:
+        return df.withColumn(out, mapped).where(F.col(out).isNotNull())
+    return df.withColumn(out, F.coalesce(mapped, F.col(col).cast(df.select(mapped.alias(out)).schema[out].dataType)))
 
 
 def drop_null(df: DataFrame, subset: Sequence[str]) -> DataFrame:
@@ -126,9 +128,9 @@ def encode_pad(ids, length: int, pad_id: int) -> Column:
 
 
 def clean_token(token) -> Column:
-    """A token with its subword marker stripped (null when it is special or blank)."""
+    """A token without its subword markers, wherever they stand (null when it is special or blank)."""
     t = _c(token)
-    stripped = F.regexp_replace(t, "^(##|Ġ|▁)+", "")
+    stripped = F.regexp_replace(t, "##|Ġ|▁", "")
     return F.when(t.isin(list(SPECIAL_TOKENS)) | (F.trim(stripped) == ""), F.lit(None)).otherwise(stripped)
 
 

@@ -47,8 +47,8 @@ def attach_human(human: DataFrame, metrics_long: DataFrame, keys: Sequence[str]
 
 
 def ccc_expr(x: Column, y: Column) -> Column:
-    """A14 aggregate: 2 cov / (var x + var y + (mean x - mean y)^2), population moments."""
-    return 2 * F.covar_pop(x, y) / (F.var_pop(x) + F.var_pop(y) + F.pow(F.avg(x) - F.avg(y), 2))
+    """A14 aggregate: 2 cov / (var x + var y + (mean x - mean y)^2), population moments; null for two equal constants."""
+    return F.try_divide(2 * F.covar_pop(x, y), F.var_pop(x) + F.var_pop(y) + F.pow(F.avg(x) - F.avg(y), 2))
 
 
 def ccc(df: DataFrame, x: str, y: str, group_cols: Sequence[str] = ()) -> DataFrame:

@@ -88,9 +88,13 @@ def embed_texts_arrays(
     pad_vec: Sequence[float],
     key_col: str = "row_id",
     length: int = 512,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """E2 in array layout for wide vectors (d in the hundreds).
 
+    ``texts`` names all keys: those without any token row get the all-pad
+    embedding with n = 0 (without it they are absent from the result).
+
     Same value as :func:`embed_texts`, but a (row, token) pair carries its
     whole vector, so the shuffle has rows x distinct tokens records instead of
     rows x tokens x d. The bag of one text (bounded by its distinct tokens) is
@@ -107,7 +111,11 @@ def embed_texts_arrays(
     pad = F.array(*[F.lit(float(v)) for v in pad_vec])
     e = F.zip_with(s, pad, lambda a, p: (a + F.greatest(F.lit(length) - F.col("n"), F.lit(0)) * p)
                    / F.greatest(F.col("n"), F.lit(length)))
-    return bag.select(key_col, "n", e.alias("emb"))
+    out = bag.select(key_col, "n", e.alias("emb"))
+    if texts is None:
+        return out
+    n = F.coalesce(F.col("n"), F.lit(0).cast("long")).alias("n")
+    return texts.select(key_col).join(out, key_col, "left").select(key_col, n, F.coalesce("emb", pad).alias("emb"))
 
 
 def embeddings_as_arrays(emb_long: DataFrame, key_col: str = "row_id") -> DataFrame:

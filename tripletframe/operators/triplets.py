@@ -207,7 +207,7 @@ def two_view_union(df: DataFrame, key_col: str = "row_id", views=(("summary1", "
     for v, (s, t) in enumerate(views):
         parts.append(
             df.select(
-                (F.col(key_col) * 2 + v).alias(key_col),
+                (F.col(key_col) * len(views) + v).alias(key_col),
                 F.col(s).alias("premise"),
                 F.col(t).alias("correct_answer"),
                 P.head_sentence(s).alias("_first"),

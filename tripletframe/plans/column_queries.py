@@ -140,9 +140,9 @@ def p14_encode_pad(spark, sf):
 @query("p15_clean_tokens", """with marked as (
   select row_id, pos, case when pos > 0 then 'Ġ' || token else token end as token from fx_tokens
   union all select distinct row_id, -1 as pos, '<s>' as token from fx_tokens)
-select row_id, pos, regexp_replace(token, '^(##|Ġ|▁)+', '') as token from marked
+select row_id, pos, regexp_replace(token, '##|Ġ|▁', '', 'g') as token from marked
 where token not in ('[CLS]', '[SEP]', '[PAD]', '[UNK]', '[MASK]', '<s>', '</s>', '<pad>', '<unk>', '<|endoftext|>')
-  and trim(regexp_replace(token, '^(##|Ġ|▁)+', '')) <> ''""", views=["fx_tokens"])
+  and trim(regexp_replace(token, '##|Ġ|▁', '', 'g')) <> ''""", views=["fx_tokens"])
 def p15_clean_tokens(spark, sf):
     t = view(spark, sf, "fx_tokens")
     marked = t.select("row_id", "pos", F.when(F.col("pos") > 0, F.concat(F.lit("Ġ"), "token")).otherwise(F.col("token")).alias("token"))

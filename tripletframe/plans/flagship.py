@@ -33,7 +33,8 @@ def scored_triplets(spark, sf):
              .union(trip.select(F.col("incorrect_answer").alias("text"))).distinct().withColumn("text_id", hkey("text")))
     tok = text_tokens(texts, "text_id", "text").withColumnRenamed("text_id", "row_id")
     pad = [r["v"] for r in _pad_vector(spark).orderBy("j").collect()]  # the pad token's vector (d values)
-    emb = S.embed_texts_arrays(tok, S.vectors_to_arrays(hashed_vectors(tok)), pad, length=LENGTH)
+    emb = S.embed_texts_arrays(tok, S.vectors_to_arrays(hashed_vectors(tok)), pad, length=LENGTH,
+                               texts=texts.select(F.col("text_id").alias("row_id")))
     x = trip
     for col, name in (("premise", "ref"), ("correct_answer", "pos"), ("incorrect_answer", "neg")):
         e = emb.select(F.col("row_id").alias(f"_{name}_id"), F.col("emb").alias(name))

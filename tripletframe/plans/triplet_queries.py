@@ -103,9 +103,8 @@ def _image_lists(spark, sf):
 def _t6_sql():
     ctes = [
         "lists as (select image_id, list(caption order by row_id) as answer, min(row_id) as row_id from fx_captions group by image_id)",
-        f"res as (select * from lists order by {hkey_sql(chr(39) + 'res' + chr(39), 'row_id')}, row_id limit {RESERVOIR_K})",
         """src as (select row_id, array_to_string(answer[1:len(answer) - 1], ' ') as premise, answer[-1] as correct_answer
-  from res where len(answer) > 1)""",
+  from lists where len(answer) > 1)""",
     ]
     nctes, rel = negatives_ctes("src", "correct_answer", "row_id", "incorrect_answer", T.DEFAULT_BATCH)
     return with_ctes(ctes + nctes, f"""select row_id, premise, correct_answer, incorrect_answer from {rel}
@@ -114,8 +113,7 @@ where premise is not null and correct_answer is not null and incorrect_answer is
 
 @query("t6_caption_concat_triplets", _t6_sql(), views=["fx_captions"])
 def t6_caption_concat_triplets(spark, sf):
-    sample = T.reservoir_sample(_image_lists(spark, sf), k=RESERVOIR_K)
-    return T.caption_concat_triplets(sample).select("row_id", "premise", "correct_answer", "incorrect_answer")
+    return T.caption_concat_triplets(_image_lists(spark, sf)).select("row_id", "premise", "correct_answer", "incorrect_answer")
 
 
 @query("t7_answer_list_triplets", """with c as (select q_id,

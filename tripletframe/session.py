@@ -42,12 +42,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder: the cluster's ``spark.checkpoint.dir`` when set.
 
-    Only when the session names none (local tests) a fresh folder under the
-    system temp dir is created and registered.
+    Only when a local session names none (tests) a fresh folder under the
+    system temp dir is created and registered. On a cluster a machine-local
+    folder would lose data, so a missing setting is an error there.
     """
     sc = spark.sparkContext
-    conf = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    conf = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="tf-ckpt-")
     sc.setCheckpointDir(conf)
     return conf
