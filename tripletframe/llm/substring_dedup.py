@@ -40,47 +40,73 @@ from tripletframe.llm.common import NO_ID, SLICE_BYTES, longs, refcounts_only, s
 RUN = 6
 #: Text bytes whose anchors one shard owns: about a quarter of a million anchors.
 SHARD_BYTES = 6 << 20
-#: Characters (of 256) that spell a word's number in an automaton: a shard holds far fewer than 2**24 words.
-SYMBOLS = 3
+#: Characters that spell a word's number in an automaton; their alphabet is the root of the shard's distinct words, so nodes have few branches.
+SYMBOLS = 2
+#: Text bytes whose words are hashed at once.
+HASH_BYTES = 1 << 20
+POWER = 0x9E3779B97F4A7C55
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
+def word_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hash (modulo 2**64) of each word text[begin:end], from running sums over HASH_BYTES at a time."""
+    out = np.zeros(len(begin), np.uint64)
+    a = 0
+    while a < len(begin):
+        b = max(a + 1, int(np.searchsorted(end, begin[a] + HASH_BYTES, side="right")))
+        part = text[begin[a] : end[b - 1]]
+        power = np.cumprod(np.append(np.uint64(1), np.full(len(part), POWER, np.uint64)))
+        back = np.cumprod(np.append(np.uint64(1), np.full(len(part), pow(POWER, -1, 1 << 64), np.uint64)))
+        total = np.append(np.uint64(0), np.cumsum((part + np.uint64(1)) * power[:-1], dtype=np.uint64))
+        i, j = begin[a:b] - begin[a], end[a:b] - begin[a]
+        out[a:b] = (total[j] - total[i]) * back[i]
+        a = b
+    return out
+
+
 class Slice:
-    """Words, windows and anchors of a slice's documents, in an order that depends on the rows alone."""
+    """Words, windows and anchors of a slice's documents, in an order that depends on the rows alone.
+
+    ``text`` holds all words, one space between them; word k is text[begin[k]:end[k]].
+    """
 
     def __init__(self, rows: pa.Table, width: int):
         refcounts_only()
         ids, texts = longs(rows.column("doc_id")), texts_of(rows.column("text"))
         self.order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
         self.ids = ids[self.order]
-        split = [texts[i].split() for i in self.order]
-        self.lengths = np.array([len(w) for w in split], np.int64)
+        plain = [b" ".join(texts[i].split()) for i in self.order]
+        self.lengths = np.array([t.count(b" ") + 1 if t else 0 for t in plain], np.int64)
         self.starts = starts_of(self.lengths)
-        self.words = [w for doc in split for w in doc]
+        self.text = b" ".join(t for t in plain if t)
+        raw = np.frombuffer(self.text, np.uint8)
+        space = np.flatnonzero(raw == 32)
+        self.begin, self.end = (np.append(0, space + 1), np.append(space, len(raw))) if len(raw) else (np.zeros(0, np.int64),) * 2
         self.width = width
-        n = len(self.words)
-        doc = np.repeat(np.arange(len(split)), self.lengths)
+        n = len(self.begin)
+        self.doc = doc = np.repeat(np.arange(len(plain)), self.lengths)
         if n < width:
             self.window, self.anchor, self.place = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            self.doc = doc
             return
-        self.doc = doc
-        digest = xxhash.xxh64_intdigest
-        h = np.fromiter((digest(w) for w in self.words), np.uint64, n)
+        h = word_hashes(raw, self.begin, self.end)
         run = min(RUN, width)
         mixed = np.zeros(n - run + 1, np.uint64)
         for j in range(run):
             mixed = mixed * MIX[0] + h[j : n - run + 1 + j]
         mixed = (mixed ^ (mixed >> np.uint64(29))) * MIX[1]
         mixed ^= mixed >> np.uint64(32)
-        m = n - width + 1
-        best, offset = mixed[:m].copy(), np.zeros(m, np.int64)
-        for j in range(1, width - run + 1):
-            less = mixed[j : m + j] < best
-            best[less] = mixed[j : m + j][less]
-            offset[less] = j
+        m, runs = n - width + 1, width - run + 1
+        best, place, span = mixed, np.arange(len(mixed)), 1  # smallest of ``span`` runs and where (the first of equal ones)
+        while span < runs:
+            step = min(span, runs - span)
+            less = best[step:] < best[:-step]
+            best, place, span = np.where(less, best[step:], best[:-step]), np.where(less, place[step:], place[:-step]), span + step
         inside = np.flatnonzero(doc[:m] == doc[width - 1 :])
-        self.window, self.anchor, self.place = inside, best[inside], inside + offset[inside]
+        self.window, self.anchor, self.place = inside, best[inside], place[inside]
+
+    def words(self, a: int, b: int) -> bytes:
+        """Words a to b (not included), joined by one space."""
+        return self.text[self.begin[a] : self.end[b - 1]] if a < b else b""
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchors with their smallest and largest document."""
@@ -107,8 +133,9 @@ class Slice:
         out: dict[int, dict[bytes, list[int]]] = {}
         first, count, anchor = self.passages(recurring)
         shard = (anchor % np.uint64(shards)).astype(np.int64)
-        for w, c, s in zip(first.tolist(), count.tolist(), shard.tolist()):
-            out.setdefault(s, {}).setdefault(b" ".join(self.words[w : w + c + self.width - 1]), []).append(w)
+        begin, end, text = self.begin[first], self.end[first + count + self.width - 2], self.text
+        for w, i, j, s in zip(first.tolist(), begin.tolist(), end.tolist(), shard.tolist()):
+            out.setdefault(s, {}).setdefault(text[i:j], []).append(w)
         return {s: dict(sorted(out[s].items())) for s in sorted(out)}
 
 
@@ -135,10 +162,17 @@ def recurring_anchors(rows: pa.Table) -> pa.Table:
     return pa.table({"slice": rows.column("slice"), "anchors": pa.array(told, pa.binary())})
 
 
-def _spelled(numbers: list[int]) -> str:
-    """Word numbers as SYMBOLS characters each, high ones first: few branches at every node of the automaton."""
-    n = np.array(numbers, ">u4").view(np.uint8).reshape(-1, 4)
-    return n[:, 4 - SYMBOLS :].tobytes().decode("latin-1")
+def _spelled(passages: list[bytes]) -> list[str]:
+    """Passages as the numbers of their words, SYMBOLS characters each, high ones first."""
+    number: dict[bytes, int] = {}
+    n = np.array([number.setdefault(w, len(number)) for text in passages for w in text.split(b" ")], np.int64)
+    base = 2
+    while base**SYMBOLS < len(number):
+        base += 1
+    signs = np.stack([n // base**j % base + 1 for j in range(SYMBOLS - 1, -1, -1)], axis=1).astype("<u4")
+    line = signs.tobytes().decode("utf-32-le")
+    ends = np.cumsum([(text.count(b" ") + 1) * SYMBOLS for text in passages]).tolist()
+    return [line[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def answer_passages(rows: pa.Table, width: int) -> pa.Table:
@@ -162,8 +196,7 @@ def answer_passages(rows: pa.Table, width: int) -> pa.Table:
                 low[d], high[d] = min(low[d], x), max(high[d], y)
             own.append(d)
         refs.append(np.array(own, np.int64))
-    number: dict[bytes, int] = {}
-    spelled = [_spelled([number.setdefault(w, len(number)) for w in text.split(b" ")]) for text in known]
+    spelled = _spelled(list(known))
     seen: dict[str, tuple[int, int]] = {}
     for s, x, y in zip(spelled, low, high):
         for i in range(0, len(s) - size + 1, SYMBOLS):
@@ -242,7 +275,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, extra: list[str] | None =
         get = {c: told.column(c).to_pylist() for c in ("shard", "anchors", "num", "off", "least")}
         recurring = np.sort(_u64([p for k, p in zip(kinds, get["anchors"]) if k == 0]))
         found = part.distinct(recurring, n_shards) if 1 in kinds else {}
-        n = len(part.words)
+        n = len(part.begin)
         edge = np.zeros(n + 1, np.int64)
         for k, shard, *packs in zip(kinds, *(get[c] for c in ("shard", "num", "off", "least"))):
             if k == 0 or not packs[0]:
@@ -259,9 +292,13 @@ def substring_dedup(docs: DataFrame, width: int = 13, extra: list[str] | None =
             np.add.at(edge, gone + width, -1)
         removed = np.cumsum(edge[:n]) > 0
         per_doc = np.diff(np.append(0, np.cumsum(removed))[part.starts])
-        texts, w = [], part.words
+        texts = []
         for k, (a, b) in enumerate(pairwise(part.starts.tolist())):
-            texts.append(b" ".join(w[a:b] if not per_doc[k] else [w[i] for i in (np.flatnonzero(~removed[a:b]) + a).tolist()]))
+            if not per_doc[k]:
+                texts.append(part.words(a, b))
+                continue
+            cut = np.flatnonzero(np.diff(np.concatenate([[True], removed[a:b], [True]]))) + a  # kept runs begin and end here
+            texts.append(b" ".join(part.words(x, y) for x, y in cut.reshape(-1, 2).tolist()))
         ids = pa.array(part.ids, mask=part.ids == NO_ID)
         return pa.table({"doc_id": ids, "n_words": part.lengths, "n_removed": per_doc, "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
                          **{c: rows.column(f"own_{c}").take(pa.array(part.order, pa.int64())) for c in extra}})
