@@ -26,6 +26,7 @@ sees one entry per slice, not per document.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import pairwise
 
 import ahocorasick
@@ -48,6 +49,12 @@ POWER = 0x9E3779B97F4A7C55
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0..n of POWER and of its inverse, modulo 2**64."""
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64))) for x in (POWER, pow(POWER, -1, 1 << 64)))
+
+
 def word_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Polynomial hash (modulo 2**64) of each word text[begin:end], from running sums over HASH_BYTES at a time."""
     out = np.zeros(len(begin), np.uint64)
@@ -55,9 +62,8 @@ def word_hashes(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     while a < len(begin):
         b = max(a + 1, int(np.searchsorted(end, begin[a] + HASH_BYTES, side="right")))
         part = text[begin[a] : end[b - 1]]
-        power = np.cumprod(np.append(np.uint64(1), np.full(len(part), POWER, np.uint64)))
-        back = np.cumprod(np.append(np.uint64(1), np.full(len(part), pow(POWER, -1, 1 << 64), np.uint64)))
-        total = np.append(np.uint64(0), np.cumsum((part + np.uint64(1)) * power[:-1], dtype=np.uint64))
+        power, back = _powers(max(HASH_BYTES, len(part)))
+        total = np.append(np.uint64(0), np.cumsum((part + np.uint64(1)) * power[: len(part)], dtype=np.uint64))
         i, j = begin[a:b] - begin[a], end[a:b] - begin[a]
         out[a:b] = (total[j] - total[i]) * back[i]
         a = b
