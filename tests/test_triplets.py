@@ -1,5 +1,6 @@
 """Edge rows and invariants of triplet construction and negative sampling."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tripletframe.functions import columns as P
@@ -86,7 +87,10 @@ def test_head_sentence_edges(spark):
 def test_balanced_pairs_small_class(spark):
     rows = [(i, 1) for i in range(10)] + [(100 + i, 0) for i in range(3)]
     df = spark.createDataFrame(rows, "row_id long, label int")
-    out = T.balanced_pairs(df, k=5).groupBy("label").count().collect()
+    with pytest.raises(ValueError):
+        T.balanced_pairs(df, k=5)
+    assert T.balanced_pairs(df, k=3).count() == 6
+    out = T.balanced_pairs(df, k=5, strict=False).groupBy("label").count().collect()
     assert {r["label"]: r["count"] for r in out} == {1: 5, 0: 3}
 
 

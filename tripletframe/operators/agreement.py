@@ -35,12 +35,13 @@ def attach_human(human: DataFrame, metrics_long: DataFrame, keys: Sequence[str]
 
     ``metrics_long``: (keys..., metric, score). The metric side is reduced to
     one row per (keys, metric) before the join, so the join is many-to-one.
+    Which of several rows stays: the first by ``order_col``; without one the smallest score.
     """
     k = list(keys)
     if order_col:
         m = metrics_long.groupBy(*k, "metric").agg(F.min_by("score", order_col).alias("score"))
     else:
-        m = metrics_long.groupBy(*k, "metric").agg(F.first("score").alias("score"))
+        m = metrics_long.groupBy(*k, "metric").agg(F.min("score").alias("score"))
     h = human.withColumn("human", P.norm_score(human_col))
     x = h.join(m, k, "inner")
     return x.withColumn("score", F.when(F.col("metric").isin(list(clip_metrics)), P.clip01("score")).otherwise(F.col("score")))

@@ -112,10 +112,8 @@ def bag_embedding_model(vectors: dict, dim: int, length: int, pad: np.ndarray):
     def predict(_, b: pd.DataFrame) -> pd.DataFrame:
         keys, js, es, ns = [], [], [], []
         for key, toks in zip(b["row_id"], b["tokens"]):
-            toks = list(toks)
-            n = len(toks)
-            if n == 0:
-                continue
+            toks = list(toks) if toks is not None else []
+            n = len(toks)  # without tokens: the pad vector
             s = np.zeros(dim)
             for t in toks:
                 s += vectors[t]
@@ -133,14 +131,20 @@ def bag_embedding_model(vectors: dict, dim: int, length: int, pad: np.ndarray):
 # ------------------------------------------------------------------ E14
 
 def learned_pair_score(features: DataFrame, feature_cols: Sequence[str], label_col: str = "label", out: str = "learned"):
-    """Fit a linear pair-scoring model on labeled pairs (pyspark.ml) and score every pair."""
+    """Fit a linear pair-scoring model on labeled pairs (pyspark.ml) and score every pair.
+
+    Pairs with a null feature or label are left out of the fit; those with a
+    null feature stay in the result with a null score.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    va = VectorAssembler(inputCols=list(feature_cols), outputCol="_features", handleInvalid="skip")
+    cols = list(feature_cols)
+    va = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="keep")  # nulls become NaN
     x = va.transform(features)
-    model = LinearRegression(featuresCol="_features", labelCol=label_col, predictionCol=out, regParam=0.0).fit(x)
-    return model.transform(x).drop("_features"), model
+    model = LinearRegression(featuresCol="_features", labelCol=label_col, predictionCol=out, regParam=0.0).fit(x.dropna(subset=[*cols, label_col]))
+    known = F.forall(F.array(*[F.col(c).isNotNull() for c in cols]), lambda k: k)
+    return model.transform(x).withColumn(out, F.when(known, F.col(out))).drop("_features"), model
 
 
 # ------------------------------------------------------------------ E16

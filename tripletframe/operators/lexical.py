@@ -63,10 +63,9 @@ def stemmed_arrays(texts: DataFrame, key_cols, text_col: str, out: str) -> DataF
     toks = texts.select(*keys, F.posexplode(rouge_tokens(text_col)).alias("pos", "word"))
     vocab = stem_vocab(toks, "word")
     j = toks.join(vocab, "word")
+    empty = F.when(F.col(text_col).isNotNull(), F.array().cast("array<string>"))  # a null text stays null
     arr = j.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda s: s["stem"]).alias(out))
-    return texts.select(*keys).join(arr, keys, "left").withColumn(
-        out, F.coalesce(F.col(out), F.array().cast("array<string>"))
-    )
+    return texts.select(*keys, empty.alias("_none")).join(arr, keys, "left").withColumn(out, F.coalesce(out, "_none")).drop("_none")
 
 
 def token_arrays(pairs: DataFrame, key: str, gen: str, ref: str, use_stemmer: bool) -> DataFrame:
@@ -81,7 +80,7 @@ def token_arrays(pairs: DataFrame, key: str, gen: str, ref: str, use_stemmer: bo
 # ------------------------------------------------------------------ E7, E8
 
 def rouge_n(arrays: DataFrame, n: int, key: str = "pair_id", prefix: str | None = None) -> DataFrame:
-    """ROUGE-N precision / recall / F1 per pair from token arrays (g = prediction, r = reference)."""
+    """ROUGE-N precision / recall / F1 per pair from token arrays (g = prediction, r = reference); null for a null text."""
     prefix = prefix or f"r{n}"
     long = arrays.select(key, F.explode(ngrams("g", n)).alias("gram"), F.lit(0).alias("side")).unionByName(
         arrays.select(key, F.explode(ngrams("r", n)).alias("gram"), F.lit(1).alias("side"))
@@ -90,8 +89,9 @@ def rouge_n(arrays: DataFrame, n: int, key: str = "pair_id", prefix: str | None
         F.sum(1 - F.col("side")).alias("kg"), F.sum("side").alias("kr")
     )
     s = c.groupBy(key).agg(F.sum("kg").alias("ng"), F.sum("kr").alias("nr"), F.sum(F.least("kg", "kr")).alias("ov"))
-    out = arrays.select(key).join(s, key, "left").na.fill(0, ["ng", "nr", "ov"])
-    p, r, f = _prf(F.col("ov"), F.col("ng"), F.col("nr"))
+    both = (F.col("g").isNotNull() & F.col("r").isNotNull()).alias("_both")
+    out = arrays.select(key, both).join(s, key, "left").na.fill(0, ["ng", "nr", "ov"])
+    p, r, f = (F.when(F.col("_both"), x) for x in _prf(F.col("ov"), F.col("ng"), F.col("nr")))
     return out.select(key, p.alias(f"{prefix}_p"), r.alias(f"{prefix}_r"), f.alias(f"{prefix}f1"))
 
 
@@ -120,8 +120,10 @@ _PRF = T.StructType([T.StructField("p", T.DoubleType()), T.StructField("r", T.Do
 def _rouge_l_udf(g: pd.Series, r: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(g, r):
-        a = list(a) if a is not None else []
-        b = list(b) if b is not None else []
+        if a is None or b is None:
+            rows.append((None, None, None))
+            continue
+        a, b = list(a), list(b)
         lcs = lcs_length(a, b)
         p = lcs / len(a) if a else 0.0
         rr = lcs / len(b) if b else 0.0
@@ -130,7 +132,7 @@ def _rouge_l_udf(g: pd.Series, r: pd.Series) -> pd.DataFrame:
 
 
 def rouge_l(arrays: DataFrame, key: str = "pair_id") -> DataFrame:
-    """LCS-based precision / recall / F1 per pair."""
+    """LCS-based precision / recall / F1 per pair; null for a null text."""
     x = arrays.select(key, _rouge_l_udf("g", "r").alias("_l"))
     return x.select(key, F.col("_l.p").alias("rL_p"), F.col("_l.r").alias("rL_r"), F.col("_l.f").alias("rLf1"))
 
@@ -181,9 +183,9 @@ def meteor_score(hyp, ref, synonyms=None, alpha=METEOR_ALPHA, beta=METEOR_BETA,
 
 @F.pandas_udf(T.DoubleType())
 def _meteor_udf(g: pd.Series, r: pd.Series) -> pd.Series:
-    return pd.Series([meteor_score(a if a is not None else [], b if b is not None else []) for a, b in zip(g, r)])
+    return pd.Series([None if a is None or b is None else meteor_score(a, b) for a, b in zip(g, r)], dtype="float64")
 
 
 def meteor(arrays: DataFrame, key: str = "pair_id") -> DataFrame:
-    """METEOR per pair from (unstemmed) token arrays; synonym stage empty by default."""
+    """METEOR per pair from (unstemmed) token arrays; synonym stage empty by default; null for a null text."""
     return arrays.select(key, _meteor_udf("g", "r").alias("meteor"))

@@ -58,6 +58,7 @@ def embed_texts(
     length: int = 512,
     pad_token: str = PAD_TOKEN,
     pad_vector: DataFrame | None = None,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of token vectors over max(n, length) positions, pads included.
 
@@ -65,6 +66,8 @@ def embed_texts(
     ``embed = (sum_tok k * g(tok) + max(length - n, 0) * g(pad)) / max(n, length)``;
     for n <= length this is the padded mean of the reference; longer texts are
     embedded whole rather than cut at ``length``.
+    ``texts`` names all keys: those without any token row get the pad vector
+    with n = 0 (without it they are absent from the result).
     Returns (key, n, j, e) in long form. The join carries rows x tokens x d
     records, which suits narrow vectors (or SQL engines); for wide vectors use
     :func:`embed_texts_arrays`, which ships one array per (row, token).
@@ -75,11 +78,17 @@ def embed_texts(
     vec = sized_broadcast(vectors.select("token", "j", "v"), d_est)
     s = counts.join(vec, "token").groupBy(key_col, "j").agg(F.sum(F.col("k") * F.col("v")).alias("s"))
     pad = pad_vector if pad_vector is not None else vectors.where(F.col("token") == pad_token)
-    pad = F.broadcast(pad.select("j", F.col("v").alias("pv")))  # one vector: d rows
+    one = pad.select("j", "v")  # one vector: d rows
+    pad = F.broadcast(one.withColumnRenamed("v", "pv"))
     e = s.join(n, key_col).join(pad, "j", "left")
     denom = F.greatest(F.col("n"), F.lit(length)).cast("double")
     val = (F.col("s") + F.greatest(F.lit(length) - F.col("n"), F.lit(0)) * F.coalesce(F.col("pv"), F.lit(0.0))) / denom
-    return e.select(key_col, "n", "j", val.alias("e"))
+    out = e.select(key_col, "n", "j", val.alias("e"))
+    if texts is None:
+        return out
+    rows = F.array(*[F.struct(F.lit(r["j"]).cast("int").alias("j"), F.lit(float(r["v"])).alias("e")) for r in one.collect()])
+    bare = texts.select(key_col).join(n, key_col, "left_anti").select(key_col, F.lit(0).cast("long").alias("n"), F.inline(rows))
+    return out.unionByName(bare)
 
 
 def embed_texts_arrays(
@@ -157,7 +166,13 @@ _BS_SCHEMA = T.StructType(
 )
 
 
+# Similarities of one pair held at once in E13.
+MATCH_CELLS = 1 << 22
+
+
 def _greedy_match(ca, wa, cb, wb):
+    if ca is None or cb is None:
+        return 0.0, 0.0, 0.0
     a = np.asarray(list(ca), dtype=np.float64).reshape(len(ca), -1)
     b = np.asarray(list(cb), dtype=np.float64).reshape(len(cb), -1)
     wa = np.asarray(wa, dtype=np.float64)
@@ -166,11 +181,19 @@ def _greedy_match(ca, wa, cb, wb):
     nb = np.linalg.norm(b, axis=1, keepdims=True)
     a = np.divide(a, na, out=np.zeros_like(a), where=na > 0)
     b = np.divide(b, nb, out=np.zeros_like(b), where=nb > 0)
-    sim = a @ b.T
-    p = float((sim.max(axis=1) * wa).sum() / wa.sum())
-    r = float((sim.max(axis=0) * wb).sum() / wb.sum())
-    f = 2 * p * r / (p + r) if p + r != 0 else 0.0
-    return p, r, f
+    return _prf_of_matches(a, wa, b, wb)
+
+
+def _prf_of_matches(a, wa, b, wb):
+    """Weighted best-match means of unit vectors, a block of rows of ``a`` at a time."""
+    rows, cols = np.empty(len(a)), np.full(len(b), -np.inf)
+    step = max(1, MATCH_CELLS // len(b))
+    for s in range(0, len(a), step):
+        sim = a[s : s + step] @ b.T
+        rows[s : s + step] = sim.max(axis=1)
+        np.maximum(cols, sim.max(axis=0), out=cols)
+    p, r = float((rows * wa).sum() / wa.sum()), float((cols * wb).sum() / wb.sum())
+    return p, r, 2 * p * r / (p + r) if p + r != 0 else 0.0
 
 
 @F.pandas_udf(_BS_SCHEMA)
@@ -193,12 +216,11 @@ def _bertscore_by_ids(pairs, counts, vec, d, pair_key, cand_key, ref_key):
         m = bm.value
         out = []
         for a, x, b, y in zip(ia, wa, ib, wb):
-            sim = m[np.asarray(a, dtype=np.int64)] @ m[np.asarray(b, dtype=np.int64)].T
-            x = np.asarray(x, dtype=np.float64)
-            y = np.asarray(y, dtype=np.float64)
-            p = float((sim.max(axis=1) * x).sum() / x.sum())
-            r = float((sim.max(axis=0) * y).sum() / y.sum())
-            out.append((p, r, 2 * p * r / (p + r) if p + r != 0 else 0.0))
+            if a is None or b is None:
+                out.append((0.0, 0.0, 0.0))
+                continue
+            va, vb = m[np.asarray(a, dtype=np.int64)], m[np.asarray(b, dtype=np.int64)]
+            out.append(_prf_of_matches(va, np.asarray(x, dtype=np.float64), vb, np.asarray(y, dtype=np.float64)))
         return pd.DataFrame(out, columns=["bert_p", "bert_r", "bert_f"])
 
     bag = counts.join(F.broadcast(tids), "token").groupBy("text_id").agg(
@@ -206,7 +228,7 @@ def _bertscore_by_ids(pairs, counts, vec, d, pair_key, cand_key, ref_key):
     bag = bag.select("text_id", F.transform("bag", lambda s: s["tid"]).alias("i"), F.transform("bag", lambda s: s["k"]).alias("w"))
     ca = bag.select(F.col("text_id").alias(cand_key), F.col("i").alias("ia"), F.col("w").alias("wa"))
     rb = bag.select(F.col("text_id").alias(ref_key), F.col("i").alias("ib"), F.col("w").alias("wb"))
-    x = pairs.join(ca, cand_key).join(rb, ref_key)
+    x = pairs.join(ca, cand_key, "left").join(rb, ref_key, "left")
     return x.withColumn("_bs", score("ia", "wa", "ib", "wb"))
 
 
@@ -228,6 +250,7 @@ def bertscore(
     vectors from a broadcast matrix (small rows for long texts and wide
     vectors); otherwise the vectors are joined in and travel with the bag.
     ``pairs``: (pair_key, cand_key, ref_key); ``tokens``: (text_id, token).
+    A pair with a text without tokens scores 0.
     """
     vec = vectors_to_arrays(vectors).persist()
     counts = tokens.groupBy("text_id", "token").agg(F.count(F.lit(1)).alias("k"))
@@ -243,7 +266,7 @@ def bertscore(
     bag = bag.select("text_id", F.transform("bag", lambda s: s["vec"]).alias("v"), F.transform("bag", lambda s: s["k"]).alias("w"))
     ca = bag.select(F.col("text_id").alias(cand_key), F.col("v").alias("va"), F.col("w").alias("wa"))
     rb = bag.select(F.col("text_id").alias(ref_key), F.col("v").alias("vb"), F.col("w").alias("wb"))
-    x = pairs.join(ca, cand_key).join(rb, ref_key)
+    x = pairs.join(ca, cand_key, "left").join(rb, ref_key, "left")
     x = x.withColumn("_bs", _bertscore_udf("va", "wa", "vb", "wb"))
     return x.select(*pairs.columns, "_bs.bert_p", "_bs.bert_r", "_bs.bert_f")
 

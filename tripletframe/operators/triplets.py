@@ -240,13 +240,18 @@ def fact_triplets(
 
 # ------------------------------------------------------------------ T10, T11
 
-def balanced_pairs(df: DataFrame, label_col: str = "label", k: int = 150, key_col: str = "row_id", salt: str = "bal") -> DataFrame:
-    """K hash-random rows per class (all rows of a smaller class).
+def balanced_pairs(df: DataFrame, label_col: str = "label", k: int = 150, key_col: str = "row_id", salt: str = "bal",
+                   strict: bool = True) -> DataFrame:
+    """K hash-random rows per class; a class of fewer rows is an error, or kept whole when not ``strict``.
 
     ``row_number() <= k`` over a class is planned with a partial per-partition
     limit before the shuffle (WindowGroupLimit), so a large class ships only k
     rows per map task.
     """
+    if strict:
+        short = df.groupBy(label_col).count().where(F.col("count") < k).limit(5).collect()
+        if short:
+            raise ValueError(f"classes with fewer than {k} rows: " + ", ".join(f"{r[0]} ({r[1]})" for r in short))
     x = df.withColumn("_h", hkey(F.lit(salt), key_col))
     w = Window.partitionBy(label_col).orderBy("_h", key_col)
     return x.withColumn("_rk", F.row_number().over(w)).where(F.col("_rk") <= k).drop("_rk", "_h")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripletframe.functions.keys import hkey, hkey_sql
+from tripletframe.functions.keys import hkey_sql
 from tripletframe.operators import evalstats as A
 from tripletframe.operators import scoring as S
 from tripletframe.operators import triplets as T
@@ -30,7 +30,7 @@ def scored_triplets(spark, sf):
     # the triplet table feeds four branches (three text columns and the final join): write it once
     trip = cut_lineage(trip)
     texts = (trip.select(F.col("premise").alias("text")).union(trip.select(F.col("correct_answer").alias("text")))
-             .union(trip.select(F.col("incorrect_answer").alias("text"))).distinct().withColumn("text_id", hkey("text")))
+             .union(trip.select(F.col("incorrect_answer").alias("text"))).distinct().withColumn("text_id", F.md5("text")))
     tok = text_tokens(texts, "text_id", "text").withColumnRenamed("text_id", "row_id")
     pad = [r["v"] for r in _pad_vector(spark).orderBy("j").collect()]  # the pad token's vector (d values)
     emb = S.embed_texts_arrays(tok, S.vectors_to_arrays(hashed_vectors(tok)), pad, length=LENGTH,
@@ -38,7 +38,7 @@ def scored_triplets(spark, sf):
     x = trip
     for col, name in (("premise", "ref"), ("correct_answer", "pos"), ("incorrect_answer", "neg")):
         e = emb.select(F.col("row_id").alias(f"_{name}_id"), F.col("emb").alias(name))
-        x = x.withColumn(f"_{name}_id", hkey(col)).join(e, f"_{name}_id")
+        x = x.withColumn(f"_{name}_id", F.md5(col)).join(e, f"_{name}_id")
     return S.triplet_score(x)
 
 

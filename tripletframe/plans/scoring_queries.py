@@ -56,7 +56,7 @@ def _unit(e):
     from pyspark.sql import Window
 
     norm = F.sqrt(F.sum(F.col("e") * F.col("e")).over(Window.partitionBy("row_id")))
-    return e.select("row_id", "n", "j", F.round(F.col("e") / norm, R6).alias("e"))
+    return e.select("row_id", "n", "j", F.round(F.coalesce(F.try_divide(F.col("e"), norm), F.lit(0.0)), R6).alias("e"))
 
 
 @query("e2_embed_texts", _embed_sql("fx_tokens", "fx_token_vectors"), views=["fx_tokens", "fx_token_vectors"])
@@ -143,7 +143,8 @@ select row_id, round(case when na * nb > 0 then d / sqrt(na * nb) else 0 end, {R
 def e6_pair_score(spark, sf):
     txt = _pair_texts(spark, sf)
     tok = text_tokens(txt, "text_id", "text").withColumnRenamed("text_id", "row_id")
-    emb = S.embeddings_as_arrays(S.embed_texts(tok, hashed_vectors(tok), length=LENGTH, pad_vector=_pad_vector(spark)))
+    emb = S.embeddings_as_arrays(S.embed_texts(tok, hashed_vectors(tok), length=LENGTH, pad_vector=_pad_vector(spark),
+                                              texts=txt.select(F.col("text_id").alias("row_id"))))
     a = emb.where(F.col("row_id") % 2 == 0).select(F.floor(F.col("row_id") / 2).alias("pid"), F.col("emb").alias("a"))
     b = emb.where(F.col("row_id") % 2 == 1).select(F.floor(F.col("row_id") / 2).alias("pid"), F.col("emb").alias("b"))
     x = S.pair_score(a.join(b, "pid"), "a", "b")

@@ -149,8 +149,8 @@ def a10_final_table(spark, sf):
 def _wide_scores(spark, sf):
     s = view(spark, sf, "fx_scores")
     return s.groupBy("dataset", "metric", "row_id").agg(
-        F.first(F.when(F.col("label") == 1, F.col("score")), ignorenulls=True).alias("correct"),
-        F.first(F.when(F.col("label") == 0, F.col("score")), ignorenulls=True).alias("incorrect"),
+        F.max(F.when(F.col("label") == 1, F.col("score"))).alias("correct"),
+        F.max(F.when(F.col("label") == 0, F.col("score"))).alias("incorrect"),
     )
 
 
@@ -174,7 +174,7 @@ def a12_flatten_triplets(spark, sf):
     s = view(spark, sf, "fx_scores")
     pivot_cols = [f"{side}_{m}" for side in ("correct", "incorrect") for m in METRICS]
     wide = s.withColumn("_c", F.concat(F.when(F.col("label") == 1, "correct_").otherwise("incorrect_"), "metric")).groupBy(
-        "dataset", "row_id").pivot("_c", pivot_cols).agg(F.first("score"))
+        "dataset", "row_id").pivot("_c", pivot_cols).agg(F.max("score"))
     return G.flatten_triplets(wide, METRICS)
 
 
@@ -203,7 +203,7 @@ def a14_ccc(spark, sf):
 
 def _merged_wide(spark, sf):
     m = _merged(spark, sf)
-    return m.groupBy(*SAMPLE, "human").pivot("metric", METRICS).agg(F.first("score"))
+    return m.groupBy(*SAMPLE, "human").pivot("metric", METRICS).agg(F.max("score"))
 
 
 _CCC_COLS = METRICS + ["human"]

@@ -131,11 +131,12 @@ def i4_four_directions(spark, sf):
 
 def _text_embeddings(spark, texts):
     """E2 over distinct texts keyed by text hash -> (text_id, emb array)."""
-    t = texts.select("text").distinct().withColumn("text_id", hkey("text"))
+    t = texts.select("text").distinct().withColumn("text_id", F.md5("text"))
     tok = text_tokens(t, "text_id", "text")
     vec = hashed_vectors(tok, extra_tokens=("<pad>", I.BASELINE_TOKEN))
     pad = vec.where(F.col("token") == "<pad>").select("j", "v")
-    e = S.embeddings_as_arrays(S.embed_texts(tok.withColumnRenamed("text_id", "row_id"), vec, length=LENGTH, pad_vector=pad))
+    e = S.embeddings_as_arrays(S.embed_texts(tok.withColumnRenamed("text_id", "row_id"), vec, length=LENGTH, pad_vector=pad,
+                                            texts=t.select(F.col("text_id").alias("row_id"))))
     return t, tok, vec, e.withColumnRenamed("row_id", "text_id")
 
 
@@ -143,7 +144,7 @@ def _directions_with_sim(spark, sf):
     d = cut_lineage(i4_four_directions(spark, sf))  # read by both text sides and the pair table
     texts = d.select(F.col("input_text").alias("text")).union(d.select(F.col("target_text").alias("text")))
     t, tok, vec, emb = _text_embeddings(spark, texts)
-    x = d.withColumn("in_id", hkey("input_text")).withColumn("tgt_id", hkey("target_text"))
+    x = d.withColumn("in_id", F.md5("input_text")).withColumn("tgt_id", F.md5("target_text"))
     x = x.join(emb.select(F.col("text_id").alias("in_id"), F.col("emb").alias("e_in")), "in_id")
     x = x.join(emb.select(F.col("text_id").alias("tgt_id"), F.col("emb").alias("e_tgt")), "tgt_id")
     x = x.withColumn("sim", cosine("e_in", "e_tgt")).withColumn("baseline", I.choose_baseline(F.col("sim")))
