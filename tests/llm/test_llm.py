@@ -147,9 +147,13 @@ def test_bpe_matches_the_library(spark, edge, none):
 def test_byte_ids_match_the_library():
     library, own = Tokenizer.from_file(Q.BYTE_BPE), lm.WordIds(Q.BYTE_BPE)
     words = [w for _, t in small_docs()[:20] for w in t.encode().lower().split()]
-    flat, first, sizes = own.ids_of([words])
-    assert flat[:-1].tolist() == [k for w in words for k in library.encode(" " + w.decode(), add_special_tokens=False).ids]
-    assert flat[-1] == own.end and len(first) == len(words) + 1 and sizes.tolist() == [len(flat)]
+    distinct = sorted(set(words))
+    ids, n = own.coded(distinct)
+    place, size = lm.tokens_of([words, []], [*distinct, lm.END])
+    flat, n = lm.gather(np.append(ids, own.end), np.append(n, 1), place)
+    want = [library.encode(" " + w.decode(), add_special_tokens=False).ids for w in words]
+    assert flat.tolist() == [k for w in want for k in w] + [own.end] * 2
+    assert n.tolist() == [*map(len, want), 1, 1] and size.tolist() == [len(words) + 1, 1]
 
 
 # language model
