@@ -4,7 +4,7 @@ White-space-separated chunks of a text are independent of each other: no
 pre-token, no composition and no special token crosses ASCII white space. So
 only chunks not seen before by the worker are encoded, many at once: the
 symbols of all their pre-tokens lie in one flat array, and each merge round
-looks every neighbouring pair up by binary search in the sorted pair keys,
+looks every new neighbouring pair up by binary search in the sorted pair keys,
 takes the lowest rank of each pre-token and merges its occurrences left to right.
 """
 
@@ -25,7 +25,7 @@ from tripletframe.llm.common import SLICE_BYTES, refcounts_only, slices, small_b
 
 #: Chunks a worker remembers (about 200 bytes each); more are encoded again when they come back.
 CACHE_CHUNKS = 300_000
-NONE = np.iinfo(np.int64).max
+NONE = np.iinfo(np.int32).max
 
 
 def byte_symbols() -> list[str]:
@@ -47,51 +47,60 @@ class Bpe:
         tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [tokens.get(i, "").encode() for i in range(max(tokens) + 1)]
         symbols = byte_symbols()
-        self.inner = np.array([vocab[c] for c in symbols], np.int64)
-        self.last = np.array([vocab[c + end] for c in symbols], np.int64)
+        self.inner = np.array([vocab[c] for c in symbols], np.int32)
+        self.last = np.array([vocab[c + end] for c in symbols], np.int32)
         pairs = [p.split(" ") if isinstance(p, str) else p for p in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)  # by rank
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)  # by rank
         split = next((t for t in spec["pre_tokenizer"].get("pretokenizers", []) if t["type"] == "Split"), None)
         self.words = regex.compile(split["pattern"]["Regex"]) if split else None
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.cache: dict[bytes, bytes] = {}
 
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of neighbours, NONE for pairs that don't merge."""
+        key = left.astype(np.int64) << 32 | right
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[found] == key, self.ranks[found], NONE)
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Token ids (little-endian unsigned 32-bit) of pre-tokens given as UTF-8 bytes, by batched merge rounds."""
         if not words:
             return []
-        length = np.array([len(w) for w in words], np.int64)
-        raw = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum(length) - 1
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        raw, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - 1
         sym = self.inner[raw]
         sym[ends] = self.last[raw[ends]]
-        word = np.repeat(np.arange(len(words)), length)
+        rank = self.pair_ranks(sym, np.append(sym[1:], 0))  # of the pair that begins at each symbol
+        rank[ends] = NONE
+        live = np.arange(len(words))
         done_sym, done_word = [], []
-        while len(sym):
-            key = np.append(sym[:-1] << 32 | sym[1:], -1)
-            key[:-1][word[:-1] != word[1:]] = -1
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(self.keys[at] == key, self.ranks[at], NONE)
-            first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            size = np.diff(np.append(first, len(word)))
-            best = np.minimum.reduceat(rank, first)
-            live = np.repeat(best != NONE, size)
-            hit = (rank == np.repeat(best, size)) & live
-            # overlapping occurrences (equal symbols in a row): every second one, from the left
-            prev = np.append(False, hit[:-1])
-            if (hit & prev).any():
-                i = np.arange(len(hit))
-                run = i - np.maximum.accumulate(np.where(hit & ~prev, i, 0))
-                hit &= run % 2 == 0
-            sym = np.where(hit, self.merged[np.where(hit, rank, 0)], sym)
-            gone = np.append(False, hit[:-1])  # the right halves
-            done_sym.append(sym[~live])
-            done_word.append(word[~live])
-            stay = live & ~gone
-            sym, word = sym[stay], word[stay]
+        while True:
+            best = np.minimum.reduceat(rank, starts_of(size)[:-1])
+            going = best != NONE
+            if not going.all():
+                stay = np.repeat(going, size)
+                done_sym.append(sym[~stay])
+                done_word.append(np.repeat(live[~going], size[~going]))
+                sym, rank, live, size, best = sym[stay], rank[stay], live[going], size[going], best[going]
+            if not len(live):
+                break
+            at = np.flatnonzero(rank == np.repeat(best, size))
+            touch = np.append(False, at[1:] == at[:-1] + 1)
+            if touch.any():  # overlapping occurrences (equal symbols in a row): every second one, from the left
+                i = np.arange(len(at))
+                at = at[(i - np.maximum.accumulate(np.where(touch, 0, i))) % 2 == 0]
+            sym[at] = self.merged[rank[at]]
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            size = np.add.reduceat(keep, starts_of(size)[:-1], dtype=np.int64)
+            sym, rank = sym[keep], rank[keep]
+            at -= np.arange(len(at))  # where the merged symbols are now
+            near = np.concatenate([at, np.maximum(at - 1, 0)])  # pairs with a merged symbol
+            rank[near] = self.pair_ranks(sym[near], sym[np.minimum(near + 1, len(sym) - 1)])
+            rank[np.cumsum(size) - 1] = NONE
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         flat = sym[np.argsort(word, kind="stable")].astype("<u4").tobytes()
         cut = (4 * starts_of(np.bincount(word, minlength=len(words)))).tolist()
