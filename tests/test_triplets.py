@@ -29,6 +29,17 @@ def test_negatives_batch_invariants(spark):
     assert all(r["incorrect_answer"] != r["correct_answer"] for r in out)
 
 
+def test_negatives_keep_every_row_at_any_batch_and_bucket_size(spark):
+    df = spark.range(0, 401).select(F.col("id").alias("row_id"), F.concat(F.lit("a"), F.col("id").cast("string")).alias("correct_answer"))
+    for batch in (2, 3, 4, 100, 400, 401):
+        out = T.sample_negatives(df, batch_size=batch).collect()
+        assert len(out) == 401 and all(r["incorrect_answer"] != r["correct_answer"] for r in out), batch
+    whole = {tuple(r) for r in T.sample_negatives(df).collect()}
+    assert whole == {tuple(r) for r in T.sample_negatives(df, rows_per_bucket=16).collect()}  # buckets change the plan only
+    with pytest.raises(ValueError):
+        T.sample_negatives(df, batch_size=1)
+
+
 def test_negative_of_single_row_batch_is_dropped(spark):
     df = spark.createDataFrame([(1, "only")], "row_id long, correct_answer string")
     assert T.sample_negatives(df).count() == 0

@@ -106,8 +106,8 @@ def score_density(df: DataFrame, value_col: str, group_cols: Sequence[str], grid
     """Gaussian KDE (Scott bandwidth) on a ``grid``-point support per group: the data behind the density plots.
 
     Bandwidth ``h = stddev_samp * n^(-1/5)``; support ``[min - cut h, max + cut h]``.
-    Each value contributes to the ``grid`` points through an explode and a
-    partial aggregate, so the work is rows x grid with no shuffle of row data.
+    Equal values are counted first, then each distinct value contributes to the
+    ``grid`` points through an explode and a partial aggregate.
     """
     if not group_cols:
         return score_density(df.withColumn("_all", zero_of(F.col(value_col))), value_col, ["_all"], grid, cut).drop("_all")
@@ -115,12 +115,12 @@ def score_density(df: DataFrame, value_col: str, group_cols: Sequence[str], grid
     st = df.groupBy(*g).agg(
         F.count(value_col).alias("_n"), F.stddev_samp(value_col).alias("_sd"), F.min(value_col).alias("_lo"), F.max(value_col).alias("_hi")
     ).withColumn("_bw", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).where(F.col("_bw") > 0)
-    x = df.select(*g, F.col(value_col).alias("_v")).where(F.col("_v").isNotNull()).join(F.broadcast(st), g)  # one row per group
+    x = df.where(F.col(value_col).isNotNull()).groupBy(*g, F.col(value_col).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).join(st, g)
     x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("j"))
     lo = F.col("_lo") - cut * F.col("_bw")
     hi = F.col("_hi") + cut * F.col("_bw")
     xj = lo + (hi - lo) * F.col("j") / F.lit(float(grid - 1))
     z = (xj - F.col("_v")) / F.col("_bw")
     k = F.exp(-0.5 * z * z) / (F.col("_bw") * F.lit(math.sqrt(2 * math.pi)))
-    d = x.groupBy(*g, "j").agg(F.first(xj).alias("x"), (F.sum(k) / F.first("_n")).alias("density"))
+    d = x.groupBy(*g, "j").agg(F.first(xj).alias("x"), (F.sum(k * F.col("_c")) / F.first("_n")).alias("density"))
     return d

@@ -174,7 +174,7 @@ def mauve_from_clusters(assign: DataFrame, side_col: str = "side", cluster_col:
     )
     tot = h.groupBy(*g).agg(F.sum("cp").alias("np"), F.sum("cq").alias("nq"))
     # tot has one row per group
-    h = h.join(F.broadcast(tot), g).select(*g, cluster_col, F.try_divide(F.col("cp"), F.col("np")).alias("p"),
+    h = h.join(tot, g).select(*g, cluster_col, F.try_divide(F.col("cp"), F.col("np")).alias("p"),
                                            F.try_divide(F.col("cq"), F.col("nq")).alias("q"))
     step = (1 - 2e-6) / (grid - 1)
     x = h.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("k"))

@@ -4,10 +4,10 @@ Every random choice of the reference is replaced by a hash key of the row's
 own key (see :mod:`tripletframe.functions.keys`), so the result does not depend
 on partitioning, and DuckDB can reproduce it.
 
-Negatives are drawn by an *indexed derangement*: rows are numbered inside a
-batch (hash bucket of at most ``batch_size`` rows) and row ``i`` takes the
-answer of row ``(i + 1 + h mod (n-1)) mod n``: uniform over the other rows and
-never itself, found with one equi-join on (batch, index), never a cross join.
+Negatives are drawn by an *indexed derangement*: rows are numbered in their
+group and row ``i`` takes the answer of row ``(i + 1 + h mod (n-1)) mod n`` of
+the group or of its run of ``batch_size`` numbers: uniform over the other rows
+and never itself, found with one equi-join on (group, index), never a cross join.
 """
 
 from __future__ import annotations
@@ -84,37 +84,35 @@ def sample_negatives(
     answer_col: str = "correct_answer",
     key_col: str = "row_id",
     out_col: str = "incorrect_answer",
-    batch_size: int = DEFAULT_BATCH,
+    batch_size: int | None = None,
     group_cols: Sequence[str] = (),
     salt: str = "neg",
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
-    """For every row the answer of a uniformly chosen *other* row of its batch.
-
-    A group (e.g. split) of ``n`` rows is cut into ``ceil(n / batch_size)``
-    hash batches, so one window task ranks at most about ``batch_size`` rows;
-    when ``n <= batch_size`` this is the reference's global draw (T3), above it
-    the in-batch draw (T4). Batches of one row have no negative and are dropped.
+    """For every row the answer of a uniformly chosen *other* row of its group or batch.
+
+    The rows of a group (e.g. split) are numbered in hash order by range buckets,
+    so no window task ranks more than about ``rows_per_bucket`` rows at any size.
+    Without ``batch_size`` the partner is any other row of the group (T3); with it
+    (2 or more), any other row of the same run of ``batch_size`` numbers (T4). A
+    last run of one row joins the run before, so only a group of one row has no
+    negative; such rows are dropped.
     """
+    if batch_size is not None and batch_size < 2:
+        raise ValueError("a batch needs two rows or more")
     g = list(group_cols)
     x = df.withColumn("_h", hkey(F.lit(salt), key_col))
-    if g:
-        # per-group sizes: one row per group, joined back by key
-        x = x.join(df.groupBy(*g).agg(F.count(F.lit(1)).alias("_gn")), g)
-    else:
-        x = x.withColumn("_gn", F.lit(df.count()))  # parquet row count, one small job
-    x = x.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_gn") / F.lit(batch_size)))).withColumn(
-        "_batch", F.pmod(F.col("_h"), F.col("_nb"))
-    )
-    w = Window.partitionBy(*g, "_batch")
-    x = (
-        x.withColumn("_i", F.row_number().over(w.orderBy("_h", key_col)) - 1)
-        .withColumn("_n", F.count(F.lit(1)).over(w))
-        .withColumn("_j", derangement_partner("_i", "_n", hkey(F.lit(salt + "|pick"), key_col)))
-    )
-    right = x.select(*g, "_batch", F.col("_i").alias("_j"), F.col(answer_col).alias(out_col))
+    x = dense_index(x, g, ["_h", key_col], hash_range_bucket("_h", buckets_for(df.count(), rows_per_bucket)), "_p", "_gn")
+    p, n, lo = F.col("_p"), F.col("_gn"), F.lit(0)
+    if batch_size is not None:
+        last = F.greatest(F.lit(1), F.ceil((n - 1) / F.lit(batch_size))) - 1
+        batch = F.least(F.floor(p / F.lit(batch_size)), last)
+        lo = batch * F.lit(batch_size)
+        n = F.when(batch == last, n - lo).otherwise(F.lit(batch_size))
+    x = x.withColumn("_t", lo + derangement_partner(p - lo, n, hkey(F.lit(salt + "|pick"), key_col)))
+    right = x.select(*g, F.col("_p").alias("_t"), F.col(answer_col).alias(out_col))
     left = x.drop(out_col) if out_col in x.columns else x
-    out = left.join(right, [*g, "_batch", "_j"])
-    return out.drop("_h", "_gn", "_nb", "_batch", "_i", "_n", "_j")
+    return left.join(right, [*g, "_t"]).drop("_h", "_gn", "_p", "_t")
 
 
 def sample_negatives_batch(df: DataFrame, batch_size: int = DEFAULT_BATCH, **kw) -> DataFrame:

@@ -34,7 +34,7 @@ def m1_sample_per_source(spark, sf):
 
 
 @query("m2_mix_sources", f"""select 'pairs' as source_dataset, premise, correct_answer, incorrect_answer, cast(null as double) as score
-  from ({_neg_query(T.DEFAULT_BATCH)})
+  from ({_neg_query()})
 union all select 'answers', premise, correct_answer, incorrect_answer, null from (with c as (select q_id,
   list_filter(correct_answers, lambda x: x <> 'I have no comment' and length(x) > 2) as ca,
   list_filter(incorrect_answers, lambda x: x <> 'I have no comment' and length(x) > 2) as ia from fx_answers)

@@ -73,7 +73,8 @@ def e3_batch_infer(spark, sf):
 
     vec = S.vectors_to_arrays(view(spark, sf, "fx_token_vectors")).persist()
     if vec.count() * (TOKEN_DIM * 8 + 32) > S.BROADCAST_LIMIT_BYTES:
-        raise ValueError("token-vector table too large to ship to every task; use e2_embed_texts (join) instead")
+        vec.unpersist()
+        return e2_embed_texts(spark, sf)  # a larger table is joined, not shipped to every task; same values
     rows = vec.collect()  # the model's table: bounded by the vocabulary, size checked above
     vectors = {r["token"]: np.asarray(r["vec"], dtype=np.float64) for r in rows}
     pad = np.asarray([r["v"] for r in _pad_vector(spark).orderBy("j").collect()], dtype=np.float64)
@@ -280,7 +281,7 @@ def _e17_long(spark, sf):
 
 
 def _e17_sql():
-    nctes, rel = negatives_ctes("fx_pairs", "correct_answer", "row_id", "incorrect_answer", T.DEFAULT_BATCH)
+    nctes, rel = negatives_ctes("fx_pairs", "correct_answer", "row_id", "incorrect_answer")
     toks = _TOKS
     body = f""",
 lng as (select row_id * 2 + 1 as pair_id, row_id, 1 as label, premise as reference, correct_answer as candidate from {rel}

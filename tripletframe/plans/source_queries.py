@@ -72,7 +72,7 @@ def s6_split_bundle(spark, sf):
     return io.list_splits(io.load_split_bundle(spark, path))
 
 
-@query("s7_write_triplets", _neg_query(T.DEFAULT_BATCH), views=["fx_pairs"])
+@query("s7_write_triplets", _neg_query(), views=["fx_pairs"])
 def s7_write_triplets(spark, sf):
     trip = T.sample_negatives(view(spark, sf, "fx_pairs").drop("raw_score"))
     path = io.scratch_path(spark, "triplets")

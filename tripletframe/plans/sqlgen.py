@@ -5,30 +5,26 @@ from __future__ import annotations
 from tripletframe.functions.keys import hkey_sql
 
 
-def negatives_ctes(src: str, answer: str, key: str, out: str, batch: int, salt: str = "neg",
+def negatives_ctes(src: str, answer: str, key: str, out: str, batch: int | None = None, salt: str = "neg",
                    group: tuple[str, ...] = (), prefix: str = "ng") -> tuple[list[str], str]:
     """CTEs reproducing :func:`sample_negatives`; returns (ctes, final relation name).
 
     The final relation has every column of ``src`` plus ``out``.
     """
     g = list(group)
-    part = ", ".join(g + ["_batch"])
-    if g:
-        sizes = f"{prefix}_g as (select {', '.join(g)}, count(*) as _gn from {src} group by {', '.join(g)})"
-        join = f"join {prefix}_g using ({', '.join(g)})"
-    else:
-        sizes = f"{prefix}_g as (select count(*) as _gn from {src})"
-        join = f"cross join {prefix}_g"
-    on = " and ".join([f"a.{c} = b.{c}" for c in g] + ["a._batch = b._batch", "a._j = b._i"])
+    part = f"partition by {', '.join(g)}" if g else ""
+    on = " and ".join([f"a.{c} = b.{c}" for c in g] + ["a._t = b._p"])
+    run = f"least(_p // {batch}, greatest(1, cast(ceil((_gn - 1) / {batch}) as bigint)) - 1) * {batch}" if batch else "0"
+    size = f"case when _lo // {batch} = greatest(1, cast(ceil((_gn - 1) / {batch}) as bigint)) - 1 then _gn - _lo else {batch} end" if batch else "_gn"
     ctes = [
-        sizes,
-        f"""{prefix}_b as (select s.*, {hkey_sql(f"'{salt}'", 's.' + key)} as _h, _gn from {src} s {join})""",
-        f"""{prefix}_c as (select *, _h % greatest(1, cast(ceil(_gn / {batch}) as bigint)) as _batch from {prefix}_b)""",
-        f"""{prefix}_i as (select *, row_number() over (partition by {part} order by _h, {key}) - 1 as _i,
-  count(*) over (partition by {part}) as _n from {prefix}_c)""",
-        f"""{prefix}_j as (select *, case when _n > 1 then (_i + 1 + {hkey_sql(f"'{salt}|pick'", key)} % (_n - 1)) % _n end as _j
-  from {prefix}_i)""",
-        f"""{prefix} as (select a.* exclude (_h, _gn, _batch, _i, _n, _j), b.{answer} as {out}
+        f"""{prefix}_b as (select s.*, {hkey_sql(f"'{salt}'", 's.' + key)} as _h from {src} s)""",
+        f"""{prefix}_i as (select *, row_number() over ({part} order by _h, {key}) - 1 as _p, count(*) over ({part}) as _gn
+  from {prefix}_b)""",
+        f"{prefix}_l as (select *, {run} as _lo from {prefix}_i)",
+        f"{prefix}_n as (select *, {size} as _n from {prefix}_l)",
+        f"""{prefix}_j as (select *, case when _n > 1 then _lo + (_p - _lo + 1 + {hkey_sql(f"'{salt}|pick'", key)} % (_n - 1)) % _n end as _t
+  from {prefix}_n)""",
+        f"""{prefix} as (select a.* exclude (_h, _p, _gn, _lo, _n, _t), b.{answer} as {out}
   from {prefix}_j a join {prefix}_j b on {on})""",
     ]
     return ctes, prefix

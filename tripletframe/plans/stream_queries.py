@@ -120,7 +120,7 @@ _DIR_SQL = ", ".join(
     f"{{'direction': '{d}', 'input_text': {i}, 'target_text': {t}, 'expected': {lab}}}" for d, i, t, lab in I.DIRECTIONS)
 
 
-@query("i4_four_directions", f"""with tr as ({_neg_query(T.DEFAULT_BATCH)}),
+@query("i4_four_directions", f"""with tr as ({_neg_query()}),
 u as (select row_id, unnest([{_DIR_SQL}]) as d from tr)
 select row_id, d.direction as direction, d.input_text as input_text, d.target_text as target_text, d.expected as expected from u""",
        views=["fx_pairs"])
@@ -161,7 +161,7 @@ def _i2_sql():
     from tripletframe.plans.scoring_queries import _PAD_SQL
     from tripletframe.sources.fixtures import hashed_vectors_sql, text_tokens_sql
 
-    return f"""with tr as ({_neg_query(T.DEFAULT_BATCH)}),
+    return f"""with tr as ({_neg_query()}),
 u as (select row_id, unnest([{_DIR_SQL}]) as d from tr),
 dd as (select row_id, d.direction as direction, d.input_text as input_text, d.target_text as target_text from u),
 txt as (select distinct text, {hkey_sql('text')} as text_id from (select input_text as text from dd union select target_text from dd)),

@@ -49,12 +49,12 @@ def t2_dedupe_triplets(spark, sf):
     return T.dedupe_triplets(u.drop("neutral"))
 
 
-def _neg_query(batch):
+def _neg_query(batch=None):
     ctes, rel = negatives_ctes("fx_pairs", "correct_answer", "row_id", "incorrect_answer", batch)
     return with_ctes(ctes, f"select row_id, premise, correct_answer, incorrect_answer from {rel}")
 
 
-@query("t3_sample_negatives", _neg_query(T.DEFAULT_BATCH), views=["fx_pairs"])
+@query("t3_sample_negatives", _neg_query(), views=["fx_pairs"])
 def t3_sample_negatives(spark, sf):
     x = view(spark, sf, "fx_pairs").drop("raw_score")
     return T.sample_negatives(x).select("row_id", "premise", "correct_answer", "incorrect_answer")
@@ -106,7 +106,7 @@ def _t6_sql():
         """src as (select row_id, array_to_string(answer[1:len(answer) - 1], ' ') as premise, answer[-1] as correct_answer
   from lists where len(answer) > 1)""",
     ]
-    nctes, rel = negatives_ctes("src", "correct_answer", "row_id", "incorrect_answer", T.DEFAULT_BATCH)
+    nctes, rel = negatives_ctes("src", "correct_answer", "row_id", "incorrect_answer")
     return with_ctes(ctes + nctes, f"""select row_id, premise, correct_answer, incorrect_answer from {rel}
 where premise is not null and correct_answer is not null and incorrect_answer is not null""")
 
@@ -131,7 +131,7 @@ def _t8_sql():
   union all select row_id * 2 + 1, correct_answer, premise, split_part(correct_answer, '.', 1) from fx_pairs)""",
         "tv2 as (select * from tv where premise is not null and correct_answer is not null and _first is not null)",
     ]
-    nctes, rel = negatives_ctes("tv2", "_first", "row_id", "incorrect_answer", T.DEFAULT_BATCH)
+    nctes, rel = negatives_ctes("tv2", "_first", "row_id", "incorrect_answer")
     return with_ctes(ctes + nctes, f"""select row_id, premise, correct_answer, incorrect_answer from {rel}
 where length(premise) > 3 and length(correct_answer) > 3 and length(incorrect_answer) > 3""")
 
@@ -156,7 +156,7 @@ def _t9_sql():
   case label when 0 then 'SUPPORTS' when 2 then 'REFUTES' when 1 then 'NOT_ENOUGH_INFO' end as evidence_label from fx_labeled)""",
         """sup as (select row_id, split, evidence as premise, claim as correct_answer from fact where evidence_label = 'SUPPORTS')""",
     ]
-    nctes, rel = negatives_ctes("sup", "correct_answer", "row_id", "incorrect_answer", T.DEFAULT_BATCH, group=("split",))
+    nctes, rel = negatives_ctes("sup", "correct_answer", "row_id", "incorrect_answer", group=("split",))
     return with_ctes(ctes + nctes, f"""select row_id, split, premise, correct_answer, incorrect_answer from {rel}
 where correct_answer is not null and incorrect_answer is not null""")
 
