@@ -168,6 +168,14 @@ def test_windows_score_every_id_once():
     assert all(x[r, c] == target[r, c] - 1 for r, c in zip(b, i) if target[r, c] not in starts)
 
 
+def test_later_windows_give_eight_ids_of_context():
+    flat, sizes = np.arange(300) % 50, np.array([100, 200])
+    x, target, fresh = windows(flat, sizes)
+    later = np.isin(target[:, 0], (0, 100), invert=True)
+    assert x.shape[1] == 32 and later.any() and not fresh[later, :8].any()  # a scored id follows its window's 8 ids of context at least
+    assert sorted(target[fresh]) == list(range(300))
+
+
 def test_attention_is_causal_normalised_and_learns():
     rng = np.random.default_rng(0)
     classes = rng.integers(0, lm.CLASSES, 200)
