@@ -231,6 +231,57 @@ def test_lm_scores(spark, edge, none):
     assert lm.lm_scores(none, Q.BYTE_BPE).count() == 0
 
 
+def test_attention_learns_from_every_training_document(spark, monkeypatch):
+    docs = [(i, "red green blue " * 6) for i in range(3000)] + [(i, "quartz violin harbor " * 6) for i in range(3000, 3010)]
+    learned = [(i, t) for i, t in docs if zlib.crc32(str(i).encode()) % 10]
+    made, train = [], lm.train
+
+    def keep(coded, n_slices, id_counts):
+        flat = np.concatenate([np.frombuffer(r.ids, np.uint16) for r in coded.collect()])
+        made.append((flat, id_counts, *train(coded, n_slices, id_counts)))
+        return made[-1][2:]
+
+    monkeypatch.setattr(lm, "train", keep)
+    rows = lm.lm_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), Q.BYTE_BPE, slice_bytes=10_000).collect()
+    flat, id_counts, model, losses = made[0]
+    assert (np.bincount(flat, minlength=len(id_counts)) == id_counts).all()  # every id of every training document
+    codec = lm.WordIds(Q.BYTE_BPE)
+    rare, _ = codec.coded([b"quartz", b"violin", b"harbor"])
+    start = Attention(model.classes, model.share).p["E"]
+    assert any(i >= 3000 for i, _ in learned) and (model.p["E"][rare] != start[rare]).any(axis=1).all()
+    assert (model.classes[rare] < lm.CLASSES - 1).all() and losses[1] < losses[0]
+    assert len(rows) == len(docs)
+
+
+def test_epoch_of_one_slice_is_local_adam_and_slices_average(spark):
+    rng = np.random.default_rng(3)
+    runs = [rng.integers(0, 40, 200) for _ in range(20)]
+    counts = np.bincount(np.concatenate(runs), minlength=300).astype(float)
+    frame = spark.createDataFrame([(k, r.astype(np.uint16).tobytes(), np.array([len(r)]).tobytes()) for k, r in enumerate(runs)], "slice long, ids binary, sizes binary")
+    column = np.full(300, -1)
+    column[np.argsort(-counts, kind="stable")[: lm.COMMON]] = np.arange(lm.COMMON)
+    co = lm.all_neighbours(frame, 20, column)
+    want = np.zeros_like(co)
+    for r in runs:
+        for a, b in zip(r, r[1:]):
+            want[a, column[b]] += 1
+            want[b, lm.COMMON + column[a]] += 1
+    assert (co == want).all()
+    model, _ = lm.train(frame, 20, counts)
+    own = Attention(model.classes, model.share)
+    for epoch in range(lm.EPOCHS):
+        new = []
+        for r in runs:
+            part = Attention(model.classes, model.share)
+            part.p = {k: v.copy() for k, v in own.p.items()}
+            x, t, f = windows(r, np.array([len(r)]))
+            part.train(x, part.classes[r[t]], f.astype(np.float32), only=epoch)
+            new.append(part.p)
+        share = np.array([np.bincount(r, minlength=300) for r in runs]) / np.maximum(counts, 1)
+        own.p = {k: v + (sum(s[:, None] * (n[k] - v) for s, n in zip(share, new)) if k == "E" else np.mean([n[k] - v for n in new], axis=0)) for k, v in own.p.items()}
+    assert all(np.allclose(own.p[k], model.p[k], atol=1e-4) for k in own.p)
+
+
 # SimHash
 
 def brute_prints(rows, width=4):
