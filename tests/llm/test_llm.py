@@ -456,6 +456,27 @@ def test_local_search_empties_bins_and_keeps_pieces():
     assert packing._exchange(5, 1, [0], [4]) == (0,)  # one for one
 
 
+def test_local_search_looks_at_every_underfull_bin():
+    size = np.array([99] * 70 + [30, 30])  # more bins with room for one id than any window of the fullest
+    assert len(packing.local_search([[i] for i in range(72)], size, 100)) == 71
+    rng = np.random.default_rng(4)
+    left = 0
+    for sizes in (rng.integers(700, 1300, 400), rng.integers(400, 1100, 400), rng.integers(1, 2047, 300)):
+        bins = packing.local_search(packing.best_fit(sizes, 2048), sizes, 2048)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        fill = [int(sizes[b].sum()) for b in bins]
+        assert max(fill) <= 2048
+        if len(bins) == -(-int(sizes.sum()) // 2048):
+            continue
+        left += 1
+        for g, own in enumerate(bins):  # no improving move or exchange is left
+            for k, other in enumerate(bins):
+                if k != g and fill[k] < 2048:
+                    sums = {0, *(int(sizes[i]) for i in other), *(int(sizes[i] + sizes[j]) for n, i in enumerate(other) for j in other[:n])}
+                    assert not any(0 < s - v <= 2048 - fill[k] and fill[k] + s - v > fill[g] for s in map(int, sizes[own]) for v in sums if fill[g] < 2048)
+    assert left
+
+
 # registered queries and the pipeline
 
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))

@@ -6,8 +6,9 @@ a hash into groups of about ``GROUP_PIECES`` (a group never depends on source or
 content, so none is hot). A group is packed by best fit in decreasing order,
 then its underfull bins take part in a local search: pieces move to a bin
 where they fit, one piece is exchanged for one or for two of another bin,
-always raising the sum of squared fills, until bins are empty. Each group
-leaves at most a bin or two part-filled.
+always raising the sum of squared fills, until the bins are as few as can be or
+no such step is left among all underfull bins. Bins are looked up by their room
+and by what they could give back (sets of sizes as bits of a number).
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from tripletframe.llm.common import stash
 
 CAPACITY = 2048
 GROUP_PIECES = 20_000
-#: Local search works on this many underfull bins at a time (all are visited, emptiest first).
-SEARCH_BINS = 64
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -78,44 +77,125 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, width: int = SEARCH_BINS) -> list[list[int]]:
+def _offers(sizes: list[int]) -> int:
+    """Bits of what a bin can give back for a piece: nothing, the size of a piece, the sum of two."""
+    single = twice = 0
+    for v in sizes:
+        twice |= (single >> v & 1) << 2 * v
+        single |= 1 << v
+    out = 1 | single | twice
+    for v in set(sizes):
+        out |= (single & ~(1 << v)) << v
+    return out
+
+
+class _Rooms:
+    """Underfull bins by room, with the offers of the bins of each room joined; a bin's stamp is when it last changed."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.rooms: list[int] = []  # rooms that have bins, sorted
+        self.bins: dict[int, dict[int, int]] = {}  # room -> bin -> its offers
+        self.joined: dict[int, int] = {}  # room -> offers of all its bins (and maybe of bins that left)
+        self.stamp: dict[int, int] = {}
+        self.newest: dict[int, int] = {}  # room -> a stamp not below its bins'
+
+    def put(self, k: int, fill: int, offers: int) -> None:
+        room = self.capacity - fill
+        if room not in self.bins:
+            bisect.insort(self.rooms, room)
+            self.bins[room], self.joined[room], self.newest[room] = {}, 0, -1
+        self.bins[room][k] = offers
+        self.joined[room] |= offers
+        self.newest[room] = max(self.newest[room], self.stamp[k])
+
+    def take(self, k: int, fill: int) -> int:
+        room = self.capacity - fill
+        offers = self.bins[room].pop(k)
+        if not self.bins[room]:
+            self.rooms.pop(bisect.bisect_left(self.rooms, room))
+            del self.bins[room], self.joined[room], self.newest[room]
+        return offers
+
+    def partner(self, give: int, own_room: int, since: int) -> int | None:
+        """The fullest bin changed after ``since`` that gets fuller than the giver by taking a piece of ``give``."""
+        for room in self.rooms:
+            low, high = max(0, give - room), give - max(1, room - own_room + 1)  # sums that may come back
+            if high < low or self.newest[room] <= since:
+                continue
+            wanted = (1 << high + 1) - (1 << low)
+            if not self.joined[room] & wanted:
+                continue
+            every = 0
+            for k, offers in self.bins[room].items():
+                if offers & wanted and self.stamp[k] > since:
+                    return k
+                every |= offers
+            self.joined[room] = every
+        return None
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Empty underfull bins by moves and exchanges that raise the sum of squared fills.
 
     The emptiest bin gives: a piece is moved into the fullest bin with room for
     it, or exchanged for one or for two pieces of another bin that together are
-    smaller, so that the other bin gets fuller than the giver was. A bin that
-    can give nothing more is settled and the next one follows. The search ends
-    when no fewer bins could hold all pieces.
+    smaller, so that the other bin gets fuller than the giver was. When a bin can
+    give nothing more to any other the next one follows; it can still receive, and
+    is tried again with the bins that have changed since. The search ends when
+    no fewer bins could hold all pieces or no bin can give anything.
     """
     size = lengths.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
-    count = len(bins)
-    waiting = sorted((fill[k], k) for k in range(len(bins)) if fill[k] < capacity)
-    while count > least and len(waiting) > 1:
-        _, giver = waiting.pop(0)
-        while bins[giver] and (step := _step(giver, [k for _, k in waiting[-width:][::-1]], bins, fill, size, capacity)):
-            i, k, back = step
-            gain = size[i] - sum(size[j] for j in back)
-            bins[giver] = [x for x in bins[giver] if x != i] + list(back)
-            bins[k] = [x for x in bins[k] if x not in back] + [i]
-            waiting.remove((fill[k], k))
-            fill[giver] -= gain
-            fill[k] += gain
+    count, now, moved = len(bins), 0, len(bins) > least
+    rooms = _Rooms(capacity)
+    tried: dict[int, int] = {}  # bin -> when it could give nothing
+    if moved:
+        for k in range(len(bins)):
             if fill[k] < capacity:
-                bisect.insort(waiting, (fill[k], k))
-        count -= not bins[giver]
+                rooms.stamp[k] = now
+                rooms.put(k, fill[k], _offers([size[i] for i in bins[k]]))
+    while moved and count > least:
+        moved = False
+        for _, giver in sorted((capacity - r, k) for r in rooms.rooms for k in rooms.bins[r]):
+            if count <= least:
+                break
+            if fill[giver] >= capacity:
+                continue
+            offers, since, gave = rooms.take(giver, fill[giver]), tried.get(giver, -1), False
+            while bins[giver] and (step := _step(giver, rooms, bins, fill, size, capacity, since)):
+                i, k, back = step
+                gain = size[i] - sum(size[j] for j in back)
+                rooms.take(k, fill[k])
+                bins[giver] = [x for x in bins[giver] if x != i] + list(back)
+                bins[k] = [x for x in bins[k] if x not in back] + [i]
+                fill[giver] -= gain
+                fill[k] += gain
+                now += 1
+                rooms.stamp[k] = rooms.stamp[giver] = now
+                tried.pop(k, None)
+                if fill[k] < capacity:
+                    rooms.put(k, fill[k], _offers([size[x] for x in bins[k]]))
+                since, gave, moved = -1, True, True
+            if bins[giver]:
+                rooms.put(giver, fill[giver], _offers([size[x] for x in bins[giver]]) if gave else offers)
+                tried[giver] = now
+            count -= not bins[giver]
     return [b for b in bins if b]
 
 
-def _step(giver: int, others: list[int], bins: list[list[int]], fill: list[int], size: list[int], capacity: int) -> tuple[int, int, tuple[int, ...]] | None:
+def _step(giver: int, rooms: _Rooms, bins: list[list[int]], fill: list[int], size: list[int], capacity: int, since: int) -> tuple[int, int, tuple[int, ...]] | None:
     """A piece of the giver, the bin that gets it, and what comes back."""
+    looked = set()
     for i in sorted(bins[giver], key=lambda i: -size[i]):
-        for k in others:
+        if size[i] in looked:
+            continue
+        looked.add(size[i])
+        k = rooms.partner(size[i], capacity - fill[giver], since)
+        if k is not None:
             room = capacity - fill[k]
-            back: tuple[int, ...] | None = () if size[i] <= room else _exchange(size[i], room, bins[k], size)
-            if back is not None and fill[k] + size[i] - sum(size[j] for j in back) > fill[giver]:
-                return i, k, back
+            return i, k, () if size[i] <= room else _exchange(size[i], room, bins[k], size)
     return None
 
 
