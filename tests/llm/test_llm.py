@@ -448,6 +448,13 @@ def test_packing_edges(spark, edge, none):
     assert packing.pack(packing.pieces(none, Q.WORD_BPE).drop("ids")).count() == 0
 
 
+def test_packing_spreads_repeated_and_null_ids(spark):
+    row = "cast(null as long) as doc_id, 0 as piece, 0L as start, 7L as length, 9L as ids_crc32"
+    rows = packing.pack(spark.range(3000).selectExpr(*row.split(", ")), capacity=64, group_pieces=100).collect()
+    groups = Counter(r.sequence_id % 30 for r in rows)
+    assert len(rows) == 3000 and len(groups) == 30 and max(groups.values()) < 200
+
+
 def test_local_search_empties_bins_and_keeps_pieces():
     size = np.array([6, 6, 4, 3, 3, 2, 5, 5, 3, 3])
     bins = packing.local_search([[0], [1], [2, 3], [4, 5], [6], [7], [8, 9]], size, 10)

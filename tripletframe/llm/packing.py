@@ -2,8 +2,8 @@
 
 Documents become id runs ending in an end id; only runs longer than a sequence
 are cut. Full pieces are sequences of their own. The other pieces are dealt by
-a hash into groups of about ``GROUP_PIECES`` (a group never depends on source or
-content, so none is hot). A group is packed by best fit in decreasing order,
+a hash of the whole row and its number in the written table into groups of about
+``GROUP_PIECES`` (so no repeated or null id, nor a repeated row, makes one hot). A group is packed by best fit in decreasing order,
 then its underfull bins take part in a local search: pieces move to a bin
 where they fit, one piece is exchanged for one or for two of another bin,
 always raising the sum of squared fills, until the bins are as few as can be or
@@ -237,7 +237,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
         return pdf[columns].assign(sequence_id=pdf["grp"].to_numpy() + groups * of, offset=ends - lengths[rows] - base[of])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields), "sequence_id long, offset long"])
-    packed = (short.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # numbered over the stashed table itself, whose splits do not change between attempts
+    packed = (short.withColumn("grp", F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(groups)))
               .groupBy("grp").applyInPandas(fill, schema))
     whole = cut.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(whole)
