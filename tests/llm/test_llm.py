@@ -405,6 +405,22 @@ def test_toxicity_edges_and_accuracy(spark, edge, none):
     assert toxicity.reject_toxic(docs, marks).count() == 300
 
 
+def test_neighbours_by_lists_and_blocks_are_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "HEAD", 6)
+    test_nearest_examples_are_exact()
+
+
+def test_copy_of_a_toxic_example_with_rare_words_finds_it(spark):
+    own = ["".join(chr(97 + int(c)) for c in str(i)) for i in range(300)]
+    learned = next(i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 5)
+    rare = "zephyr quixotic vamoose jabberwock krill"
+    docs = spark.createDataFrame([(i, ("idiot moron scum " if i % 4 == 0 else "") + f"the w{x} of r{x} s{x}") for i, x in enumerate(own)] + [(learned, rare), (1000, rare), (1001, "unheard")], "doc_id long, text string")
+    marks = docs.where("doc_id < 1000").selectExpr("doc_id", f"cast(doc_id % 4 = 0 or doc_id = {learned} as int) as toxic")
+    rows = {r.doc_id: r for r in toxicity.toxicity(docs, marks).collect()}
+    assert rows[1000].evidence[0].doc_id == learned and rows[1000].evidence[0].similarity == pytest.approx(1)
+    assert rows[1000].score >= 0.5 > rows[1].score
+
+
 # top-k
 
 def test_top_inner_products_edges(spark, monkeypatch):

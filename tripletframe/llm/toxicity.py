@@ -2,12 +2,14 @@
 
 The classifier is fitted on a bounded sample of labelled training rows
 (``per_class`` of each label, chosen by a hash of the id). Terms are words and
-word beginnings (so that inflected forms share terms); the ``terms`` of them
-that tell the labels apart best in the sample are the vocabulary. Their
-document frequencies are counted over all documents. The examples' unit vectors
-lie in an inverted index cut into blocks; per term and block the largest weight
-bounds what any example of the block can score, so blocks below a document's
-k-th best similarity are skipped and the neighbours are still exact. Neighbours
+word beginnings (so that inflected forms share terms); all terms of the sampled
+examples are the vocabulary. Their document frequencies are counted over all
+documents; a term's weight rises with how well it tells the labels apart in the
+sample (log-likelihood ratio). The examples' unit vectors lie in an inverted
+index: lists for most terms, and blocks of examples for the commonest (``HEAD``).
+The lists are added up exactly; per common term and block the largest weight
+bounds what any example of the block can score besides, so blocks below a
+document's k-th best similarity are skipped and the neighbours are still exact. Neighbours
 vote with weights that fall with distance; a logistic fit of leave-one-out votes,
 weighted to the labels' shares among all labelled training rows, calibrates them.
 """
@@ -17,23 +19,28 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import slices, small_batches, stash
+from tripletframe.llm.common import slices, small_batches, starts_of
 
 #: Bound of the fitted sample: labelled rows of each class.
 PER_CLASS = 3000
-TERMS = 512
-#: A term must be in this many examples and reach this log-likelihood ratio.
+#: A term in this many examples that reaches this log-likelihood ratio gets more weight.
 LEAST_DOCS, LEAST_RATIO = 5, 25.0
+#: So many of the commonest terms are kept in blocks, the others in lists.
+HEAD = 1024
+#: Words whose terms a task remembers.
+CACHE_WORDS = 500_000
 NEIGHBOURS = 15
 BLOCK = 64
+BATCH = 128  # texts looked up at once
 BEGINNINGS = range(3, 8)  # bytes
-MARK = b"\0"  # begins the rows of an example's signatures, no term
 _BLANK = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
 
@@ -47,49 +54,109 @@ def terms_of(word: bytes) -> list[bytes]:
     return [word + b"$", *(word[:k] for k in BEGINNINGS if len(word) >= k)]
 
 
+class Sparse(NamedTuple):
+    """Nonzero entries of a matrix, by row."""
+
+    row: np.ndarray
+    term: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Sparse:
+        row, term = np.nonzero(dense)
+        return cls(row, term, dense[row, term], dense.shape)
+
+
+class _Words(dict):
+    """Packed term numbers of words, looked up once."""
+
+    def __init__(self, number: dict[bytes, int]):
+        self.number = number
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        own = self[word] = np.array([i for i in map(self.number.get, terms_of(word)) if i is not None], np.int32).tobytes()
+        return own
+
+
 class Vocabulary:
-    """Counts of chosen terms in a text; a word is looked at closely only if its first bytes begin some term."""
+    """Counts of terms in texts."""
 
     def __init__(self, terms: list[bytes]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.heads = {t.rstrip(b"$")[:3] for t in terms}
-
-    def counts(self, text: bytes) -> Counter:
-        heads, number, out = self.heads, self.number, Counter()
-        for w in words_of(text):
-            if w[:3] in heads:
-                out.update(i for i in map(number.get, terms_of(w)) if i is not None)
-        return out
+        self.words, self.size = _Words({t: i for i, t in enumerate(terms)}), len(terms)
 
+    def counts(self, texts: list[bytes]) -> Sparse:
+        runs = [b"".join(map(self.words.__getitem__, words_of(t))) for t in texts]
+        size = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        key, n = np.unique(np.repeat(np.arange(len(texts)), size) * max(1, self.size) + np.frombuffer(b"".join(runs), np.int32), return_counts=True)
+        return Sparse(*np.divmod(key, max(1, self.size)), n.astype(float), (len(texts), self.size))
 
-class Index:
-    """Block-max inverted index over unit vectors of the examples; exact neighbours for batches of queries."""
 
-    def __init__(self, vectors: np.ndarray, labels: np.ndarray, ids: np.ndarray, k: int):
-        full = np.flatnonzero(vectors.any(axis=1))
-        order = full[np.lexsort((ids[full], vectors[full].argmax(axis=1) if len(full) else full))]  # like beside like: tight bounds
+class Index:
+    """Inverted index over unit vectors of the examples, with block maxima for common terms; exact neighbours for batches of queries."""
+
+    def __init__(self, vectors: np.ndarray | Sparse, labels: np.ndarray, ids: np.ndarray, k: int):
+        v = vectors if isinstance(vectors, Sparse) else Sparse.of(vectors)
+        found = np.bincount(v.term, minlength=v.shape[1])
+        head = np.sort(np.argsort(-found, kind="stable")[:HEAD])
+        self.column = np.full(v.shape[1], -1)  # place of a common term
+        self.column[head] = np.arange(len(head))
+        dense = self._head(v)
+        has = np.bincount(v.row, minlength=v.shape[0]) > 0
+        full = np.flatnonzero(has)
+        order = full[np.lexsort((ids[full], dense[full].argmax(axis=1) if len(full) and len(head) else full))]  # like beside like: tight bounds
         self.labels, self.ids, self.k = labels[order], ids[order], k
-        empty = labels[~vectors.any(axis=1)]
+        empty = labels[~has]
         self.empty_vote = float(empty.mean()) if len(empty) else float(labels.mean()) if len(labels) else 0.0
         self.blocks = []
-        v = vectors[order]
-        for a in range(0, len(v), BLOCK):
-            part = v[a : a + BLOCK]
+        dense = dense[order]
+        for a in range(0, len(dense), BLOCK):
+            part = dense[a : a + BLOCK]
             terms = np.flatnonzero(part.any(axis=0))  # the block's inverted lists
             self.blocks.append((a, terms, np.ascontiguousarray(part[:, terms].T)))
-        self.most = np.array([[*w] for w in (v[a : a + BLOCK].max(axis=0) for a, _, _ in self.blocks)]) if self.blocks else np.zeros((0, vectors.shape[1]))
+        self.most = np.array([dense[a : a + BLOCK].max(axis=0) for a, _, _ in self.blocks]) if self.blocks else np.zeros((0, len(head)))
+        place = np.zeros(v.shape[0], np.int64)
+        place[order] = np.arange(len(order))
+        rare = np.flatnonzero(self.column[v.term] < 0)
+        rare = rare[np.lexsort((place[v.row[rare]], v.term[rare]))]
+        self.lists, self.weights = place[v.row[rare]].astype(np.int32), v.value[rare]
+        self.begin = starts_of(np.bincount(v.term[rare], minlength=v.shape[1]))
+
+    def _head(self, v: Sparse) -> np.ndarray:
+        out = np.zeros((v.shape[0], int(self.column.max(initial=-1)) + 1))
+        c = self.column[v.term]
+        out[v.row[c >= 0], c[c >= 0]] = v.value[c >= 0]
+        return out
+
+    def _tail(self, v: Sparse) -> np.ndarray:
+        """What the lists add to the similarity of every query and example."""
+        rare = self.column[v.term] < 0
+        row, term, value = v.row[rare], v.term[rare], v.value[rare]
+        out = np.zeros((v.shape[0], len(self.labels)))
+        cuts = np.searchsorted(row, np.arange(v.shape[0] + 1))
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):  # one query's lists at a time in memory
+            start, n = self.begin[term[a:b]], self.begin[term[a:b] + 1] - self.begin[term[a:b]]
+            at = np.repeat(start - starts_of(n)[:-1], n) + np.arange(n.sum())
+            out[k] = np.bincount(self.lists[at], np.repeat(value[a:b], n) * self.weights[at], len(self.labels))
+        return out
 
-    def nearest(self, queries: np.ndarray, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, queries: np.ndarray | Sparse, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and example numbers (k per query, best first, -1 where there are fewer); ties to smaller numbers."""
-        n, k = len(queries), self.k
+        q = queries if isinstance(queries, Sparse) else Sparse.of(queries)
+        n, k = q.shape[0], self.k
         best, who = np.zeros((n, k)), np.full((n, k), -1, np.int64)
-        bound = queries @ self.most.T
+        if not self.blocks:
+            return best, who
+        head, tail = self._head(q), self._tail(q)
+        bound = head @ self.most.T + np.maximum.reduceat(tail, [a for a, _, _ in self.blocks], axis=1)
         for b in np.argsort(-bound.sum(axis=0), kind="stable"):
             live = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= best[:, -1] - 1e-9))
             if not len(live):
                 continue
             a, terms, weights = self.blocks[b]
-            sims = np.round(queries[np.ix_(live, terms)] @ weights, 12)
+            sims = np.round(head[np.ix_(live, terms)] @ weights + tail[live, a : a + weights.shape[1]], 12)
             number = np.broadcast_to(np.arange(a, a + weights.shape[1]), sims.shape)
             if leave is not None:
                 sims = np.where(number == leave[live][:, None], 0, sims)
@@ -114,33 +181,25 @@ class Model:
         self.vocabulary, self.idf, self.index = Vocabulary(terms), idf, index
         self.slope, self.offset, self.constant = slope, offset, constant
 
-    def vectors(self, counts: list[Counter]) -> np.ndarray:
-        return unit_vectors(counts, self.idf)
-
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[list]]:
         """Score and evidence (example id, label, similarity of the nearest three) of each text."""
         if self.constant is not None:
             return np.full(len(texts), self.constant), [[] for _ in texts]
-        counts = [self.vocabulary.counts(t) for t in texts]
         vote, evidence = np.full(len(texts), self.index.empty_vote), [[] for _ in texts]
-        some = [i for i, c in enumerate(counts) if c]
-        for a in range(0, len(some), 512):
-            part = some[a : a + 512]
-            best, who = self.index.nearest(self.vectors([counts[i] for i in part]))
-            vote[part] = self.index.votes(best, who)
-            for i, s, w in zip(part, best[:, :3].tolist(), who[:, :3].tolist()):
+        for a in range(0, len(texts), BATCH):
+            queries = unit_vectors(self.vocabulary.counts(texts[a : a + BATCH]), self.idf)
+            best, who = self.index.nearest(queries)
+            some = np.unique(queries.row)
+            vote[a + some] = self.index.votes(best[some], who[some])
+            for i, s, w in zip((a + some).tolist(), best[some, :3].tolist(), who[some, :3].tolist()):
                 evidence[i] = [{"doc_id": int(self.index.ids[k]), "toxic": int(self.index.labels[k]), "similarity": x} for x, k in zip(s, w) if k >= 0]
         return 1 / (1 + np.exp(-(self.slope * vote + self.offset))), evidence
 
 
-def unit_vectors(counts: list[Counter], idf: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(counts), len(idf)))
-    for i, c in enumerate(counts):
-        if c:
-            k = np.fromiter(c, np.int64, len(c))
-            out[i, k] = (1 + np.log(np.fromiter(c.values(), float, len(c)))) * idf[k]
-            out[i] /= np.sqrt((out[i] ** 2).sum())
-    return out
+def unit_vectors(counts: Sparse, weight: np.ndarray) -> Sparse:
+    value = (1 + np.log(counts.value)) * weight[counts.term]
+    norm = np.sqrt(np.bincount(counts.row, value**2, counts.shape[0]))
+    return counts._replace(value=value / norm[counts.row])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -176,25 +235,20 @@ def _unlike(signatures) -> list[tuple[int, int]]:
     return out
 
 
-def spark_ids(docs: DataFrame, ids: list[int]) -> DataFrame:
-    return docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-
-
 def in_training(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds != 0
 
 
-def _ratio(pos: str, neg: str, n_pos: int, n_neg: int) -> Column:
-    """Log-likelihood ratio of a term's presence against the label."""
-    def part(k: Column, e: Column) -> Column:
-        return F.when(k > 0, k * F.log(k / e)).otherwise(0.0)
+def _ratio(p: np.ndarray, q: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Log-likelihood ratio of a term's presence (``p`` and ``q`` examples of label 1 and 0) against the label."""
+    def part(k: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return np.where(k > 0, k * np.log(np.where(k > 0, k, 1) / np.where(k > 0, e, 1)), 0.0)
 
-    p, q, n = F.col(pos), F.col(neg), float(n_pos + n_neg)
-    d = p + q
+    n, d = float(n_pos + n_neg), p + q
     return 2 * (part(p, d * n_pos / n) + part(q, d * n_neg / n) + part(n_pos - p, (n - d) * n_pos / n) + part(n_neg - q, (n - d) * n_neg / n))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on labelled rows whose crc32(doc_id) mod 5 is not 0; a null label is no label, a repeated id counts with its larger one."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -208,67 +262,75 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: i
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                out = ([], [], [], [])
-                for i, y, t in zip(part.column("doc_id").to_pylist(), part.column("toxic").to_pylist(), texts):
-                    counts = Counter(x for w in words_of(t) for x in terms_of(w))
-                    for k, v in enumerate(sketch(t)):
-                        counts[MARK + bytes([k]) + v] = 1
-                    for c, v in zip(out, ([i] * len(counts), [y] * len(counts), list(counts), list(counts.values()))):
-                        c.extend(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names=["doc_id", "toxic", "term", "tf"])
+                words = [Counter(words_of(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([sketch(t) for t in texts], pa.list_(pa.binary())), pa.array([b" ".join(c) for c in words], pa.binary()),
+                                                  pa.array([np.fromiter(c.values(), np.int64, len(c)).tobytes() for c in words], pa.binary())], names=["doc_id", "toxic", "signs", "words", "tf"])
 
     sample = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # bounded: 2 * per_class rows
-    bags = stash(sample.mapInArrow(explode, "doc_id long, toxic int, term binary, tf long"), "examples")
-    head = F.substring("term", 1, 1) == F.lit(MARK)
-    examples = _unlike(bags.where(head).select("doc_id", "toxic", "term").collect())
-    alone = spark_ids(docs, [d for d, _ in examples])
-    bags = bags.where(~head).join(F.broadcast(alone), "doc_id")
+    bags = sample.mapInArrow(bag, "doc_id long, toxic int, signs array<binary>, words binary, tf binary").toArrow().to_pylist()
+    examples = _unlike((r["doc_id"], r["toxic"], s) for r in bags for s in r["signs"])
     n_pos = sum(y for _, y in examples)
     n_neg = len(examples) - n_pos
     if not n_pos or not n_neg:
         return Model([], np.zeros(0), None, 0.0, 0.0, share[1] / (share[0] + share[1]))
-    chosen = (bags.groupBy("term").agg(F.sum("toxic").cast("double").alias("pos"), F.sum(1 - F.col("toxic")).cast("double").alias("neg"))
-              .where(F.col("pos") + F.col("neg") >= LEAST_DOCS).withColumn("ratio", _ratio("pos", "neg", n_pos, n_neg))
-              .where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(terms))
-    names = [bytes(r[0]) for r in chosen.select("term").collect()]
-    number = {t: i for i, t in enumerate(names)}
-    row = {d: k for k, (d, _) in enumerate(examples)}
-    counts = [Counter() for _ in examples]
-    for d, t, f in bags.join(F.broadcast(chosen.select("term")), "term").select("doc_id", "term", "tf").collect():
-        counts[row[d]][number[bytes(t)]] = f
-    n, df = _document_frequencies(docs, names)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    own = {r["doc_id"]: r for r in bags}
+    names, counts = _all_terms([(own[d]["words"].split(b" ") if own[d]["words"] else [], np.frombuffer(own[d]["tf"], np.int64)) for d, _ in examples])
+    del bags, own
     y, ids = np.array([y for _, y in examples]), np.array([d for d, _ in examples])
+    pos, neg = (np.bincount(counts.term[y[counts.row] == k], minlength=len(names)).astype(float) for k in (1, 0))
+    ratio = np.where(pos + neg >= LEAST_DOCS, _ratio(pos, neg, n_pos, n_neg), 0)
+    n, df = _document_frequencies(docs, names)
+    idf = (np.log((1 + n) / (1 + df)) + 1) * (1 + np.log1p(np.where(ratio >= LEAST_RATIO, ratio, 0)))
     vectors = unit_vectors(counts, idf)
+    del counts
     index = Index(vectors, y, ids, NEIGHBOURS)
     place = {d: k for k, d in enumerate(index.ids.tolist())}
     votes = np.full(len(y), index.empty_vote)
-    some = np.flatnonzero(vectors.any(axis=1))
-    for a in range(0, len(some), 512):
-        part = some[a : a + 512]
-        votes[part] = index.votes(*index.nearest(vectors[part], np.array([place[d] for d in ids[part].tolist()])))
+    for a in range(0, len(y), BATCH):
+        at = slice(*np.searchsorted(vectors.row, (a, a + BATCH)))
+        part = Sparse(vectors.row[at] - a, vectors.term[at], vectors.value[at], (min(BATCH, len(y) - a), len(names)))
+        some = np.unique(part.row)
+        best, who = index.nearest(part, np.array([place.get(d, -1) for d in ids[a : a + BATCH].tolist()]))
+        votes[a + some] = index.votes(best[some], who[some])
     weight = np.where(y == 1, share[1] / n_pos, share[0] / n_neg)
     slope, offset = logistic(votes, y, weight / weight.mean())
     return Model(names, idf, index, slope, offset, None)
 
 
+def _all_terms(bags: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[bytes], Sparse]:
+    """All terms of the examples' words (in byte order) and their counts by example."""
+    names = sorted({t for w in {w for words, _ in bags for w in words} for t in terms_of(w)})
+    known, rows, terms, values = _Words({t: i for i, t in enumerate(names)}), [], [], []
+    for k, (words, tf) in enumerate(bags):
+        runs = [known[w] for w in words]
+        own = np.frombuffer(b"".join(runs), np.int32)
+        term, at = np.unique(own, return_inverse=True)
+        rows.append(np.full(len(term), k, np.int32))
+        terms.append(term.astype(np.int32))
+        values.append(np.bincount(at, np.repeat(tf, [len(r) // 4 for r in runs]), len(term)).astype(np.int32))
+    return names, Sparse(np.concatenate(rows), np.concatenate(terms), np.concatenate(values), (len(bags), len(names)))
+
+
 def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
     """Number of documents and of documents with each term, over all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, df = Vocabulary(terms), np.zeros(len(terms) + 1, np.int64)
+        vocabulary = Vocabulary(shared.value)
+        df = np.zeros(vocabulary.size + 1, np.int64)
         for batch in batches:
             for _, texts in slices(batch, "text"):
                 df[-1] += len(texts)
-                for t in texts:
-                    df[list(vocabulary.counts(t))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df))), pa.array(df)], names=["term", "n"])
+                df[:-1] += np.bincount(vocabulary.counts(texts).term, minlength=vocabulary.size)
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "n"])
 
     total = np.zeros(len(terms) + 1, np.int64)
-    for t, n in docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n")).collect():
-        total[t] = n
+    found = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    total[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return int(total[-1]), total[:-1].astype(float)
 
 
