@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from tripletframe.llm import bpe, packing
 from tripletframe.llm.common import table
 from tripletframe.llm.exact_dedup import exact_dedup
+from tripletframe.llm.lexical_search import lexical_search
+from tripletframe.llm.line_dedup import line_dedup
 from tripletframe.llm.lm import lm_scores
+from tripletframe.llm.merkle import tampered_manifest
 from tripletframe.llm.simhash import simhash_dedup
 from tripletframe.llm.substring_dedup import substring_dedup
 from tripletframe.llm.token_counts import token_counts
@@ -155,6 +158,106 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_manifest(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+with recursive table32 as (
+  select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+docs as (
+  select row_number() over () as rid, doc_id, source, lang, n_chars, text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(cast(doc_id as varchar)) + 1), lambda k: cast(ascii(substr(cast(doc_id as varchar), k, 1)) as bigint))),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 as hit
+  from documents, table32),
+hashed as (
+  select rid, doc_id, lang, sha256({head} || {chars} || {tail}) as leaf, sha256({head} || {more} || {tail}) as other, coalesce(hit, false) as hit from docs),
+groups as (select lang, count(*) as n, row_number() over (order by lang nulls first) - 1 as tree from hashed group by lang),
+leaves as (
+  select h.*, g.tree, g.n, row_number() over (partition by g.tree order by doc_id nulls last, leaf) - 1 as pos
+  from hashed h join groups g on h.lang is not distinct from g.lang),
+nodes as (
+  select tree, 0 as level, pos, n, leaf as d from leaves
+  union all
+  select tree, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(d, '' order by pos)) from nodes where n > 1 group by tree, level, pos // 2, n),
+subroots as (select tree, level as height, d as subroot from nodes where n = 1),
+over as (
+  select 0 as level, tree as pos, (select count(*) from groups) as n, subroot as d from subroots
+  union all
+  select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(d, '' order by pos)) from over where n > 1 group by level, pos // 2, n),
+steps as (
+  select l.rid, r.level as step, l.pos >> r.level as spot, s.d
+  from leaves l join subroots u using (tree) join (select distinct level from nodes) r on r.level < u.height
+  left join nodes s on s.tree = l.tree and s.level = r.level and s.pos = xor(l.pos >> r.level, 1)
+  union all
+  select l.rid, 1000 + r.level, l.tree >> r.level, s.d
+  from leaves l join (select distinct level from over where n > 1) r on true
+  left join over s on s.level = r.level and s.pos = xor(l.tree >> r.level, 1)),
+proofs as (
+  select rid, sha256(coalesce(string_agg(d, '' order by step), '')) as proof_sha256,
+    list(case when d is null then '-' when spot & 1 = 1 then 'L' || d else 'R' || d end order by step) as path
+  from steps group by rid)
+select l.doc_id, l.leaf, u.subroot, o.d as root, coalesce(p.proof_sha256, sha256('')) as proof_sha256,
+  list_reduce(list_prepend(case when l.hit then l.other else l.leaf end, coalesce(p.path, [])),
+    lambda d, e: case e[1] when 'L' then sha256(e[2:] || d) when 'R' then sha256(d || e[2:]) else sha256(d) end) as folded_root,
+  folded_root = root as verified
+from leaves l join subroots u using (tree) join over o on o.n = 1 left join proofs p using (rid)
+"""
+
+
+def _field_sql(value: str) -> str:
+    return f"case when {value} is null then '-' else strlen(cast({value} as varchar)) || ':' || {value} end"
+
+
+OP11_SQL = (OP11_SQL.replace("{head}", " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang"))).replace("{chars}", _field_sql("n_chars"))
+            .replace("{more}", _field_sql("(cast(n_chars as hugeint) + 1)")).replace("{tail}", _field_sql("text")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=50)
+
+
+OP12_SQL = r"""
+with words as (
+  select rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select *, row_number() over () as rid from documents)),
+lengths as (select rid, any_value(doc_id) as doc_id, count(*) as n from words group by rid),
+total as (select count(*) as n_docs, sum(n) as n_terms from lengths),
+counts as (select rid, term, count(*) as tf from words group by rid, term),
+weights as (
+  select term, cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from counts, total group by term, n_docs),
+asked as (
+  select distinct number, item_id, term from (
+    select number, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select *, row_number() over () as number from benchmark))),
+scores as (
+  select number, a.item_id, l.rid, l.doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (cast(50 as hugeint) * n * n_docs) // n_terms)))) as bigint) as score
+  from asked a join weights using (term) join counts using (term) join lengths l using (rid), total group by all)
+select item_id, cast(row_number() over (partition by number order by score desc, doc_id nulls last) as integer) as rank, doc_id, score
+from scores where score > 0 qualify rank <= 50
+"""
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+with lines as (
+  select rid, doc_id, generate_subscripts(parts, 1) as nr, unnest(parts) as line
+  from (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents)),
+keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+often as (select key, max(doc_id) as top from keyed where length(key) >= 40 group by key having count(distinct rid) >= 5),
+marked as (select k.*, coalesce(o.top is not null and k.doc_id is distinct from o.top, false) as gone from keyed k left join often o using (key))
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by nr) filter (where not gone), '')) as kept_sha256
+from marked group by rid
+"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -166,5 +269,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_topk": op9_exact_topk,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_line_dedup": op13_line_dedup,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_warc_revisits": OP7_SQL, "op9_exact_topk": OP9_SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op7_warc_revisits": OP7_SQL, "op9_exact_topk": OP9_SQL,
+           "op11_merkle_manifest": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_line_dedup": OP13_SQL}
