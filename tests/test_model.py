@@ -74,17 +74,6 @@ def test_mauve_identical_is_one(spark):
     assert abs(C.mauve_from_clusters(df).first()["mauve"] - 1.0) < 1e-6
 
 
-def test_mauve_kmeans_path(spark):
-    from pyspark.ml.linalg import Vectors
-
-    rng = np.random.default_rng(6)
-    pts = [(Vectors.dense(rng.normal(size=3) + (4 if s == "q" else 0)), s) for s in ("p", "q") for _ in range(60)]
-    df = spark.createDataFrame(pts, ["features", "side"])
-    cl = C.kmeans_clusters(df, k=4)
-    m = C.mauve_from_clusters(cl.select("cluster", "side")).first()["mauve"]
-    assert 0.0 <= m < 0.5
-
-
 def test_attribution_reference_baseline_completeness(spark):
     """Closed-form pad term with the target's tokens as baseline, including target tokens beyond the input."""
     rng = np.random.default_rng(8)

@@ -1,4 +1,4 @@
-"""Model-backed and corpus-level scoring.
+"""Model-backed and corpus-level scoring.
 
 * E1 runs the sense network of the learned metric over the *vocabulary*
   (one forward per token, not per text position): since no layer mixes
@@ -6,7 +6,6 @@
   E2 turns any corpus into embeddings with joins.
 * E3 is the generic batched-inference hook: a model is loaded once per
   partition and applied to Arrow batches (``mapInPandas``).
-* E14 fits a pair-scoring model with ``pyspark.ml`` on labeled pairs.
 * E16 computes MAUVE from cluster histograms with Spark aggregates.
 """
 
@@ -128,25 +127,6 @@ def bag_embedding_model(vectors: dict, dim: int, length: int, pad: np.ndarray):
     return predict
 
 
-# ------------------------------------------------------------------ E14
-
-def learned_pair_score(features: DataFrame, feature_cols: Sequence[str], label_col: str = "label", out: str = "learned"):
-    """Fit a linear pair-scoring model on labeled pairs (pyspark.ml) and score every pair.
-
-    Pairs with a null feature or label are left out of the fit; those with a
-    null feature stay in the result with a null score.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    cols = list(feature_cols)
-    va = VectorAssembler(inputCols=cols, outputCol="_features", handleInvalid="keep")  # nulls become NaN
-    x = va.transform(features)
-    model = LinearRegression(featuresCol="_features", labelCol=label_col, predictionCol=out, regParam=0.0).fit(x.dropna(subset=[*cols, label_col]))
-    known = F.forall(F.array(*[F.col(c).isNotNull() for c in cols]), lambda k: k)
-    return model.transform(x).withColumn(out, F.when(known, F.col(out))).drop("_features"), model
-
-
 # ------------------------------------------------------------------ E16
 
 MAUVE_GRID = 25
@@ -161,6 +141,7 @@ def mauve_from_clusters(assign: DataFrame, side_col: str = "side", cluster_col:
     ``grid``-point weight grid (one exploded row per cluster and weight) ->
     KL(q||r), KL(p||r) sums -> curve exp(-scale * KL) with the two extreme
     points -> trapezoid area (windows over <= grid + 2 points per group).
+    A group with one side only has a null score.
     """
     if not group_cols:
         from tripletframe.operators.indexing import zero_of
@@ -194,18 +175,6 @@ def mauve_from_clusters(assign: DataFrame, side_col: str = "side", cluster_col:
     w = Window.partitionBy(*g).orderBy("x", F.col("y").desc())
     pts = pts.withColumn("_x2", F.lead("x").over(w)).withColumn("_y2", F.lead("y").over(w))
     area = (F.col("_x2") - F.col("x")) * (F.col("_y2") + F.col("y")) / 2
-    return pts.groupBy(*g).agg(F.sum(F.when(F.col("_x2").isNotNull(), area).otherwise(0.0)).alias("mauve"))
-
-
-def kmeans_clusters(features: DataFrame, k: int, feature_col: str = "features", seed: int = 42, pca_dim: int | None = None):
-    """Joint quantisation for E16: optional PCA then KMeans on both sides' features (pyspark.ml)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA
-
-    x = features
-    col = feature_col
-    if pca_dim:
-        x = PCA(k=pca_dim, inputCol=feature_col, outputCol="_pca").fit(x).transform(x)
-        col = "_pca"
-    model = KMeans(k=k, seed=seed, featuresCol=col, predictionCol="cluster").fit(x)
-    return model.transform(x)
+    out = pts.groupBy(*g).agg(F.sum(F.when(F.col("_x2").isNotNull(), area).otherwise(0.0)).alias("mauve"))
+    both = tot.where("np > 0 and nq > 0").select(*g, F.lit(True).alias("_both"))  # a one-sided group has no score
+    return out.join(both, g, "left").select(*g, F.when(F.col("_both"), F.col("mauve")).alias("mauve"))

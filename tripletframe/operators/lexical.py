@@ -2,9 +2,9 @@
 
 ROUGE-N is computed in long form: n-grams of both texts are exploded and
 counted per (pair, n-gram) in one partial aggregate, then the clipped overlap
-``sum(min(k_gen, k_ref))`` is summed per pair. Only the sequence metrics
-(LCS for ROUGE-L, greedy alignment for METEOR) need Python, and they run in
-Arrow UDFs over token arrays, one vectorised batch at a time.
+``sum(min(k_gen, k_ref))`` is summed per pair. METEOR's greedy alignment is a
+rank match per stage (windows within a pair). Only the LCS of ROUGE-L needs
+Python per pair, in an Arrow UDF over token arrays.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,10 +51,15 @@ def _stem_udf(words: pd.Series) -> pd.Series:
     return words.map(porter_stem)
 
 
+def stem_table(words: DataFrame, word_col: str = "word") -> DataFrame:
+    """(word, stem, root) of the distinct words: root is the Porter stem, stem the same for words longer than 3 letters (ROUGE's rule)."""
+    d = words.select(word_col).distinct().withColumn("root", _stem_udf(word_col))
+    return d.select(word_col, F.when(F.length(word_col) > STEM_MIN_LEN, F.col("root")).otherwise(F.col(word_col)).alias("stem"), "root")
+
+
 def stem_vocab(words: DataFrame, word_col: str = "word") -> DataFrame:
     """(word, stem) for the distinct words (Porter, words longer than 3 letters)."""
-    d = words.select(word_col).distinct()
-    return d.select(word_col, F.when(F.length(word_col) > STEM_MIN_LEN, _stem_udf(word_col)).otherwise(F.col(word_col)).alias("stem"))
+    return stem_table(words, word_col).select(word_col, "stem")
 
 
 def stemmed_arrays(texts: DataFrame, key_cols, text_col: str, out: str) -> DataFrame:
@@ -139,53 +144,50 @@ def rouge_l(arrays: DataFrame, key: str = "pair_id") -> DataFrame:
 
 # ------------------------------------------------------------------ E11
 
-def _match_stage(hyp, ref, hyp_left, ref_left, matches):
-    """Greedy matching of the reference metric: hypothesis words from the last, each to the last free equal reference word."""
-    where: dict = defaultdict(list)
-    for j in sorted(ref_left):
-        where[ref[j]].append(j)
-    for i in sorted(hyp_left, reverse=True):
-        cand = where.get(hyp[i])
-        if cand:
-            j = cand.pop()
-            matches.append((i, j))
-            hyp_left.discard(i)
-            ref_left.discard(j)
-
-
-def meteor_score(hyp, ref, synonyms=None, alpha=METEOR_ALPHA, beta=METEOR_BETA, gamma=METEOR_GAMMA) -> float:
-    """METEOR of one pair: exact, then stem, then synonym matching; F-mean with a fragmentation penalty."""
-    hyp, ref = list(hyp), list(ref)
-    if not hyp or not ref:
-        return 0.0
-    matches: list = []
-    hl, rl = set(range(len(hyp))), set(range(len(ref)))
-    _match_stage(hyp, ref, hl, rl, matches)
-    hs = [porter_stem(w) for w in hyp]
-    rs = [porter_stem(w) for w in ref]
-    _match_stage(hs, rs, hl, rl, matches)
-    if synonyms:
-        hsyn = [synonyms.get(w, w) for w in hyp]
-        rsyn = [synonyms.get(w, w) for w in ref]
-        _match_stage(hsyn, rsyn, hl, rl, matches)
-    m = len(matches)
-    if m == 0:
-        return 0.0
-    p, r = m / len(hyp), m / len(ref)
-    fmean = p * r / (alpha * p + (1 - alpha) * r)
-    matches.sort()
-    chunks = 1
-    for (i0, j0), (i1, j1) in zip(matches, matches[1:]):
-        if not (i1 == i0 + 1 and j1 == j0 + 1):
-            chunks += 1
-    return (1 - gamma * (chunks / m) ** beta) * fmean
-
-
-@F.pandas_udf(T.DoubleType())
-def _meteor_udf(g: pd.Series, r: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else meteor_score(a, b) for a, b in zip(g, r)], dtype="float64")
-
-
-def meteor(arrays: DataFrame, key: str = "pair_id") -> DataFrame:
-    """METEOR per pair from (unstemmed) token arrays; synonym stage empty by default; null for a null text."""
-    return arrays.select(key, _meteor_udf("g", "r").alias("meteor"))
+def _matched(tokens: DataFrame, key: str, term: str, free: Column) -> Column:
+    """Rank of a matched occurrence (null: none): the k-th last free occurrence of a term on one side goes with the k-th last on the other."""
+    both, mine = Window.partitionBy(key, term), Window.partitionBy(key, term, "side").orderBy(F.col("pos").desc())
+    n = [F.sum(F.when(free & (F.col("side") == side), 1).otherwise(0)).over(both) for side in (0, 1)]
+    rank = F.sum(F.when(free, 1).otherwise(0)).over(mine.rowsBetween(Window.unboundedPreceding, 0))
+    return F.when(free & (rank <= F.least(*n)), rank)
+
+
+def meteor_of_tokens(tokens: DataFrame, synonyms: DataFrame | None = None, key: str = "pair_id",
+                     alpha: float = METEOR_ALPHA, beta: float = METEOR_BETA, gamma: float = METEOR_GAMMA) -> DataFrame:
+    """(key, meteor) of the pairs with a match, from ``tokens(key, side, pos, word, root)``; side 0 is the hypothesis, 1 the reference.
+
+    Words match exactly, then by stem, then by ``synonyms(word, synset)``: one row a word, a synset
+    may be named by one of its words. All windows follow the one shuffle by ``key``; no Python runs.
+    """
+    x = tokens.select(key, "side", "pos", "word", "root")
+    stages = [("word", F.col("word")), ("root", F.col("root"))]
+    if synonyms is not None:
+        sy = synonyms.select(F.col("word").alias("_w"), "synset")
+        x = x.join(sy, F.col("word") == F.col("_w"), "left").drop("_w")
+        stages.append(("synset", F.coalesce("synset", "word")))
+    x = x.repartition(key)
+    free, hit = F.lit(True), []
+    for i, (_, term) in enumerate(stages):
+        x = x.withColumn(f"_t{i}", term)
+        x = x.withColumn(f"_m{i}", _matched(x, key, f"_t{i}", free))
+        hit.append(F.when(F.col(f"_m{i}").isNotNull(), F.struct(F.lit(i).alias("stage"), F.col(f"_t{i}").alias("term"), F.col(f"_m{i}").alias("k"))))
+        free = free & F.col(f"_m{i}").isNull()
+    of_side = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    whole = Window.partitionBy(key)
+    x = x.withColumns({"_nh": F.count(F.when(F.col("side") == 0, 1)).over(whole), "_nr": F.count(F.when(F.col("side") == 1, 1)).over(whole), "_hit": F.coalesce(*hit)})
+    pairs = x.where(F.col("_hit").isNotNull()).groupBy(key, "_hit").agg(of_side(0, "pos").alias("i"), of_side(1, "pos").alias("j"), F.first("_nh").alias("nh"), F.first("_nr").alias("nr"))
+    order = Window.partitionBy(key).orderBy("i")
+    follows = (F.col("i") == F.lag("i").over(order) + 1) & (F.col("j") == F.lag("j").over(order) + 1)
+    a = pairs.withColumn("_new", F.when(follows, 0).otherwise(1)).groupBy(key).agg(F.count("*").alias("m"), F.sum("_new").alias("chunks"), F.first("nh").alias("nh"), F.first("nr").alias("nr"))
+    p, r = F.col("m") / F.col("nh"), F.col("m") / F.col("nr")
+    fmean = p * r / (F.lit(alpha) * p + F.lit(1 - alpha) * r)
+    return a.select(key, ((1 - F.lit(gamma) * F.pow(F.col("chunks") / F.col("m"), F.lit(beta))) * fmean).alias("meteor"))
+
+
+def meteor(arrays: DataFrame, key: str = "pair_id", synonyms: DataFrame | None = None) -> DataFrame:
+    """METEOR per pair from (unstemmed) token arrays; null for a null text, 0 without a match."""
+    long = arrays.select(key, F.lit(0).alias("side"), F.posexplode("g").alias("pos", "word")).unionByName(
+        arrays.select(key, F.lit(1).alias("side"), F.posexplode("r").alias("pos", "word")))
+    found = meteor_of_tokens(long.join(stem_table(long).select("word", "root"), "word"), synonyms, key)
+    both = F.col("g").isNotNull() & F.col("r").isNotNull()
+    return arrays.select(key, both.alias("_both")).join(found, key, "left").select(key, F.when(F.col("_both"), F.coalesce("meteor", F.lit(0.0))).alias("meteor"))

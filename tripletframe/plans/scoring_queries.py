@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from tripletframe.functions.keys import hkey, hkey_sql
 from tripletframe.functions.vectors import cosine, cosine_sql_duck
 from tripletframe.operators import corpus as C
+from tripletframe.operators import evalstats as A
 from tripletframe.operators import lexical as L
 from tripletframe.operators import scoring as S
 from tripletframe.operators import triplets as T
 from tripletframe.plans.registry import query
+from tripletframe.operators import score_all as E
+from tripletframe.operators.quantise import mauve
+from tripletframe.plans import score_sql as Q
 from tripletframe.plans.sqlgen import negatives_ctes
-from tripletframe.session import cut_lineage
 from tripletframe.sources.fixtures import (
     TOKEN_DIM,
     hashed_vectors,
@@ -234,29 +237,60 @@ query("e7_rouge1_f", _rouge_sql(1), views=["fx_pairs"])(_rouge_query(1))
 query("e8_rouge2_f", _rouge_sql(2), views=["fx_pairs"])(_rouge_query(2))
 
 
-@query("e9_rougeL_f")
+_PAIRS_LNG = "lng as (select row_id as pair_id, row_id, raw_score as label, premise as reference, correct_answer as candidate from fx_pairs)"
+
+
+def _lexical_sql(ctes: list[str], tail: str) -> str:
+    return "with " + ",\n".join([_PAIRS_LNG, Q.token_ctes(), *ctes]) + "\n" + tail
+
+
+@query("e9_rougeL_f", _lexical_sql([Q.rouge_ctes()], f"""select pair_id, round(case when ng > 0 then ov / ng else 0.0 end, {R6}) as rL_p,
+  round(case when nr > 0 then ov / nr else 0.0 end, {R6}) as rL_r, round(score, {R6}) as rLf1 from lcs join rLf1 using (pair_id)"""), views=["fx_pairs"])
 def e9_rougel_f(spark, sf):
-    """ROUGE-L with stemming, as the reference runs it (LCS in an Arrow UDF; checked by tests against a DP)."""
-    return L.rouge_l(_lex_arrays(spark, sf, use_stemmer=True))
+    """ROUGE-L with stemming, as the reference runs it (LCS in an Arrow UDF; the oracle folds rows of a running maximum)."""
+    return _round(L.rouge_l(_lex_arrays(spark, sf, use_stemmer=True)), "rL_p", "rL_r", "rLf1")
 
 
-@query("e10_stem_vocab")
+@query("e10_stem_vocab", f"""with tokens as (select token as word from fx_tokens),
+{Q.stem_ctes('tokens')}
+select word, stem from stems""", views=["fx_tokens"])
 def e10_stem_vocab(spark, sf):
     """Porter stems of every distinct document word (Python once per distinct word)."""
     words = view(spark, sf, "fx_tokens").select(F.col("token").alias("word"))
     return L.stem_vocab(words)
 
 
-@query("e11_meteor")
+#: Words of five letters or more that begin with the same four and are equally long are taken as synonyms.
+_SYNSETS_SQL = "synsets as (select distinct word, left(word, 4) || length(word) as synset from tok where length(word) > 4)"
+
+
+def _synsets(words):
+    d = words.select("word").distinct().where(F.length("word") > 4)
+    return d.select("word", F.concat(F.substring("word", 1, 4), F.length("word").cast("string")).alias("synset"))
+
+
+@query("e11_meteor", _lexical_sql([Q.meteor_ctes()], f"select pair_id, round(score, {R6}) as meteor from meteor"), views=["fx_pairs"])
 def e11_meteor(spark, sf):
-    return L.meteor(_lex_arrays(spark, sf))
+    return _round(L.meteor(_lex_arrays(spark, sf)), "meteor")
+
 
+@query("e11s_meteor_synonyms", _lexical_sql([_SYNSETS_SQL, Q.meteor_ctes("synsets")], f"select pair_id, round(score, {R6}) as meteor from meteor"), views=["fx_pairs"])
+def e11s_meteor_synonyms(spark, sf):
+    """METEOR with its third stage: a (word, synset) table joined to the words."""
+    arrays = _lex_arrays(spark, sf)
+    words = arrays.select(F.explode(F.concat("g", "r")).alias("word"))
+    return _round(L.meteor(arrays, synonyms=_synsets(words)), "meteor")
 
-@query("e7s_rouge_stemmed")
+
+@query("e7s_rouge_stemmed", _lexical_sql([Q.rouge_ctes()], ",".join([
+    "select arr.pair_id",
+    *(f"""round(coalesce(ov{n}.ov / greatest(ov{n}.{k}, 1), 0.0), {R6}) as r{n}_{c}""" for n in (1, 2) for k, c in (("ng", "p"), ("nr", "r"))),
+    *(f"round(r{n}f1.score, {R6}) as r{n}f1" for n in (1, 2))])
+    + " from arr left join ov1 using (pair_id) left join ov2 using (pair_id) join r1f1 using (pair_id) join r2f1 using (pair_id)"), views=["fx_pairs"])
 def e7s_rouge_stemmed(spark, sf):
     """ROUGE-1 / ROUGE-2 with the Porter stemmer on (the reference's setting)."""
     arr = _lex_arrays(spark, sf, use_stemmer=True)
-    return L.rouge_n(arr, 1).join(L.rouge_n(arr, 2), "pair_id")
+    return _round(L.rouge_n(arr, 1).join(L.rouge_n(arr, 2), "pair_id"), "r1_p", "r1_r", "r1f1", "r2_p", "r2_r", "r2f1")
 
 
 # ---------------------------------------------------------------- E1, E14, E16, E17
@@ -269,51 +303,58 @@ def e1_token_senses(spark, sf):
     return C.token_senses(vocab, w)
 
 
-def _e17_long(spark, sf):
-    """Score every (reference, candidate) side of the T3 triplets of fx_pairs once, in long form."""
+def _triplets_lng() -> list[str]:
+    ctes, rel = negatives_ctes("fx_pairs", "correct_answer", "row_id", "incorrect_answer")
+    return [*ctes, f"""lng as (select row_id * 2 + 1 as pair_id, row_id, 1 as label, premise as reference, correct_answer as candidate from {rel}
+  union all select row_id * 2, row_id, 0, premise, incorrect_answer from {rel})"""]
+
+
+def _triplet_scores(spark, sf):
+    """Every metric of the T3 triplets of fx_pairs, reference against both answers."""
     trip = T.sample_negatives(view(spark, sf, "fx_pairs").drop("raw_score"))
-    long = S.unpivot_triplets(trip).withColumn("pair_id", F.col("row_id") * 2 + F.col("label"))
-    arr = L.token_arrays(long, "pair_id", "candidate", "reference", False)
-    r1 = L.rouge_n(arr, 1).select("pair_id", F.lit("r1f1").alias("metric"), F.col("r1f1").alias("score"))
-    r2 = L.rouge_n(arr, 2).select("pair_id", F.lit("r2f1").alias("metric"), F.col("r2f1").alias("score"))
-    keys = long.select("pair_id", "row_id", "label")
-    return r1.unionByName(r2).join(keys, "pair_id")
-
-
-def _e17_sql():
-    nctes, rel = negatives_ctes("fx_pairs", "correct_answer", "row_id", "incorrect_answer")
-    toks = _TOKS
-    body = f""",
-lng as (select row_id * 2 + 1 as pair_id, row_id, 1 as label, premise as reference, correct_answer as candidate from {rel}
-  union all select row_id * 2, row_id, 0, premise, incorrect_answer from {rel}),
-a as (select pair_id, row_id, label, {toks.format(c='candidate')} as g, {toks.format(c='reference')} as r from lng),
-gr as (select pair_id, 'r1f1' as metric, g as gg, r as rr from a
-  union all select pair_id, 'r2f1', {_grams_sql('g', 2)}, {_grams_sql('r', 2)} from a),
-l as (select pair_id, metric, unnest(gg) as gram, 0 as side from gr union all select pair_id, metric, unnest(rr), 1 from gr),
-c as (select pair_id, metric, gram, sum(1 - side) as kg, sum(side) as kr from l group by all),
-s as (select pair_id, metric, sum(kg) as ng, sum(kr) as nr, sum(least(kg, kr)) as ov from c group by all),
-o as (select gr.pair_id, gr.metric, coalesce(ov, 0) / greatest(coalesce(ng, 0), 1) as pp, coalesce(ov, 0) / greatest(coalesce(nr, 0), 1) as rr
-  from gr left join s using (pair_id, metric))
-select o.pair_id, o.metric, round(case when pp + rr > 0 then 2 * pp * rr / (pp + rr) else 0 end, {R6}) as score, a.row_id, a.label
-from o join a using (pair_id)"""
-    return "with " + ",\n".join(nctes) + body
-
-
-@query("e17_score_all", _e17_sql(), views=["fx_pairs"])
+    return E.score_all(trip, vectors=hashed_vectors, pad=_pad_list(spark))
+
+
+def _pad_list(spark) -> list[float]:
+    return [r["v"] for r in _pad_vector(spark).orderBy("j").collect()]  # one vector of the model
+
+
+def _round(df, *cols):
+    return df.withColumns({c: F.round(c, R6) for c in cols})
+
+
+@query("e17_score_all", Q.score_sql(_triplets_lng(), f"select pair_id, row_id, label, metric, round(score, {R6}) as score from scores"), views=["fx_pairs"])
 def e17_score_all(spark, sf):
-    x = _e17_long(spark, sf)
-    return x.select("pair_id", "metric", F.round("score", R6).alias("score"), "row_id", F.col("label").cast("int").alias("label"))
+    return _round(_triplet_scores(spark, sf), "score")
 
 
-@query("e14_learned_pair_score")
+@query("e17p_score_pairs", Q.score_sql([_PAIRS_LNG], f"select pair_id, row_id, label, metric, round(score, {R6}) as score from scores"), views=["fx_pairs"])
+def e17p_score_pairs(spark, sf):
+    """The pair branch: second text against the first, the learned metric fitted on the pairs' own scores."""
+    pairs = view(spark, sf, "fx_pairs").select("row_id", F.col("premise").alias("text1"), F.col("correct_answer").alias("text2"), "raw_score")
+    return _round(E.score_all(pairs, kind="pairs", label_col="raw_score", vectors=hashed_vectors, pad=_pad_list(spark)), "score")
+
+
+@query("e14_learned_pair_score", Q.score_sql(_triplets_lng(), f"""select pair_id, row_id, label, round(score, {R6}) as learned,
+  {', '.join(f'round(b[{i + 1}], 4) as w_{c}' for i, c in enumerate(('intercept', *Q.FEATURES)))} from scores, beta where metric = 'learned'"""), views=["fx_pairs"])
 def e14_learned_pair_score(spark, sf):
-    """Fit a linear scorer of the label on ROUGE features of the scored pairs, then score every pair."""
-    long = _e17_long(spark, sf)
-    wide = long.groupBy("pair_id", "row_id", "label").pivot("metric", ["r1f1", "r2f1"]).agg(F.first("score"))
-    # the fit passes over its input several times: write the features once
-    wide = cut_lineage(wide.withColumn("label", F.col("label").cast("double")))
-    scored, _ = C.learned_pair_score(wide, ["r1f1", "r2f1"])
-    return scored.select("pair_id", "row_id", "label", "learned")
+    """Least squares of the label on the metrics E7-E13 of every scored pair, with its coefficients."""
+    long = E.cut_lineage(_triplet_scores(spark, sf).where("metric <> 'learned'"))
+    cols = list(E.METRICS)
+    wide = long.groupBy("pair_id", "row_id", "label").pivot("metric", cols).agg(F.first("score"))
+    w = E.fit_linear(wide, cols)
+    found = E.predict_linear(wide, cols, w)
+    return found.select("pair_id", "row_id", "label", F.round("learned", R6).alias("learned"), *(F.round(F.lit(x), 4).alias(f"w_{c}") for c, x in zip(["intercept", *cols], w)))
+
+
+@query("a8e_score_table_of_scores", Q.score_sql(_triplets_lng(), """, st as (select metric, round(avg(score) filter (where label = 1) * 100, 2) as correct,
+  round(avg(score) filter (where label = 0) * 100, 2) as incorrect from scores group by metric)
+select 'pairs' as dataset, metric, correct, incorrect, cast(round((cast(correct as decimal(14, 2)) - cast(incorrect as decimal(14, 2)))
+  * case when metric in ('embsim', 'bleurt', 'simcse', 'learned') then 0.5 else 1.0 end, 2) as double) as difference,
+  printf('(%.2f, %.2f)', correct, incorrect) as pair from st"""), views=["fx_pairs"])
+def a8e_score_table_of_scores(spark, sf):
+    """The score table (A8) of the metrics that E17 computed."""
+    return A.score_table(_triplet_scores(spark, sf).withColumn("dataset", F.lit("pairs")))
 
 
 _MAUVE_SQL = """with a as (select 'correct' as cand, label as cluster, 'p' as side from fx_vec_triplets
@@ -345,3 +386,32 @@ def e16_mauve(spark, sf):
     )
     m = C.mauve_from_clusters(a, group_cols=["cand"])
     return m.select("cand", F.round("mauve", 6).alias("mauve"))
+
+
+_MAUVE_K, _MAUVE_ROUNDS = 6, 5
+
+
+def _quantised_mauve_sql() -> str:
+    """k-means of both sides in unrolled rounds, then the frontier over its clusters."""
+    order = hkey_sql("side", "row_id")
+    d = "list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    ctes = ["""vpts as (select 'correct' as cand, 'p' as side, row_id, pos::double[] as v from fx_vec_triplets union all select 'correct', 'q', row_id, ref::double[] from fx_vec_triplets
+  union all select 'incorrect', 'p', row_id, neg::double[] from fx_vec_triplets union all select 'incorrect', 'q', row_id, ref::double[] from fx_vec_triplets)""",
+            f"c0 as (select cand, row_number() over (partition by cand order by {order}, side, row_id) - 1 as c, v from vpts qualify c < {_MAUVE_K})"]
+    for i in range(_MAUVE_ROUNDS + 1):
+        ctes.append(f"n{i} as (select p.cand, p.side, p.row_id, p.v, arg_min(c.c, [{d}, c.c]) as cluster from vpts p join c{i} c using (cand) group by all)")
+        if i < _MAUVE_ROUNDS:
+            ctes.append(f"""m{i} as (select cand, cluster as c, list(m order by j) as v from (
+  select cand, cluster, j, avg(v[j]) as m from n{i}, (select unnest(range(1, 1 + (select max(len(v)) from vpts))) as j) group by all) group by all),
+c{i + 1} as (select o.cand, o.c, coalesce(m{i}.v, o.v) as v from c{i} o left join m{i} using (cand, c))""")
+    frontier = _MAUVE_SQL[_MAUVE_SQL.index("h as ("):]
+    return "with " + ",\n".join(ctes) + f",\na as (select cand, cluster, side from n{_MAUVE_ROUNDS}),\n" + frontier
+
+
+@query("e16q_mauve_of_vectors", _quantised_mauve_sql(), views=["fx_vec_triplets"])
+def e16q_mauve_of_vectors(spark, sf):
+    """MAUVE from vectors: candidates and references quantised together by k-means, then the divergence frontier."""
+    v = view(spark, sf, "fx_vec_triplets")
+    part = lambda cand, side, c: v.select(F.lit(cand).alias("cand"), F.lit(side).alias("side"), "row_id", F.col(c).cast("array<double>").alias("vec"))
+    points = part("correct", "p", "pos").unionByName(part("correct", "q", "ref")).unionByName(part("incorrect", "p", "neg")).unionByName(part("incorrect", "q", "ref"))
+    return _round(mauve(points, _MAUVE_K, _MAUVE_ROUNDS, group="cand", order=("side", "row_id")), "mauve")
