@@ -114,7 +114,8 @@ def token_attribution(
 
     Only real token positions become rows. The ``P - n`` pad positions of the
     input all hold the pad vector, so their attribution is one closed-form term
-    ``(P - n) v_pad - sum of the baseline over those positions``.
+    ``(P - n) v_pad - sum of the baseline over those positions``. A pair whose input
+    has no token has that row alone.
     Returns (positions: pair_id, pos, token, attr [pos -1 = pads];
     totals: pair_id, cos_x, cos_base, total, delta).
     """
@@ -125,9 +126,9 @@ def token_attribution(
     zeros = F.transform(pv, lambda _: F.lit(0.0))
 
     nt = tokens.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"))
-    p = (pairs.join(nt.select(F.col("text_id").alias("in_id"), F.col("n").alias("n_in")), "in_id")
+    p = (pairs.join(nt.select(F.col("text_id").alias("in_id"), F.col("n").alias("n_in")), "in_id", "left")
          .join(nt.select(F.col("text_id").alias("tgt_id"), F.col("n").alias("n_tgt")), "tgt_id", "left")
-         .withColumn("n_tgt", F.coalesce("n_tgt", F.lit(0)))
+         .withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_in", "n_tgt")})
          .withColumn("P", F.greatest(F.col("n_in"), F.lit(length))))
     p = cut_lineage(p)  # one row per pair, read by three branches
     tin = tokens.select(F.col("text_id").alias("in_id"), "pos", F.col("token").alias("tok_in"))
@@ -148,7 +149,7 @@ def token_attribution(
     # target embedding: its own tokens and pads up to L
     tsum = ttg.join(v_tg, "tok_tgt").groupBy("tgt_id").agg(_sum_arrays("v_tgt").alias("st"))
 
-    g = p.join(sums, "pair_id").join(extra, "pair_id", "left").join(tsum, "tgt_id", "left")
+    g = p.join(sums, "pair_id", "left").withColumns({c: F.coalesce(c, zeros) for c in ("sx", "sb")}).join(extra, "pair_id", "left").join(tsum, "tgt_id", "left")
     n_pad = (F.col("P") - F.col("n_in")).cast("double")
     sb_pad = F.when(F.col("baseline") == "zero", _scale(b0, n_pad)).otherwise(
         _add(F.coalesce("s_extra", zeros), _scale(pv, n_pad - F.coalesce(F.col("c_extra"), F.lit(0)))))

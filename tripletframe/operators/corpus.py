@@ -105,26 +105,40 @@ def batch_infer(df: DataFrame, load_model: Callable[[], object], predict: Callab
     return df.mapInPandas(run, schema)
 
 
-def bag_embedding_model(vectors: dict, dim: int, length: int, pad: np.ndarray):
-    """A numpy bag-of-tokens encoder (the learned metric's structure) for :func:`batch_infer`."""
-
-    def predict(_, b: pd.DataFrame) -> pd.DataFrame:
-        keys, js, es, ns = [], [], [], []
-        for key, toks in zip(b["row_id"], b["tokens"]):
-            toks = list(toks) if toks is not None else []
-            n = len(toks)  # without tokens: the pad vector
-            s = np.zeros(dim)
-            for t in toks:
-                s += vectors[t]
-            e = (s + max(length - n, 0) * pad) / max(n, length)
-            keys += [key] * dim
-            js += list(range(dim))
-            es += list(e)
-            ns += [n] * dim
-        return pd.DataFrame({"row_id": np.asarray(keys, dtype=np.int64), "n": np.asarray(ns, dtype=np.int64),
-                             "j": np.asarray(js, dtype=np.int32), "e": np.asarray(es, dtype=np.float64)})
-
-    return predict
+class BagEncoder:
+    """The learned metric's structure as a numpy model for :func:`batch_infer`: padded mean of token vectors.
+
+    ``vector(token)`` gives a token's vector; a task keeps those it has met (at most ``keep``). A text without
+    tokens (also a null one) is the pad vector with n = 0.
+    """
+
+    def __init__(self, vector: Callable[[str], np.ndarray], dim: int, length: int, pad: np.ndarray, keep: int = 200_000):
+        self.vector, self.dim, self.length, self.pad, self.keep = vector, dim, length, pad, keep
+        self.known: dict[str, np.ndarray] = {}
+
+    def _of(self, token: str) -> np.ndarray:
+        v = self.known.get(token)
+        if v is None:
+            if len(self.known) >= self.keep:
+                self.known.clear()
+            v = self.known[token] = self.vector(token)
+        return v
+
+    def predict(self, b: pd.DataFrame) -> pd.DataFrame:
+        """(row_id, tokens) -> long (row_id, n, j, e), the whole batch gathered and summed at once."""
+        lists = [[] if t is None else list(t) for t in b["tokens"]]
+        n = np.array([len(t) for t in lists], np.int64)
+        distinct: dict[str, int] = {}
+        where = np.array([distinct.setdefault(t, len(distinct)) for ts in lists for t in ts], np.int64)
+        total = np.zeros((len(lists), self.dim))
+        if len(where):
+            table = np.stack([self._of(t) for t in distinct])
+            full = np.flatnonzero(n)  # reduceat has no empty runs
+            total[full] = np.add.reduceat(table[where], (np.cumsum(n) - n)[full], axis=0)
+        e = (total + np.maximum(self.length - n, 0)[:, None] * self.pad) / np.maximum(n, self.length)[:, None]
+        ids = b["row_id"].to_numpy(np.int64)
+        return pd.DataFrame({"row_id": np.repeat(ids, self.dim), "n": np.repeat(n, self.dim),
+                             "j": np.tile(np.arange(self.dim, dtype=np.int32), len(ids)), "e": e.ravel()})
 
 
 # ------------------------------------------------------------------ E16

@@ -178,6 +178,21 @@ def assign_levels(steps: DataFrame, n_epochs: int, n_levels: int, group_cols: Se
     return bucketed_running(x, g, [step_col], bkt, {"level": ("max", F.col("_lv"))}).drop("_lv")
 
 
+def open_sources(assigned: DataFrame, levels: DataFrame, source_col: str = "source", level_col: str = "level") -> DataFrame:
+    """Every row of ``assigned`` (its ``level``) with each source open at it: those of that level and all below.
+
+    ``levels``: (source, level) of :func:`curriculum_levels`. A source of level s is listed for each level
+    from s to the last, so the range condition becomes one equi-join on the level; the listing has
+    sources x levels rows. Result: the columns of ``assigned``, then source and source_level. A row whose
+    level opens nothing (below the first level, null) has no source.
+    """
+    reg = levels.select(F.col(source_col).alias("source"), F.col(level_col).cast("int").alias("source_level")).distinct()
+    last = reg.agg(F.max("source_level")).first()[0] or 0
+    listed = reg.where(F.col("source_level") <= last).withColumn("_at", F.explode(F.sequence("source_level", F.lit(last))))
+    at = F.when(F.col(level_col).isNotNull(), F.least(F.col(level_col), F.lit(last)))  # beyond the last level all sources are open
+    return assigned.withColumn("_at", at).join(listed, "_at").drop("_at")
+
+
 def advance_on_score(trace: DataFrame, perf_col: str, max_level: int, group_cols: Sequence[str] = ("run",),
                      step_col: str = "step", threshold: float = PERFORMANCE_STEP) -> DataFrame:
     """+1 level at each evaluation with performance > threshold, capped at max_level."""

@@ -37,7 +37,7 @@ def eval_trace(trace: DataFrame, every: int, group_cols: Sequence[str] = ("run",
 
 
 def eval_points(trace: DataFrame, every: int, steps_per_epoch: int, group_cols: Sequence[str] = ("run",),
-                step_col: str = "step") -> DataFrame:
+                step_col: str = "step", runs: DataFrame | None = None) -> DataFrame:
     """R1 at the evaluation points: every ``every`` steps, at mid-epoch and at epoch end.
 
     Each point carries the running mean of pos / neg similarity over the
@@ -46,7 +46,9 @@ def eval_points(trace: DataFrame, every: int, steps_per_epoch: int, group_cols:
     prefix sums per (run, epoch); no per-run single-task window. Sums are
     kept in integer micro-units, so they are exact and independent of the
     order partitions are added in, and the mean is rounded half-up to 1e-6
-    with integer arithmetic.
+    with integer arithmetic. ``runs`` names the runs, also those without any
+    step: each starts with the evaluation before its first step (point 0, kind
+    ``initial``, no steps seen, null means).
     """
     g = list(group_cols)
     x = trace.withColumn("epoch", F.floor((F.col(step_col) - 1) / steps_per_epoch).cast("long")).withColumn(
@@ -65,8 +67,14 @@ def eval_points(trace: DataFrame, every: int, steps_per_epoch: int, group_cols:
         F.col("step_in_epoch") == steps_per_epoch)
     kind = (F.when(F.col("step_in_epoch") == steps_per_epoch, "epoch_end")
             .when(F.col("step_in_epoch") == steps_per_epoch // 2, "mid_epoch").otherwise("interval"))
-    return x.where(point).select(*g, step_col, "epoch", kind.alias("kind"), F.col("_k").alias("steps_seen"),
-                                 mean("_sp").alias("train_pos_sim"), mean("_sn").alias("train_neg_sim"))
+    out = x.where(point).select(*g, F.col(step_col).cast("long").alias(step_col), "epoch", kind.alias("kind"), F.col("_k").alias("steps_seen"),
+                                mean("_sp").alias("train_pos_sim"), mean("_sn").alias("train_neg_sim"))
+    if runs is None:
+        return out
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("double")
+    first = runs.select(*g).distinct().select(*g, zero.alias(step_col), zero.alias("epoch"), F.lit("initial").alias("kind"), zero.alias("steps_seen"),
+                                              none.alias("train_pos_sim"), none.alias("train_neg_sim"))
+    return out.unionByName(first)
 
 
 # ------------------------------------------------------------------ R2
@@ -189,3 +197,90 @@ def fit_projection(
         T_mat = T_mat - lr_t * mh / (np.sqrt(vh) + eps)
         trace.append({"step": int(step), "epoch": int(epoch), "loss": float(loss), "lr": float(lr_t)})
     return T_mat, trace
+
+
+def _pass(data: DataFrame, T_mat: np.ndarray, margin: float, gradient: bool) -> tuple[dict, np.ndarray | None]:
+    """Means of loss, pos_sim and neg_sim over ``data(ref, pos, neg)``, and the mean gradient if asked for.
+
+    Each task adds up its rows; the sums are added by position in Spark, so the driver receives
+    four numbers and at most one matrix whatever the number of tasks.
+    """
+    spark = data.sparkSession
+    shared = spark.sparkContext.broadcast(T_mat)  # dim x dim
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        T_ = shared.value
+        sums, grad = np.zeros(4), np.zeros_like(T_)
+        for b in batches:
+            if not len(b):
+                continue
+            r, p, q = (np.stack([np.asarray(v, np.float64) for v in b[c]]) for c in ("ref", "pos", "neg"))
+            if gradient:
+                grad += _grad_partition(T_, margin, r, p, q)[1]
+            a, u, v = r @ T_, p @ T_, q @ T_
+            norm = [np.linalg.norm(x, axis=1) for x in (a, u, v)]
+            cp, cn = (a * u).sum(1) / (norm[0] * norm[1] + 1e-12), (a * v).sum(1) / (norm[0] * norm[2] + 1e-12)
+            sums += [np.maximum(margin + cn - cp, 0).sum(), cp.sum(), cn.sum(), len(b)]
+        yield pd.DataFrame({"s": [sums.tolist() + (grad.ravel().tolist() if gradient else [])]})
+
+    cells = data.select("ref", "pos", "neg").mapInPandas(part, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    out = np.zeros(4 + (T_mat.size if gradient else 0))
+    for r in cells.collect():
+        out[r["i"]] = r["v"]
+    shared.unpersist()
+    n = max(out[3], 1.0)
+    return dict(zip(("loss", "pos_sim", "neg_sim"), (out[:3] / n).tolist())), out[4:].reshape(T_mat.shape) / n if gradient else None
+
+
+def train_projection(train: DataFrame, valid: DataFrame, dim: int, batch_size: int, epochs: int, eval_every: int, lr: float = 1e-2, decay: float = 0.05, margin: float = 1.0,
+                     key_col: str = "row_id", init: np.ndarray | None = None) -> tuple[np.ndarray, list[dict], list[dict]]:
+    """R3 as a training run: shuffled batches, a step for each, evaluation on held-out rows, the best matrix kept.
+
+    Every epoch draws new batches (M9: hash order, a last short batch is left out) and writes them, one folder
+    a batch, to shared storage; a step reads its folder only, so the work of an epoch is one shuffle and one
+    read of the data. Adam starts from ``init`` (identity), its rate falls by ``1 - decay`` an epoch. ``valid`` is
+    evaluated before the first step, every ``eval_every`` steps, at mid-epoch and at epoch end; a point
+    whose pos_sim - neg_sim exceeds all before it (and 0) keeps its matrix.
+    ``train(key_col, ref, pos, neg)`` with unique keys; ``valid(ref, pos, neg)``: arrays of sentence features.
+    Returns the best matrix, the steps (step, epoch, loss, pos_sim, neg_sim, lr) and the points (step, epoch, kind, loss, pos_sim, neg_sim).
+    """
+    import uuid
+
+    from tripletframe.operators.mixing import epoch_batches
+    from tripletframe.session import checkpoint_dir, cut_lineage
+
+    spark = train.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/train-{uuid.uuid4().hex}"
+    valid = cut_lineage(valid.select("ref", "pos", "neg"))
+    keys = cut_lineage(train.select(key_col))
+    per_epoch = keys.count() // batch_size
+    T_mat = np.eye(dim) if init is None else np.array(init, np.float64)
+    m, v, b1, b2, eps = np.zeros_like(T_mat), np.zeros_like(T_mat), 0.9, 0.999, 1e-8
+    best, top, steps, points = T_mat, 0.0, [], []
+
+    def evaluate(step: int, epoch: int, kind: str) -> None:
+        nonlocal best, top
+        got, _ = _pass(valid, T_mat, margin, gradient=False)
+        points.append({"step": step, "epoch": epoch, "kind": kind, **got})
+        if got["pos_sim"] - got["neg_sim"] > top:
+            best, top = T_mat, got["pos_sim"] - got["neg_sim"]
+
+    evaluate(0, 0, "initial")
+    for epoch in range(epochs):
+        drawn = epoch_batches(keys, batch_size, epoch=epoch, key_col=key_col).select(key_col, "batch")
+        path = f"{folder}/epoch-{epoch}"
+        train.select(key_col, "ref", "pos", "neg").join(drawn, key_col).write.partitionBy("batch").parquet(path)
+        for b in range(per_epoch):
+            step = epoch * per_epoch + b + 1
+            got, g = _pass(spark.read.parquet(f"{path}/batch={b}"), T_mat, margin, gradient=True)
+            rate = lr * (1 - decay) ** epoch
+            m, v = b1 * m + (1 - b1) * g, b2 * v + (1 - b2) * g * g
+            T_mat = T_mat - rate * (m / (1 - b1 ** step)) / (np.sqrt(v / (1 - b2 ** step)) + eps)
+            steps.append({"step": step, "epoch": epoch, **got, "lr": rate})
+            if b + 1 == per_epoch:
+                evaluate(step, epoch, "epoch_end")
+            elif b + 1 == per_epoch // 2:
+                evaluate(step, epoch, "mid_epoch")
+            elif step % eval_every == 0:
+                evaluate(step, epoch, "interval")
+    return best, steps, points

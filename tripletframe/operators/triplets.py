@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tripletframe.functions import columns as P
 from tripletframe.functions.keys import hkey
-from tripletframe.operators.indexing import dense_index, derangement_partner, hash_range_bucket, buckets_for
+from tripletframe.operators.indexing import bucketed_running, buckets_for, dense_index, derangement_partner, hash_range_bucket
+from tripletframe.session import cut_lineage
 
 TRIPLET_COLS = ("premise", "correct_answer", "incorrect_answer")
 # NLI label ids and role names of the reference.
@@ -88,6 +89,7 @@ def sample_negatives(
     group_cols: Sequence[str] = (),
     salt: str = "neg",
     rows_per_bucket: int | None = None,
+    distinct_text: bool = False,
 ) -> DataFrame:
     """For every row the answer of a uniformly chosen *other* row of its group or batch.
 
@@ -97,10 +99,16 @@ def sample_negatives(
     (2 or more), any other row of the same run of ``batch_size`` numbers (T4). A
     last run of one row joins the run before, so only a group of one row has no
     negative; such rows are dropped.
+
+    With ``distinct_text`` the negative's text is never the row's own (see
+    :func:`distinct_partners`); ``key_col`` must then be unique. Rows whose group or
+    batch holds one text only are dropped.
     """
     if batch_size is not None and batch_size < 2:
         raise ValueError("a batch needs two rows or more")
     g = list(group_cols)
+    if distinct_text:
+        return _distinct_negatives(df, answer_col, key_col, out_col, batch_size, g, salt, rows_per_bucket)
     x = df.withColumn("_h", hkey(F.lit(salt), key_col))
     x = dense_index(x, g, ["_h", key_col], hash_range_bucket("_h", buckets_for(df.count(), rows_per_bucket)), "_p", "_gn")
     p, n, lo = F.col("_p"), F.col("_gn"), F.lit(0)
@@ -115,6 +123,47 @@ def sample_negatives(
     return left.join(right, [*g, "_t"]).drop("_h", "_gn", "_p", "_t")
 
 
+def _runs(keys: DataFrame, g: list[str], key_col: str, batch_size: int, salt: str, buckets: int) -> DataFrame:
+    """Add ``_run``: the row's run of ``batch_size`` numbers in hash order (a last run of one row joins the one before)."""
+    x = dense_index(keys.withColumn("_h", hkey(F.lit(salt), key_col)), g, ["_h", key_col], hash_range_bucket("_h", buckets), "_p", "_gn")
+    last = F.greatest(F.lit(1), F.ceil((F.col("_gn") - 1) / F.lit(batch_size))) - 1
+    return x.withColumn("_run", F.least(F.floor(F.col("_p") / F.lit(batch_size)), last)).drop("_h", "_p", "_gn")
+
+
+def distinct_partners(keys: DataFrame, group_cols: Sequence[str], key_col: str, text_col: str, salt: str, buckets: int) -> DataFrame:
+    """(group, key, ``_other``): for every row the key of a uniformly chosen row of its group with another text.
+
+    Equal texts lie side by side in a numbering of the group: a text starts after the rows of all texts with smaller
+    hashes (a running sum over distinct texts) and its rows follow in hash order. A row of a text that starts at S
+    and has m of the n rows takes the number (S + m + h mod (n - m)) mod n, which lies outside the text's own rows: one
+    equi-join on the number, nothing is drawn again. A text that a third of all rows share is spread
+    over the hash buckets of its rows. Groups with one text give no rows.
+    """
+    g = list(group_cols)
+    x = keys.withColumn("_hr", hkey(F.lit(salt), key_col))
+    texts = x.groupBy(*g, text_col).agg(F.count(F.lit(1)).alias("_m")).withColumn("_ht", hkey(F.lit(salt + "|text"), text_col))
+    sizes = texts.groupBy(*g).agg(F.sum("_m").alias("_n")) if g else None
+    texts = bucketed_running(texts, g, ["_ht", text_col], hash_range_bucket("_ht", buckets), {"_s": ("sum", F.col("_m"))}, inclusive=False).drop("_ht")
+    x = dense_index(x, [*g, text_col], ["_hr", key_col], hash_range_bucket("_hr", buckets), "_r", None)
+    x = x.join(texts, [*g, text_col])
+    x = x.join(sizes, g) if g else x.withColumn("_n", F.lit(keys.count()).cast("long"))
+    n, m, start = F.col("_n"), F.col("_m"), F.col("_s")
+    to = F.when(n > m, F.pmod(start + m + F.pmod(hkey(F.lit(salt + "|pick"), key_col), n - m), n))
+    x = cut_lineage(x.select(*g, key_col, (start + F.col("_r")).alias("_p"), to.alias("_t")))  # both sides of the join read it
+    return x.where("_t is not null").select(*g, key_col, "_t").join(x.select(*g, F.col("_p").alias("_t"), F.col(key_col).alias("_other")), [*g, "_t"]).drop("_t")
+
+
+def _distinct_negatives(df, answer_col, key_col, out_col, batch_size, g, salt, rows_per_bucket) -> DataFrame:
+    """Keys and text digests are numbered; the texts join last, by key. A row with a null answer neither gives nor gets a negative."""
+    keys = cut_lineage(df.where(F.col(answer_col).isNotNull()).select(*g, key_col, F.md5(F.col(answer_col).cast("binary")).alias("_text")))
+    buckets = buckets_for(keys.count(), rows_per_bucket)
+    if batch_size is not None:
+        keys = cut_lineage(_runs(keys, g, key_col, batch_size, salt, buckets))
+    pick = distinct_partners(keys, [*g, "_run"] if batch_size is not None else g, key_col, "_text", salt, buckets).select(key_col, "_other")
+    found = pick.join(df.select(F.col(key_col).alias("_other"), F.col(answer_col).alias(out_col)), "_other").drop("_other")
+    return df.drop(out_col).join(found, key_col)
+
+
 def sample_negatives_batch(df: DataFrame, batch_size: int = DEFAULT_BATCH, **kw) -> DataFrame:
     """T4: in-batch negatives; rows whose negative is null are dropped."""
     out = sample_negatives(df, batch_size=batch_size, **kw)

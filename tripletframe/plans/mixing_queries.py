@@ -141,6 +141,19 @@ def m12_assign_levels(spark, sf):
     return out.select("run", "step", "epoch", F.col("level").cast("int").alias("level"))
 
 
+@query("m12o_open_sources", f"""with t as (select run, step, cast((step - 1) // {STEPS_PER_EPOCH} as bigint) as epoch from fx_trace),
+nl as (select count(distinct difficulty) as l from fx_sources),
+a as (select run, epoch, step, cast(max(least(cast(floor(epoch / {N_EPOCHS}.0 * nl.l) as integer) + 1, nl.l)) over
+  (partition by run order by step rows between unbounded preceding and current row) as integer) as level from t, nl)
+select a.run, a.epoch, a.step, a.level, l.source, cast(l.level as integer) as source_level from a join ({_LEVELS_SQL}) l on l.level <= a.level""",
+       views=["fx_trace", "fx_sources"])
+def m12o_open_sources(spark, sf):
+    """The sources open at every step of the curriculum."""
+    tr = view(spark, sf, "fx_trace").select("run", "step", F.floor((F.col("step") - 1) / STEPS_PER_EPOCH).cast("long").alias("epoch"))
+    out = M.open_sources(M.assign_levels(tr, N_EPOCHS, _n_levels(spark, sf)), M.curriculum_levels(_registry(spark, sf)))
+    return out.select("run", "epoch", "step", F.col("level").cast("int").alias("level"), "source", "source_level")
+
+
 @query("m13_advance_on_score", """with nl as (select count(distinct difficulty) as l from fx_sources)
 select run, step, cast(least(1 + sum(case when pos_sim > 0.8 then 1 else 0 end) over (partition by run order by step
   rows between unbounded preceding and current row), nl.l) as integer) as level from fx_trace, nl""",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from tripletframe.sources.fixtures import (
     TOKEN_DIM,
     hashed_vectors,
     hashed_vectors_sql,
+    table,
     text_tokens,
     text_tokens_sql,
     view,
@@ -62,44 +65,68 @@ def _unit(e):
     return e.select("row_id", "n", "j", F.round(F.coalesce(F.try_divide(F.col("e"), norm), F.lit(0.0)), R6).alias("e"))
 
 
-@query("e2_embed_texts", _embed_sql("fx_tokens", "fx_token_vectors"), views=["fx_tokens", "fx_token_vectors"])
+def _embed_all_sql(texts: str, tokens_rel: str, vectors_rel: str) -> str:
+    """:func:`_embed_sql` with a row for every text of ``texts(row_id)``: those without tokens are the pad vector."""
+    return _embed_sql(tokens_rel, vectors_rel) + f"""
+union all select t.row_id, 0, p.j, round(pv / (select sqrt(sum(pv * pv)) from pad), {R6}) from ({texts}) t cross join pad p
+where not exists (select 1 from nn where nn.row_id = t.row_id)"""
+
+
+_DOCS_SQL = _embed_all_sql("select doc_id as row_id from documents", "fx_tokens", "fx_token_vectors")
+_ODD_SQL = _embed_all_sql("select row_id from fx_texts", "odd_tokens", "odd_vectors")
+_ODD_SQL = f"with odd_tokens as ({text_tokens_sql('fx_texts', 'row_id', 'text')}),\nodd_vectors as ({hashed_vectors_sql('odd_tokens')}),\n" + _ODD_SQL[5:]
+
+
+def _doc_ids(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"))
+
+
+def _token_vector(token: str) -> np.ndarray:
+    """The vector of a token by the hashing rule of the vector table."""
+    digits = (hashlib.md5(f"42|{token}|{j}".encode()).hexdigest()[:15] for j in range(TOKEN_DIM))
+    return np.array([(int(d, 16) % 2001 - 1000) / 1000 for d in digits])
+
+
+@query("e2_embed_texts", _DOCS_SQL, views=["fx_tokens", "fx_token_vectors"])
 def e2_embed_texts(spark, sf):
     e = S.embed_texts(view(spark, sf, "fx_tokens"), view(spark, sf, "fx_token_vectors"), length=LENGTH,
-                      pad_vector=_pad_vector(spark))
+                      pad_vector=_pad_vector(spark), texts=_doc_ids(spark, sf))
     return _unit(e)
 
 
-@query("e3_batch_infer", _embed_sql("fx_tokens", "fx_token_vectors"), views=["fx_tokens", "fx_token_vectors"])
-def e3_batch_infer(spark, sf):
-    """The same bag-of-tokens encoder run as a batched numpy model (one model per task)."""
-    from tripletframe.sources.fixtures import _tokens_expr, table
+@query("e2r_embed_every_text", _ODD_SQL, views=["fx_texts"])
+def e2r_embed_every_text(spark, sf):
+    """E2 over texts of which three in four have no token (empty, null, non-Latin): rows in are rows out."""
+    texts = view(spark, sf, "fx_texts")
+    tok = text_tokens(texts, "row_id", "text")
+    return _unit(S.embed_texts(tok, hashed_vectors(tok), length=LENGTH, pad_vector=_pad_vector(spark), texts=texts.select("row_id")))
 
-    vec = S.vectors_to_arrays(view(spark, sf, "fx_token_vectors")).persist()
-    if vec.count() * (TOKEN_DIM * 8 + 32) > S.BROADCAST_LIMIT_BYTES:
-        vec.unpersist()
-        return e2_embed_texts(spark, sf)  # a larger table is joined, not shipped to every task; same values
-    rows = vec.collect()  # the model's table: bounded by the vocabulary, size checked above
-    vectors = {r["token"]: np.asarray(r["vec"], dtype=np.float64) for r in rows}
-    pad = np.asarray([r["v"] for r in _pad_vector(spark).orderBy("j").collect()], dtype=np.float64)
-    bv = spark.sparkContext.broadcast(vectors)
 
+def _infer(texts):
+    """E3 over (row_id, text): the encoder makes its token vectors itself, so no table passes through the driver."""
     def load():
-        return C.bag_embedding_model(bv.value, TOKEN_DIM, LENGTH, pad)
-
-    def run(model, b):
-        return model(None, b)
+        return C.BagEncoder(_token_vector, TOKEN_DIM, LENGTH, _token_vector(S.PAD_TOKEN))
 
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), _tokens_expr("text").alias("tokens"))
-    out = C.batch_infer(docs, load, run, "row_id long, n long, j int, e double")
+    out = C.batch_infer(texts.select("row_id", L.rouge_tokens("text").alias("tokens")), load, lambda model, b: model.predict(b), "row_id long, n long, j int, e double")
     return _unit(out)
 
 
-@query("e2a_embed_texts_arrays", _embed_sql("fx_tokens", "fx_token_vectors"), views=["fx_tokens", "fx_token_vectors"])
+@query("e3_batch_infer", _DOCS_SQL, views=["fx_tokens", "fx_token_vectors"])
+def e3_batch_infer(spark, sf):
+    """The same bag-of-tokens encoder run as a batched numpy model (one model per task)."""
+    return _infer(table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "text"))
+
+
+@query("e3r_batch_infer_every_text", _ODD_SQL, views=["fx_texts"])
+def e3r_batch_infer_every_text(spark, sf):
+    return _infer(view(spark, sf, "fx_texts"))
+
+
+@query("e2a_embed_texts_arrays", _DOCS_SQL, views=["fx_tokens", "fx_token_vectors"])
 def e2a_embed_texts_arrays(spark, sf):
     """E2 in the array layout used for wide vectors; same values as e2_embed_texts."""
-    pad = [r["v"] for r in _pad_vector(spark).orderBy("j").collect()]  # one vector of the model
-    e = S.embed_texts_arrays(view(spark, sf, "fx_tokens"), S.vectors_to_arrays(view(spark, sf, "fx_token_vectors")), pad,
-                             length=LENGTH)
+    e = S.embed_texts_arrays(view(spark, sf, "fx_tokens"), S.vectors_to_arrays(view(spark, sf, "fx_token_vectors")), _pad_list(spark),
+                             length=LENGTH, texts=_doc_ids(spark, sf))
     long = e.select("row_id", "n", F.posexplode("emb").alias("j", "e")).withColumn("j", F.col("j").cast("int"))
     return _unit(long)
 

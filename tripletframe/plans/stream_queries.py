@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripletframe.functions.keys import hkey, hkey_sql
-from tripletframe.functions.vectors import cosine
+from tripletframe.functions.vectors import cosine, cosine_sql_duck
 from tripletframe.operators import attribution as I
 from tripletframe.operators import scoring as S
 from tripletframe.operators import training as R
@@ -14,7 +14,7 @@ from tripletframe.plans.registry import query
 from tripletframe.plans.triplet_queries import RESERVOIR_K, _neg_query
 from tripletframe.session import cut_lineage
 from tripletframe.sources import io
-from tripletframe.sources.fixtures import hashed_vectors, text_tokens, view
+from tripletframe.sources.fixtures import hashed_vectors, table, text_tokens, view
 from tripletframe.streaming import streams as W
 
 R6 = 6
@@ -85,11 +85,14 @@ r as (select *, sum(cast(round(pos_sim * 1000000) as bigint)) over w as sp, sum(
 select run, step, epoch, case when step_in_epoch = {STEPS_PER_EPOCH} then 'epoch_end' when step_in_epoch = {STEPS_PER_EPOCH // 2}
   then 'mid_epoch' else 'interval' end as kind, k as steps_seen, floor((2 * sp + k) / (2 * k)) / 1000000 as train_pos_sim,
   floor((2 * sn + k) / (2 * k)) / 1000000 as train_neg_sim
-from r where step % {EVAL_EVERY} = 0 or step_in_epoch = {STEPS_PER_EPOCH // 2} or step_in_epoch = {STEPS_PER_EPOCH}""",
+from r where step % {EVAL_EVERY} = 0 or step_in_epoch = {STEPS_PER_EPOCH // 2} or step_in_epoch = {STEPS_PER_EPOCH}
+union all select distinct user_id % 4, 0, 0, 'initial', 0, cast(null as double), cast(null as double) from events""",
        views=["fx_trace"])
 def r1e_eval_points(spark, sf):
-    x = R.eval_points(view(spark, sf, "fx_trace"), EVAL_EVERY, STEPS_PER_EPOCH)
-    return x.select("run", "step", "epoch", "kind", "steps_seen", "train_pos_sim", "train_neg_sim")
+    """Evaluation points of every run, from the one before its first step on."""
+    runs = table(spark, sf, "events").select(F.pmod("user_id", F.lit(4)).alias("run"))
+    x = R.eval_points(view(spark, sf, "fx_trace"), EVAL_EVERY, STEPS_PER_EPOCH, runs=runs)
+    return x.select("run", F.col("step").cast("int").alias("step"), "epoch", "kind", "steps_seen", "train_pos_sim", "train_neg_sim")
 
 
 @query("r2_best_checkpoint", f"""with d as (select run, step, pos_sim - neg_sim as diff from fx_trace),
@@ -114,6 +117,44 @@ def r3_fit_projection(spark, sf):
     return spark.createDataFrame(trace, "step int, epoch int, loss double, lr double")
 
 
+TRAIN_BATCH, TRAIN_EPOCHS, TRAIN_EVAL = 100, 2, 3
+_HELD_OUT = ("'held'", "row_id")  # one embedded triplet in five, by hash key
+
+
+def _training_run(spark, sf, epochs):
+    x = view(spark, sf, "fx_vec_triplets").select("row_id", *[F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("ref", "pos", "neg")])
+    x = cut_lineage(x)  # split twice, batched every epoch
+    held = F.pmod(hkey(F.lit("held"), "row_id"), F.lit(5)) == 0
+    dim = len(x.select("ref").first()["ref"])
+    return R.train_projection(x.where(~held), x.where(held), dim, TRAIN_BATCH, epochs, TRAIN_EVAL)
+
+
+def _hinge_sql(rel: str) -> str:
+    pos, neg = (cosine_sql_duck("ref", c) for c in ("pos", "neg"))
+    return f"round(avg(greatest(0.0, 1.0 + n - p)), {R6}) as loss, round(avg(p), {R6}) as pos_sim, round(avg(n), {R6}) as neg_sim from (select {pos} as p, {neg} as n from {rel})"
+
+
+@query("r3t_training_start", f"""with held as (select * from fx_vec_triplets where {hkey_sql(*_HELD_OUT)} % 5 = 0),
+drawn as (select *, row_number() over (order by {hkey_sql("'seq'", "0", 'row_id')}, row_id) - 1 as seq from fx_vec_triplets where {hkey_sql(*_HELD_OUT)} % 5 <> 0),
+first as (select * from drawn where seq < {TRAIN_BATCH})
+select 'initial' as kind, 0 as step, {_hinge_sql('held')} union all select 'first_step', 1, {_hinge_sql('first')}""", views=["fx_vec_triplets"])
+def r3t_training_start(spark, sf):
+    """Evaluation before the first step and the loss of the first batch of a training run (the start matrix is the identity)."""
+    _, steps, points = _training_run(spark, sf, 1)
+    rows = [{"kind": "initial", **points[0]}, {"kind": "first_step", **steps[0]}]
+    out = spark.createDataFrame([(r["kind"], r["step"], r["loss"], r["pos_sim"], r["neg_sim"]) for r in rows], "kind string, step int, loss double, pos_sim double, neg_sim double")
+    return out.withColumns({c: F.round(c, R6) for c in ("loss", "pos_sim", "neg_sim")})
+
+
+@query("r3b_best_of_training")
+def r3b_best_of_training(spark, sf):
+    """Evaluation points of a training run with the best ones marked (R2)."""
+    _, _, points = _training_run(spark, sf, TRAIN_EPOCHS)
+    trace = spark.createDataFrame([(0, p["step"], p["epoch"], p["kind"], p["loss"], p["pos_sim"], p["neg_sim"]) for p in points],
+                                  "run int, step int, epoch int, kind string, loss double, pos_sim double, neg_sim double")
+    return R.best_checkpoint(trace).select("run", "step", "epoch", "kind", "loss", "pos_sim", "neg_sim", "diff", "is_best", "is_last")
+
+
 # ---------------------------------------------------------------- I1-I5
 
 _DIR_SQL = ", ".join(

@@ -66,6 +66,36 @@ def t4_sample_negatives_batch(spark, sf):
     return T.sample_negatives_batch(x, batch_size=T4_BATCH).select("row_id", "premise", "correct_answer", "incorrect_answer")
 
 
+def _distinct_sql(batch: int | None) -> str:
+    """Equal texts side by side in hash order; the partner's number lies outside the text's own rows."""
+    group = "split, run" if batch else "split"
+    last = f"greatest(1, cast(ceil((gn - 1) / {batch}) as bigint)) - 1" if batch else "0"
+    run = f"least(p0 // {batch}, {last})" if batch else "0"
+    return f"""with k as (select row_id, split, premise as correct_answer, md5(premise) as tk, {hkey_sql("'neg'", 'row_id')} as hr from fx_labeled),
+k1 as (select *, row_number() over (partition by split order by hr, row_id) - 1 as p0, count(*) over (partition by split) as gn from k),
+k2 as (select *, {run} as run, {hkey_sql("'neg|text'", 'tk')} as ht from k1),
+k3 as (select *, row_number() over (partition by {group} order by ht, tk, hr, row_id) - 1 as p, count(*) over (partition by {group}) as n, count(*) over (partition by {group}, tk) as m from k2),
+k4 as (select *, min(p) over (partition by {group}, tk) as s from k3),
+k5 as (select *, case when n > m then (s + m + {hkey_sql("'neg|pick'", 'row_id')} % (n - m)) % n end as t from k4)
+select a.row_id, a.split, a.correct_answer, b.correct_answer as incorrect_answer from k5 a join k5 b on a.split = b.split and a.run = b.run and a.t = b.p"""
+
+
+def _distinct(spark, sf, batch=None):
+    x = view(spark, sf, "fx_labeled").select("row_id", "split", F.col("premise").alias("correct_answer"))
+    return T.sample_negatives(x, group_cols=["split"], batch_size=batch, distinct_text=True).select("row_id", "split", "correct_answer", "incorrect_answer")
+
+
+@query("t3d_distinct_negatives", _distinct_sql(None), views=["fx_labeled"])
+def t3d_distinct_negatives(spark, sf):
+    """T3 over texts that repeat often: the negative is another text, drawn in proportion to its rows."""
+    return _distinct(spark, sf)
+
+
+@query("t4d_distinct_negatives_batch", _distinct_sql(T4_BATCH), views=["fx_labeled"])
+def t4d_distinct_negatives_batch(spark, sf):
+    return _distinct(spark, sf, T4_BATCH)
+
+
 def _caption_sql():
     hd = hkey_sql("'cap'", "image_id", "caption")
     himg = hkey_sql("'img'", "image_id")

@@ -191,7 +191,17 @@ def fx_token_vectors(spark, sf_dir):
     )
 
 
+def fx_texts(spark, sf_dir):
+    """Documents, and for each an empty, a null and a non-Latin text: rows without any token."""
+    d = table(spark, sf_dir, "documents")
+    odd = F.concat(F.lit("\u65e5\u672c \u2014 \u00e9\u00df "), F.regexp_replace("lang", "[^\u00e0-\u00ff]", "\u6587"))
+    kinds = F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t")), F.struct(F.lit(1).alias("k"), F.lit("").alias("t")),
+                    F.struct(F.lit(2).alias("k"), F.lit(None).cast("string").alias("t")), F.struct(F.lit(3).alias("k"), odd.alias("t")))
+    return d.select("doc_id", F.inline(kinds)).select((F.col("doc_id") * 4 + F.col("k")).alias("row_id"), F.col("t").alias("text"))
+
+
 VIEWS = {
+    "fx_texts": fx_texts,
     "fx_labeled": fx_labeled,
     "fx_pairs": fx_pairs,
     "fx_captions": fx_captions,
@@ -281,6 +291,12 @@ where {hkey_sql('s.row_id', 'a.annotator')} % 3 <= a.annotator""",
 from events""",
         (),
     ),
+    "fx_texts": (
+        """select doc_id * 4 as row_id, text from documents union all select doc_id * 4 + 1, '' from documents
+union all select doc_id * 4 + 2, null from documents
+union all select doc_id * 4 + 3, '\u65e5\u672c \u2014 \u00e9\u00df ' || regexp_replace(lang, '[^\u00e0-\u00ff]', '\u6587', 'g') from documents""",
+        (),
+    ),
     "fx_tokens": (
         """select row_id, cast(unnest(range(len(t))) as integer) as pos, unnest(t) as token
 from (select doc_id as row_id,
