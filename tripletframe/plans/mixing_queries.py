@@ -192,9 +192,10 @@ def m15_sampling_stats(spark, sf):
     return M.sampling_stats(_draws(spark, sf))
 
 
-@query("m16_curriculum_state")
+@query("m16_curriculum_state", "with dr as (" + _draw_sql() + f""")
+select {DRAW_LEVEL} as current_level, cast(0.0 as double) as level_progress, count(*) as total_samples, cast(count(distinct source) as integer) as n_sources from dr""", views=["fx_sources"])
 def m16_curriculum_state(spark, sf):
-    """Save the state derived from the draws, read it back with defaults (rows-only check)."""
+    """Save the state derived from the draws, read it back with defaults."""
     from tripletframe.session import checkpoint_dir
 
     path = f"{checkpoint_dir(spark)}/curriculum_state_{uuid.uuid4().hex}"

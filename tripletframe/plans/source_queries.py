@@ -91,23 +91,32 @@ def s9_row_counts(spark, sf):
     return io.row_counts(spark, {t: f"{sf}/{t}.parquet" for t in ("documents", "labels", "conversations")})
 
 
-@query("s10_write_results_csv")
+@query("s10_write_results_csv", _neg_query(), views=["fx_pairs"])
 def s10_write_results_csv(spark, sf):
+    """Triplets written as CSV and read back: texts come through whole."""
     trip = T.sample_negatives(view(spark, sf, "fx_pairs").drop("raw_score"))
     path = io.scratch_path(spark, "results")
     io.write_results_csv(trip, path)
-    return io.read_csv(spark, path, "premise string, correct_answer string, row_id long, incorrect_answer string")
+    return io.read_csv(spark, path, trip.schema)  # fields come by position
 
 
-@query("s11_write_summary_jsonl")
+_MEANS_SQL = """select dataset, metric, round(avg(score) filter (where label = 1), 6) as correct_mean,
+  round(avg(score) filter (where label = 0), 6) as incorrect_mean{more} from fx_scores group by dataset, metric"""
+
+
+def _means(df):
+    return df.withColumns({c: F.round(c, 6) for c in ("correct_mean", "incorrect_mean")})
+
+
+@query("s11_write_summary_jsonl", _MEANS_SQL.format(more=""), views=["fx_scores"])
 def s11_write_summary_jsonl(spark, sf):
     s = A.class_means(view(spark, sf, "fx_scores"), ["dataset", "metric"])
     path = io.scratch_path(spark, "summary")
     io.write_summary_jsonl(s, path)
-    return spark.read.schema("dataset string, metric string, correct_mean double, incorrect_mean double").json(path)
+    return _means(spark.read.schema("dataset string, metric string, correct_mean double, incorrect_mean double").json(path))
 
 
-@query("s12_skip_if_done")
+@query("s12_skip_if_done", _MEANS_SQL.format(more=", 1 as computed_times"), views=["fx_scores"])
 def s12_skip_if_done(spark, sf):
     """Second call reuses the published output instead of recomputing."""
     path = io.scratch_path(spark, "cached")
@@ -119,7 +128,7 @@ def s12_skip_if_done(spark, sf):
 
     io.skip_if_done(spark, path, compute)
     out = io.skip_if_done(spark, path, compute)
-    return out.withColumn("computed_times", F.lit(len(calls)))
+    return _means(out).withColumn("computed_times", F.lit(len(calls)))
 
 
 @query("s13_dataset_registry", """with reg as (select distinct source as name, 'pairs' as type, cast(difficulty as varchar) as difficulty

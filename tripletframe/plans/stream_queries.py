@@ -11,6 +11,7 @@ from tripletframe.operators import scoring as S
 from tripletframe.operators import training as R
 from tripletframe.operators import triplets as T
 from tripletframe.plans.registry import query
+from tripletframe.plans.sqlgen import negatives_ctes, with_ctes
 from tripletframe.plans.triplet_queries import RESERVOIR_K, _neg_query
 from tripletframe.session import cut_lineage
 from tripletframe.sources import io
@@ -26,14 +27,25 @@ LENGTH = 512
 
 # ---------------------------------------------------------------- W1-W3
 
-@query("w1_stream_triplets")
+ARRIVALS = 4
+
+
+def _arrivals_sql() -> str:
+    ctes, rel = negatives_ctes("arrived", "correct_answer", "row_id", "incorrect_answer", T.DEFAULT_BATCH, group=("batch_id",))
+    arrived = f"arrived as (select row_id, premise, correct_answer, cast({hkey_sql("'arrive'", 'row_id')} % {ARRIVALS} as integer) as batch_id from fx_pairs)"
+    return with_ctes([arrived, *ctes], f"select row_id, premise, correct_answer, incorrect_answer, batch_id from {rel}")
+
+
+@query("w1_stream_triplets", _arrivals_sql(), views=["fx_pairs"])
 def w1_stream_triplets(spark, sf):
-    """Pairs arrive as files; negatives are drawn inside each micro-batch; output = union of the batches."""
+    """Pairs arrive in four deliveries; the stream is resumed after each and draws negatives inside the delivery."""
     pairs = view(spark, sf, "fx_pairs").drop("raw_score")
+    x = cut_lineage(pairs.withColumn("_d", F.pmod(hkey(F.lit("arrive"), "row_id"), F.lit(ARRIVALS))))
     src, out, ck = (io.scratch_path(spark, n) for n in ("w1src", "w1out", "w1ck"))
-    pairs.repartition(4, "row_id").write.parquet(src)
-    W.stream_triplets(spark, src, out, ck, pairs.schema)
-    return spark.read.parquet(out)
+    for k in range(ARRIVALS):
+        x.where(F.col("_d") == k).drop("_d").write.mode("append").parquet(src)
+        W.stream_triplets(spark, src, out, ck, pairs.schema, max_files=None)
+    return spark.read.parquet(out).select("row_id", "premise", "correct_answer", "incorrect_answer", F.col("batch_id").cast("int").alias("batch_id"))
 
 
 @query("w2_stream_sample_k", f"""select row_id, pos, token from fx_tokens
@@ -246,6 +258,19 @@ def i1_token_attribution(spark, sf):
     return totals.join(pairs.select("pair_id", "row_id", "direction", "baseline"), "pair_id")
 
 
+def _i1_sql() -> str:
+    head, _ = _i2_sql().rsplit("select row_id, direction, round(sim, 6) as sim", 1)
+    return head + f"select row_id, direction, case when sim > 0 then 'zero' else 'reference' end as baseline, round(sim, {R6}) as cos_x, true as complete from f"
+
+
+@query("i1c_attribution_completeness", _i1_sql(), views=["fx_pairs"])
+def i1c_attribution_completeness(spark, sf):
+    """Attributions of every pair add up to the similarity gained over the baseline (to 0.001)."""
+    pairs, _, totals = _attributions(spark, sf)
+    x = totals.join(pairs.select("pair_id", "row_id", "direction", "baseline"), "pair_id")
+    return x.select("row_id", "direction", "baseline", F.round("cos_x", R6).alias("cos_x"), (F.abs("delta") < 1e-3).alias("complete"))
+
+
 @query("i3_normalise_importance", f"""with w as (select row_id, pos, token,
   cast({hkey_sql('token', '0')} % 2001 - 1000 as double) / 1000 as attr from fx_tokens)
 select row_id, pos, round(case when sqrt(sum(attr * attr) over (partition by row_id)) > 0
