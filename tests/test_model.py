@@ -107,3 +107,20 @@ def test_embed_lengths_around_L(spark):
         toks = spark.createDataFrame([(1, i, "a") for i in range(n)], "row_id long, pos int, token string")
         e = S.embed_texts(toks, vec, length=L).first()["e"]
         assert abs(e - (n * 1.0 + max(L - n, 0) * 0.25) / max(n, L)) < 1e-12
+
+
+def test_token_table_holds_the_senses_and_is_written_once(spark, tmp_path):
+    """g is the projected mean of the senses; a finished version is read again, another lies beside it."""
+    rng = np.random.default_rng(3)
+    w = C.init_sense_weights(4, 3)
+    rows = [(t, [float(v) for v in rng.normal(size=4)]) for t in "abc"] + [("none", None)]
+    df = spark.createDataFrame(rows, "token string, vec array<double>")
+    table = C.write_token_table(C.token_senses(df, w), str(tmp_path / "tokens"), "1")
+    got = {r.token: r for r in table.collect()}
+    assert set(got) == set("abc")
+    for t, v in rows[:3]:
+        senses = C.sense_forward(np.array([v]), w)[0]
+        assert np.allclose(got[t].senses, senses) and np.allclose(got[t].vec, (senses @ w["T"]).mean(0))
+    other = C.token_senses(df.where("token = 'a'"), w)
+    assert C.write_token_table(other, str(tmp_path / "tokens"), "1").count() == 3
+    assert C.write_token_table(other, str(tmp_path / "tokens"), "2").count() == 1

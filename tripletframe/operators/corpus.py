@@ -73,9 +73,13 @@ def token_vectors_from_senses(x: np.ndarray, w: dict) -> np.ndarray:
 
 
 def token_senses(vocab: DataFrame, weights: dict, token_col: str = "token", vec_col: str = "vec") -> DataFrame:
-    """(token, vec) -> (token, g) with a vectorised forward per Arrow batch; weights broadcast once."""
+    """(token, vec) -> (token, senses, g) with a vectorised forward per Arrow batch; weights broadcast once.
+
+    ``senses`` holds num_senses arrays of the vector's length, ``g`` is their mean after the projection T.
+    Rows with a null vector are left out.
+    """
     spark = vocab.sparkSession
-    bw = spark.sparkContext.broadcast(weights)
+    bw = spark.sparkContext.broadcast(weights)  # the model: d x d and d x num_senses matrices
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = bw.value
@@ -83,11 +87,24 @@ def token_senses(vocab: DataFrame, weights: dict, token_col: str = "token", vec_
             if len(b) == 0:
                 continue
             x = np.stack(b[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
-            g = token_vectors_from_senses(x, w)
-            yield pd.DataFrame({token_col: b[token_col].to_numpy(), "g": list(g)})
+            s = sense_forward(x, w)
+            g = (s @ w["T"]).mean(axis=1)
+            yield pd.DataFrame({token_col: b[token_col].to_numpy(), "senses": [list(r) for r in s], "g": list(g)})
+
+    doubles = T.ArrayType(T.DoubleType())
+    schema = T.StructType([T.StructField(token_col, T.StringType()), T.StructField("senses", T.ArrayType(doubles)), T.StructField("g", doubles)])
+    return vocab.select(token_col, vec_col).where(F.col(vec_col).isNotNull()).mapInPandas(run, schema)
+
+
+def write_token_table(senses: DataFrame, path: str, version: str) -> DataFrame:
+    """Write E1's table under ``path/version=<version>`` once and return it as (token, vec, senses) for E2's joins.
+
+    A finished version is read, not computed again; another version lies beside it.
+    """
+    from tripletframe.sources.io import skip_if_done
 
-    schema = T.StructType([T.StructField(token_col, T.StringType()), T.StructField("g", T.ArrayType(T.DoubleType()))])
-    return vocab.select(token_col, vec_col).mapInPandas(run, schema)
+    out = skip_if_done(senses.sparkSession, f"{path}/version={version}", lambda: senses)
+    return out.select("token", F.col("g").alias("vec"), "senses")
 
 
 # ------------------------------------------------------------------ E3

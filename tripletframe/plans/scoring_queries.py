@@ -19,6 +19,7 @@ from tripletframe.operators import score_all as E
 from tripletframe.operators.quantise import mauve
 from tripletframe.plans import score_sql as Q
 from tripletframe.plans.sqlgen import negatives_ctes
+from tripletframe.sources import io
 from tripletframe.sources.fixtures import (
     TOKEN_DIM,
     hashed_vectors,
@@ -322,12 +323,83 @@ def e7s_rouge_stemmed(spark, sf):
 
 # ---------------------------------------------------------------- E1, E14, E16, E17
 
-@query("e1_token_senses")
-def e1_token_senses(spark, sf):
-    """Sense network over the vocabulary table (weights: fixed-seed init with the reference's shapes)."""
-    vocab = S.vectors_to_arrays(view(spark, sf, "fx_token_vectors"))
+#: Shapes of the sense network's matrices by the hashing rule, in units of 1/1000 times the scale.
+_SENSE_SHAPES = {"fc": (TOKEN_DIM, 4 * TOKEN_DIM, 0.2), "proj": (4 * TOKEN_DIM, TOKEN_DIM, 0.2), "ffc": (TOKEN_DIM, 4 * TOKEN_DIM, 0.2),
+                 "fproj": (4 * TOKEN_DIM, TOKEN_DIM * NUM_SENSES, 0.2), "T": (TOKEN_DIM, TOKEN_DIM, 1.0)}
+
+
+def _sense_weights() -> dict:
+    """Weights that both engines can make: hashed numbers in the network's shapes, plain normalisations, no biases."""
+    def cell(name, i, j):
+        return (int(hashlib.md5(f"42|{name}|{i}|{j}".encode()).hexdigest()[:15], 16) % 2001 - 1000) / 1000
+
     w = C.init_sense_weights(TOKEN_DIM, NUM_SENSES)
-    return C.token_senses(vocab, w)
+    for name, (n, m, scale) in _SENSE_SHAPES.items():
+        w[name if name == "T" else f"{name}_w"] = np.array([[cell(name, i, j) * scale for j in range(m)] for i in range(n)])
+    return w
+
+
+def _sense_matrix_sql(name: str, columns: str) -> str:
+    """Rows of the transposed matrix: one list per column number of ``columns``."""
+    n, _, scale = _SENSE_SHAPES[name]
+    return f"list_transform({columns}, lambda j: list_transform(range({n}), lambda i: cast({hkey_sql(repr(name), 'i', 'j')} % 2001 - 1000 as double) / 1000 * {scale}))"
+
+
+def _senses_sql() -> str:
+    """The network as list expressions; of the senses the first, the last and (by linearity) their projected mean."""
+    ln = lambda v: f"list_transform({v}, lambda p: (p - list_avg({v})) / sqrt(list_avg(list_transform({v}, lambda q: (q - list_avg({v})) * (q - list_avg({v})))) + 1e-5))"
+    gelu = lambda v: f"list_transform({v}, lambda x: 0.5 * x * (1 + tanh(sqrt(2 / pi()) * (x + 0.044715 * x * x * x))))"
+    times = lambda v, m: f"list_transform({m}, lambda r: list_dot_product({v}, r))"
+    add = lambda a, b: f"list_transform(list_zip({a}, {b}), lambda z: z[1] + z[2])"
+    d, last = TOKEN_DIM, TOKEN_DIM * (NUM_SENSES - 1)
+    mean = f"list_transform(range({d}), lambda j: list_transform(range({4 * d}), lambda i: list_avg(list_transform(range({NUM_SENSES}), lambda s: cast({hkey_sql(repr('fproj'), 'i', f's * {d} + j')} % 2001 - 1000 as double) / 1000 * 0.2))))"
+    return f"""with w as materialized (select {_sense_matrix_sql('fc', f'range({4 * d})')} as fc, {_sense_matrix_sql('proj', f'range({d})')} as proj,
+  {_sense_matrix_sql('ffc', f'range({4 * d})')} as ffc, {_sense_matrix_sql('fproj', f'range({d})')} as s_first, {_sense_matrix_sql('fproj', f'range({last}, {last + d})')} as s_last,
+  {mean} as s_mean, {_sense_matrix_sql('T', f'range({d})')} as t),
+x0 as (select token, list(v order by j) as x from fx_token_vectors group by token),
+x1 as (select token, x, {ln('x')} as h from x0),
+x2 as (select token, {add('h', 'x')} as res from x1),
+x3 as (select token, res, {ln('res')} as hs from x2),
+x4 as (select token, res, {times('hs', 'w.fc')} as a from x3, w),
+x5 as (select token, res, {gelu('a')} as a from x4),
+x6 as (select token, {times('a', 'w.proj')} as m, res from x5, w),
+x7 as (select token, {add('m', 'res')} as res from x6),
+x8 as (select token, {ln('res')} as o from x7),
+x9 as (select token, {times('o', 'w.ffc')} as b from x8, w),
+x10 as (select token, {gelu('b')} as b from x9),
+x11 as (select token, {times('b', 'w.s_first')} as s_first, {times('b', 'w.s_last')} as s_last, {times('b', 'w.s_mean')} as s_mean from x10, w),
+senses as (select token, x11.s_first, x11.s_last, {times("x11.s_mean", "w.t")} as g from x11, w)"""
+
+
+def _sense_table(spark, sf):
+    """E1 over the vocabulary, written once under a version of its own."""
+    vocab = S.vectors_to_arrays(view(spark, sf, "fx_token_vectors"))
+    return C.write_token_table(C.token_senses(vocab, _sense_weights()), io.scratch_path(spark, "tokens"), "hashed-1")
+
+
+@query("e1_token_senses", _senses_sql() + f"""
+select token, {NUM_SENSES} as n_senses, round(s_first[1], {R6}) as sense_first, round(list_sum(s_last), {R6}) as sense_last_sum,
+  round(g[1], {R6}) as g_first, round(g[{TOKEN_DIM}], {R6}) as g_last, round(sqrt(list_dot_product(g, g)), {R6}) as g_norm from senses""", views=["fx_token_vectors"])
+def e1_token_senses(spark, sf):
+    """Sense network over the vocabulary: numbers of every token's senses and of their projected mean."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    t = _sense_table(spark, sf)
+    x = t.select("token", F.size("senses").alias("n_senses"), F.element_at(F.element_at("senses", 1), 1).alias("sense_first"), total(F.element_at("senses", -1)).alias("sense_last_sum"),
+                 F.element_at("vec", 1).alias("g_first"), F.element_at("vec", -1).alias("g_last"), F.sqrt(total(F.transform("vec", lambda v: v * v))).alias("g_norm"))
+    return _round(x, "sense_first", "sense_last_sum", "g_first", "g_last", "g_norm")
+
+
+@query("e1e_embed_from_senses", _senses_sql() + f""",
+cnt as (select row_id, token, count(*) as k from fx_tokens group by all),
+nn as (select row_id, cast(sum(k) as bigint) as n from cnt group by row_id),
+e as (select row_id, j, sum(k * g[j + 1]) as s from cnt join senses using (token), (select unnest(range({TOKEN_DIM})) as j) group by all)
+select row_id, n, cast(j as integer) as j, round(s / n / sqrt(sum(s / n * s / n) over (partition by row_id)), {R6}) as e from e join nn using (row_id)""",
+       views=["fx_tokens", "fx_token_vectors"])
+def e1e_embed_from_senses(spark, sf):
+    """Embeddings of the documents from the written token table of the sense network (plain means)."""
+    t = _sense_table(spark, sf)
+    e = S.embed_texts_arrays(view(spark, sf, "fx_tokens"), t.select("token", "vec"), [0.0] * TOKEN_DIM, length=1)
+    return _unit(e.select("row_id", "n", F.posexplode("emb").alias("j", "e")))
 
 
 def _triplets_lng() -> list[str]:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tripletframe.functions.keys import hkey, hkey_sql
 from tripletframe.operators import evalstats as A
 from tripletframe.operators import triplets as T
 from tripletframe.plans.registry import query
+from tripletframe.plans.sqlgen import negatives_ctes, with_ctes
 from tripletframe.plans.triplet_queries import _neg_query
 from tripletframe.sources import io
 from tripletframe.sources.fixtures import table, view
@@ -143,3 +145,37 @@ def s13_dataset_registry(spark, sf):
     req = d.select(F.col("source").alias("name")).union(d.select(F.col("lang").alias("name"))).distinct()
     v = io.validate_registry(reg, req)
     return v.select("name", "type", "difficulty", "status")
+
+
+#: Two sources of the test tables, one with a type that nothing reads; names outside it are asked for too.
+REGISTRY_JSON = """{
+  "talks": {"file": "parquet", "type": "pairs", "columns": {"anchor": "premise", "positive": "correct_answer"},
+            "split": {"train": "train", "validation": "valid"}, "difficulty": "2"},
+  "judged": {"file": "csv", "type": "triplets", "columns": {"question": "premise", "good": "correct_answer", "bad": "incorrect_answer"},
+             "split": {"test": "all"}, "difficulty": 4},
+  "films": {"file": "parquet", "type": "video", "split": {"train": "train"}, "difficulty": "1"}
+}"""
+
+
+def _registered_sql() -> str:
+    ctes, rel = negatives_ctes("talks", "correct_answer", "row_id", "incorrect_answer", T.DEFAULT_BATCH, group=("split",))
+    every, trip = negatives_ctes("fx_pairs", "correct_answer", "row_id", "incorrect_answer", prefix="tr")
+    talks = f"talks as (select *, case when {hkey_sql("'part'", 'row_id')} % 5 = 0 then 'validation' else 'train' end as split from fx_pairs)"
+    return with_ctes([talks, *ctes, *every], f"""select 'talks' as source, split, '2' as difficulty, row_id, premise, correct_answer, incorrect_answer from {rel}
+union all select 'judged', 'test', '4', row_id, premise, correct_answer, incorrect_answer from {trip}""")
+
+
+@query("s13b_build_sources", _registered_sql(), views=["fx_pairs"])
+def s13b_build_sources(spark, sf):
+    """A JSON registry turned into triplets: two sources in two formats under foreign column names, a bad type and an unknown name skipped."""
+    root = io.scratch_path(spark, "sources")
+    pairs = view(spark, sf, "fx_pairs").drop("raw_score")
+    talks = pairs.select("row_id", F.col("premise").alias("anchor"), F.col("correct_answer").alias("positive"))
+    held = F.pmod(hkey(F.lit("part"), "row_id"), F.lit(5)) == 0
+    talks.where(~held).write.parquet(f"{root}/talks/train")
+    talks.where(held).write.parquet(f"{root}/talks/valid")
+    judged = T.sample_negatives(pairs)
+    io.write_csv(judged.select("row_id", F.col("premise").alias("question"), F.col("correct_answer").alias("good"), F.col("incorrect_answer").alias("bad")), f"{root}/judged/all")
+    spark.createDataFrame([(REGISTRY_JSON,)], "value string").write.text(f"{root}/registry")
+    asked = spark.createDataFrame([("talks",), ("judged",), ("films",), ("songs",)], "name string")
+    return io.build_sources(spark, io.dataset_registry(spark, f"{root}/registry"), asked, root)

@@ -7,11 +7,9 @@ idempotent: they write to a staging folder and publish it with one rename.
 
 from __future__ import annotations
 
-import json
-import os
 import uuid
 import warnings
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,38 +168,29 @@ def skip_if_done(spark: SparkSession, path: str, compute: Callable[[], DataFrame
 
 # ------------------------------------------------------------------ S13
 
-REGISTRY_SCHEMA = T.StructType(
-    [
-        T.StructField("name", T.StringType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("difficulty", T.StringType()),
-        T.StructField("columns", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("splits", T.MapType(T.StringType(), T.StringType())),
-    ]
-)
 KNOWN_TYPES = ("pairs", "triplets", "pkl", "prepared")
 
 
-def dataset_registry(spark: SparkSession, entries: Sequence[Mapping] | str) -> DataFrame:
-    """The declarative dataset table (from a JSON config file or a list of entries)."""
-    if isinstance(entries, str):
-        with open(entries) as f:
-            cfg = json.load(f)
-        entries = [{"name": k, **v} for k, v in cfg.items()]
-    rows = [
-        (e["name"], e.get("type"), str(e.get("difficulty")) if e.get("difficulty") is not None else None,
-         e.get("columns") or {}, e.get("split") or e.get("splits") or {})
-        for e in entries
-    ]
-    return spark.createDataFrame(rows, REGISTRY_SCHEMA)
+def dataset_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The declarative dataset table of a JSON file: ``{name: {file, type, columns, split, difficulty}}``.
+
+    Read by Spark, so the file may lie on any file system. Missing maps are empty; a file that is not such
+    an object raises.
+    """
+    kind = "map<string,struct<file:string,type:string,columns:map<string,string>,split:map<string,string>,difficulty:string>>"
+    text = spark.read.text(path, wholetext=True)
+    entries = text.select(F.explode(F.from_json("value", kind, {"mode": "FAILFAST"})).alias("name", "e"))
+    none = F.create_map().cast("map<string,string>")
+    return entries.select("name", F.coalesce("e.file", F.lit("parquet")).alias("file"), "e.type", "e.difficulty",
+                          F.coalesce("e.columns", none).alias("columns"), F.coalesce("e.split", none).alias("splits"))
 
 
 def validate_registry(registry: DataFrame, requested: DataFrame, name_col: str = "name") -> DataFrame:
     """Requested names against the registry: 'ok', 'unknown' (warned and skipped) or 'bad_type'."""
-    j = requested.join(registry, name_col, "left")
-    status = (F.when(F.col("type").isNull(), "unknown")
-              .when(~F.col("type").isin(list(KNOWN_TYPES)), "bad_type").otherwise("ok"))
-    return j.withColumn("status", status)
+    j = requested.select(name_col).distinct().join(registry.withColumn("_listed", F.lit(True)), name_col, "left")
+    status = (F.when(F.col("_listed").isNull(), "unknown")
+              .when(~F.coalesce(F.col("type").isin(list(KNOWN_TYPES)), F.lit(False)), "bad_type").otherwise("ok"))
+    return j.withColumn("status", status).drop("_listed")
 
 
 def warn_unknown(validated: DataFrame, name_col: str = "name") -> list[str]:
@@ -211,9 +200,36 @@ def warn_unknown(validated: DataFrame, name_col: str = "name") -> list[str]:
     return bad
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "parquet": lambda spark, path: spark.read.parquet(path),
+    "csv": lambda spark, path: spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path),
+    "tsv": lambda spark, path: read_tsv(spark, path),
+    "json": lambda spark, path: spark.read.json(path),
+}
+
 
+def build_sources(spark: SparkSession, registry: DataFrame, requested: DataFrame, root: str, key_col: str = "row_id", batch_size: int | None = None) -> DataFrame:
+    """S13 + T12: the requested sources of a registry as one lazy plan of triplets.
 
-def exists_local(path: str) -> bool:
-    return os.path.exists(local_path(path))
+    A source is read from ``root/name/folder`` for each (split -> folder) of its entry by its ``file`` format, its columns are
+    renamed, and its type decides what happens (triplets keep their negatives, pairs draw them inside
+    the split, prepared tables pass). Unknown names and bad types are warned about and skipped; with nothing left
+    the result is empty. A source without a key column is keyed by a hash of its row. The registry is a configuration file: one plan branch per source and split.
+    Result: source, split, difficulty, key, premise, correct_answer, incorrect_answer.
+    """
+    from tripletframe.operators.triplets import DEFAULT_BATCH, TRIPLET_COLS, prepare_source
+
+    checked = validate_registry(registry, requested)
+    warn_unknown(checked)
+    out = None
+    for e in checked.where("status = 'ok'").orderBy("name").collect():
+        for split, folder in sorted((e["splits"] or {}).items()):
+            x = READERS[e["file"]](spark, f"{root}/{e['name']}/{folder}")
+            key = F.col(key_col).cast("long") if key_col in x.columns else F.xxhash64(*x.columns)
+            x = prepare_source(x.withColumn(key_col, key), e["type"], e["columns"], batch_size or DEFAULT_BATCH, key_col)
+            x = x.select(F.lit(e["name"]).alias("source"), F.lit(split).alias("split"), F.lit(e["difficulty"]).alias("difficulty"), key_col, *TRIPLET_COLS)
+            out = x if out is None else out.unionByName(x)
+    if out is None:
+        fields = ", ".join(["source string, split string, difficulty string", f"{key_col} long", *(f"{c} string" for c in TRIPLET_COLS)])
+        return spark.createDataFrame([], fields)
+    return out
