@@ -28,7 +28,7 @@ from tripletframe.llm.common import small_batches, starts_of, stash, texts_of
 from tripletframe.llm.exact_dedup import _gathered
 
 #: Hashes in a shard, bytes of hashes a probing task reads, and documents' bytes in a task of the last step.
-SHARD_KEYS, PROBE_BYTES, TASK_BYTES = 1 << 17, 32 << 20, 128 << 20
+SHARD_KEYS, PROBE_BYTES, TASK_BYTES = 1 << 17, 32 << 20, 32 << 20
 #: Bits a level of the perfect hash has for each key still without a place.
 ROOM = 1.5
 BLANKS = b" \t\n\x0b\x0c\r"
