@@ -505,7 +505,7 @@ def test_local_search_looks_at_every_underfull_bin():
 @pytest.mark.parametrize("name", sorted(Q.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     df = Q.QUERIES[name](spark, SMALL)
     cur = con.execute(Q.ORACLES[name])

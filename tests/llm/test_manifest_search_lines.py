@@ -6,18 +6,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tools.oracle_check import rows_of
-from tripletframe.llm import queries as Q
 from tripletframe.llm.lexical_search import EXACT, TopK, lexical_search, terms, tile_scores
 from tripletframe.llm.line_dedup import Shard, line_dedup
 from tripletframe.llm.merkle import ENTRY, merkle_manifest, tampered_manifest
 
-SMALL = "/root/testdata/sf0.001"
 LINE = "This Line is long enough to be counted as Ä line"
 LONG = "\n".join(f"line number {i % 3000} of a very long text that goes on" for i in range(40_000))
 DOCS = [
@@ -219,17 +215,3 @@ def test_perfect_hash_is_minimal_and_rejects_strangers():
     assert sorted(place.tolist()) == list(range(20_000))
     assert (shard.counts[place] == np.arange(20_000)).all() and (shard.known[place] == (np.arange(20_000) % 2 == 0)).all()
     assert (shard.find(hi + np.uint64(1), lo + np.uint64(7)) == -1).all()
-
-
-# registered queries
-
-@pytest.mark.parametrize("name", ["op11_merkle_manifest", "op12_lexical_search", "op13_line_dedup"])
-def test_queries_match_their_sql(spark, name):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark"):
-        con.execute(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
-    cur = con.execute(Q.ORACLES[name])
-    columns, rows = [d[0] for d in cur.description], cur.fetchall()
-    got = Q.QUERIES[name](spark, SMALL)
-    assert sorted(got.columns) == sorted(columns) and rows
-    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(columns, rows)
