@@ -464,6 +464,24 @@ def test_packing_edges(spark, edge, none):
     assert packing.pack(packing.pieces(none, Q.WORD_BPE).drop("ids")).count() == 0
 
 
+def test_packing_keeps_large_and_null_ids(spark):
+    top = 2**60
+    docs = spark.createDataFrame([(top + 1, "one two"), (top + 2, "three"), (None, "four"), (None, None), (2**63 - 1, "x " * 300)], "doc_id long, text string").coalesce(1)
+    whole = packing.pieces(docs, Q.WORD_BPE, capacity=64)
+    want = Counter(map(tuple, whole.select("doc_id", "piece", "start", "length", F.crc32("ids")).collect()))
+    got = packing.pack(packing.pieces(docs, Q.WORD_BPE, capacity=64, digest=True), capacity=64).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want and {r.doc_id for r in got} == {top + 1, top + 2, None, 2**63 - 1}
+
+
+def test_encoder_remembers_within_its_bounds(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    own, library = bpe.Bpe(Q.WORD_BPE), Tokenizer.from_file(Q.WORD_BPE)
+    for a in range(0, 400, 7):
+        texts = [f"word{i} item{i % 13}, word{i - 9}! " + "y" * (i % 50) for i in range(a, a + 7)]
+        assert [np.frombuffer(r, "<u4").tolist() for r in own.encode([t.encode() for t in texts])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(own.chunks) < 60 and len(own.chunks.old) < 60
+
+
 def test_packing_spreads_repeated_and_null_ids(spark):
     row = "cast(null as long) as doc_id, 0 as piece, 0L as start, 7L as length, 9L as ids_crc32"
     rows = packing.pack(spark.range(3000).selectExpr(*row.split(", ")), capacity=64, group_pieces=100).collect()

@@ -2,7 +2,7 @@
 
 White-space-separated chunks of a text are independent of each other: no
 pre-token, no composition and no special token crosses ASCII white space. So
-only chunks not seen before by the worker are encoded, many at once: the
+only chunks that the worker does not remember are encoded, many at once: the
 symbols of all their pre-tokens lie in one flat array, and each merge round
 looks every new neighbouring pair up by binary search in the sorted pair keys,
 takes the lowest rank of each pre-token and merges its occurrences left to right.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tripletframe.llm.common import SLICE_BYTES, refcounts_only, slices, small_batches, starts_of
 
-#: Chunks a worker remembers (about 200 bytes each); more are encoded again when they come back.
-CACHE_CHUNKS = 300_000
+#: Bytes of one generation of remembered chunks and of remembered pre-tokens (two of each at most), and of an entry besides its strings.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 160
 NONE = np.iinfo(np.int32).max
 
 
@@ -35,6 +35,27 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+class Memory(dict):
+    """Ids of strings in two generations: when the new one is full it becomes the old one, whose entries come back when asked for."""
+
+    def __init__(self, limit: int | None = None):
+        self.limit, self.held, self.old = limit or CACHE_BYTES, 0, {}
+
+    def unknown(self, asked: set) -> list:
+        """The strings of ``asked`` without an entry; make room first, so that all of them can be read afterwards."""
+        if self.held > self.limit:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        new = asked.difference(self)
+        back = new.intersection(self.old)
+        self.learn({c: self.old[c] for c in back})
+        return list(new.difference(back))
+
+    def learn(self, entries: dict) -> None:
+        self.update(entries)
+        self.held += sum(map(len, entries)) + sum(map(len, entries.values())) + ENTRY_BYTES * len(entries)
+
+
 class Bpe:
     """Encoder and decoder of a ``word_bpe`` file (lower case, byte-level, word ends)."""
 
@@ -57,7 +78,7 @@ class Bpe:
         split = next((t for t in spec["pre_tokenizer"].get("pretokenizers", []) if t["type"] == "Split"), None)
         self.words = regex.compile(split["pattern"]["Regex"]) if split else None
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cache: dict[bytes, bytes] = {}
+        self.chunks, self.plain = Memory(), Memory()  # ids of chunks (bytes) and of pre-tokens (text)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of neighbours, NONE for pairs that don't merge."""
@@ -113,31 +134,31 @@ class Bpe:
         return [[t] if t.isalpha() else find(t) for t in text.split("\n")]
 
     def encode_parts(self, parts: list[list[str]]) -> list[bytes]:
-        """Ids of every list of pre-tokens; each distinct pre-token is merged once."""
-        plain = list(dict.fromkeys(chain.from_iterable(parts)))
-        ids = dict(zip(plain, self.merge([w.encode() for w in plain])))
+        """Ids of every list of pre-tokens; only pre-tokens not remembered are merged, each once."""
+        ids = self.plain
+        new = ids.unknown(set(chain.from_iterable(parts)))
+        ids.learn(dict(zip(new, self.merge([w.encode() for w in new]))))
         return [ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]) for p in parts]
 
     def learn(self, chunks: list[bytes]) -> None:
-        """Encode new chunks into the cache."""
+        """Encode new chunks and remember them."""
         odd = [c for c in chunks if b"<|" in c and self.split_special]
         if odd:
             chunks = [c for c in chunks if b"<|" not in c]
         if chunks:
-            self.cache.update(zip(chunks, self.encode_parts(self.pre_tokens(chunks))))
+            self.chunks.learn(dict(zip(chunks, self.encode_parts(self.pre_tokens(chunks)))))
         for c in odd:  # may hold strings of special tokens
             pieces = [p for p in self.split_special.split(c.decode("utf-8", "replace")) if p]
-            self.cache[c] = b"".join(np.uint32(self.special[p]).astype("<u4").tobytes() if p in self.special else self.encode_parts(self.pre_tokens([p.encode()]))[0] for p in pieces)
+            own = b"".join(np.uint32(self.special[p]).astype("<u4").tobytes() if p in self.special else self.encode_parts(self.pre_tokens([p.encode()]))[0] for p in pieces)
+            self.chunks.learn({c: own})
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         words = [t.split() for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        new = set().union(*words).difference(self.cache)
+        new = self.chunks.unknown(set().union(*words))
         if new:
-            self.learn(list(new))
-        get = self.cache.__getitem__
+            self.learn(new)
+        get = self.chunks.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
     def decode(self, ids: bytes) -> bytes:

@@ -14,43 +14,60 @@ and by what they could give back (sets of sizes as bits of a number).
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.bpe import encode
-from tripletframe.llm.common import stash
+from tripletframe.llm.bpe import load
+from tripletframe.llm.common import refcounts_only, slices, small_batches, starts_of, stash
 
 CAPACITY = 2048
 GROUP_PIECES = 20_000
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> doc_id, piece, start, length, ids (binary) of every piece.
-
-    A null or empty text is the end id alone. Repeated rows are packed as often as they occur.
+def cut_runs(runs: list[bytes], capacity: int, end: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]:
+    """Id runs (4 bytes an id), each with ``end`` behind it, as pieces of ``capacity`` ids: number of the run, piece, start, length, ids."""
+    whole = [r + end for r in runs]
+    size = np.fromiter(map(len, whole), np.int64, len(whole)) // 4
+    n = -(-size // capacity)
+    row = np.repeat(np.arange(len(whole)), n)
+    piece = np.arange(len(row)) - np.repeat(starts_of(n)[:-1], n)
+    start = piece * capacity
+    length = np.minimum(size[row] - start, capacity)
+    if len(row) > len(whole):
+        view = [memoryview(w) for w in whole]
+        whole = [view[r][4 * a : 4 * (a + m)] for r, a, m in zip(row.tolist(), start.tolist(), length.tolist())]
+    return row, piece, start, length, whole
+
+
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, digest: bool = False) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> doc_id, piece, start, length, ids (binary) of every piece; with ``digest`` ids_crc32 (long) for ids.
+
+    Encoding, cutting and checksums are one pass over the texts; with ``digest``
+    no ids leave it. A null or empty text is the end id alone. Repeated rows are
+    packed as often as they occur, and so are rows with a null id; whole texts
+    of any length are cut. Other columns are not read; an empty table has no pieces.
     """
+    small_batches(docs.sparkSession)
     end = np.uint32(end_id).astype("<u4").tobytes()
+    last = "ids_crc32" if digest else "ids"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refcounts_only()
+        bpe = load(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                out = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), part.column("ids").to_pylist()):
-                    ids += end
-                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                        run = ids[s : s + 4 * capacity]
-                        out.append((doc, k, s // 4, len(run) // 4, run))
-                cols = list(zip(*out))
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "piece", "start", "length", "ids"])
+            for part, texts in slices(batch, "text"):
+                row, piece, start, length, ids = cut_runs(bpe.encode(texts), capacity, end)
+                own = pa.array(list(map(zlib.crc32, ids)), pa.int64()) if digest else pa.array(list(map(bytes, ids)), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), own],
+                                                 names=["doc_id", "piece", "start", "length", last])
 
-    return encode(docs.select(F.col("doc_id").cast("long"), "text"), path).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, f"doc_id long, piece int, start long, length long, {last} {'long' if digest else 'binary'}")
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -215,7 +232,7 @@ def _exchange(give: int, room: int, other: list[int], size: list[int]) -> tuple[
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """Adds sequence_id and offset (long) to a table of pieces (doc_id, piece, length, ...).
+    """Adds sequence_id and offset (long) to a table of pieces (doc_id, piece, start, length, ...).
 
     Offsets are gapless from 0 in each sequence; no sequence is longer than
     ``capacity``. An empty table stays empty.
@@ -225,20 +242,21 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIE
     groups = max(1, -(-short.count() // group_pieces))
     columns = cut.columns
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "start"], kind="stable", ignore_index=True)
-        lengths = pdf["length"].to_numpy()
+    def fill(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [(c, "ascending") for c in ("doc_id", "piece", "start")]))
+        lengths = group.column("length").to_numpy()
         bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+        size = [len(b) for b in bins]
         rows = np.concatenate([np.array(b) for b in bins])
-        of = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
         ends = np.cumsum(lengths[rows])
-        base = np.append(0, ends[np.cumsum([len(b) for b in bins])[:-1] - 1])
-        pdf = pdf.iloc[rows]
-        return pdf[columns].assign(sequence_id=pdf["grp"].to_numpy() + groups * of, offset=ends - lengths[rows] - base[of])
+        base = np.append(0, ends[np.cumsum(size)[:-1] - 1])
+        sequence = group.column("grp")[0].as_py() + groups * np.repeat(np.arange(len(bins)), size)
+        return (group.select(columns).take(pa.array(rows)).append_column("sequence_id", pa.array(sequence))
+                .append_column("offset", pa.array(ends - lengths[rows] - np.repeat(base, size))))
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields), "sequence_id long, offset long"])
     # numbered over the stashed table itself, whose splits do not change between attempts
     packed = (short.withColumn("grp", F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(groups)))
-              .groupBy("grp").applyInPandas(fill, schema))
+              .groupBy("grp").applyInArrow(fill, schema))
     whole = cut.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(whole)

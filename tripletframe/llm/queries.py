@@ -154,8 +154,7 @@ from s qualify rank <= 5
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048, end_id=0)
-    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_BPE, capacity=2048, end_id=0, digest=True), capacity=2048)
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
