@@ -405,11 +405,45 @@ def test_toxicity_edges_and_accuracy(spark, edge, none):
     assert toxicity.reject_toxic(docs, marks).count() == 300
 
 
-def test_neighbours_by_lists_and_blocks_are_exact(monkeypatch):
-    monkeypatch.setattr(toxicity, "HEAD", 6)
+@pytest.mark.parametrize("block,first", [(4, 1), (16, 3), (1, 2)])
+def test_neighbours_are_exact_when_blocks_are_skipped(monkeypatch, block, first):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "FIRST_BLOCKS", first)
     test_nearest_examples_are_exact()
 
 
+def test_bounds_hold_for_every_term_and_let_blocks_be_skipped():
+    rng = np.random.default_rng(6)
+    v = np.zeros((640, 90))
+    for i in range(640):  # three vocabularies
+        v[i, 30 * (i % 3) + rng.choice(30, 6, replace=False)] = rng.random(6) + 0.1
+    v /= np.sqrt((v**2).sum(axis=1, keepdims=True))
+    index = toxicity.Index(v, rng.integers(0, 2, 640), np.arange(640), 5)
+    skipped = 0
+    for q in v[:60]:
+        s = toxicity.Sparse.of(q[None])
+        each = index.begin[s.term + 1] - index.begin[s.term]
+        bound = index.bounds(toxicity._ranges(index.begin[s.term], each), np.repeat(s.value, each))
+        sims = v[index.ids] @ q
+        assert all(sims[b * toxicity.BLOCK : (b + 1) * toxicity.BLOCK].max() <= bound[b] + 1e-12 for b in range(index.blocks))
+        skipped += (bound < np.sort(sims)[-5]).sum()
+    assert skipped > 60 * index.blocks / 2
+
+
+def test_sample_counts_copies_of_a_label_once_and_ends_at_its_bounds():
+    rows = [(1, 0, 5, [b"a", b"b"]), (2, 1, 5, [b"a", b"b"]), (3, 0, 5, [b"a", b"b"]), (4, 0, 5, [b"a", b"c"]), (5, 0, 95, [b"d", b"e"]), (6, 0, 5, [b"f", b"g"]), (7, 0, 5, [b"h", b"i"])]
+    assert toxicity._unlike(rows, 3, 100) == [(1, 0), (2, 1), (4, 0), (6, 0)]
+
+
+def test_repeated_ids_learn_the_largest_text(spark):
+    own = ["".join(chr(97 + int(c)) for c in str(i)) for i in range(200)]
+    docs = [(i, ("idiot moron " if i % 4 == 0 else "") + f"the w{x} of r{x}") for i, x in enumerate(own)]
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    twice = docs + [(i, "aa " + t) for i, t in docs[1::4]]
+    both = [{tuple(r)[:4] for r in toxicity.toxicity(spark.createDataFrame(d, "doc_id long, text string").repartition(p), marks).collect()} for d, p in ((twice, 2), (twice[::-1], 5))]
+    assert both[0] == both[1]
+
+
 def test_copy_of_a_toxic_example_with_rare_words_finds_it(spark):
     own = ["".join(chr(97 + int(c)) for c in str(i)) for i in range(300)]
     learned = next(i for i in range(300, 400) if zlib.crc32(str(i).encode()) % 5)

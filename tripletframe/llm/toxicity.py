@@ -1,24 +1,25 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 The classifier is fitted on a bounded sample of labelled training rows
-(``per_class`` of each label, chosen by a hash of the id). Terms are words and
-word beginnings (so that inflected forms share terms); all terms of the sampled
+(``per_class`` of each label in the order of a hash of the id, at most
+``SAMPLE_BYTES`` of text a label). Terms are words; all words of the sampled
 examples are the vocabulary. Their document frequencies are counted over all
 documents; a term's weight rises with how well it tells the labels apart in the
-sample (log-likelihood ratio). The examples' unit vectors lie in an inverted
-index: lists for most terms, and blocks of examples for the commonest (``HEAD``).
-The lists are added up exactly; per common term and block the largest weight
-bounds what any example of the block can score besides, so blocks below a
-document's k-th best similarity are skipped and the neighbours are still exact. Neighbours
-vote with weights that fall with distance; a logistic fit of leave-one-out votes,
-weighted to the labels' shares among all labelled training rows, calibrates them.
+sample (log-likelihood ratio). The examples lie in blocks of like beside like,
+their unit vectors in an inverted index whose lists are cut by block: every
+(term, block) entry has its largest weight. Summed over a document's terms these
+maxima bound its similarity to any example of a block; the blocks of the highest
+bounds are summed exactly first, then only those whose bound reaches the k-th
+best similarity found, so the neighbours are exact. Neighbours vote with weights
+that fall with distance; a logistic fit of leave-one-out votes, weighted to the
+labels' shares among all labelled training rows, calibrates them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -27,20 +28,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import slices, small_batches, starts_of
+from tripletframe.llm.common import slices, small_batches, starts_of, stash
 
-#: Bound of the fitted sample: labelled rows of each class.
-PER_CLASS = 3000
+#: Bound of the fitted sample: labelled rows of each class, and the bytes of their texts.
+PER_CLASS, SAMPLE_BYTES = 3000, 16 << 20
 #: A term in this many examples that reaches this log-likelihood ratio gets more weight.
 LEAST_DOCS, LEAST_RATIO = 5, 25.0
-#: So many of the commonest terms are kept in blocks, the others in lists.
-HEAD = 1024
-#: Words whose terms a task remembers.
-CACHE_WORDS = 500_000
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 32
+#: Blocks of the highest bounds that are summed before others are skipped.
+FIRST_BLOCKS = 8
 BATCH = 128  # texts looked up at once
-BEGINNINGS = range(3, 8)  # bytes
 _BLANK = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
 
@@ -49,11 +47,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_BLANK).split()
 
 
-def terms_of(word: bytes) -> list[bytes]:
-    """The word itself (marked) and its beginnings."""
-    return [word + b"$", *(word[:k] for k in BEGINNINGS if len(word) >= k)]
-
-
 class Sparse(NamedTuple):
     """Nonzero entries of a matrix, by row."""
 
@@ -68,102 +61,121 @@ class Sparse(NamedTuple):
         return cls(row, term, dense[row, term], dense.shape)
 
 
-class _Words(dict):
-    """Packed term numbers of words, looked up once."""
-
-    def __init__(self, number: dict[bytes, int]):
-        self.number = number
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        own = self[word] = np.array([i for i in map(self.number.get, terms_of(word)) if i is not None], np.int32).tobytes()
-        return own
-
-
 class Vocabulary:
     """Counts of terms in texts."""
 
     def __init__(self, terms: list[bytes]):
-        self.words, self.size = _Words({t: i for i, t in enumerate(terms)}), len(terms)
+        self.number, self.size = {t: i for i, t in enumerate(terms)}, len(terms)
 
     def counts(self, texts: list[bytes]) -> Sparse:
-        runs = [b"".join(map(self.words.__getitem__, words_of(t))) for t in texts]
-        size = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
-        key, n = np.unique(np.repeat(np.arange(len(texts)), size) * max(1, self.size) + np.frombuffer(b"".join(runs), np.int32), return_counts=True)
+        runs = [[i for i in map(self.number.get, words_of(t)) if i is not None] for t in texts]
+        size = np.fromiter(map(len, runs), np.int64, len(runs))
+        flat = np.fromiter(chain.from_iterable(runs), np.int64, int(size.sum()))
+        key, n = np.unique(np.repeat(np.arange(len(texts)), size) * max(1, self.size) + flat, return_counts=True)
         return Sparse(*np.divmod(key, max(1, self.size)), n.astype(float), (len(texts), self.size))
 
 
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0]+1, ... (n[0] numbers), start[1], ..."""
+    return np.repeat(start - starts_of(n)[:-1], n) + np.arange(n.sum())
+
+
+def like_beside_like(v: Sparse, size: int, dims: int = 8, rounds: int = 3) -> np.ndarray:
+    """Rows in an order that puts similar ones into one run of ``size``: split in halves along leading directions."""
+    n, m = v.shape
+    if n <= size:
+        return np.arange(n)
+    z = np.random.default_rng(5).standard_normal((m, dims))
+    for _ in range(rounds):
+        y = np.stack([np.bincount(v.row, v.value * z[v.term, j], n) for j in range(dims)], 1)
+        z = np.stack([np.bincount(v.term, v.value * c[v.row], m) for c in np.linalg.qr(y)[0].T], 1)
+    y = np.stack([np.bincount(v.row, v.value * z[v.term, j], n) for j in range(dims)], 1)
+    todo, out = [np.arange(n)], []
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        rows = rows[np.argsort(y[rows, y[rows].var(axis=0).argmax()], kind="stable")]
+        half = max(1, len(rows) // size // 2) * size
+        todo += [rows[half:], rows[:half]]
+    return np.concatenate(out)
+
+
 class Index:
-    """Inverted index over unit vectors of the examples, with block maxima for common terms; exact neighbours for batches of queries."""
+    """Block-max inverted index over unit vectors of the examples; exact neighbours of queries."""
 
     def __init__(self, vectors: np.ndarray | Sparse, labels: np.ndarray, ids: np.ndarray, k: int):
         v = vectors if isinstance(vectors, Sparse) else Sparse.of(vectors)
-        found = np.bincount(v.term, minlength=v.shape[1])
-        head = np.sort(np.argsort(-found, kind="stable")[:HEAD])
-        self.column = np.full(v.shape[1], -1)  # place of a common term
-        self.column[head] = np.arange(len(head))
-        dense = self._head(v)
         has = np.bincount(v.row, minlength=v.shape[0]) > 0
-        full = np.flatnonzero(has)
-        order = full[np.lexsort((ids[full], dense[full].argmax(axis=1) if len(full) and len(head) else full))]  # like beside like: tight bounds
+        order = like_beside_like(v, BLOCK)
+        order = order[has[order]]
         self.labels, self.ids, self.k = labels[order], ids[order], k
         empty = labels[~has]
         self.empty_vote = float(empty.mean()) if len(empty) else float(labels.mean()) if len(labels) else 0.0
-        self.blocks = []
-        dense = dense[order]
-        for a in range(0, len(dense), BLOCK):
-            part = dense[a : a + BLOCK]
-            terms = np.flatnonzero(part.any(axis=0))  # the block's inverted lists
-            self.blocks.append((a, terms, np.ascontiguousarray(part[:, terms].T)))
-        self.most = np.array([dense[a : a + BLOCK].max(axis=0) for a, _, _ in self.blocks]) if self.blocks else np.zeros((0, len(head)))
         place = np.zeros(v.shape[0], np.int64)
         place[order] = np.arange(len(order))
-        rare = np.flatnonzero(self.column[v.term] < 0)
-        rare = rare[np.lexsort((place[v.row[rare]], v.term[rare]))]
-        self.lists, self.weights = place[v.row[rare]].astype(np.int32), v.value[rare]
-        self.begin = starts_of(np.bincount(v.term[rare], minlength=v.shape[1]))
-
-    def _head(self, v: Sparse) -> np.ndarray:
-        out = np.zeros((v.shape[0], int(self.column.max(initial=-1)) + 1))
-        c = self.column[v.term]
-        out[v.row[c >= 0], c[c >= 0]] = v.value[c >= 0]
-        return out
-
-    def _tail(self, v: Sparse) -> np.ndarray:
-        """What the lists add to the similarity of every query and example."""
-        rare = self.column[v.term] < 0
-        row, term, value = v.row[rare], v.term[rare], v.value[rare]
-        out = np.zeros((v.shape[0], len(self.labels)))
-        cuts = np.searchsorted(row, np.arange(v.shape[0] + 1))
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):  # one query's lists at a time in memory
-            start, n = self.begin[term[a:b]], self.begin[term[a:b] + 1] - self.begin[term[a:b]]
-            at = np.repeat(start - starts_of(n)[:-1], n) + np.arange(n.sum())
-            out[k] = np.bincount(self.lists[at], np.repeat(value[a:b], n) * self.weights[at], len(self.labels))
-        return out
+        by = np.lexsort((place[v.row], v.term))
+        self._lay(place[v.row[by]], v.value[by], np.bincount(v.term, minlength=v.shape[1]))
+
+    def _lay(self, at: np.ndarray, weight: np.ndarray, per_term: np.ndarray) -> None:
+        """Lists of all terms (example, weight), one after the other, and their entries, a run of a list inside a block."""
+        self.at, self.weight, self.per_term = at, weight, per_term
+        term, block = np.repeat(np.arange(len(per_term)), per_term), at // BLOCK
+        self.entry = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(at) else np.zeros(0, np.int64)
+        self.entry_size = np.diff(np.append(self.entry, len(at)))
+        self.entry_block = block[self.entry]
+        self.most = np.maximum.reduceat(weight, self.entry) if len(at) else np.zeros(0)
+        self.begin = starts_of(np.bincount(term[self.entry], minlength=len(per_term)))
+        self.blocks = -(-len(self.ids) // BLOCK)
+
+    def __getstate__(self):
+        return self.labels, self.ids, self.k, self.empty_vote, self.at.astype(np.int32), self.weight, self.per_term
+
+    def __setstate__(self, state):
+        self.labels, self.ids, self.k, self.empty_vote, at, weight, per_term = state
+        self._lay(at.astype(np.int64), weight, per_term)
+
+    def bounds(self, entries: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """For each block a similarity that none of its examples exceeds."""
+        return np.bincount(self.entry_block[entries], value * self.most[entries], self.blocks)
+
+    def _sums(self, entries: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """What the entries add to the similarity of every example."""
+        n = self.entry_size[entries]
+        at = _ranges(self.entry[entries], n)
+        return np.bincount(self.at[at], np.repeat(value, n) * self.weight[at], len(self.ids))
 
     def nearest(self, queries: np.ndarray | Sparse, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and example numbers (k per query, best first, -1 where there are fewer); ties to smaller numbers."""
         q = queries if isinstance(queries, Sparse) else Sparse.of(queries)
         n, k = q.shape[0], self.k
         best, who = np.zeros((n, k)), np.full((n, k), -1, np.int64)
-        if not self.blocks:
-            return best, who
-        head, tail = self._head(q), self._tail(q)
-        bound = head @ self.most.T + np.maximum.reduceat(tail, [a for a, _, _ in self.blocks], axis=1)
-        for b in np.argsort(-bound.sum(axis=0), kind="stable"):
-            live = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= best[:, -1] - 1e-9))
-            if not len(live):
+        cuts = np.searchsorted(q.row, np.arange(n + 1)).tolist()
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            term = q.term[a:b]
+            each = self.begin[term + 1] - self.begin[term]
+            entries, value = _ranges(self.begin[term], each), np.repeat(q.value[a:b], each)
+            if not len(entries):
                 continue
-            a, terms, weights = self.blocks[b]
-            sims = np.round(head[np.ix_(live, terms)] @ weights + tail[live, a : a + weights.shape[1]], 12)
-            number = np.broadcast_to(np.arange(a, a + weights.shape[1]), sims.shape)
-            if leave is not None:
-                sims = np.where(number == leave[live][:, None], 0, sims)
-            s = np.concatenate([best[live], sims], axis=1)
-            w = np.concatenate([who[live], np.where(sims > 0, number, -1)], axis=1)
-            top = np.lexsort((np.where(w < 0, 1 << 40, w), -s), axis=1)[:, :k]
-            best[live], who[live] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
+            bound = self.bounds(entries, value)
+            live = np.zeros(self.blocks, bool)
+            live[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else slice(None)] = True
+            now = live[self.entry_block[entries]]
+            sims = self._sums(entries[now], value[now])
+            if leave is not None and leave[i] >= 0:
+                sims[leave[i]] = 0
+            if self.blocks > FIRST_BLOCKS:
+                least = np.partition(sims, -k)[-k] - 1e-9 if len(sims) >= k else 0.0
+                live = (bound >= least) & (bound > 0) & ~live
+                now = live[self.entry_block[entries]]
+                sims += self._sums(entries[now], value[now])
+                if leave is not None and leave[i] >= 0:
+                    sims[leave[i]] = 0
+            sims = np.round(sims, 12)
+            some = np.flatnonzero(sims >= max(np.partition(sims, -k)[-k] if len(sims) >= k else 0.0, 1e-12))
+            top = some[np.lexsort((some, -sims[some]))][:k]
+            best[i, : len(top)], who[i, : len(top)] = sims[top], top
         return best, who
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
@@ -181,6 +193,12 @@ class Model:
         self.vocabulary, self.idf, self.index = Vocabulary(terms), idf, index
         self.slope, self.offset, self.constant = slope, offset, constant
 
+    def __getstate__(self):
+        return {**self.__dict__, "vocabulary": b" ".join(self.vocabulary.number)}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state, vocabulary=Vocabulary(state["vocabulary"].split()))
+
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[list]]:
         """Score and evidence (example id, label, similarity of the nearest three) of each text."""
         if self.constant is not None:
@@ -222,16 +240,17 @@ def sketch(text: bytes, width: int = 5) -> list[bytes]:
     return [min(xxhash.xxh64_digest(r, seed) for r in runs) for seed in (1, 2)]
 
 
-def _unlike(signatures) -> list[tuple[int, int]]:
-    """Examples (doc_id, label) of which no two share a signature, the smaller id first."""
-    own: dict[int, list] = {}
-    for d, y, s in signatures:
-        own.setdefault(d, [y]).append(bytes(s))
-    seen, out = set(), []
-    for d in sorted(own):
-        if seen.isdisjoint(own[d][1:]):
-            out.append((d, own[d][0]))
-        seen.update(own[d][1:])
+def _unlike(rows: list, per_class: int, limit: int) -> list[tuple[int, int]]:
+    """Examples (doc_id, label) from candidates (doc_id, label, bytes, signatures) in sample order: copies (both signatures
+    equal) with one label count once, and each label's examples end at ``per_class`` rows or before ``limit`` bytes are passed."""
+    seen, n, held, out = set(), Counter(), Counter(), []
+    for d, y, size, signs in rows:
+        key = (y, *map(bytes, signs))
+        if key not in seen and n[y] < per_class and held[y] + size <= limit:
+            seen.add(key)
+            n[y] += 1
+            held[y] += size
+            out.append((d, y))
     return out
 
 
@@ -258,28 +277,37 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     if len(share) < 2:
         return Model([], np.zeros(0), None, 0.0, 0.0, float(next(iter(share), 0)))
     picked = None
-    for y in (0, 1):
-        part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    for y in (0, 1):  # twice as many candidates, so that copies can be left out
+        part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class)
         picked = part if picked is None else picked.unionByName(part)
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sketch(t) for t in texts], pa.list_(pa.binary()))], names=[*part.schema.names, "signs"])
+
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 words = [Counter(words_of(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([sketch(t) for t in texts], pa.list_(pa.binary())), pa.array([b" ".join(c) for c in words], pa.binary()),
-                                                  pa.array([np.fromiter(c.values(), np.int64, len(c)).tobytes() for c in words], pa.binary())], names=["doc_id", "toxic", "signs", "words", "tf"])
-
-    sample = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # bounded: 2 * per_class rows
-    bags = sample.mapInArrow(bag, "doc_id long, toxic int, signs array<binary>, words binary, tf binary").toArrow().to_pylist()
-    examples = _unlike((r["doc_id"], r["toxic"], s) for r in bags for s in r["signs"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([b" ".join(c) for c in words], pa.binary()),
+                                                  pa.array([np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in words], pa.binary())], names=["doc_id", "words", "tf"])
+
+    # bounded: 4 * per_class rows; of a repeated id the largest text counts
+    one = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    sample = stash(one.mapInArrow(sign, "doc_id long, toxic int, text string, signs array<binary>"), "examples")
+    rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "toxic", F.octet_length("text"), "signs").collect()
+    examples = _unlike(rows, per_class, SAMPLE_BYTES)
     n_pos = sum(y for _, y in examples)
     n_neg = len(examples) - n_pos
     if not n_pos or not n_neg:
         return Model([], np.zeros(0), None, 0.0, 0.0, share[1] / (share[0] + share[1]))
-    own = {r["doc_id"]: r for r in bags}
-    names, counts = _all_terms([(own[d]["words"].split(b" ") if own[d]["words"] else [], np.frombuffer(own[d]["tf"], np.int64)) for d, _ in examples])
-    del bags, own
+    chosen = docs.sparkSession.createDataFrame(examples, "doc_id long, toxic int").select("doc_id")  # bounded: 2 * per_class ids
+    bags = sample.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").mapInArrow(bag, "doc_id long, words binary, tf binary").orderBy("doc_id").toArrow()
+    examples.sort()
     y, ids = np.array([y for _, y in examples]), np.array([d for d, _ in examples])
+    names, counts = _all_terms(bags)
+    del bags
     pos, neg = (np.bincount(counts.term[y[counts.row] == k], minlength=len(names)).astype(float) for k in (1, 0))
     ratio = np.where(pos + neg >= LEAST_DOCS, _ratio(pos, neg, n_pos, n_neg), 0)
     n, df = _document_frequencies(docs, names)
@@ -300,18 +328,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return Model(names, idf, index, slope, offset, None)
 
 
-def _all_terms(bags: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[bytes], Sparse]:
-    """All terms of the examples' words (in byte order) and their counts by example."""
-    names = sorted({t for w in {w for words, _ in bags for w in words} for t in terms_of(w)})
-    known, rows, terms, values = _Words({t: i for i, t in enumerate(names)}), [], [], []
-    for k, (words, tf) in enumerate(bags):
-        runs = [known[w] for w in words]
-        own = np.frombuffer(b"".join(runs), np.int32)
-        term, at = np.unique(own, return_inverse=True)
-        rows.append(np.full(len(term), k, np.int32))
-        terms.append(term.astype(np.int32))
-        values.append(np.bincount(at, np.repeat(tf, [len(r) // 4 for r in runs]), len(term)).astype(np.int32))
-    return names, Sparse(np.concatenate(rows), np.concatenate(terms), np.concatenate(values), (len(bags), len(names)))
+def _all_terms(bags: pa.Table) -> tuple[list[bytes], Sparse]:
+    """All words of the examples (in byte order) and their counts by example."""
+    words = [w.as_py().split() for w in bags.column("words")]
+    names = sorted(set().union(*words))
+    number = {t: i for i, t in enumerate(names)}
+    size = [len(w) for w in words]
+    term = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, sum(size))
+    tf = np.frombuffer(b"".join(t.as_py() for t in bags.column("tf")), np.int32)
+    row = np.repeat(np.arange(len(words)), size)
+    by = np.lexsort((term, row))
+    return names, Sparse(row, term[by], tf[by].astype(float), (len(words), len(names)))
 
 
 def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
@@ -330,6 +357,7 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.
 
     total = np.zeros(len(terms) + 1, np.int64)
     found = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     total[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return int(total[-1]), total[:-1].astype(float)
 
