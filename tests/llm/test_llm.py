@@ -405,14 +405,17 @@ def test_toxicity_edges_and_accuracy(spark, edge, none):
     assert toxicity.reject_toxic(docs, marks).count() == 300
 
 
-@pytest.mark.parametrize("block,first", [(4, 1), (16, 3), (1, 2)])
-def test_neighbours_are_exact_when_blocks_are_skipped(monkeypatch, block, first):
+@pytest.mark.parametrize("block,first,head", [(4, 1, 6), (16, 3, 0), (1, 2, 512)])
+def test_neighbours_are_exact_when_blocks_are_skipped(monkeypatch, block, first, head):
+    monkeypatch.setattr(toxicity, "HEAD", head)
     monkeypatch.setattr(toxicity, "BLOCK", block)
     monkeypatch.setattr(toxicity, "FIRST_BLOCKS", first)
     test_nearest_examples_are_exact()
 
 
-def test_bounds_hold_for_every_term_and_let_blocks_be_skipped():
+@pytest.mark.parametrize("head", [0, 20, 512])
+def test_bounds_hold_for_every_term_and_let_blocks_be_skipped(monkeypatch, head):
+    monkeypatch.setattr(toxicity, "HEAD", head)
     rng = np.random.default_rng(6)
     v = np.zeros((640, 90))
     for i in range(640):  # three vocabularies
@@ -422,8 +425,7 @@ def test_bounds_hold_for_every_term_and_let_blocks_be_skipped():
     skipped = 0
     for q in v[:60]:
         s = toxicity.Sparse.of(q[None])
-        each = index.begin[s.term + 1] - index.begin[s.term]
-        bound = index.bounds(toxicity._ranges(index.begin[s.term], each), np.repeat(s.value, each))
+        bound = index.bounds(*index._cut(s))[0]
         sims = v[index.ids] @ q
         assert all(sims[b * toxicity.BLOCK : (b + 1) * toxicity.BLOCK].max() <= bound[b] + 1e-12 for b in range(index.blocks))
         skipped += (bound < np.sort(sims)[-5]).sum()

@@ -36,6 +36,8 @@ PER_CLASS, SAMPLE_BYTES = 3000, 16 << 20
 LEAST_DOCS, LEAST_RATIO = 5, 25.0
 NEIGHBOURS = 15
 BLOCK = 32
+#: So many of the commonest terms are kept as dense rows of each block, the others as lists (no effect on results).
+HEAD = 512
 #: Blocks of the highest bounds that are summed before others are skipped.
 FIRST_BLOCKS = 8
 BATCH = 128  # texts looked up at once
@@ -119,15 +121,22 @@ class Index:
         self._lay(place[v.row[by]], v.value[by], np.bincount(v.term, minlength=v.shape[1]))
 
     def _lay(self, at: np.ndarray, weight: np.ndarray, per_term: np.ndarray) -> None:
-        """Lists of all terms (example, weight), one after the other, and their entries, a run of a list inside a block."""
+        """Lists of all terms (example, weight), one after the other, their entries (a run of a list inside a block), and the commonest terms as dense rows."""
         self.at, self.weight, self.per_term = at, weight, per_term
+        self.blocks = -(-len(self.ids) // BLOCK)
         term, block = np.repeat(np.arange(len(per_term)), per_term), at // BLOCK
         self.entry = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(at) else np.zeros(0, np.int64)
         self.entry_size = np.diff(np.append(self.entry, len(at)))
         self.entry_block = block[self.entry]
         self.most = np.maximum.reduceat(weight, self.entry) if len(at) else np.zeros(0)
         self.begin = starts_of(np.bincount(term[self.entry], minlength=len(per_term)))
-        self.blocks = -(-len(self.ids) // BLOCK)
+        common = np.sort(np.argsort(-per_term, kind="stable")[:HEAD])
+        self.column = np.full(len(per_term), -1)
+        self.column[common] = np.arange(len(common))
+        own = np.flatnonzero(self.column[term] >= 0)
+        self.dense = np.zeros((self.blocks, len(common), BLOCK))
+        self.dense[block[own], self.column[term[own]], at[own] % BLOCK] = weight[own]
+        self.dense_most = self.dense.max(axis=2).T
 
     def __getstate__(self):
         return self.labels, self.ids, self.k, self.empty_vote, self.at.astype(np.int32), self.weight, self.per_term
@@ -136,46 +145,67 @@ class Index:
         self.labels, self.ids, self.k, self.empty_vote, at, weight, per_term = state
         self._lay(at.astype(np.int64), weight, per_term)
 
-    def bounds(self, entries: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """For each block a similarity that none of its examples exceeds."""
-        return np.bincount(self.entry_block[entries], value * self.most[entries], self.blocks)
-
-    def _sums(self, entries: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """What the entries add to the similarity of every example."""
-        n = self.entry_size[entries]
-        at = _ranges(self.entry[entries], n)
-        return np.bincount(self.at[at], np.repeat(value, n) * self.weight[at], len(self.ids))
+    def _cut(self, q: Sparse) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Queries as dense rows of the common terms, and the entries of each one's other terms with its values."""
+        column = self.column[q.term]
+        head = np.zeros((q.shape[0], self.dense.shape[1]))
+        head[q.row[column >= 0], column[column >= 0]] = q.value[column >= 0]
+        row, term, value = (x[column < 0] for x in (q.row, q.term, q.value))
+        n = self.begin[term + 1] - self.begin[term]
+        entries, value = _ranges(self.begin[term], n), np.repeat(value, n)
+        cuts = starts_of(n)[np.searchsorted(row, np.arange(q.shape[0] + 1))].tolist()
+        return head, [(entries[a:b], value[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def bounds(self, head: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """For each query and block a similarity that none of the block's examples exceeds."""
+        out = head @ self.dense_most
+        for i, (entries, value) in enumerate(lists):
+            out[i] += np.bincount(self.entry_block[entries], value * self.most[entries], self.blocks)
+        return out
+
+    def _add(self, sims: np.ndarray, head: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]], live: np.ndarray) -> None:
+        """Exact similarities to the examples of each query's live blocks."""
+        for b in np.flatnonzero(live.any(axis=0)).tolist():
+            rows = np.flatnonzero(live[:, b])
+            sims[rows, b * BLOCK : (b + 1) * BLOCK] = head[rows] @ self.dense[b]
+        for i, (entries, value) in enumerate(lists):
+            now = live[i, self.entry_block[entries]]
+            some = entries[now]
+            n = self.entry_size[some]
+            at = _ranges(self.entry[some], n)
+            sims[i] += np.bincount(self.at[at], np.repeat(value[now], n) * self.weight[at], sims.shape[1])
 
     def nearest(self, queries: np.ndarray | Sparse, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities and example numbers (k per query, best first, -1 where there are fewer); ties to smaller numbers."""
+        """Similarities and example numbers (k per query, best first, -1 where there are fewer); ties to smaller numbers.
+
+        ``leave`` names an example per query (-1: none) that is no neighbour of it.
+        """
         q = queries if isinstance(queries, Sparse) else Sparse.of(queries)
         n, k = q.shape[0], self.k
         best, who = np.zeros((n, k)), np.full((n, k), -1, np.int64)
-        cuts = np.searchsorted(q.row, np.arange(n + 1)).tolist()
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            term = q.term[a:b]
-            each = self.begin[term + 1] - self.begin[term]
-            entries, value = _ranges(self.begin[term], each), np.repeat(q.value[a:b], each)
-            if not len(entries):
-                continue
-            bound = self.bounds(entries, value)
-            live = np.zeros(self.blocks, bool)
-            live[np.argpartition(-bound, FIRST_BLOCKS)[:FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else slice(None)] = True
-            now = live[self.entry_block[entries]]
-            sims = self._sums(entries[now], value[now])
-            if leave is not None and leave[i] >= 0:
-                sims[leave[i]] = 0
-            if self.blocks > FIRST_BLOCKS:
-                least = np.partition(sims, -k)[-k] - 1e-9 if len(sims) >= k else 0.0
-                live = (bound >= least) & (bound > 0) & ~live
-                now = live[self.entry_block[entries]]
-                sims += self._sums(entries[now], value[now])
-                if leave is not None and leave[i] >= 0:
-                    sims[leave[i]] = 0
-            sims = np.round(sims, 12)
-            some = np.flatnonzero(sims >= max(np.partition(sims, -k)[-k] if len(sims) >= k else 0.0, 1e-12))
-            top = some[np.lexsort((some, -sims[some]))][:k]
-            best[i, : len(top)], who[i, : len(top)] = sims[top], top
+        if not n or not self.blocks:
+            return best, who
+        left = np.flatnonzero(leave >= 0) if leave is not None else np.zeros(0, np.int64)
+        head, lists = self._cut(q)
+        bound = self.bounds(head, lists)
+        sims = np.zeros((n, self.blocks * BLOCK))
+        kth = max(0, sims.shape[1] - k)
+        live = np.ones(bound.shape, bool)
+        if self.blocks > FIRST_BLOCKS:
+            live[:] = False
+            np.put_along_axis(live, np.argpartition(-bound, FIRST_BLOCKS, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        self._add(sims, head, lists, live)
+        if not live.all():
+            sims[left, leave[left] if len(left) else left] = 0
+            least = np.partition(sims, kth, axis=1)[:, kth] - 1e-9
+            self._add(sims, head, lists, (bound >= least[:, None]) & (bound > 0) & ~live)
+        sims[left, leave[left] if len(left) else left] = 0
+        sims = np.round(sims, 12)
+        least = np.maximum(np.partition(sims, kth, axis=1)[:, kth], 1e-12)
+        for i in range(n):
+            some = np.flatnonzero(sims[i] >= least[i])
+            top = some[np.lexsort((some, -sims[i, some]))][:k]
+            best[i, : len(top)], who[i, : len(top)] = sims[i, top], top
         return best, who
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
