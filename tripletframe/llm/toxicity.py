@@ -35,11 +35,11 @@ PER_CLASS, SAMPLE_BYTES = 3000, 16 << 20
 #: A term in this many examples that reaches this log-likelihood ratio gets more weight.
 LEAST_DOCS, LEAST_RATIO = 5, 25.0
 NEIGHBOURS = 15
-BLOCK = 32
+BLOCK = 64
 #: So many of the commonest terms are kept as dense rows of each block, the others as lists (no effect on results).
 HEAD = 512
 #: Blocks of the highest bounds that are summed before others are skipped.
-FIRST_BLOCKS = 8
+FIRST_BLOCKS = 4
 BATCH = 128  # texts looked up at once
 _BLANK = bytes(32 if c < 128 and not chr(c).isalpha() else c for c in range(256))
 
@@ -189,23 +189,22 @@ class Index:
         head, lists = self._cut(q)
         bound = self.bounds(head, lists)
         sims = np.zeros((n, self.blocks * BLOCK))
-        kth = max(0, sims.shape[1] - k)
-        live = np.ones(bound.shape, bool)
-        if self.blocks > FIRST_BLOCKS:
-            live[:] = False
-            np.put_along_axis(live, np.argpartition(-bound, FIRST_BLOCKS, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        first = np.argpartition(-bound, FIRST_BLOCKS, axis=1)[:, :FIRST_BLOCKS] if self.blocks > FIRST_BLOCKS else np.broadcast_to(np.arange(self.blocks), bound.shape)
+        live = np.zeros(bound.shape, bool)
+        np.put_along_axis(live, first, True, axis=1)
         self._add(sims, head, lists, live)
+        sims[left, leave[left] if len(left) else left] = 0
+        found = np.take_along_axis(sims.reshape(n, self.blocks, BLOCK), first[:, :, None], axis=1).reshape(n, -1)
+        least = (np.partition(found, -k, axis=1)[:, -k] if found.shape[1] >= k else np.zeros(n)) - 1e-9  # the k-th best is not below
         if not live.all():
-            sims[left, leave[left] if len(left) else left] = 0
-            least = np.partition(sims, kth, axis=1)[:, kth] - 1e-9
             self._add(sims, head, lists, (bound >= least[:, None]) & (bound > 0) & ~live)
-        sims[left, leave[left] if len(left) else left] = 0
-        sims = np.round(sims, 12)
-        least = np.maximum(np.partition(sims, kth, axis=1)[:, kth], 1e-12)
+            sims[left, leave[left] if len(left) else left] = 0
+        least = np.maximum(least, 1e-12)
         for i in range(n):
             some = np.flatnonzero(sims[i] >= least[i])
-            top = some[np.lexsort((some, -sims[i, some]))][:k]
-            best[i, : len(top)], who[i, : len(top)] = sims[i, top], top
+            own = np.round(sims[i, some], 12)
+            top = np.lexsort((some, -own))[:k]
+            best[i, : len(top)], who[i, : len(top)] = own[top], some[top]
         return best, who
 
     def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
