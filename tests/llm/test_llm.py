@@ -591,3 +591,27 @@ def test_pipeline_stages_take_edge_rows(spark, edge, none):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SMALL).cache()
             docs.count()
+
+
+def test_pipeline_stages_with_clashing_columns_null_and_repeated_ids(spark):
+    text = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, text), (1, text + " more"), (None, text), (None, "alone here " * 9), (None, "alone here " * 9), (7, None), (8, ""), (9, "q " + PASSAGE), (10, "r " + PASSAGE)]
+    clash = ["kept", "keep_id", "stays", "n_words", "kept_text", "fp", "row_nr", "own_text", "score", "ids", "length"]
+    docs = spark.createDataFrame([(i, t, *["v"] * len(clash)) for i, t in rows], ", ".join(["doc_id long, text string", *(f"{c} string" for c in clash)]))
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, SMALL)
+        assert got.columns == docs.columns
+        out[name] = [tuple(r) for r in got.collect()]
+        assert all(set(r[2:]) == {"v"} for r in out[name])
+    ids = {n: Counter(r[0] for r in o) for n, o in out.items()}
+    assert ids["toxicity"] == Counter(i for i, _ in rows)
+    assert ids["exact_dedup"] == Counter({1: 2, None: 1, 8: 1, 9: 1, 10: 1})
+    classes = brute_components(brute_prints([(n, t) for n, (_, t) in enumerate(rows)]))
+    groups = defaultdict(list)
+    for n, _, c in classes:
+        groups[c].append(rows[n][0])
+    assert ids["simhash_near_dedup"] == Counter(min(g, key=lambda i: (i is None, i or 0)) for g in groups.values())
+    want = Counter((i, kept) for (i, _, _, kept), n in brute_substring(rows, 13).items() for _ in range(n))
+    assert Counter((r[0], " ".join((r[1] or "").split())) for r in out["substring_dedup"]) == want
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == len(rows)

@@ -13,7 +13,7 @@ Hamming check. What follows are connected components of the links.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -58,16 +58,18 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp (long) of every row; null text counts as empty (fingerprint zero)."""
+def fingerprints(docs: DataFrame, width: int, extra: Sequence[str] = ()) -> DataFrame:
+    """doc_id, fp (long) and the ``extra`` columns of every row; null text counts as empty (fingerprint zero)."""
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refcounts_only()
         for batch in batches:
             for part, texts in slices(batch, "text", 1 << 20):
                 fp = majority([shingle_hashes(t, width) for t in texts])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64)), *map(part.column, extra)], names=["doc_id", "fp", *extra])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *extra).mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"`{c}` {fields[c]}" for c in extra)]))
 
 
 def ring_keys(fp: np.ndarray) -> np.ndarray:
@@ -162,19 +164,21 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
     return spread.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "u long, v long")
 
 
-def simhash_dedup(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id per row of ``docs(doc_id, text, ...)``.
+def simhash_dedup(docs: DataFrame, width: int = 4, distance: int = 4, extra: Sequence[str] = (), classes: bool = False) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id per row of ``docs(doc_id, text, ...)``, then the ``extra`` columns.
 
     component_id is the smallest doc_id that chains of links reach, the row's
     own included; null ids do not count (null if a component has no other).
     Null and empty texts, and those of white space alone, have fingerprint zero
-    and are linked like any other. Repeated rows are answered each.
+    and are linked like any other. Repeated rows are answered each. With
+    ``classes`` component_root follows, a number of the component that is never
+    null. Columns not in ``extra`` are not read; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    prints = stash(fingerprints(docs, width), "fingerprints")
+    prints = stash(fingerprints(docs, width, extra), "fingerprints")
     nodes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes, distance)).withColumnsRenamed({"node": "fp"})
     grouped = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = grouped.join(least, "root").select("fp", "component_id")
-    return prints.join(answer, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    answer = grouped.join(least, "root").select("fp", "component_id", F.col("root").alias("component_root"))
+    return prints.join(answer, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *extra, *(["component_root"] if classes else []))

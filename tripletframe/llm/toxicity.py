@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -319,8 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 words = [Counter(words_of(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([b" ".join(c) for c in words], pa.binary()),
-                                                  pa.array([np.fromiter(c.values(), np.int32, len(c)).tobytes() for c in words], pa.binary())], names=["doc_id", "words", "tf"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([list(c) for c in words], pa.list_(pa.binary())),
+                                                  pa.array([list(c.values()) for c in words], pa.list_(pa.int32()))], names=["doc_id", "words", "tf"])
 
     # bounded: 4 * per_class rows; of a repeated id the largest text counts
     one = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
@@ -332,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     if not n_pos or not n_neg:
         return Model([], np.zeros(0), None, 0.0, 0.0, share[1] / (share[0] + share[1]))
     chosen = docs.sparkSession.createDataFrame(examples, "doc_id long, toxic int").select("doc_id")  # bounded: 2 * per_class ids
-    bags = sample.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").mapInArrow(bag, "doc_id long, words binary, tf binary").orderBy("doc_id").toArrow()
+    bags = sample.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").mapInArrow(bag, "doc_id long, words array<binary>, tf array<int>").orderBy("doc_id").toArrow()
     examples.sort()
     y, ids = np.array([y for _, y in examples]), np.array([d for d, _ in examples])
     names, counts = _all_terms(bags)
@@ -359,15 +360,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 def _all_terms(bags: pa.Table) -> tuple[list[bytes], Sparse]:
     """All words of the examples (in byte order) and their counts by example."""
-    words = [w.as_py().split() for w in bags.column("words")]
-    names = sorted(set().union(*words))
-    number = {t: i for i, t in enumerate(names)}
-    size = [len(w) for w in words]
-    term = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.int64, sum(size))
-    tf = np.frombuffer(b"".join(t.as_py() for t in bags.column("tf")), np.int32)
-    row = np.repeat(np.arange(len(words)), size)
+    words, tf = (bags.column(c).combine_chunks() for c in ("words", "tf"))
+    size = words.value_lengths().to_numpy(zero_copy_only=False)
+    coded = words.flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(order), np.int32)
+    place[order.to_numpy()] = np.arange(len(order))
+    term, row = place[coded.indices.to_numpy()], np.repeat(np.arange(len(size), dtype=np.int32), size)
     by = np.lexsort((term, row))
-    return names, Sparse(row, term[by], tf[by].astype(float), (len(words), len(names)))
+    return coded.dictionary.take(order).to_pylist(), Sparse(row, term[by], tf.flatten().to_numpy()[by].astype(float), (len(size), len(order)))
 
 
 def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.ndarray]:
