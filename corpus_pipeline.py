@@ -29,32 +29,52 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (null as empty) one row stays, the one with the largest doc_id; a null text comes out empty."""
+    """Of equal texts (null as empty) one row stays, the one with the largest doc_id; a null text comes out empty.
+
+    Other columns pass unchanged, whatever their names; an empty table stays empty.
+    """
     ship_package(spark)
-    return exact_dedup(docs, extra=docs.columns).where("kept").select(docs.columns)
+    names = {c: c if c in ("doc_id", "text") else f"own_{c}" for c in docs.columns}
+    kept = exact_dedup(docs.withColumnsRenamed(names), extra=list(names.values())).where("kept")
+    return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (four-word shingles, at most four differing bits, linked) the smallest doc_id stays."""
+    """Of near-duplicates (four-word shingles, at most four differing bits, linked) one row stays, the one with the smallest doc_id.
+
+    A null id is above all others; of rows with one id, repeated ones too, any
+    single row stays. Null and empty texts are near-duplicates of each other. An
+    empty table stays empty; other columns pass unchanged, whatever their names.
+    """
     ship_package(spark)
-    stay = simhash_dedup(docs, width=4, distance=4).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    own = stash(docs.select(*(F.col(c).alias(f"own_{c}") for c in docs.columns), F.monotonically_increasing_id().alias("row_nr")), "numbered")
+    found = simhash_dedup(own.select(F.col("own_doc_id").alias("doc_id"), F.col("own_text").alias("text"), "row_nr"), width=4, distance=4, extra=["row_nr"], classes=True)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_nr")
+    stay = found.groupBy("component_root").agg(F.min(rank)["row_nr"].alias("row_nr"))
+    return own.join(stay, "row_nr", "left_semi").select(*(F.col(f"own_{c}").alias(c) for c in docs.columns))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in passages that a document with a smaller id also has go; a changed text is its kept words joined by one space."""
+    """Words in passages that a document with a smaller id also has go; a changed text is its kept words joined by one space.
+
+    A null id is above all others. Unchanged rows, null and empty texts pass as
+    they are; repeated rows all stay; other columns pass unchanged but for
+    n_chars, counted anew for a changed text. An empty table stays empty.
+    """
     ship_package(spark)
-    found = substring_dedup(docs.withColumn("whole", F.col("text")), extra=[c for c in docs.columns if c not in ("doc_id", "text")] + ["whole"])
-    changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("whole"))
-    return found.select(*(text.alias(c) if c == "text" else F.when(changed, F.char_length("kept_text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = substring_dedup(docs.select("doc_id", "text", F.col("text").alias("own_text"), *(F.col(c).alias(f"own_{c}") for c in rest)), extra=["own_text", *(f"own_{c}" for c in rest)])
+    changed, text = F.col("n_removed") > 0, F.col("kept_text")
+    new = {"doc_id": F.col("doc_id"), "text": F.when(changed, text).otherwise(F.col("own_text"))}
+    if "n_chars" in rest:
+        new["n_chars"] = F.when(changed, F.char_length(text)).otherwise(F.col("own_n_chars")).cast("long")
+    return found.select(*(new.get(c, F.col(f"own_{c}")).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents placed in sequences of at most 2048 ids."""
+    """Pieces of all documents placed in sequences of at most 2048 ids; null ids and repeated rows are packed each, an empty table gives no rows."""
     ship_package(spark)
-    cut = packing.pieces(docs, WORD_BPE, capacity=2048, end_id=0)
-    return packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+    return packing.pack(packing.pieces(docs, WORD_BPE, capacity=2048, end_id=0, digest=True), capacity=2048)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
