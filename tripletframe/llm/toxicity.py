@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -381,7 +382,8 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.
         for batch in batches:
             for _, texts in slices(batch, "text"):
                 df[-1] += len(texts)
-                df[:-1] += np.bincount(vocabulary.counts(texts).term, minlength=vocabulary.size)
+                for a in range(0, len(texts), BATCH):
+                    np.add.at(df, vocabulary.counts(texts[a : a + BATCH]).term, 1)
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["term", "n"])
 
@@ -392,9 +394,8 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.
     return int(total[-1]), total[:-1].astype(float)
 
 
-def score_rows(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "evidence")) -> DataFrame:
-    """All columns of ``docs(text, ...)`` plus score and evidence under ``names``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_rows(docs: DataFrame, shared: Broadcast, names: tuple[str, str] = ("score", "evidence")) -> DataFrame:
+    """All columns of ``docs(text, ...)`` plus score and evidence under ``names``, by the broadcast model."""
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,11 +417,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     kinds every score is 0 (or 1 if only label 1 occurs). Repeated rows are
     scored each; a null doc_id is held out. Other columns are not read.
     """
-    scored = score_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, per_class))
+    scored = score_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class)))
     return scored.select("doc_id", F.coalesce(~in_training(F.col("doc_id")), F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose score is below 0.5, by the same model."""
-    scored = score_rows(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c != "text"}), fit(docs, labels, per_class))
-    return scored.where(~(F.col("score") >= 0.5)).select(*(F.col(c if c == "text" else f"own_{c}").alias(c) for c in docs.columns))
+    """The rows of ``docs`` (all columns) whose score is below 0.5, by the same model; written, so that the tasks can let go of the model."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class))
+    scored = score_rows(docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c != "text"}), shared)
+    kept = stash(scored.where(~(F.col("score") >= 0.5)).select(*(F.col(c if c == "text" else f"own_{c}").alias(c) for c in docs.columns)), "clean")
+    shared.destroy()
+    return kept
