@@ -375,6 +375,29 @@ def test_revisits_edges(spark):
     assert warc.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_revisits_share_ids_repeat_and_spell_headers_twice(spark):
+    at = lambda s: f"2024-01-01 00:00:{s:02d}"
+    twice = (1, "a.com/x", at(1), "response", {"ETag": '"1"', "VIA": "b", "via": "c", "Via": "a", "server": None}, "px")
+    rows = [
+        twice, twice, (0, "a.com/x", at(1), "response", {"etag": '"0"'}, "p0"),
+        (2, "b.com/y", at(1), "response", {"etag": '"2"'}, "py"),
+        (None, "c.com/z", at(1), "response", None, "pz"),
+        (9, "a.com/x", at(5), "revisit", {"ETAG": '"1"'}, None), (9, "b.com/y", at(5), "revisit", {"Etag": '"2"'}, None),
+        (None, "a.com/x", at(6), "revisit", {"Warning": "1", "warning": "2"}, None),
+        (None, "c.com/z", at(7), "revisit", {}, None),
+        (10, "b.com/y", at(5), "revisit", None, None), (10, "b.com/y", at(5), "revisit", None, None),
+        (11, "b.com/y", at(1), "revisit", None, None), (12, "b.com/y", at(9), "request", None, None),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts string, kind string, headers map<string,string>, payload_sha256 string").withColumn("ts", F.col("ts").cast("timestamp"))
+    df = df.withColumn("t", F.lit("clash")).withColumn("refers_to", F.lit(7)).withColumn("at", F.lit(7))
+    x, y = {"etag": '"1"', "via": "b, a, c"}, {"etag": '"2"'}
+    want = [(9, "a.com/x", 1, "resolved", x, "px"), (9, "b.com/y", 2, "resolved", y, "py"), (None, "a.com/x", 1, "unchecked", {**x, "warning": "1, 2"}, "px"),
+            (None, "c.com/z", None, "unchecked", {}, "pz"), *[(10, "b.com/y", 2, "unchecked", y, "py")] * 2, (11, "b.com/y", None, "unresolved", {}, None)]
+    for buckets in (1, 2, 16):
+        got = [(r.record_id, r.url_key, r.refers_to, r.status, r.headers, r.payload_sha256) for r in warc.resolve_revisits(df, buckets=buckets).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 # toxicity
 
 def test_nearest_examples_are_exact():
@@ -474,6 +497,37 @@ def test_top_inner_products_edges(spark, monkeypatch):
     assert {tuple(r) for r in topk.top_inner_products(df).collect()} == want
     assert topk.top_inner_products(df.limit(0)).count() == 0
     assert topk.top_inner_products(df.where("vec_id < 2")).count() == 1
+    assert topk.top_inner_products(df.where("vec_id = 0")).count() == topk.top_inner_products(df.where("vec_id % 50 <> 0")).count() == 0
+
+
+def brute_top(rows, k=5):
+    """(query_id, rank, vec_id, score) of every row whose id 50 divides, by rows."""
+    edge, want = (1 << 63) - 1, Counter()
+    ints = [(i, [max(-edge, min(edge, math.floor(256 * x))) for x in v]) for i, v in rows]
+    for a, (q, x) in enumerate(ints):
+        if q % 50 == 0:
+            s = sorted((-max(-edge, min(edge, sum(e * f for e, f in zip(x, y)))), c) for b, (c, y) in enumerate(ints) if b != a)[:k]
+            want.update((q, r + 1, c, -t) for r, (t, c) in enumerate(s))
+    return want
+
+
+@pytest.mark.parametrize("kind", ["ragged", "huge", "beyond", "repeated", "one length", "falling lengths", "zero"])
+def test_top_inner_products_odd_vectors(spark, monkeypatch, kind):
+    for name, value in (("GROUP_ROWS", 40), ("BLOCK_ROWS", 8), ("HEAD_ROWS", 16), ("QUERY_ROWS", 3), ("LOT_BLOCKS", 2), ("STEPS", 4)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(4)
+    near = rng.standard_normal((200, 6)).round(2)
+    rows = {
+        "ragged": [(i, x[: i % 7].tolist()) for i, x in enumerate(near)],
+        "huge": [(i, (x * 1e9).tolist()) for i, x in enumerate(near)] + [(200 + i, (near[0] * 1e9 + i).tolist()) for i in range(9)],
+        "beyond": [(i, (x * (1e300 if i % 3 else 1.0)).tolist()) for i, x in enumerate(near)],
+        "repeated": [(i % 60, near[i % 90].tolist()) for i in range(200)] + [(50, near[0].tolist())] * 70,
+        "one length": [(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(near)],
+        "falling lengths": [(i, (x * 0.97 ** (i * 7 % 200)).tolist()) for i, x in enumerate(near)],
+        "zero": [(i, [0.0] * 6) for i in range(120)],
+    }[kind]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5).withColumn("grp", F.lit("clash")).withColumn("v", F.lit(1))
+    assert Counter(map(tuple, topk.top_inner_products(topk.integer_vectors(df)).collect())) == brute_top(rows)
 
 
 # packing

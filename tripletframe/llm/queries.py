@@ -142,13 +142,14 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = """
-with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+with w as (select greatest(1, max(len(embedding))) as width from embeddings),
+v as (
+  select row_number() over () as rid, vec_id, list_resize(list_transform(embedding, lambda x: floor(256 * cast(x as double))), width, 0) as e from embeddings, w
   where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
-select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+  select q.rid, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+  from v q join v c on q.rid <> c.rid where q.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by rid order by score desc, vec_id) as integer) as rank, vec_id, score
 from s qualify rank <= 5
 """
 

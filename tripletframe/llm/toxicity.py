@@ -120,15 +120,15 @@ class Index:
         place = np.zeros(v.shape[0], np.int64)
         place[order] = np.arange(len(order))
         by = np.lexsort((place[v.row], v.term))
-        self._lay(place[v.row[by]], v.value[by], np.bincount(v.term, minlength=v.shape[1]))
+        self._lay(place[v.row[by]].astype(np.int32), v.value[by], np.bincount(v.term, minlength=v.shape[1]))
 
     def _lay(self, at: np.ndarray, weight: np.ndarray, per_term: np.ndarray) -> None:
         """Lists of all terms (example, weight), one after the other, their entries (a run of a list inside a block), and the commonest terms as dense rows."""
         self.at, self.weight, self.per_term = at, weight, per_term
         self.blocks = -(-len(self.ids) // BLOCK)
-        term, block = np.repeat(np.arange(len(per_term)), per_term), at // BLOCK
+        term, block = np.repeat(np.arange(len(per_term), dtype=np.int32), per_term), at // BLOCK
         self.entry = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(at) else np.zeros(0, np.int64)
-        self.entry_size = np.diff(np.append(self.entry, len(at)))
+        self.entry_size = np.diff(np.append(self.entry, len(at))).astype(np.int32)
         self.entry_block = block[self.entry]
         self.most = np.maximum.reduceat(weight, self.entry) if len(at) else np.zeros(0)
         self.begin = starts_of(np.bincount(term[self.entry], minlength=len(per_term)))
@@ -141,11 +141,11 @@ class Index:
         self.dense_most = self.dense.max(axis=2).T
 
     def __getstate__(self):
-        return self.labels, self.ids, self.k, self.empty_vote, self.at.astype(np.int32), self.weight, self.per_term
+        return self.labels, self.ids, self.k, self.empty_vote, self.at, self.weight, self.per_term
 
     def __setstate__(self, state):
         self.labels, self.ids, self.k, self.empty_vote, at, weight, per_term = state
-        self._lay(at.astype(np.int64), weight, per_term)
+        self._lay(at, weight, per_term)
 
     def _cut(self, q: Sparse) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """Queries as dense rows of the common terms, and the entries of each one's other terms with its values."""

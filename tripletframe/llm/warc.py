@@ -1,10 +1,11 @@
 """Resolution of not-modified revisit records against the latest earlier full response (DataFrame operations only).
 
-The as-of join works on keys: canonical URL, time, record number. A hot URL is
-cut into time buckets (quantiles of all times): the latest full response inside
-a bucket comes from a running maximum over (URL, bucket), the latest one before
-the bucket from a running maximum over one pre-aggregated row per (URL, bucket).
-Headers and payload join afterwards by record number.
+A revisit's answer follows from its canonical URL and time alone, so the as-of
+join works on the distinct (URL, time) pairs. A hot URL is cut into time buckets
+(quantiles of all times): the latest time with a full response inside a bucket
+comes from a running maximum over (URL, bucket), the latest one before the
+bucket from a running maximum over one pre-aggregated row per (URL, bucket).
+Headers and payload join afterwards by (URL, time).
 """
 
 from __future__ import annotations
@@ -38,40 +39,57 @@ def strong(etag: Column) -> Column:
     return F.regexp_replace(etag, r"^W/", "")
 
 
+def fields(headers: Column) -> Column:
+    """Header fields (key, value) by lower-case name, in name order; names that differ only in case are one field, their
+    values joined by ", " in the order of the names as written. A null value is no field, a null map has none."""
+    given = F.array_sort(F.filter(F.map_entries(headers), lambda e: e["value"].isNotNull()))
+    names = F.array_sort(F.array_distinct(F.transform(given, lambda e: F.lower(e["key"]))))
+
+    def joined(name: Column) -> Column:
+        return F.array_join(F.transform(F.filter(given, lambda e: F.lower(e["key"]) == name), lambda e: e["value"]), ", ")
+
+    return F.coalesce(F.transform(names, lambda n: F.struct(n.alias("key"), joined(n).alias("value"))), F.array().cast("array<struct<key:string,value:string>>"))
+
+
 def resolve_revisits(records: DataFrame, buckets: int = TIME_BUCKETS) -> DataFrame:
     """One row per revisit of ``records(record_id, url, ts, kind, headers map<string,string>, payload_sha256, ...)``.
 
     ``kind`` is 'response' (full) or 'revisit'; other rows are not read. Columns:
     record_id, url_key, refers_to (record_id of the latest full response of the
-    same canonical URL with an earlier time; of equal times the largest record_id), status,
+    same canonical URL with an earlier time), status,
     headers (merged), payload_sha256. status: 'resolved' when the validators
     agree: entity tags, where both sides have one (weak comparison), else
     last-modified, where both have one, else the revisit has none ('unchecked',
     taken over too); 'mismatch' when they differ (nothing is merged);
     'unresolved' without an earlier response, url or time. Header names are
-    compared in lower case; a null map is empty. record_id must be unique
-    among the responses; revisits that repeat are answered each.
+    compared in lower case (:func:`fields`). Of responses of one URL and time the
+    largest (record_id, fields, payload) counts, a null record_id below all
+    others; such a response is referred to with a null refers_to. Revisits are
+    answered each by their own URL and time, whatever their record_id: repeated
+    rows, and rows that share one or have none. An empty table gives no rows;
+    other columns are not read.
     """
-    keys = records.where(F.col("kind").isin("response", "revisit")).select("record_id", canonical_url(F.col("url")).alias("url_key"), F.col("ts"), (F.col("kind") == "response").alias("full"))
-    bounds = keys.agg(F.percentile_approx(F.unix_micros("ts"), [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
+    rows = records.where(F.col("kind").isin("response", "revisit")).select(
+        "record_id", canonical_url(F.col("url")).alias("url_key"), F.unix_micros("ts").alias("t"), (F.col("kind") == "response").alias("full"), "headers", "payload_sha256")
+    bounds = rows.agg(F.percentile_approx("t", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
     edges = F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
-    keys = keys.where("url_key is not null and ts is not null").withColumn("t", F.unix_micros("ts")).withColumn("bucket", F.size(F.filter(edges, lambda b: b <= F.col("t"))))
-    point = F.when(F.col("full"), F.struct("t", "record_id"))
-    inside = Window.partitionBy("url_key", "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
+    known = rows.where("url_key is not null and t is not null")
+    times = (known.groupBy("url_key", "t").agg(F.max("full").alias("full"), F.max(~F.col("full")).alias("asked"))
+             .withColumn("bucket", F.size(F.filter(edges, lambda b: b <= F.col("t")))))
+    point = F.when(F.col("full"), F.col("t"))
+    inside = Window.partitionBy("url_key", "bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("url_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = keys.groupBy("url_key", "bucket").agg(F.max(point).alias("top")).select("url_key", "bucket", F.max("top").over(before).alias("carry"))
-    near = keys.withColumn("near", F.max(point).over(inside)).where(~F.col("full")).select("record_id", "url_key", "bucket", "near")
-    matched = (near.join(carried, ["url_key", "bucket"]).select("record_id", F.coalesce("near", "carry")["record_id"].alias("refers_to"))
-               .dropDuplicates(["record_id"]))
-
-    def lower_keys(c: str) -> Column:
-        return F.coalesce(F.transform_keys(c, lambda k, _: F.lower(k)), F.create_map().cast("map<string,string>"))
+    carried = times.groupBy("url_key", "bucket").agg(F.max(point).alias("top")).select("url_key", "bucket", F.max("top").over(before).alias("carry"))
+    near = times.withColumn("near", F.max(point).over(inside)).where("asked")
+    matched = near.join(carried, ["url_key", "bucket"]).select("url_key", "t", F.coalesce("near", "carry").alias("at"))
 
-    revisits = records.where("kind = 'revisit'").select("record_id", canonical_url(F.col("url")).alias("url_key"), lower_keys("headers").alias("new"))
-    stored = records.where("kind = 'response'").select(F.col("record_id").alias("refers_to"), lower_keys("headers").alias("old"), "payload_sha256")
-    both = revisits.join(matched, "record_id", "left").join(stored, "refers_to", "left")
+    best = F.max(F.struct("record_id", fields(F.col("headers")).alias("old"), "payload_sha256"))
+    stored = known.where("full").groupBy("url_key", F.col("t").alias("at")).agg(best.alias("best")).select(
+        "url_key", "at", F.col("best.record_id").alias("refers_to"), F.map_from_entries("best.old").alias("old"), F.col("best.payload_sha256").alias("payload_sha256"))
+    revisits = rows.where(~F.col("full")).select("record_id", "url_key", "t", F.map_from_entries(fields(F.col("headers"))).alias("new"))
+    both = revisits.join(matched, ["url_key", "t"], "left").join(stored, ["url_key", "at"], "left")
     tag, date = (F.col("new")["etag"], F.col("old")["etag"]), (F.col("new")["last-modified"], F.col("old")["last-modified"])
-    status = (F.when(F.col("refers_to").isNull(), "unresolved")
+    status = (F.when(F.col("at").isNull(), "unresolved")
               .when(tag[0].isNotNull() & tag[1].isNotNull(), F.when(strong(tag[0]) == strong(tag[1]), "resolved").otherwise("mismatch"))
               .when(date[0].isNotNull() & date[1].isNotNull(), F.when(date[0] == date[1], "resolved").otherwise("mismatch"))
               .when(tag[0].isNull() & date[0].isNull(), "unchecked").otherwise("mismatch"))
