@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import SLICE_BYTES, refcounts_only, slices, small_batches, starts_of
+from tripletframe.llm.common import SLICE_BYTES, kept, refcounts_only, slices, small_batches, starts_of
 
 #: Bytes of one generation of remembered chunks and of remembered pre-tokens (two of each at most), and of an entry besides its strings.
 CACHE_BYTES, ENTRY_BYTES = 48 << 20, 160
@@ -166,14 +166,9 @@ class Bpe:
         return b" ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[str, Bpe] = {}
-
-
 def load(path: str) -> Bpe:
-    """The encoder of ``path``, once per worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
-    return _LOADED[path]
+    """The encoder of ``path``, kept by the worker."""
+    return kept(path, lambda: Bpe(path))
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -184,7 +179,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refcounts_only()
+        refcounts_only(keep=path)
         bpe = load(path)
         for batch in batches:
             for part, texts in slices(batch, text, SLICE_BYTES):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,8 +69,31 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def refcounts_only() -> None:
-    """Stop the cycle collector in a worker: its passes over millions of small lists cost more than the work, and the tasks make no cycles."""
+#: What a worker keeps between tasks, by name.
+_KEPT: dict[str, object] = {}
+#: Hands freed heap pages back to the system, where the C library can.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """The object of this name, made once and kept by the worker until a task of another operator begins."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def refcounts_only(keep: str | None = None) -> None:
+    """Begin a task: let go of what earlier tasks left in this worker (all kept objects but ``keep``, cycles, unused heap), then stop
+    the cycle collector: its passes over millions of small lists cost more than the work, and the tasks make no cycles.
+
+    Workers live on and serve all operators in turn; without this each holds the most that any of them needed.
+    """
+    for name in [n for n in _KEPT if n != keep]:
+        del _KEPT[name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
     gc.disable()
 
 

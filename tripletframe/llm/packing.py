@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     last = "ids_crc32" if digest else "ids"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refcounts_only()
+        refcounts_only(keep=path)
         bpe = load(path)
         for batch in batches:
             for part, texts in slices(batch, "text"):

@@ -30,7 +30,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import slices, small_batches, starts_of, stash
+from tripletframe.llm.common import refcounts_only, slices, small_batches, starts_of, stash
 
 #: Bound of the fitted sample: labelled rows of each class, and the bytes of their texts.
 PER_CLASS, SAMPLE_BYTES = 3000, 16 << 20
@@ -313,11 +313,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         picked = part if picked is None else picked.unionByName(part)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refcounts_only()
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([sketch(t) for t in texts], pa.list_(pa.binary()))], names=[*part.schema.names, "signs"])
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refcounts_only()
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 words = [Counter(words_of(t)) for t in texts]
@@ -377,6 +379,7 @@ def _document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[int, np.
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refcounts_only()
         vocabulary = Vocabulary(shared.value)
         df = np.zeros(vocabulary.size + 1, np.int64)
         for batch in batches:
@@ -399,6 +402,7 @@ def score_rows(docs: DataFrame, shared: Broadcast, names: tuple[str, str] = ("sc
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refcounts_only()
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 score, evidence = shared.value.score(texts)
