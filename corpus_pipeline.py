@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripletframe.llm import packing
-from tripletframe.llm.common import stash, table
+from tripletframe.llm.common import free_shuffles, stash, table
 from tripletframe.llm.exact_dedup import exact_dedup
 from tripletframe.llm.queries import WORD_BPE
 from tripletframe.llm.simhash import simhash_dedup
@@ -22,9 +22,15 @@ from tripletframe.llm.toxicity import reject_toxic
 from tripletframe.session import ship_package
 
 
+def _begin(spark: SparkSession) -> None:
+    """Before a stage: the code on the executors, the disks free of what the stages before have shuffled."""
+    ship_package(spark)
+    free_shuffles(spark)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; null and empty texts stay."""
-    ship_package(spark)
+    _begin(spark)
     return reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -33,7 +39,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Other columns pass unchanged, whatever their names; an empty table stays empty.
     """
-    ship_package(spark)
+    _begin(spark)
     names = {c: c if c in ("doc_id", "text") else f"own_{c}" for c in docs.columns}
     kept = exact_dedup(docs.withColumnsRenamed(names), extra=list(names.values())).where("kept")
     return kept.select(*(F.col(n).alias(c) for c, n in names.items()))
@@ -46,7 +52,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     single row stays. Null and empty texts are near-duplicates of each other. An
     empty table stays empty; other columns pass unchanged, whatever their names.
     """
-    ship_package(spark)
+    _begin(spark)
     own = stash(docs.select(*(F.col(c).alias(f"own_{c}") for c in docs.columns), F.monotonically_increasing_id().alias("row_nr")), "numbered")
     found = simhash_dedup(own.select(F.col("own_doc_id").alias("doc_id"), F.col("own_text").alias("text"), "row_nr"), width=4, distance=4, extra=["row_nr"], classes=True)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_nr")
@@ -61,7 +67,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     they are; repeated rows all stay; other columns pass unchanged but for
     n_chars, counted anew for a changed text. An empty table stays empty.
     """
-    ship_package(spark)
+    _begin(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = substring_dedup(docs.select("doc_id", "text", F.col("text").alias("own_text"), *(F.col(c).alias(f"own_{c}") for c in rest)), extra=["own_text", *(f"own_{c}" for c in rest)])
     changed, text = F.col("n_removed") > 0, F.col("kept_text")
@@ -73,7 +79,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents placed in sequences of at most 2048 ids; null ids and repeated rows are packed each, an empty table gives no rows."""
-    ship_package(spark)
+    _begin(spark)
     return packing.pack(packing.pieces(docs, WORD_BPE, capacity=2048, end_id=0, digest=True), capacity=2048)
 
 
