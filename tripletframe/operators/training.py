@@ -8,6 +8,7 @@ partition returns one partial gradient (d x d), and the driver holds only ``T``.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripletframe.operators.indexing import bucketed_running, buckets_for, value_range_bucket
+from tripletframe.operators.indexing import bucketed_running, buckets_for, value_range_bucket, zero_of
 
 
 # ------------------------------------------------------------------ R1
@@ -103,6 +104,9 @@ def best_checkpoint(trace: DataFrame, group_cols: Sequence[str] = ("run",), step
 
 # ------------------------------------------------------------------ R3
 
+# Rows of a block of batches that one task steps through, and cells of the matrices it may return.
+BLOCK_ROWS, BLOCK_CELLS = 20_000, 1 << 20
+
 def _grad_partition(T_mat: np.ndarray, margin: float, ref: np.ndarray, pos: np.ndarray, neg: np.ndarray):
     """Loss sum and dLoss/dT for rows (ref, pos, neg) of sentence features (before projection)."""
 
@@ -199,11 +203,27 @@ def fit_projection(
     return T_mat, trace
 
 
-def _pass(data: DataFrame, T_mat: np.ndarray, margin: float, gradient: bool) -> tuple[dict, np.ndarray | None]:
-    """Means of loss, pos_sim and neg_sim over ``data(ref, pos, neg)``, and the mean gradient if asked for.
+def _triples(b: pd.DataFrame) -> list[np.ndarray]:
+    return [np.stack([np.asarray(v, np.float64) for v in b[c]]) for c in ("ref", "pos", "neg")]
+
+
+def _measure(T_mat: np.ndarray, margin: float, r: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[float]:
+    """Sums of loss, pos_sim and neg_sim over rows, and their number."""
+    a, u, v = r @ T_mat, p @ T_mat, q @ T_mat
+    norm = [np.linalg.norm(x, axis=1) for x in (a, u, v)]
+    cp, cn = (a * u).sum(1) / (norm[0] * norm[1] + 1e-12), (a * v).sum(1) / (norm[0] * norm[2] + 1e-12)
+    return [np.maximum(margin + cn - cp, 0).sum(), cp.sum(), cn.sum(), len(r)]
+
+
+def _means(sums: np.ndarray) -> dict:
+    return dict(zip(("loss", "pos_sim", "neg_sim"), (sums[:3] / max(sums[3], 1.0)).tolist()))
+
+
+def _pass(data: DataFrame, T_mat: np.ndarray, margin: float) -> tuple[dict, np.ndarray]:
+    """Means of loss, pos_sim and neg_sim over ``data(ref, pos, neg)`` and the mean gradient.
 
     Each task adds up its rows; the sums are added by position in Spark, so the driver receives
-    four numbers and at most one matrix whatever the number of tasks.
+    four numbers and one matrix whatever the number of tasks.
     """
     spark = data.sparkSession
     shared = spark.sparkContext.broadcast(T_mat)  # dim x dim
@@ -212,33 +232,87 @@ def _pass(data: DataFrame, T_mat: np.ndarray, margin: float, gradient: bool) ->
         T_ = shared.value
         sums, grad = np.zeros(4), np.zeros_like(T_)
         for b in batches:
-            if not len(b):
-                continue
-            r, p, q = (np.stack([np.asarray(v, np.float64) for v in b[c]]) for c in ("ref", "pos", "neg"))
-            if gradient:
+            if len(b):
+                r, p, q = _triples(b)
                 grad += _grad_partition(T_, margin, r, p, q)[1]
-            a, u, v = r @ T_, p @ T_, q @ T_
-            norm = [np.linalg.norm(x, axis=1) for x in (a, u, v)]
-            cp, cn = (a * u).sum(1) / (norm[0] * norm[1] + 1e-12), (a * v).sum(1) / (norm[0] * norm[2] + 1e-12)
-            sums += [np.maximum(margin + cn - cp, 0).sum(), cp.sum(), cn.sum(), len(b)]
-        yield pd.DataFrame({"s": [sums.tolist() + (grad.ravel().tolist() if gradient else [])]})
+                sums += _measure(T_, margin, r, p, q)
+        yield pd.DataFrame({"s": [sums.tolist() + grad.ravel().tolist()]})
 
     cells = data.select("ref", "pos", "neg").mapInPandas(part, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
-    out = np.zeros(4 + (T_mat.size if gradient else 0))
+    out = np.zeros(4 + T_mat.size)
     for r in cells.collect():
         out[r["i"]] = r["v"]
     shared.unpersist()
-    n = max(out[3], 1.0)
-    return dict(zip(("loss", "pos_sim", "neg_sim"), (out[:3] / n).tolist())), out[4:].reshape(T_mat.shape) / n if gradient else None
+    return _means(out[:4]), out[4:].reshape(T_mat.shape) / max(out[3], 1.0)
+
+
+def _evaluations(data: DataFrame, mats: list[np.ndarray], margin: float) -> list[dict]:
+    """Means of loss, pos_sim and neg_sim over ``data(ref, pos, neg)`` with each of ``mats``: one pass over the rows for all of them."""
+    shared = data.sparkSession.sparkContext.broadcast(mats)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((len(shared.value), 4))
+        for b in batches:
+            if len(b):
+                rows = _triples(b)
+                sums += [_measure(T_, margin, *rows) for T_ in shared.value]
+        yield pd.DataFrame({"s": [sums.ravel().tolist()]})
+
+    cells = data.select("ref", "pos", "neg").mapInPandas(part, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    out = np.zeros(4 * len(mats))
+    for r in cells.collect():
+        out[r["i"]] = r["v"]
+    shared.unpersist()
+    return [_means(s) for s in out.reshape(-1, 4)]
+
+
+class Adam:
+    """The matrix with Adam's moments; ``step`` counts from 1."""
+
+    def __init__(self, mat: np.ndarray, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8):
+        self.mat, self.m, self.v, self.b1, self.b2, self.eps = mat, np.zeros_like(mat), np.zeros_like(mat), b1, b2, eps
+
+    def update(self, g: np.ndarray, step: int, rate: float) -> None:
+        self.m, self.v = self.b1 * self.m + (1 - self.b1) * g, self.b2 * self.v + (1 - self.b2) * g * g
+        self.mat = self.mat - rate * (self.m / (1 - self.b1 ** step)) / (np.sqrt(self.v / (1 - self.b2 ** step)) + self.eps)
+
+
+def _run_steps(data: DataFrame, adam: Adam, margin: float, batches: range, first: int, rate: float, keep: set[int]) -> tuple[list[dict], dict[int, np.ndarray]]:
+    """Steps ``first``, ``first + 1``, ... over the consecutive ``batches`` of ``data(batch, key, ref, pos, neg)``; ``adam`` goes on from them.
+
+    A step needs the matrix of the step before, so consecutive short batches are taken in one task, one after
+    another: its rows are at most BLOCK_ROWS. Returns the means of each step and the matrices after the steps in ``keep``.
+    """
+    shared = data.sparkSession.sparkContext.broadcast(adam)
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        own = copy(shared.value)  # the worker keeps the broadcast value for a task that is run again
+        b = b.sort_values(["batch", "key"], kind="stable")
+        at, rows, out = b["batch"].to_numpy(), _triples(b), []
+        for step, k in enumerate(batches, first):
+            part = [x[np.searchsorted(at, k) : np.searchsorted(at, k, "right")] for x in rows]
+            sums = np.array(_measure(own.mat, margin, *part))
+            own.update(_grad_partition(own.mat, margin, *part)[1] / max(sums[3], 1.0), step, rate)
+            out.append((step, sums.tolist(), own.mat.ravel().tolist() if step in keep else None, None))
+        out[-1] = (*out[-1][:3], np.concatenate([own.mat, own.m, own.v]).ravel().tolist())
+        return pd.DataFrame(out, columns=["step", "sums", "mat", "state"])
+
+    got = data.groupBy(zero_of(F.col("batch")).alias("all")).applyInPandas(run, "step long, sums array<double>, mat array<double>, state array<double>").collect()
+    shared.unpersist()
+    got.sort(key=lambda r: r["step"])
+    adam.mat, adam.m, adam.v = np.array(got[-1]["state"]).reshape(3, *adam.mat.shape)
+    return [_means(np.array(r["sums"])) for r in got], {r["step"]: np.array(r["mat"]).reshape(adam.mat.shape) for r in got if r["mat"] is not None}
 
 
 def train_projection(train: DataFrame, valid: DataFrame, dim: int, batch_size: int, epochs: int, eval_every: int, lr: float = 1e-2, decay: float = 0.05, margin: float = 1.0,
                      key_col: str = "row_id", init: np.ndarray | None = None) -> tuple[np.ndarray, list[dict], list[dict]]:
     """R3 as a training run: shuffled batches, a step for each, evaluation on held-out rows, the best matrix kept.
 
-    Every epoch draws new batches (M9: hash order, a last short batch is left out) and writes them, one folder
-    a batch, to shared storage; a step reads its folder only, so the work of an epoch is one shuffle and one
-    read of the data. Adam starts from ``init`` (identity), its rate falls by ``1 - decay`` an epoch. ``valid`` is
+    Every epoch draws new batches (M9: hash order, a last short batch is left out) and writes them to shared
+    storage, one folder for a block of consecutive batches (BLOCK_ROWS rows, one batch at least), so the work of an
+    epoch is one shuffle and one read of the data. A block is one job: its batches are stepped through in
+    order (a batch longer than a block is summed by many tasks), and the matrices to be evaluated meet the held-out rows in
+    one further pass. Adam starts from ``init`` (identity), its rate falls by ``1 - decay`` an epoch. ``valid`` is
     evaluated before the first step, every ``eval_every`` steps, at mid-epoch and at epoch end; a point
     whose pos_sim - neg_sim exceeds all before it (and 0) keeps its matrix.
     ``train(key_col, ref, pos, neg)`` with unique keys; ``valid(ref, pos, neg)``: arrays of sentence features.
@@ -254,33 +328,39 @@ def train_projection(train: DataFrame, valid: DataFrame, dim: int, batch_size: i
     valid = cut_lineage(valid.select("ref", "pos", "neg"))
     keys = cut_lineage(train.select(key_col))
     per_epoch = keys.count() // batch_size
-    T_mat = np.eye(dim) if init is None else np.array(init, np.float64)
-    m, v, b1, b2, eps = np.zeros_like(T_mat), np.zeros_like(T_mat), 0.9, 0.999, 1e-8
-    best, top, steps, points = T_mat, 0.0, [], []
+    block = max(1, min(BLOCK_ROWS // batch_size, BLOCK_CELLS // (dim * dim)))
+    adam = Adam(np.eye(dim) if init is None else np.array(init, np.float64))
+    best, top, steps, points = adam.mat, 0.0, [], []
 
-    def evaluate(step: int, epoch: int, kind: str) -> None:
+    def evaluate(todo: list[tuple[int, int, str, np.ndarray]]) -> None:
         nonlocal best, top
-        got, _ = _pass(valid, T_mat, margin, gradient=False)
-        points.append({"step": step, "epoch": epoch, "kind": kind, **got})
-        if got["pos_sim"] - got["neg_sim"] > top:
-            best, top = T_mat, got["pos_sim"] - got["neg_sim"]
+        for (step, epoch, kind, mat), got in zip(todo, _evaluations(valid, [t[3] for t in todo], margin) if todo else []):
+            points.append({"step": step, "epoch": epoch, "kind": kind, **got})
+            if got["pos_sim"] - got["neg_sim"] > top:
+                best, top = mat, got["pos_sim"] - got["neg_sim"]
+
+    def kind_of(step: int, b: int) -> str | None:
+        return "epoch_end" if b + 1 == per_epoch else "mid_epoch" if b + 1 == per_epoch // 2 else "interval" if step % eval_every == 0 else None
 
-    evaluate(0, 0, "initial")
+    evaluate([(0, 0, "initial", adam.mat)])
     for epoch in range(epochs):
         drawn = epoch_batches(keys, batch_size, epoch=epoch, key_col=key_col).select(key_col, "batch")
-        path = f"{folder}/epoch-{epoch}"
-        train.select(key_col, "ref", "pos", "neg").join(drawn, key_col).write.partitionBy("batch").parquet(path)
-        for b in range(per_epoch):
-            step = epoch * per_epoch + b + 1
-            got, g = _pass(spark.read.parquet(f"{path}/batch={b}"), T_mat, margin, gradient=True)
-            rate = lr * (1 - decay) ** epoch
-            m, v = b1 * m + (1 - b1) * g, b2 * v + (1 - b2) * g * g
-            T_mat = T_mat - rate * (m / (1 - b1 ** step)) / (np.sqrt(v / (1 - b2 ** step)) + eps)
-            steps.append({"step": step, "epoch": epoch, **got, "lr": rate})
-            if b + 1 == per_epoch:
-                evaluate(step, epoch, "epoch_end")
-            elif b + 1 == per_epoch // 2:
-                evaluate(step, epoch, "mid_epoch")
-            elif step % eval_every == 0:
-                evaluate(step, epoch, "interval")
+        path, rate = f"{folder}/epoch-{epoch}", lr * (1 - decay) ** epoch
+        rows = train.select(key_col, "ref", "pos", "neg").join(drawn, key_col).withColumnRenamed(key_col, "key").withColumn("block", F.floor(F.col("batch") / block))
+        if block > 1:  # a block is short: one file each
+            rows = rows.repartition("block")
+        rows.write.partitionBy("block").parquet(path)
+        for a in range(0, per_epoch, block):
+            part = range(a, min(a + block, per_epoch))
+            first = epoch * per_epoch + a + 1
+            kinds = {first + b - a: kind_of(first + b - a, b) for b in part}
+            data = spark.read.schema(rows.drop("block").schema).parquet(f"{path}/block={a // block}")
+            if block > 1:
+                got, mats = _run_steps(data, adam, margin, part, first, rate, {s for s, k in kinds.items() if k})
+            else:
+                one, g = _pass(data, adam.mat, margin)
+                adam.update(g, first, rate)
+                got, mats = [one], {first: adam.mat}
+            steps += [{"step": first + i, "epoch": epoch, **x, "lr": rate} for i, x in enumerate(got)]
+            evaluate([(s, epoch, k, mats[s]) for s, k in kinds.items() if k])
     return best, steps, points
