@@ -23,6 +23,7 @@ EVAL_EVERY = 100
 STEPS_PER_EPOCH = 500
 FIT_STEPS = 10
 LENGTH = 512
+W2_DELIVERIES, W2_FILE_BYTES = 4, 16 << 20
 
 
 # ---------------------------------------------------------------- W1-W3
@@ -51,11 +52,16 @@ def w1_stream_triplets(spark, sf):
 @query("w2_stream_sample_k", f"""select row_id, pos, token from fx_tokens
 order by {hkey_sql("'res'", "row_id * 100000 + pos")}, row_id * 100000 + pos limit {RESERVOIR_K}""", views=["fx_tokens"])
 def w2_stream_sample_k(spark, sf):
-    """Streaming bottom-k over token files; after the drain it equals the batch reservoir."""
+    """Streaming bottom-k over token files in four deliveries; after the drain it equals the batch reservoir.
+
+    A file holds the tokens of about W2_FILE_BYTES of text, so a delivery of any size is read by as many tasks as it has files.
+    """
     t = view(spark, sf, "fx_tokens").withColumn("tok_id", F.col("row_id") * 100000 + F.col("pos"))
     src, state, ck = (io.scratch_path(spark, n) for n in ("w2src", "w2state", "w2ck"))
-    t.repartition(4, "row_id").write.parquet(src)
-    W.stream_sample_k(spark, src, state, ck, t.schema, RESERVOIR_K, "tok_id")
+    size = table(spark, sf, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = -(-size // (W2_DELIVERIES * W2_FILE_BYTES)) or 1  # of a delivery
+    t.repartition(W2_DELIVERIES * files, "row_id", "pos").write.parquet(src)
+    W.stream_sample_k(spark, src, state, ck, t.schema, RESERVOIR_K, "tok_id", max_files=files)
     return W.latest_state(spark, state).select("row_id", "pos", "token")
 
 
