@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,6 +73,11 @@ def token_vectors_from_senses(x: np.ndarray, w: dict) -> np.ndarray:
     return (sense_forward(x, w) @ w["T"]).mean(axis=1)
 
 
+def _lists(values: pa.Array, size: int) -> pa.ListArray:
+    """Consecutive runs of ``size`` values as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, size, dtype=np.int32)), values)
+
+
 def token_senses(vocab: DataFrame, weights: dict, token_col: str = "token", vec_col: str = "vec") -> DataFrame:
     """(token, vec) -> (token, senses, g) with a vectorised forward per Arrow batch; weights broadcast once.
 
@@ -81,19 +87,22 @@ def token_senses(vocab: DataFrame, weights: dict, token_col: str = "token", vec_
     spark = vocab.sparkSession
     bw = spark.sparkContext.broadcast(weights)  # the model: d x d and d x num_senses matrices
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = bw.value
         for b in batches:
-            if len(b) == 0:
+            n = b.num_rows
+            if n == 0:
                 continue
-            x = np.stack(b[vec_col].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+            x = b.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
             s = sense_forward(x, w)
-            g = (s @ w["T"]).mean(axis=1)
-            yield pd.DataFrame({token_col: b[token_col].to_numpy(), "senses": [list(r) for r in s], "g": list(g)})
+            k, d = s.shape[1:]
+            g = (s.reshape(n * k, d) @ w["T"]).reshape(n, k, d).mean(axis=1)
+            senses = _lists(_lists(pa.array(s.ravel()), d), k)
+            yield pa.RecordBatch.from_arrays([b.column(token_col), senses, _lists(pa.array(g.ravel()), d)], names=[token_col, "senses", "g"])
 
     doubles = T.ArrayType(T.DoubleType())
     schema = T.StructType([T.StructField(token_col, T.StringType()), T.StructField("senses", T.ArrayType(doubles)), T.StructField("g", doubles)])
-    return vocab.select(token_col, vec_col).where(F.col(vec_col).isNotNull()).mapInPandas(run, schema)
+    return vocab.select(token_col, vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(run, schema)
 
 
 def write_token_table(senses: DataFrame, path: str, version: str) -> DataFrame:
