@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tripletframe.functions import columns as P
 from tripletframe.functions.keys import hkey
-from tripletframe.operators.indexing import bucketed_running, buckets_for, dense_index, derangement_partner, hash_range_bucket
+from tripletframe.operators.indexing import bucketed_running, buckets_for, buckets_of, dense_index, derangement_partner, hash_range_bucket
 from tripletframe.session import cut_lineage
 
 TRIPLET_COLS = ("premise", "correct_answer", "incorrect_answer")
@@ -94,7 +94,8 @@ def sample_negatives(
     """For every row the answer of a uniformly chosen *other* row of its group or batch.
 
     The rows of a group (e.g. split) are numbered in hash order by range buckets,
-    so no window task ranks more than about ``rows_per_bucket`` rows at any size.
+    so no window task ranks more than about ``rows_per_bucket`` rows, nor sorts many more
+    than ``BYTES_PER_BUCKET`` bytes of texts, at any size.
     Without ``batch_size`` the partner is any other row of the group (T3); with it
     (2 or more), any other row of the same run of ``batch_size`` numbers (T4). A
     last run of one row joins the run before, so only a group of one row has no
@@ -110,7 +111,7 @@ def sample_negatives(
     if distinct_text:
         return _distinct_negatives(df, answer_col, key_col, out_col, batch_size, g, salt, rows_per_bucket)
     x = df.withColumn("_h", hkey(F.lit(salt), key_col))
-    x = dense_index(x, g, ["_h", key_col], hash_range_bucket("_h", buckets_for(df.count(), rows_per_bucket)), "_p", "_gn")
+    x = dense_index(x, g, ["_h", key_col], hash_range_bucket("_h", buckets_of(df, rows_per_bucket)), "_p", "_gn")
     p, n, lo = F.col("_p"), F.col("_gn"), F.lit(0)
     if batch_size is not None:
         last = F.greatest(F.lit(1), F.ceil((n - 1) / F.lit(batch_size))) - 1
