@@ -3,16 +3,19 @@
 ROUGE-N is computed in long form: n-grams of both texts are exploded and
 counted per (pair, n-gram) in one partial aggregate, then the clipped overlap
 ``sum(min(k_gen, k_ref))`` is summed per pair. METEOR's greedy alignment is a
-rank match per stage (windows within a pair). Only the LCS of ROUGE-L needs
+rank match per stage, in numpy over batches of whole pairs. Only the LCS of ROUGE-L needs
 Python per pair, in an Arrow UDF over token arrays.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,12 +147,45 @@ def rouge_l(arrays: DataFrame, key: str = "pair_id") -> DataFrame:
 
 # ------------------------------------------------------------------ E11
 
-def _matched(tokens: DataFrame, key: str, term: str, free: Column) -> Column:
-    """Rank of a matched occurrence (null: none): the k-th last free occurrence of a term on one side goes with the k-th last on the other."""
-    both, mine = Window.partitionBy(key, term), Window.partitionBy(key, term, "side").orderBy(F.col("pos").desc())
-    n = [F.sum(F.when(free & (F.col("side") == side), 1).otherwise(0)).over(both) for side in (0, 1)]
-    rank = F.sum(F.when(free, 1).otherwise(0)).over(mine.rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(free & (rank <= F.least(*n)), rank)
+def _groups(*codes: np.ndarray) -> np.ndarray:
+    """Number of each row's combination of codes."""
+    order = np.lexsort(codes[::-1])
+    new = np.zeros(len(order), bool)
+    for c in codes:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new)
+    return group
+
+
+def _align(pair: np.ndarray, side: np.ndarray, pos: np.ndarray, terms: Sequence[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(pair, matches, runs) of the pairs with a match: stage by stage the k-th last free occurrence of a term on one side goes with the k-th last on the other."""
+    pairs, left, right = [], [], []
+    free = np.arange(len(pair))
+    for term in terms:
+        group = _groups(pair[free], term[free])
+        n = [np.bincount(group[side[free] == k], minlength=len(free)) for k in (0, 1)]
+        by = np.lexsort((-pos[free], side[free], group))  # a term's last occurrence on a side comes first
+        start = np.append(True, (group[by][1:] != group[by][:-1]) | (side[free][by][1:] != side[free][by][:-1])) if len(by) else np.zeros(0, bool)
+        rank = np.arange(len(by)) - np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))
+        hit = np.zeros(len(free), bool)
+        hit[by] = rank < np.minimum(*n)[group[by]]
+        both = by[hit[by]]  # of each term the side 0 rows, then as many of side 1, ranks ascending
+        x, y = both[side[free][both] == 0], both[side[free][both] == 1]
+        pairs.append(pair[free][x])
+        left.append(pos[free][x])
+        right.append(pos[free][y])
+        free = free[~hit]
+    p, i, j = (np.concatenate(c) for c in (pairs, left, right))
+    by = np.lexsort((i, p))
+    p, i, j = p[by], i[by], j[by]
+    new = np.append(True, (p[1:] != p[:-1]) | (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)) if len(p) else np.zeros(0, bool)
+    own, first = np.unique(p, return_index=True)
+    return (own, np.diff(np.append(first, len(p))), np.add.reduceat(new.astype(np.int64), first)) if len(p) else (own,) * 3
+
+
+def _codes(column) -> np.ndarray:
+    return column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
 
 
 def meteor_of_tokens(tokens: DataFrame, synonyms: DataFrame | None = None, key: str = "pair_id",
@@ -157,31 +193,47 @@ def meteor_of_tokens(tokens: DataFrame, synonyms: DataFrame | None = None, key:
     """(key, meteor) of the pairs with a match, from ``tokens(key, side, pos, word, root)``; side 0 is the hypothesis, 1 the reference.
 
     Words match exactly, then by stem, then by ``synonyms(word, synset)``: one row a word, a synset
-    may be named by one of its words. All windows follow the one shuffle by ``key``; no Python runs.
+    may be named by one of its words. The tokens are shuffled and sorted by ``key`` once; whole pairs are
+    aligned in batches, so a task holds one sort (which spills) and a batch of tokens, at any partition size.
     """
     x = tokens.select(key, "side", "pos", "word", "root")
-    stages = [("word", F.col("word")), ("root", F.col("root"))]
+    stages = ["word", "root"]
     if synonyms is not None:
         sy = synonyms.select(F.col("word").alias("_w"), "synset")
-        x = x.join(sy, F.col("word") == F.col("_w"), "left").drop("_w")
-        stages.append(("synset", F.coalesce("synset", "word")))
-    x = x.repartition(key)
-    free, hit = F.lit(True), []
-    for i, (_, term) in enumerate(stages):
-        x = x.withColumn(f"_t{i}", term)
-        x = x.withColumn(f"_m{i}", _matched(x, key, f"_t{i}", free))
-        hit.append(F.when(F.col(f"_m{i}").isNotNull(), F.struct(F.lit(i).alias("stage"), F.col(f"_t{i}").alias("term"), F.col(f"_m{i}").alias("k"))))
-        free = free & F.col(f"_m{i}").isNull()
-    of_side = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    whole = Window.partitionBy(key)
-    x = x.withColumns({"_nh": F.count(F.when(F.col("side") == 0, 1)).over(whole), "_nr": F.count(F.when(F.col("side") == 1, 1)).over(whole), "_hit": F.coalesce(*hit)})
-    pairs = x.where(F.col("_hit").isNotNull()).groupBy(key, "_hit").agg(of_side(0, "pos").alias("i"), of_side(1, "pos").alias("j"), F.first("_nh").alias("nh"), F.first("_nr").alias("nr"))
-    order = Window.partitionBy(key).orderBy("i")
-    follows = (F.col("i") == F.lag("i").over(order) + 1) & (F.col("j") == F.lag("j").over(order) + 1)
-    a = pairs.withColumn("_new", F.when(follows, 0).otherwise(1)).groupBy(key).agg(F.count("*").alias("m"), F.sum("_new").alias("chunks"), F.first("nh").alias("nh"), F.first("nr").alias("nr"))
-    p, r = F.col("m") / F.col("nh"), F.col("m") / F.col("nr")
-    fmean = p * r / (F.lit(alpha) * p + F.lit(1 - alpha) * r)
-    return a.select(key, ((1 - F.lit(gamma) * F.pow(F.col("chunks") / F.col("m"), F.lit(beta))) * fmean).alias("meteor"))
+        x = x.join(sy, F.col("word") == F.col("_w"), "left").drop("_w").withColumn("synset", F.coalesce("synset", "word"))
+        stages.append("synset")
+    kind = x.schema[key].dataType
+
+    def score(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        keys = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
+        pair, side, pos = keys.indices.to_numpy(zero_copy_only=False), rows.column("side").to_numpy(), rows.column("pos").to_numpy()
+        one = pa.concat_arrays([rows.column(c).combine_chunks() for c in stages])  # a term's code is the same at all stages
+        own, m, chunks = _align(pair, side, pos, np.split(_codes(one), len(stages)))
+        nh, nr = (np.bincount(pair[side == k], minlength=len(keys.dictionary))[own] for k in (0, 1))
+        p, r = m / nh, m / nr
+        fmean = p * r / (alpha * p + (1 - alpha) * r)
+        return pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(own, pa.int64())), pa.array((1 - gamma * (chunks / m) ** beta) * fmean, pa.float64())], names=[key, "meteor"])
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the batches of the pair that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pair = _codes(batch.column(key))
+            ends = np.flatnonzero(pair[1:] != pair[:-1]) + 1
+            cut = int(ends[-1]) if len(ends) else 0
+            if held and (cut or held[-1].column(key)[-1].as_py() != batch.column(key)[0].as_py()):
+                yield score(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield score(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield score(pa.Table.from_batches(held))
+
+    out = T.StructType([T.StructField(key, kind), T.StructField("meteor", T.DoubleType())])
+    return x.repartition(key).sortWithinPartitions(key).mapInArrow(scores, out)
 
 
 def meteor(arrays: DataFrame, key: str = "pair_id", synonyms: DataFrame | None = None) -> DataFrame:
