@@ -24,6 +24,7 @@ STEPS_PER_EPOCH = 500
 FIT_STEPS = 10
 LENGTH = 512
 W2_DELIVERIES, W2_FILE_BYTES = 4, 16 << 20
+W3_FILE_ROWS = 1 << 20
 
 
 # ---------------------------------------------------------------- W1-W3
@@ -69,18 +70,23 @@ def w2_stream_sample_k(spark, sf):
   round(avg(pos_sim), 6) as avg_pos_sim, round(avg(neg_sim), 6) as avg_neg_sim from fx_trace group by run, time_bucket(interval '1 day', ts)""",
        views=["fx_trace"])
 def w3_stream_eval_monitor(spark, sf):
-    """Trace files arrive week by week (in event-time order); daily windows with an 8-day watermark, update mode."""
+    """Trace files arrive week by week (in event-time order); daily windows with an 8-day watermark, update mode.
+
+    A week is one micro-batch of files of about W3_FILE_ROWS rows, so the number of batches (each runs a
+    task for every state partition) is that of the weeks, whatever the number of rows.
+    """
     tr = view(spark, sf, "fx_trace").select("run", "ts", "pos_sim", "neg_sim")
     lo = tr.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("lo")).first()["lo"]
     week = 7 * 24 * 3600 * 1_000_000
     tr = tr.withColumn("_chunk", F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(lo)) / F.lit(week)))
     tr = _persisted(tr)  # every weekly chunk is cut from the same derived trace
-    n_chunks = tr.agg(F.max("_chunk").alias("m")).first()["m"] + 1
+    weeks = tr.groupBy("_chunk").agg(F.count(F.lit(1)).alias("c")).agg(F.max("_chunk").alias("m"), F.max("c").alias("c")).first()
+    files = -(-weeks["c"] // W3_FILE_ROWS)  # of a week
     src, out, ck = (io.scratch_path(spark, n) for n in ("w3src", "w3out", "w3ck"))
-    for k in range(int(n_chunks)):  # written one after another: file times follow event time
-        tr.where(F.col("_chunk") == k).drop("_chunk").write.mode("append").parquet(src)
+    for k in range(int(weeks["m"] + 1)):  # written one after another: file times follow event time
+        tr.where(F.col("_chunk") == k).drop("_chunk").repartition(files).write.mode("append").parquet(src)
     schema = tr.drop("_chunk").schema
-    W.stream_eval_monitor(spark, src, out, ck, schema, max_files=1)
+    W.stream_eval_monitor(spark, src, out, ck, schema, max_files=files)
     f = W.final_windows(spark, out)
     return f.select("run", "window_start", "n", F.round("avg_pos_sim", R6).alias("avg_pos_sim"), F.round("avg_neg_sim", R6).alias("avg_neg_sim"))
 
