@@ -183,13 +183,14 @@ def caption_triplets(df: DataFrame, image_col: str = "image_id", caption_col: st
     * negative: images are numbered, the derangement picks another image
       (uniform over images), a second hash picks one of its caption rows
       (uniform over that image's captions, duplicates counted).
+
+    Captions are numbered and drawn by their digests; the texts join last.
     """
-    rows = df.select(key_col, image_col, caption_col).where(F.col(caption_col).isNotNull())
+    texts = df.select(key_col, image_col, caption_col).where(F.col(caption_col).isNotNull()).withColumn("_d", F.unhex(F.sha2(caption_col, 256)))
+    rows = cut_lineage(texts.select(key_col, image_col, "_d", hkey(F.lit("cap"), image_col, caption_col).alias("_hd")))
     nbk = buckets_for(rows.count(), rows_per_bucket)
 
-    distinct = rows.groupBy(image_col, caption_col).agg(F.count(F.lit(1)).alias("_mult"))
-    distinct = distinct.withColumn("_hd", hkey(F.lit("cap"), image_col, caption_col))
-    distinct = dense_index(distinct, [image_col], ["_hd", caption_col], hash_range_bucket("_hd", nbk), "_k", "_m")
+    distinct = dense_index(rows.select(image_col, "_d", "_hd").distinct(), [image_col], ["_hd", "_d"], hash_range_bucket("_hd", nbk), "_k", "_m")
 
     images = rows.groupBy(image_col).agg(F.count(F.lit(1)).alias("_c")).withColumn("_himg", hkey(F.lit("img"), image_col))
     images = dense_index(images, [], ["_himg", image_col], hash_range_bucket("_himg", nbk), "_g", "_ng").drop("_himg")
@@ -197,19 +198,23 @@ def caption_triplets(df: DataFrame, image_col: str = "image_id", caption_col: st
     caprows = rows.withColumn("_hr", hkey(F.lit("caprow"), key_col))
     caprows = dense_index(caprows, [image_col], ["_hr", key_col], hash_range_bucket("_hr", nbk), "_r", None)
 
-    x = rows.join(distinct.select(image_col, caption_col, "_k", "_m"), [image_col, caption_col])
+    x = rows.drop("_hd").join(distinct.select(image_col, "_d", "_k", "_m"), [image_col, "_d"])
     x = x.withColumn("_pk", derangement_partner("_k", "_m", hkey(F.lit("pos"), key_col))).where(F.col("_pk").isNotNull())
-    pos = distinct.select(image_col, F.col("_k").alias("_pk"), F.col(caption_col).alias("correct_answer"))
-    x = x.join(pos, [image_col, "_pk"])
+    x = x.join(distinct.select(image_col, F.col("_k").alias("_pk"), F.col("_d").alias("_pos")), [image_col, "_pk"])
 
     x = x.join(images.select(image_col, "_g", "_ng"), image_col)
     x = x.withColumn("_og", derangement_partner("_g", "_ng", hkey(F.lit("negimg"), key_col))).where(F.col("_og").isNotNull())
     other = images.select(F.col(image_col).alias("_oimg"), F.col("_g").alias("_og"), F.col("_c").alias("_oc"))
     x = x.join(other, "_og")
     x = x.withColumn("_or", F.pmod(hkey(F.lit("negcap"), key_col), F.col("_oc")))
-    neg = caprows.select(F.col(image_col).alias("_oimg"), F.col("_r").alias("_or"), F.col(caption_col).alias("incorrect_answer"))
-    x = x.join(neg, ["_oimg", "_or"])
-    return x.select(key_col, F.col(caption_col).alias("premise"), "correct_answer", "incorrect_answer")
+    x = x.join(caprows.select(F.col(image_col).alias("_oimg"), F.col("_r").alias("_or"), F.col("_d").alias("_neg")), ["_oimg", "_or"])
+    x = x.select(key_col, image_col, "_d", "_pos", "_oimg", "_neg")
+
+    # the texts last: one copy of each image's distinct captions, asked for by (image, digest)
+    known = texts.select(F.col(image_col).alias("_ti"), F.col("_d").alias("_td"), F.col(caption_col).alias("_text")).repartition("_ti", "_td").distinct()
+    for image, digest, out in ((image_col, "_d", "premise"), (image_col, "_pos", "correct_answer"), ("_oimg", "_neg", "incorrect_answer")):
+        x = x.join(known.withColumnRenamed("_text", out), (F.col(image) == F.col("_ti")) & (F.col(digest) == F.col("_td"))).drop("_ti", "_td")
+    return x.select(key_col, *TRIPLET_COLS)
 
 
 # ------------------------------------------------------------------ T6-T9
