@@ -69,11 +69,10 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     _begin(spark)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = substring_dedup(docs.select("doc_id", "text", F.col("text").alias("own_text"), *(F.col(c).alias(f"own_{c}") for c in rest)), extra=["own_text", *(f"own_{c}" for c in rest)])
-    changed, text = F.col("n_removed") > 0, F.col("kept_text")
-    new = {"doc_id": F.col("doc_id"), "text": F.when(changed, text).otherwise(F.col("own_text"))}
+    found = substring_dedup(docs.select("doc_id", "text", *(F.col(c).alias(f"own_{c}") for c in rest)), extra=[f"own_{c}" for c in rest], original=True)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
     if "n_chars" in rest:
-        new["n_chars"] = F.when(changed, F.char_length(text)).otherwise(F.col("own_n_chars")).cast("long")
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("own_n_chars")).cast("long")
     return found.select(*(new.get(c, F.col(f"own_{c}")).alias(c) for c in docs.columns))
 
 

@@ -32,6 +32,7 @@ from itertools import pairwise
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -232,7 +233,7 @@ def answer_passages(rows: pa.Table, width: int) -> pa.Table:
     return pa.table({"slice": pa.array(slices_, pa.int64()), "shard": rows.column("shard"), "num": pa.array(nums, pa.binary()), "off": pa.array(offs, pa.binary()), "least": pa.array(firsts, pa.binary())})
 
 
-def substring_dedup(docs: DataFrame, width: int = 13, extra: list[str] | None = None, slice_bytes: int = SLICE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 13, extra: list[str] | None = None, slice_bytes: int = SLICE_BYTES, shard_bytes: int = SHARD_BYTES, original: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, then the columns ``extra``, per row of ``docs(doc_id, text, ...)``.
 
     Words are runs of anything but ASCII white space, unchanged; kept words are
@@ -241,15 +242,16 @@ def substring_dedup(docs: DataFrame, width: int = 13, extra: list[str] | None =
     others; rows with equal ids do not remove each other's words; repeated rows
     are answered each. Columns not named are not read, so their names cannot
     clash; ``extra`` may not repeat a result column. An empty table gives no rows.
+    With ``original`` a row that loses no word keeps its text as it is, null or any white space.
+
+    All three steps of a slice read the same whole rows, so these are shuffled once.
     """
     small_batches(docs.sparkSession)
     extra = [c for c in extra or [] if c != "doc_id"]
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"own_{c}") for c in extra))
-    rows = own.select("doc_id", "text")
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    total = own.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_slices, n_shards = max(1, -(-total // slice_bytes)), max(1, -(-total // shard_bytes))
-    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_slices))
-    rows, own = rows.withColumn("slice", number), own.withColumn("slice", number)
+    rows = own.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_slices)))
 
     def out_anchors(rows: pa.Table) -> pa.Table:
         part = Slice(rows, width)
@@ -301,13 +303,15 @@ def substring_dedup(docs: DataFrame, width: int = 13, extra: list[str] | None =
         texts = []
         for k, (a, b) in enumerate(pairwise(part.starts.tolist())):
             if not per_doc[k]:
-                texts.append(part.words(a, b))
+                texts.append(None if original else part.words(a, b))
                 continue
             cut = np.flatnonzero(np.diff(np.concatenate([[True], removed[a:b], [True]]))) + a  # kept runs begin and end here
             texts.append(b" ".join(part.words(x, y) for x, y in cut.reshape(-1, 2).tolist()))
-        ids = pa.array(part.ids, mask=part.ids == NO_ID)
-        return pa.table({"doc_id": ids, "n_words": part.lengths, "n_removed": per_doc, "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
-                         **{c: rows.column(f"own_{c}").take(pa.array(part.order, pa.int64())) for c in extra}})
+        ids, order, kept = pa.array(part.ids, mask=part.ids == NO_ID), pa.array(part.order, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())
+        if original:
+            kept = pc.if_else(pa.array(per_doc > 0), kept, rows.column("text").combine_chunks().take(order))
+        return pa.table({"doc_id": ids, "n_words": part.lengths, "n_removed": per_doc, "kept_text": kept,
+                         **{c: rows.column(f"own_{c}").take(order) for c in extra}})
 
     packs = rows.groupBy("slice").applyInArrow(out_anchors, "shard long, slice long, anchors binary, lo binary, hi binary")
     told = packs.groupBy("shard").applyInArrow(recurring_anchors, "slice long, anchors binary").where("octet_length(anchors) > 0")
@@ -317,4 +321,4 @@ def substring_dedup(docs: DataFrame, width: int = 13, extra: list[str] | None =
     replies = told.select("slice", F.lit(0).alias("kind"), null.cast("long").alias("shard"), "anchors", *(null.cast("binary").alias(c) for c in ("num", "off", "least"))).unionByName(
         answers.select("slice", F.lit(1).alias("kind"), "shard", null.cast("binary").alias("anchors"), "num", "off", "least"))
     added = "".join(f", `{c}` {own.schema[f'own_{c}'].dataType.simpleString()}" for c in extra)
-    return own.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(removal, "doc_id long, n_words long, n_removed long, kept_text string" + added)
+    return rows.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(removal, "doc_id long, n_words long, n_removed long, kept_text string" + added)
