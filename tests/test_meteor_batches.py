@@ -1,6 +1,4 @@
-"""METEOR aligns whole pairs in batches after one sort; a pair may go over several batches."""
-
-from collections import Counter
+"""METEOR deals its tokens to as many tasks as their number asks for."""
 
 import pytest
 
@@ -27,17 +25,10 @@ def brute(hyp, ref):
     return (1 - 0.5 * (chunks / m) ** 3) * p * r / (0.9 * p + 0.1 * r)
 
 
-def test_meteor_of_pairs_longer_than_a_batch(spark):
+def test_meteor_deals_tokens_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(L, "TASK_TOKENS", 100, raising=False)
     words = "run running runs cat cats the a sat sitting mat".split()
     pairs = [(i, [words[(i * j + j // 3) % 10] for j in range(i % 9)], [words[(j * j + i) % 10] for j in range(i % 7)]) for i in range(60)]
-    pairs.append((60, words * 30, words[::-1] * 20))
-    arrays = spark.createDataFrame(pairs, "pair_id long, g array<string>, r array<string>")
-    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    try:
-        found = L.meteor(arrays)
-        got = {r["pair_id"]: r["meteor"] for r in found.collect()}
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
-    assert got == pytest.approx({k: brute(g, r) for k, g, r in pairs})
-    assert Counter(found._jdf.queryExecution().optimizedPlan().toString().split())["Window"] == 0  # ten sorts of one task before
+    found = L.meteor(spark.createDataFrame(pairs, "pair_id long, g array<string>, r array<string>"))
+    assert {r["pair_id"]: r["meteor"] for r in found.collect()} == pytest.approx({k: brute(g, r) for k, g, r in pairs})
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
