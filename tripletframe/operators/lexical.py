@@ -167,7 +167,7 @@ def meteor_of_tokens(tokens: DataFrame, synonyms: DataFrame | None = None, key:
         sy = synonyms.select(F.col("word").alias("_w"), "synset")
         x = x.join(sy, F.col("word") == F.col("_w"), "left").drop("_w")
         stages.append(("synset", F.coalesce("synset", "word")))
-    x = x.repartition(max(1, -(-x.count() // TASK_TOKENS)), key)  # a task holds ten sorts of its tokens
+    x = x.repartition(max(2, -(-x.count() // TASK_TOKENS)), key)  # a task holds ten sorts of its tokens
     free, hit = F.lit(True), []
     for i, (_, term) in enumerate(stages):
         x = x.withColumn(f"_t{i}", term)
