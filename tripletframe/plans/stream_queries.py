@@ -196,7 +196,7 @@ def i4_four_directions(spark, sf):
 
 def _text_embeddings(spark, texts):
     """E2 over distinct texts keyed by text hash -> (text_id, emb array)."""
-    t = texts.select("text").distinct().withColumn("text_id", F.md5("text"))
+    t = cut_lineage(texts.select("text").distinct().withColumn("text_id", F.md5("text")))  # tokens, vectors and counts are made from it
     tok = text_tokens(t, "text_id", "text")
     vec = hashed_vectors(tok, extra_tokens=("<pad>", I.BASELINE_TOKEN))
     pad = vec.where(F.col("token") == "<pad>").select("j", "v")
@@ -206,14 +206,15 @@ def _text_embeddings(spark, texts):
 
 
 def _directions_with_sim(spark, sf):
-    d = cut_lineage(i4_four_directions(spark, sf))  # read by both text sides and the pair table
-    texts = d.select(F.col("input_text").alias("text")).union(d.select(F.col("target_text").alias("text")))
+    trip = cut_lineage(T.sample_negatives(view(spark, sf, "fx_pairs").drop("raw_score")))  # a row's three texts once, not in each direction
+    d = I.four_directions(trip)
+    texts = trip.select(F.explode(F.array("premise", "correct_answer", "incorrect_answer")).alias("text"))
     t, tok, vec, emb = _text_embeddings(spark, texts)
-    x = d.withColumn("in_id", F.md5("input_text")).withColumn("tgt_id", F.md5("target_text"))
+    x = d.select("row_id", "direction", "expected", F.md5("input_text").alias("in_id"), F.md5("target_text").alias("tgt_id"))
     x = x.join(emb.select(F.col("text_id").alias("in_id"), F.col("emb").alias("e_in")), "in_id")
     x = x.join(emb.select(F.col("text_id").alias("tgt_id"), F.col("emb").alias("e_tgt")), "tgt_id")
     x = x.withColumn("sim", cosine("e_in", "e_tgt")).withColumn("baseline", I.choose_baseline(F.col("sim")))
-    return x, cut_lineage(tok), vec
+    return x, tok, vec
 
 
 def _persisted(df):
@@ -254,12 +255,12 @@ def i2_choose_baseline(spark, sf):
 def _attributions(spark, sf):
     x, tok, vec = _directions_with_sim(spark, sf)
     # pairs and vectors each feed several branches of the attribution plan: write them once
-    x = cut_lineage(x.drop("e_in", "e_tgt", "input_text", "target_text"))
+    x = cut_lineage(x.drop("e_in", "e_tgt"))
     vec = cut_lineage(S.vectors_to_arrays(vec))
     dirs = {d: i for i, (d, *_) in enumerate(I.DIRECTIONS)}
     idx = F.create_map(*[a for d, i in dirs.items() for a in (F.lit(d), F.lit(i))])
     pairs = x.select((F.col("row_id") * 4 + idx[F.col("direction")]).alias("pair_id"), "row_id", "direction", "in_id", "tgt_id", "baseline", "sim")
-    att, totals = I.token_attribution(pairs.select("pair_id", "in_id", "tgt_id", "baseline"), tok, vec, length=LENGTH)
+    att, totals = I.token_attribution(pairs.select("pair_id", "row_id", "in_id", "tgt_id", "baseline"), tok, vec, length=LENGTH, near="row_id")
     return pairs, att, totals
 
 
