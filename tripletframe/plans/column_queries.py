@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from tripletframe.functions import columns as P
 from tripletframe.functions.keys import hkey, hkey_sql
 from tripletframe.operators.indexing import buckets_for, dense_index, hash_range_bucket
+from tripletframe.operators.token_ids import token_ids
 from tripletframe.plans.registry import query
-from tripletframe.sources.fixtures import table, view
+from tripletframe.session import cut_lineage
+from tripletframe.sources.fixtures import table, token_lists, view
 
 R6 = 6  # decimals kept in floating outputs compared with the oracle
 ENCODE_LENGTH = 512  # model input length of the reference config
 PAD_ID = 0
+TOKEN_BYTES = 6  # of a text, about, to a token
 
 
 @query("p1_rename_map", """select row_id, premise as text1, correct_answer as text2, raw_score as score from fx_pairs""",
@@ -113,9 +116,13 @@ def p13_fmt_pair(spark, sf):
     return x.select("dataset", "metric", P.fmt_pair("c", "i", 100.0).alias("pair"))
 
 
-def vocabulary(spark, sf):
-    """Token -> id table (ids from 1, 0 is the pad id), numbered in hash order without a single-task window."""
-    toks = view(spark, sf, "fx_tokens").select("token").distinct().withColumn("_h", hkey("token"))
+def vocabulary(spark, sf, tokens=None):
+    """Token -> id table (ids from 1, 0 is the pad id), numbered in hash order without a single-task window.
+
+    ``tokens``: all tokens of ``fx_tokens``, repeated or not, if the caller has them in another form.
+    """
+    toks = (view(spark, sf, "fx_tokens") if tokens is None else tokens).select("token").distinct().withColumn("_h", hkey("token"))
+    toks = cut_lineage(toks)  # counted, ranked and counted by bucket: texts are cut into tokens once for all
     nb = buckets_for(toks.count())
     v = dense_index(toks, [], ["_h", "token"], hash_range_bucket("_h", nb), "id", None)
     return v.select("token", (F.col("id") + 1).cast("int").alias("id"))
@@ -129,10 +136,10 @@ select row_id, len(ids) as n_tokens,
   array_to_string(list_concat(ids[1:{ENCODE_LENGTH}], list_resize([{PAD_ID}], greatest({ENCODE_LENGTH} - len(ids), 0), {PAD_ID})), ',') as encoded
 from ids""", views=["fx_tokens"])
 def p14_encode_pad(spark, sf):
-    t = view(spark, sf, "fx_tokens")
-    ids = t.join(vocabulary(spark, sf), "token").groupBy("row_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("ids")
-    )
+    lists = token_lists(spark, sf)
+    n_bytes = table(spark, sf, "documents").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    vocab = vocabulary(spark, sf, lists.select(F.explode(F.array_distinct("tokens")).alias("token")))
+    ids = token_ids(lists, vocab, total=n_bytes // TOKEN_BYTES)
     enc = P.encode_pad("ids", ENCODE_LENGTH, PAD_ID)
     return ids.select("row_id", F.size("ids").cast("long").alias("n_tokens"), F.array_join(enc, ",").alias("encoded"))
 
