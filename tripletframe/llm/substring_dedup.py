@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletframe.llm.common import NO_ID, SLICE_BYTES, longs, refcounts_only, small_batches, starts_of, texts_of
+from tripletframe.llm.common import NO_ID, SLICE_BYTES, lean, longs, refcounts_only, small_batches, starts_of, texts_of
 
 RUN = 6
 #: Text bytes whose anchors one shard owns: about a quarter of a million anchors.
@@ -313,12 +313,12 @@ def substring_dedup(docs: DataFrame, width: int = 13, extra: list[str] | None =
         return pa.table({"doc_id": ids, "n_words": part.lengths, "n_removed": per_doc, "kept_text": kept,
                          **{c: rows.column(f"own_{c}").take(order) for c in extra}})
 
-    packs = rows.groupBy("slice").applyInArrow(out_anchors, "shard long, slice long, anchors binary, lo binary, hi binary")
-    told = packs.groupBy("shard").applyInArrow(recurring_anchors, "slice long, anchors binary").where("octet_length(anchors) > 0")
-    passages = rows.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(out_passages, "shard long, slice long, texts binary, lo binary, hi binary")
-    answers = passages.groupBy("shard").applyInArrow(lambda t: answer_passages(t, width), "slice long, shard long, num binary, off binary, least binary")
+    packs = rows.groupBy("slice").applyInArrow(lambda t: lean(out_anchors, t), "shard long, slice long, anchors binary, lo binary, hi binary")
+    told = packs.groupBy("shard").applyInArrow(lambda t: lean(recurring_anchors, t), "slice long, anchors binary").where("octet_length(anchors) > 0")
+    passages = rows.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(lambda key, t, told: lean(out_passages, key, t, told), "shard long, slice long, texts binary, lo binary, hi binary")
+    answers = passages.groupBy("shard").applyInArrow(lambda t: lean(answer_passages, t, width), "slice long, shard long, num binary, off binary, least binary")
     null = F.lit(None)
     replies = told.select("slice", F.lit(0).alias("kind"), null.cast("long").alias("shard"), "anchors", *(null.cast("binary").alias(c) for c in ("num", "off", "least"))).unionByName(
         answers.select("slice", F.lit(1).alias("kind"), "shard", null.cast("binary").alias("anchors"), "num", "off", "least"))
     added = "".join(f", `{c}` {own.schema[f'own_{c}'].dataType.simpleString()}" for c in extra)
-    return rows.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(removal, "doc_id long, n_words long, n_removed long, kept_text string" + added)
+    return rows.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(lambda key, t, told: lean(removal, key, t, told), "doc_id long, n_words long, n_removed long, kept_text string" + added)
