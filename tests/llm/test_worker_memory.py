@@ -1,6 +1,16 @@
-"""What workers keep: no unused heap."""
+"""What workers keep: an encoder only where it is used, no unused heap."""
 
-from tripletframe.llm import common
+import weakref
+
+from tripletframe.llm import common, lm
+from tripletframe.llm import queries as Q
+
+
+def test_encoder_of_words_goes_when_another_operator_begins():
+    codec = weakref.ref(lm._codec(Q.BYTE_BPE))
+    assert lm._codec(Q.BYTE_BPE) is codec()
+    common.refcounts_only()
+    assert codec() is None
 
 
 def test_heap_goes_back_after_the_work(monkeypatch):
