@@ -51,13 +51,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null id is above all others; of rows with one id, repeated ones too, any
     single row stays. Null and empty texts are near-duplicates of each other. An
     empty table stays empty; other columns pass unchanged, whatever their names.
+
+    Rows are known by a digest of id and text (equal ones are in one component), so no copy of the rows is written.
     """
     _begin(spark)
-    own = stash(docs.select(*(F.col(c).alias(f"own_{c}") for c in docs.columns), F.monotonically_increasing_id().alias("row_nr")), "numbered")
-    found = simhash_dedup(own.select(F.col("own_doc_id").alias("doc_id"), F.col("own_text").alias("text"), "row_nr"), width=4, distance=4, extra=["row_nr"], classes=True)
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_nr")
-    stay = found.groupBy("component_root").agg(F.min(rank)["row_nr"].alias("row_nr"))
-    return own.join(stay, "row_nr", "left_semi").select(*(F.col(f"own_{c}").alias(c) for c in docs.columns))
+    row_key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))).cast("binary"), 256))
+    own = docs.select(*(F.col(c).alias(f"own_{c}") for c in docs.columns), row_key.alias("row_key"))
+    found = simhash_dedup(own.select(F.col("own_doc_id").alias("doc_id"), F.col("own_text").alias("text"), "row_key"), width=4, distance=4, extra=["row_key"], classes=True)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    stay = found.groupBy("component_root").agg(F.min(rank)["row_key"].alias("row_key"))
+    return own.join(stay, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*(F.col(f"own_{c}").alias(c) for c in docs.columns))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -639,6 +639,19 @@ def test_pipeline_stages_by_brute_force(spark):
     assert packed.select("doc_id").distinct().count() == len(after)
 
 
+def test_near_duplicate_stage_writes_no_copy_of_the_rows(spark, edge, tmp_path, monkeypatch):
+    monkeypatch.setattr("tripletframe.llm.common.checkpoint_dir", lambda _: str(tmp_path))
+    docs = edge.select("doc_id", "text", "key")
+    rows = corpus_pipeline.near(spark, docs, SMALL).collect()
+    groups = defaultdict(list)
+    for n, _, c in brute_components(brute_prints([(n, t) for n, (_, t) in enumerate(EDGE)])):
+        groups[c].append(EDGE[n])
+    keep = Counter(min((i for i, _ in g), key=lambda i: (i is None, i or 0)) for g in groups.values())
+    assert Counter(r.doc_id for r in rows) == keep and all((r.doc_id, r.text) in EDGE and r.key == "k" for r in rows)
+    written = [spark.read.parquet(str(p)) for p in tmp_path.iterdir()]
+    assert written and all("text" not in c for t in written for c in t.columns)
+
+
 def test_pipeline_stages_take_edge_rows(spark, edge, none):
     for rows in (edge, none):
         docs = rows.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
