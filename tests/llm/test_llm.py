@@ -207,6 +207,61 @@ def test_attention_is_causal_normalised_and_learns():
     assert np.allclose(model.score(flat, sizes), want, atol=1e-4)
 
 
+def plain_gradients(model, x, y, weight):
+    """Loss and gradients of all parameters in float64, window by window and position by position."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    g, loss = {k: np.zeros_like(v) for k, v in p.items()}, 0.0
+    for row, goal, part in zip(x, y, weight / weight.sum()):
+        e = p["E"][row]
+        q, k, v = (e @ p[n] for n in "QKV")
+        de, dq, dk, dv = (np.zeros_like(e) for _ in range(4))
+        for i in np.flatnonzero(part):
+            a = q[i] @ k[: i + 1].T * lm.WIDTH**-0.5 + p["R"][i - np.arange(i + 1)]
+            a = np.exp(a - a.max())
+            a /= a.sum()
+            h = e[i] + a @ v[: i + 1]
+            z = h @ p["C"] + p["b"]
+            z = np.exp(z - z.max())
+            z /= z.sum()
+            loss -= part[i] * np.log(z[goal[i]])
+            z[goal[i]] -= 1
+            z *= part[i]
+            dh = p["C"] @ z
+            g["C"] += np.outer(h, z)
+            g["b"] += z
+            ds = a * (v[: i + 1] @ dh - a @ (v[: i + 1] @ dh))
+            np.add.at(g["R"], i - np.arange(i + 1), ds)
+            de[i] += dh
+            dv[: i + 1] += np.outer(a, dh)
+            dq[i] += ds @ k[: i + 1] * lm.WIDTH**-0.5
+            dk[: i + 1] += np.outer(ds, q[i]) * lm.WIDTH**-0.5
+        for n, d in zip("QKV", (dq, dk, dv)):
+            g[n] += e.T @ d
+            de += d @ p[n].T
+        np.add.at(g["E"], row, de)
+    return loss, g
+
+
+@pytest.mark.parametrize("size", [1, 3.5])  # with large parameters exponents are not bounded by the norms
+def test_step_works_out_scored_positions_alone_and_all_gradients(size):
+    rng = np.random.default_rng(4)
+    classes = rng.integers(0, lm.CLASSES, 90)
+    model = Attention(classes, lm.class_shares(classes, np.ones(90)))
+    model.p["R"][:] = rng.standard_normal(lm.WINDOW)
+    model.p["b"][:] = rng.standard_normal(lm.CLASSES)
+    for k in "EQKCC":
+        model.p[k] *= size
+    x = rng.integers(0, 60, (5, lm.WINDOW))
+    weight = (rng.random(x.shape) < 0.6).astype(np.float32)
+    y = np.where(weight > 0, classes[rng.integers(0, 90, x.shape)], 10**6)  # no class where nothing is scored
+    loss, grad = model.step(x, y, weight)
+    want, plain = plain_gradients(model, x, y, weight)
+    ids, rows = grad.pop("E")
+    assert (ids == np.unique(x)).all() and np.allclose(rows, plain["E"][ids], rtol=2e-3, atol=2e-4 * abs(plain["E"]).max())
+    assert abs(loss - want) < 1e-4 * max(1, abs(want))
+    assert all(np.allclose(grad[k], plain[k], rtol=2e-3, atol=2e-4 * abs(plain[k]).max()) for k in grad)
+
+
 def brute_base(rows):
     count = Counter()
     for i, t in rows:
