@@ -2,17 +2,19 @@
 
 Triplets (reference against the correct and the incorrect answer) or pairs
 (second text against the first) become one long table of (reference,
-candidate) rows. Both sides are cut into words and stemmed once, in one table
-with a ``side`` column that all metrics read: stems from the distinct words,
-n-grams, subsequences and alignments from the token rows, the vector metrics
-from word counts joined to a word-vector table. The learned metric is a least
-squares fit over the others whose normal equations are one aggregate.
+candidate) rows. No token is written or shuffled as a row: whole texts and their
+stems are dealt by pair once, and become the token rows (with a ``side`` column)
+of n-grams, subsequences and alignments where they lie; the vector metrics deal
+compressed blocks of pairs into slices, each of which asks a word-vector table
+for its distinct words once. The learned metric is a least squares fit over the
+others whose normal equations are one aggregate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tripletframe.operators import lexical as L
 from tripletframe.operators import scoring as S
+from tripletframe.operators.triplets import TRIPLET_COLS
 from tripletframe.session import cut_lineage
 
 #: Positions of the padded encoder of ``simcse``.
@@ -28,37 +31,43 @@ LENGTH = 512
 
 @dataclass(frozen=True)
 class Scored:
-    """What the metrics read: pairs (pair_id, known: both texts not null), tokens (pair_id, side, pos, word, stem, root; written), arrays of stems, and tables."""
+    """What the metrics read: texts (pair_id, reference, candidate), pairs (pair_id, known: both texts not null), tokens (pair_id, side, pos, word, stem, root), arrays of stems, and tables.
 
+    Tokens and arrays are dealt by pair; they and the metrics on them follow one shuffle of whole texts.
+    """
+
+    texts: DataFrame
+    total: int
     pairs: DataFrame
     tokens: DataFrame
     arrays: DataFrame
-    vectors: DataFrame | None
+    vectors: DataFrame | Callable[[DataFrame], DataFrame] | None
     pad: Sequence[float] | None
     synonyms: DataFrame | None
 
-    def texts(self) -> DataFrame:
-        """(text_id, token): candidate 2 * pair_id, reference 2 * pair_id + 1."""
-        return self.tokens.select((F.col("pair_id") * 2 + F.col("side")).alias("text_id"), F.col("word").alias("token"))
-
-    def cosine(self, length: int, measure: Callable[[DataFrame, str, str, str], DataFrame]) -> DataFrame:
-        """Similarity of the two sides' mean vectors over ``max(words, length)`` positions."""
-        ids = self.pairs.select(F.explode(F.array(F.col("pair_id") * 2, F.col("pair_id") * 2 + 1)).alias("text_id"))
-        emb = S.embed_texts_arrays(self.texts(), S.vectors_to_arrays(self.vectors), self.pad, key_col="text_id", length=length, texts=ids)
-        sides = emb.select(F.floor(F.col("text_id") / 2).alias("pair_id"), F.when(F.col("text_id") % 2 == 0, F.col("emb")).alias("a"), F.when(F.col("text_id") % 2 != 0, F.col("emb")).alias("b"))
-        both = sides.groupBy("pair_id").agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
-        return measure(both, "a", "b", "score").select("pair_id", "score")
+    @cached_property
+    def vector_scores(self) -> DataFrame:
+        """(pair_id, embsim, simcse, bert), one row a pair_id: the cosines of both sides' mean vectors over ``max(words, length)`` positions, and the word matching; written."""
+        vectors = self.vectors
+        if callable(vectors):
+            words = F.explode(F.concat(*(F.coalesce(L.rouge_tokens(c), F.array().cast("array<string>")) for c in ("candidate", "reference"))))
+            vectors = vectors(self.texts.select(words.alias("token")))
+        joined = [F.array_join(L.rouge_tokens(c), " ").alias(to) for c, to in (("candidate", "a"), ("reference", "b"))]
+        x = S.pair_bags(self.texts.select("pair_id", *joined), S.vectors_to_arrays(vectors), self.total)
+        for name, length, measure in (("embsim", 1, S.emb_sim), ("simcse", LENGTH, S.sim_diag)):
+            x = measure(S.pair_embeddings(x, self.pad, length), "a", "b", name)
+        return cut_lineage(x.select("pair_id", "embsim", "simcse", F.col("bert_f").alias("bert")))
 
 
 def prepare(long: DataFrame, vectors: Callable[[DataFrame], DataFrame] | DataFrame | None = None, pad: Sequence[float] | None = None,
             synonyms: DataFrame | None = None) -> Scored:
-    """Cut and stem both sides of ``long(pair_id, reference, candidate)`` once.
+    """Cut and stem both sides of ``long(pair_id, reference, candidate)``, read from where they were written.
 
-    ``vectors``: long (token, j, v), or a function that makes it from the distinct words (token).
+    ``vectors``: long (token, j, v), or a function that makes it from the words (token).
     """
-    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("candidate").alias("text")), F.struct(F.lit(1).alias("side"), F.col("reference").alias("text")))).alias("s")
-    words = long.select("pair_id", side).select("pair_id", "s.side", F.posexplode(L.rouge_tokens("s.text")).alias("pos", "word"))
-    tokens = cut_lineage(words.join(L.stem_table(words), "word").select("pair_id", "side", "pos", "word", "stem", "root"))
+    sides = ("candidate", "reference")
+    total = L.n_tokens(long, sides)
+    tokens = L.dealt_tokens(long, "pair_id", sides, total)
     known = F.col("reference").isNotNull() & F.col("candidate").isNotNull()
     pairs = long.select("pair_id", known.alias("known"))
     ordered = F.array_sort(F.collect_list(F.struct("side", "pos", "stem")))
@@ -66,18 +75,15 @@ def prepare(long: DataFrame, vectors: Callable[[DataFrame], DataFrame] | DataFra
     half = lambda side: F.transform(F.filter("t", lambda x: x["side"] == side), lambda x: x["stem"])
     none = F.array().cast("array<string>")
     arrays = pairs.join(both, "pair_id", "left").select("pair_id", *(F.when(F.col("known"), F.coalesce(half(i), none)).alias(c) for i, c in ((0, "g"), (1, "r"))))
-    if callable(vectors):
-        vectors = vectors(tokens.select(F.col("word").alias("token")))
-    return Scored(pairs, tokens, arrays, vectors, pad, synonyms)
+    return Scored(long.select("pair_id", *sides), total, pairs, tokens, arrays, vectors, pad, synonyms)
 
 
 def _bert(x: Scored) -> DataFrame:
-    pairs = x.pairs.select("pair_id", (F.col("pair_id") * 2).alias("cand_id"), (F.col("pair_id") * 2 + 1).alias("ref_id"))
-    return S.bertscore(pairs, x.texts(), x.vectors).select("pair_id", F.col("bert_f").alias("score"))
+    return x.pairs.join(x.vector_scores, "pair_id", "left").select("pair_id", F.coalesce("bert", F.lit(0.0)).alias("score"))
 
 
 def _meteor(x: Scored) -> DataFrame:
-    found = L.meteor_of_tokens(x.tokens, x.synonyms)
+    found = L.meteor_of_tokens(x.tokens, x.synonyms, dealt=True)
     return x.pairs.join(found, "pair_id", "left").select("pair_id", F.coalesce("meteor", F.lit(0.0)).alias("score"))
 
 
@@ -87,9 +93,9 @@ METRICS: dict[str, Callable[[Scored], DataFrame]] = {
     "r2f1": lambda x: L.rouge_n(x.arrays, 2).select("pair_id", F.col("r2f1").alias("score")),
     "rLf1": lambda x: L.rouge_l(x.arrays).select("pair_id", F.col("rLf1").alias("score")),
     "meteor": _meteor,
-    "embsim": lambda x: x.cosine(1, S.emb_sim),
+    "embsim": lambda x: x.vector_scores.select("pair_id", F.col("embsim").alias("score")),
     "bert": _bert,
-    "simcse": lambda x: x.cosine(LENGTH, S.sim_diag),
+    "simcse": lambda x: x.vector_scores.select("pair_id", F.col("simcse").alias("score")),
 }
 LEARNED = "learned"
 
@@ -124,7 +130,8 @@ def score_pairs(long: DataFrame, metrics: Sequence[str] | None = None, vectors=N
     """Scores of ``long(pair_id long, reference, candidate, label, ...)``: one row per pair and metric (pair_id, metric, score).
 
     ``learned`` is fitted on all other named metrics against ``label_col``, or uses given ``weights``. A pair with
-    a null text has null scores; one without words scores 0 on the lexical metrics. ``pair_id`` is unique.
+    a null text has null scores; one without words scores 0 on the lexical metrics. ``pair_id`` is unique. ``long`` is
+    read by several jobs: it should come from written data.
     """
     names = list(metrics or [*METRICS, LEARNED])
     unknown = set(names) - {*METRICS, LEARNED}
@@ -156,10 +163,10 @@ def score_all(df: DataFrame, metrics: Sequence[str] | None = None, kind: str = "
     Result: pair_id, row_id, label, metric, score.
     """
     if kind == "triplets":
+        df = cut_lineage(df.select(key_col, *TRIPLET_COLS))  # three texts a row; the two pairs are made of them wherever they are read
         long = S.unpivot_triplets(df, key_col).select((F.col(key_col) * 2 + F.col("label")).alias("pair_id"), F.col(key_col).alias("row_id"), "label", "reference", "candidate")
     elif kind == "pairs":
-        long = df.select(F.col(key_col).alias("pair_id"), F.col(key_col).alias("row_id"), F.col(label_col).alias("label"), F.col("text1").alias("reference"), F.col("text2").alias("candidate"))
+        long = cut_lineage(df.select(key_col, label_col, "text1", "text2")).select(F.col(key_col).alias("pair_id"), F.col(key_col).alias("row_id"), F.col(label_col).alias("label"), F.col("text1").alias("reference"), F.col("text2").alias("candidate"))
     else:
         raise ValueError("kind is 'triplets' or 'pairs'")
-    long = cut_lineage(long)
     return score_pairs(long, metrics, **tables).join(long.select("pair_id", "row_id", "label"), "pair_id").select("pair_id", "row_id", "label", "metric", "score")
