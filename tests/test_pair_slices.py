@@ -99,3 +99,25 @@ def test_score_all_writes_no_row_a_token(spark, monkeypatch):
     found = score_all.score_all(df, vectors=hashed_vectors, pad=pad)
     assert found.count() == 20 * 2 * 8 and found.where(F.col("score").isNull()).count() == 0
     assert max(n for _, n in written) <= 20 * 2 * 8  # tokens would be 20 * 4 * 60 rows
+
+
+def test_score_table_of_scores_writes_no_row_a_token(spark, monkeypatch, tmp_path):
+    from tripletframe.plans.scoring_queries import a8e_score_table_of_scores
+
+    written = []
+    keep = score_all.cut_lineage
+
+    def cut(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(score_all, "cut_lineage", cut)
+    turns = [(c, t, "assistant" if t % 2 else "user", " ".join(f"w{(c * 5 + t + j * j) % 40}" for j in range(50))) for c in range(10) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    table = {r.metric: r for r in a8e_score_table_of_scores(spark, str(tmp_path)).collect()}
+    assert set(table) == {*score_all.METRICS, "learned"}
+    pairs = {(c, t): [words.split() for _, _, _, words in turns[c * 4 + t : c * 4 + t + 2]] for c in range(10) for t in (0, 2)}
+    f1 = [2 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b)) for a, b in pairs.values()]
+    assert table["r1f1"].correct == pytest.approx(100 * np.mean(f1), abs=0.006)
+    assert max(written) <= 20 * 2 * 8  # tokens would be 20 * 4 * 50 rows
